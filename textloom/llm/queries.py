@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, licenses, mixing
+from textloom.llm import bpe, licenses, lm, media, mixing
 from textloom.llm.common import written
 
 
@@ -13,6 +13,10 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns or ("*",))
 
 
+def op4_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.avi_digests(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir, "doc_id", "text")).drop("blocks")
 
@@ -32,9 +36,15 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_times") * F.col("size")).alias("taken"))
 
 
+def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(documents(spark, sf_dir, "doc_id", "text"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
 QUERIES = {
+    "op4_avi_clips": op4_avi_clips,
     "op7_license_scan": op7_license_scan,
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
     "op9_source_mix": op9_source_mix,
+    "op10_ppm_scores": op10_ppm_scores,
 }
 ORACLES: dict[str, str] = {}
