@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, licenses, lm, media, mixing
+from textloom.llm import ann, bpe, licenses, lm, media, mixing
 from textloom.llm.common import written
 
 
@@ -13,6 +13,11 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns or ("*",))
 
 
+def op1_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op4_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.avi_digests(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -41,10 +46,25 @@ def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_one_bit_neighbours": op1_one_bit_neighbours,
     "op4_avi_clips": op4_avi_clips,
     "op7_license_scan": op7_license_scan,
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
     "op9_source_mix": op9_source_mix,
     "op10_ppm_scores": op10_ppm_scores,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_one_bit_neighbours": """
+        WITH v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT * FROM r WHERE rank <= 20
+    """,
+}
