@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, licenses, lm, media, mixing
+from textloom.llm import ann, bpe, licenses, lm, media, minhash, mixing, quality
 from textloom.llm.common import written
 
 
@@ -18,6 +18,18 @@ def op1_one_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), k=3, threshold=(85, 100))
+
+
+def op3_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    weights = quality.train(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    out = quality.quality_scores(docs, weights)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.avi_digests(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -47,6 +59,8 @@ def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_one_bit_neighbours": op1_one_bit_neighbours,
+    "op2_hyperminhash": op2_hyperminhash,
+    "op3_byte_network": op3_byte_network,
     "op4_avi_clips": op4_avi_clips,
     "op7_license_scan": op7_license_scan,
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
@@ -67,4 +81,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT * FROM r WHERE rank <= 20
     """,
+    "op2_hyperminhash": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w
+        ), e AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+        ), p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) + any_value(b.n) AS n
+            FROM (SELECT * FROM e) a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85 GROUP BY 1, 2
+        ), l AS (
+            SELECT a, b FROM p WHERE 100 * k >= 85 * (n - k)
+        ), r(x, y) AS (
+            SELECT doc_id, doc_id FROM documents
+            UNION SELECT r.x, z.b FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) z ON r.y = z.a
+        )
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+        FROM s JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)
+    """,
 }
