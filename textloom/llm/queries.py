@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, licenses, lm, media, minhash, mixing, quality
+from textloom.llm import ann, bpe, fm_dedup, licenses, lm, media, minhash, mixing, quality, suffix_dedup
 from textloom.llm.common import written
 
 
@@ -34,6 +34,14 @@ def op4_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.avi_digests(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op5_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_dedup.substring_dedup(documents(spark, sf_dir, "doc_id", "text")).drop("digest", "kept")
+
+
+def op6_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(documents(spark, sf_dir, "doc_id", "text")).drop("digest", "kept")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(documents(spark, sf_dir, "doc_id", "text")).drop("blocks")
 
@@ -62,6 +70,8 @@ QUERIES = {
     "op2_hyperminhash": op2_hyperminhash,
     "op3_byte_network": op3_byte_network,
     "op4_avi_clips": op4_avi_clips,
+    "op5_fm_index_dedup": op5_fm_index_dedup,
+    "op6_prefix_free_parsing": op6_prefix_free_parsing,
     "op7_license_scan": op7_license_scan,
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
     "op9_source_mix": op9_source_mix,
