@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textloom.llm.common import slices
 
@@ -112,7 +113,7 @@ class Codec:
         ends = np.cumsum(length)
         data = self.blob[np.repeat(self.starts[ids] - ends + length, length) + np.arange(int(length.sum()))].tobytes()
         stop = np.concatenate([[0], ends])[np.cumsum([s.count(" ") + bool(s) for s in encoded])].tolist()
-        return [data[a:b] for a, b in zip([0, *stop], stop)]  # noqa: B905
+        return [data[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
 
 
 _codecs: dict[tuple[int, str], Codec] = {}
@@ -137,6 +138,24 @@ def bpe_digests(docs: DataFrame, rank_file: bytes, pattern: str, id_column: str
     return _run(docs, rank_file, pattern, id_column, text_column, digest=True)
 
 
+def with_token_ids(docs: DataFrame, rank_file: bytes, pattern: str, text_column: str = "text") -> DataFrame:
+    """``docs`` without the text, with n_tokens, token_ids and decoded_sha256, the SHA-256 of the bytes the ids stand for."""
+    file = docs.sparkSession.sparkContext.broadcast(rank_file)
+    others = [c for c in docs.columns if c not in (text_column, "n_tokens", "token_ids", "decoded_sha256")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(file.value, pattern)
+        for part in slices(batches, text_column, 1 << 20):
+            ids = own.encode(part.column(text_column).to_pylist())
+            n = np.array([s.count(" ") + bool(s) for s in ids])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.fromstring(" ".join(ids), np.int32, sep=" ")))
+            sha = pa.array([hashlib.sha256(b).hexdigest() for b in own.decode(ids)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(n, pa.int64()), lists, sha], [*others, "n_tokens", "token_ids", "decoded_sha256"])
+
+    schema = docs.select(*others, F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<int>").alias("token_ids"), F.lit("").alias("decoded_sha256")).schema
+    return docs.select(*others, F.col(text_column).cast("string").alias(text_column)).mapInArrow(run, schema)
+
+
 def _run(docs: DataFrame, rank_file: bytes, pattern: str, id_column: str, text_column: str, digest: bool) -> DataFrame:
     file = docs.sparkSession.sparkContext.broadcast(rank_file)  # a vocabulary: its size does not depend on the data
     kind = dict(docs.dtypes)[id_column]
