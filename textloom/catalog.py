@@ -1,7 +1,508 @@
-"""All queries of the library by name, with DuckDB SQL for the same rows."""
+"""All queries of the library by name, with DuckDB SQL for the same rows.
+
+Documents stand for source files; conversations for nested spans; events and orders for dated texts; nation, region and part for lexicons.
+The reference implementation of each operator's semantics in SQL is in ORACLES.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import dates, tags, values
+from textloom.operators import frequency, lexicon, numbering, readability, relations, segmentation, spans
+from textloom.sinks import exporters
+from textloom.sources import importers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "frequency_list"
+
+
+def query(sql: str | None = None) -> Callable:
+    def register(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[make.__name__] = make
+        if sql:
+            ORACLES[make.__name__] = sql
+        return make
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.token_table(docs(spark, sf_dir))
+
+
+def sentences_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.segment(docs(spark, sf_dir), "stops")
+
+
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with a sentence, a part of speech, and a tree by rule: eight tokens a sentence, heads as in a heap."""
+    out = tokens_of(spark, sf_dir).withColumn("word", F.lower("word"))
+    place = F.col("idx") % 8
+    pos = F.element_at(F.array(*[F.lit(p) for p in ("VB", "NN", "PP", "NN", "JJ", "AB", "VB")]), ((F.length("word") + F.col("idx")) % 7 + 1).cast("int"))
+    relation = F.element_at(F.array(*[F.lit(r) for r in ("SS", "OO", "RA", "PA", "ET", "AT", "VG", "AA", "TA")]), ((F.length("word") * 5 + F.col("idx")) % 9 + 1).cast("int"))
+    return out.withColumns({
+        "sentence": F.floor(F.col("idx") / 8).cast("int"),
+        "pos": pos,
+        "ref": (place + 1).cast("int"),
+        "head": F.when(place > 0, F.col("idx") - place + F.floor((place - 1) / 2)).cast("int"),
+        "relation": F.when(place == 0, "ROOT").otherwise(relation),
+        "lemmas": F.when(F.length("word") % 2 == 0, F.array(F.concat("word", F.lit("..nn.1")))).otherwise(F.array().cast("array<string>")),
+        "baseforms": F.array("word"),
+    })
+
+
+# The tables above in SQL.
+PIECES = r"""
+    p AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
+        FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+|\s+') AS ps FROM documents)),
+    o AS (SELECT doc_id, i, piece, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS e FROM p),
+    tok AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, CAST(e - length(piece) AS INTEGER) AS start, e AS "end", piece AS word
+        FROM o WHERE NOT regexp_matches(piece, '^\s+$'))"""
+SENTENCES = r"""
+    sp AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
+        FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?]*[.!?]+\s*|[^.!?]+') AS ps FROM documents)),
+    so AS (SELECT doc_id, i, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM sp),
+    st AS (SELECT doc_id, i, CAST(e - length(piece) + length(piece) - length(ltrim(piece, E' \n\t\r')) AS INTEGER) AS start, CAST(e - length(piece) + length(rtrim(piece, E' \n\t\r')) AS INTEGER) AS "end"
+        FROM so WHERE trim(piece, E' \n\t\r') <> ''),
+    sent AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS idx, start, "end" FROM st)"""
+LINES = r"""
+    lp AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(text, E'\n') AS ps FROM documents)),
+    lo AS (SELECT doc_id, i, piece, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM lp),
+    lines AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx,
+        CAST(e - length(ltrim(piece, E' \t\r')) AS INTEGER) AS start, CAST(e - length(piece) + length(rtrim(piece, E' \t\r')) AS INTEGER) AS "end" FROM lo WHERE trim(piece, E' \t\r') <> '')"""
+TAGGED = """
+    tag AS (SELECT doc_id, idx, start, "end", lower(word) AS word, idx // 8 AS sentence, idx % 8 + 1 AS ref,
+        (['VB', 'NN', 'PP', 'NN', 'JJ', 'AB', 'VB'])[(length(word) + idx) % 7 + 1] AS pos,
+        CASE WHEN idx % 8 > 0 THEN idx - idx % 8 + (idx % 8 - 1) // 2 END AS head,
+        CASE WHEN idx % 8 = 0 THEN 'ROOT' ELSE (['SS', 'OO', 'RA', 'PA', 'ET', 'AT', 'VG', 'AA', 'TA'])[(length(word) * 5 + idx) % 9 + 1] END AS relation,
+        CASE WHEN length(word) % 2 = 0 THEN lower(word) || '..nn.1' ELSE lower(word) END AS lemma FROM tok)"""
+
+
+@query(f"WITH {PIECES} SELECT * FROM tok")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_of(spark, sf_dir)
+
+
+@query(f"WITH {SENTENCES} SELECT * FROM sent")
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences_of(spark, sf_dir)
+
+
+@query(f"WITH {LINES} SELECT * FROM lines")
+def paragraphs_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.segment(docs(spark, sf_dir), "line_breaks")
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^ \n\t\r\f\v]+')) AS n FROM documents")
+def whitespace_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.segment(docs(spark, sf_dir), "whitespace").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def careful_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.token_table(docs(spark, sf_dir), "careful_words")
+
+
+@query()
+def trained_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.segment(docs(spark, sf_dir), segmentation.trained_sentences(abbreviations=("ca.", "etc.")))
+
+
+@query()
+def sentences_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that no line break crosses."""
+    own = docs(spark, sf_dir)
+    return segmentation.segment(own, "stops", chunks=segmentation.segment(own, "line_breaks"))
+
+
+@query(f'WITH {PIECES}, {SENTENCES} SELECT t.*, s.idx AS parent_idx FROM tok t LEFT JOIN sent s ON t.doc_id = s.doc_id AND s.start <= t.start AND t."end" <= s."end"')
+def token_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.parents(tokens_of(spark, sf_dir), sentences_of(spark, sf_dir))
+
+
+@query(f'WITH {SENTENCES}, {LINES} SELECT s.*, l.idx AS parent_idx FROM sent s LEFT JOIN lines l ON s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end"')
+def sentence_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linear form of the containment join, for parents that do not overlap."""
+    own = docs(spark, sf_dir)
+    return spans.parents_disjoint(sentences_of(spark, sf_dir), segmentation.segment(own, "line_breaks"))
+
+
+@query(f'WITH {SENTENCES}, {LINES} SELECT s.* FROM sent s WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end")')
+def sentences_across_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.orphans(sentences_of(spark, sf_dir), segmentation.segment(docs(spark, sf_dir), "line_breaks"))
+
+
+@query(f'WITH {SENTENCES}, {LINES} SELECT l.doc_id, l.idx, count(s.idx) AS n_children, min(s.idx) AS first_child FROM lines l LEFT JOIN sent s ON s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end" GROUP BY 1, 2')
+def line_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.children(segmentation.segment(docs(spark, sf_dir), "line_breaks"), sentences_of(spark, sf_dir))
+    return out.select("doc_id", "idx", F.size("children").cast("long").alias("n_children"), F.array_min("children").alias("first_child"))
+
+
+@query(f"""WITH {PIECES}, {SENTENCES}, j AS (SELECT t.*, s.idx AS p FROM tok t LEFT JOIN sent s ON t.doc_id = s.doc_id AND s.start <= t.start AND t."end" <= s."end")
+    SELECT doc_id, idx, start, "end", word, CASE WHEN p IS NULL THEN '' ELSE CAST(row_number() OVER (PARTITION BY doc_id, p ORDER BY start, "end", idx) AS VARCHAR) END AS ref FROM j""")
+def token_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.relative(tokens_of(spark, sf_dir), sentences_of(spark, sf_dir))
+
+
+@query(f"""WITH {SENTENCES}, n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY start, "end") AS r FROM sent)
+    SELECT doc_id, idx, start, "end", 's' || lpad(CAST(r AS VARCHAR), CAST(max(length(CAST(r AS VARCHAR))) OVER (PARTITION BY doc_id) AS INTEGER), '0') AS number FROM n""")
+def sentence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.by_position(sentences_of(spark, sf_dir), prefix="s", zfill=True)
+
+
+@query("""WITH k AS (SELECT o_custkey AS doc_id, o_orderkey AS idx, o_orderpriority AS a FROM orders)
+    SELECT doc_id, idx, a, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY CAST(regexp_extract(a, '^([0-9]+)', 1) AS INTEGER), a) AS VARCHAR) AS number FROM k""")
+def numbers_by_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").alias("a"))
+    return numbering.by_attribute(own, "a")
+
+
+@query(f"""WITH {SENTENCES}, {LINES}, j AS (SELECT s.*, l.idx AS p FROM sent s LEFT JOIN lines l ON s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end")
+    SELECT doc_id, idx, start, "end", CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p IS NULL, CAST(p AS VARCHAR), start, "end", idx) AS VARCHAR) AS number FROM j""")
+def numbers_by_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.by_parent(sentences_of(spark, sf_dir), segmentation.segment(docs(spark, sf_dir), "line_breaks"), "idx")
+
+
+@query()
+def random_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.at_random(sentences_of(spark, sf_dir))
+
+
+@query()
+def shuffled_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.shuffled(sentences_of(spark, sf_dir), "idx")
+
+
+@query()
+def sentence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.span_ids(sentences_of(spark, sf_dir), "sentence")
+
+
+@query()
+def file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.file_ids(docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file")))
+
+
+@query(f"WITH {SENTENCES} SELECT count(*) AS n FROM sent")
+def sentence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.count_chunks(sentences_of(spark, sf_dir))
+
+
+@query(f"""WITH {SENTENCES}, {LINES} SELECT s.*, CASE WHEN l.idx IS NULL THEN '' ELSE CAST(l.start AS VARCHAR) || '-' || CAST(l."end" AS VARCHAR) END AS line
+    FROM sent s LEFT JOIN lines l ON s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end" """)
+def inherited_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = segmentation.segment(docs(spark, sf_dir), "line_breaks")
+    lines = lines.withColumn("as_value", values.span_as_value(F.col("start"), F.col("end")))
+    return spans.inherit(sentences_of(spark, sf_dir), lines, "as_value", "line")
+
+
+@query(f'WITH {SENTENCES} SELECT s.*, substring(d.text, s.start + 1, s."end" - s.start) AS word FROM sent s JOIN documents d USING (doc_id)')
+def sentence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.span_texts(sentences_of(spark, sf_dir), docs(spark, sf_dir))
+
+
+@query(f"""WITH {PIECES}, g AS (SELECT t.*, substring(d.text, t."end" + 1, coalesce(lead(t.start) OVER w, length(d.text)) - t."end") AS gap FROM tok t JOIN documents d USING (doc_id) WINDOW w AS (PARTITION BY t.doc_id ORDER BY t.start)),
+    c AS (SELECT *, CASE WHEN position(E'\\n' IN gap) > 0 THEN regexp_extract(gap, '[^\\n]*$') ELSE '' END AS carried FROM g),
+    h AS (SELECT doc_id, idx, start, "end", word, coalesce(lag(carried) OVER (PARTITION BY doc_id ORDER BY start), '') AS head, left(gap, length(gap) - length(carried)) AS tail FROM c)
+    SELECT doc_id, idx, start, "end", word, replace(replace(replace(head, ' ', '\\s'), E'\\n', '\\n'), E'\\t', '\\t') AS head, replace(replace(replace(tail, ' ', '\\s'), E'\\n', '\\n'), E'\\t', '\\t') AS tail FROM h""")
+def head_and_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.head_tail(tokens_of(spark, sf_dir), docs(spark, sf_dir))
+
+
+@query(f"WITH {PIECES} SELECT word, count(*) AS count FROM tok GROUP BY 1")
+def frequency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.frequency_list(tokens_of(spark, sf_dir), ["word"])
+
+
+@query(f"WITH {PIECES}, {TAGGED} SELECT word, pos, lemma, count(*) AS count FROM tag GROUP BY ALL HAVING count(*) >= 3")
+def frequency_list_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tagged(spark, sf_dir).withColumn("lemma", F.coalesce(F.get("lemmas", F.lit(0)), F.col("word")))
+    return frequency.frequency_list(own, ["word", "pos", "lemma"], cutoff=3)
+
+
+@query(f"WITH {PIECES} SELECT substring(CAST(o_orderdate AS VARCHAR), 1, 7) AS date, word, count(*) AS count FROM tok JOIN orders ON doc_id + 1 = o_orderkey GROUP BY 1, 2")
+def frequency_list_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dated = table(spark, sf_dir, "orders").select((F.col("o_orderkey") - 1).alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM").alias("date"))
+    return frequency.frequency_list(tokens_of(spark, sf_dir).join(dated, "doc_id"), ["date", "word"])
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, c AS (SELECT doc_id, count(*) FILTER (pos <> 'AB') AS w, count(DISTINCT sentence) AS s, count(*) FILTER (pos <> 'AB' AND length(word) > 6) AS l FROM tag GROUP BY 1)
+    SELECT doc_id, CASE WHEN w = 0 THEN CAST('inf' AS DOUBLE) ELSE w / s + 100 * l / w END AS lix FROM c""")
+def lix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readability.lix(tagged(spark, sf_dir), ["doc_id"], "sentence", pos="pos", skipped=("AB",))
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, c AS (SELECT doc_id, count(*) AS n, count(DISTINCT word) AS u FROM tag GROUP BY 1)
+    SELECT doc_id, CASE WHEN n = u THEN CAST('inf' AS DOUBLE) ELSE ln(n) / ln(2 - ln(u) / ln(n)) END AS ovix FROM c""")
+def ovix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readability.ovix(tagged(spark, sf_dir), ["doc_id"])
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, c AS (SELECT doc_id, count(*) FILTER (pos IN ('NN', 'PP', 'PC')) AS n, count(*) FILTER (pos IN ('PN', 'AB', 'VB')) AS v FROM tag GROUP BY 1)
+    SELECT doc_id, CASE WHEN v = 0 THEN CAST('inf' AS DOUBLE) ELSE n / v END AS nominal_ratio FROM c""")
+def nominal_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readability.nominal_ratio(tagged(spark, sf_dir), ["doc_id"], "pos")
+
+
+@query(f"WITH {PIECES}, {TAGGED} SELECT (MAP {{'VB': 'VERB', 'NN': 'NOUN', 'PP': 'ADP', 'JJ': 'ADJ', 'AB': 'ADV'}})[pos] AS upos, count(*) AS n FROM tag GROUP BY 1")
+def universal_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged(spark, sf_dir).groupBy(tags.upos(F.col("pos")).alias("upos")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Case=Nom,Definite=Ind,Gender=Com,Number=Sing' WHEN 1 THEN 'Mood=Ind,Tense=Pres,VerbForm=Fin,Voice=Act' WHEN 2 THEN 'Gender=Neut,Tense=Past,VerbForm=Part' ELSE '' END AS features FROM part""")
+def universal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    msd = F.when(k == 0, "NN.UTR.SIN.IND.NOM").when(k == 1, "VB.PRS.AKT").when(k == 2, "PC.PRF.NEU.-").otherwise("MAD.X")
+    found = tags.features(tags.pos_of(msd), msd)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(found, ",").alias("features"))
+
+
+@query("""SELECT o_orderkey, '<' || o_orderstatus || '>' AS affixed, repeat('*', length(o_orderpriority)) AS anonymised, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderstatus END AS replaced,
+    replace(o_orderpriority, '-', '/') AS found, regexp_replace(o_orderpriority, '([0-9])-(.)', '\\2\\1', 'g') AS by_regex, o_orderstatus || ':' || o_orderpriority AS joined, string_split(o_orderpriority, '-')[2] AS selected,
+    CASE WHEN o_orderstatus = 'O' THEN o_orderpriority ELSE o_orderstatus END AS backed, CASE WHEN o_orderstatus = 'O' THEN 'priority' ELSE 'status' END AS info, 'x' AS constant,
+    CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS mapped FROM orders""")
+def value_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    known = F.when(status == "O", "").otherwise(status)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", values.affixed(status, "<", ">").alias("affixed"), values.anonymised(priority).alias("anonymised"), values.replaced(status, "F", "done").alias("replaced"),
+        values.found_and_replaced(priority, "-", "/").alias("found"), values.regex_replaced(priority, r"([0-9])-(.)", r"\2\1").alias("by_regex"), values.joined(status, priority, separator=":").alias("joined"),
+        values.selected(priority, 1, "-").alias("selected"), values.backed_off(known, priority).alias("backed"), values.backed_off_info(known, priority, "status", "priority").alias("info"),
+        values.constant("x").alias("constant"), values.replaced_list(status, "F O", "filled open").alias("mapped"),
+    )
+
+
+@query("""WITH s AS (SELECT o_custkey, list(o_orderpriority ORDER BY o_orderkey) AS v, list(DISTINCT o_orderstatus ORDER BY o_orderstatus) AS d FROM orders GROUP BY 1)
+    SELECT o_custkey, '|' || array_to_string(v, '|') || '|' AS shown, v[1] AS first, array_to_string(list_sort(list_distinct(list_concat(v, d))), ',') AS merged, len(v) AS size FROM s""")
+def set_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("v"), F.array_sort(F.collect_set("o_orderstatus")).alias("d"))
+    shown = values.set_text(F.col("v"))
+    return own.select("o_custkey", shown.alias("shown"), values.first_of_set(F.col("v")).alias("first"), F.array_join(values.merged_sets(F.col("v"), F.col("d")), ",").alias("merged"), F.size(values.set_values(shown)).cast("long").alias("size"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'b' ELSE 'a' END AS best FROM part")
+def best_of_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = F.array(F.lit("a:0.25"), F.concat(F.lit("b:0."), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("0")))
+    return table(spark, sf_dir, "part").select("p_partkey", values.best_of_set(scored).alias("best"))
+
+
+@query("SELECT p_partkey, printf('%.2f', p_retailprice / 8) AS rounded FROM part")
+def rounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", values.rounded(F.col("p_retailprice") / 8).alias("rounded"))
+
+
+@query("""WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 3 AS k FROM orders)
+    SELECT o_orderkey, strftime(CASE k WHEN 0 THEN d WHEN 1 THEN date_trunc('month', d) ELSE date_trunc('year', d) END, '%Y%m%d') AS date_from,
+        strftime(CASE k WHEN 0 THEN d WHEN 1 THEN last_day(d) ELSE make_date(year(d), 12, 31) END, '%Y%m%d') AS date_to FROM d""")
+def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    written = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.date_format("o_orderdate", "yyyy"))
+    found = dates.date_range(written, None, "%Y-%m-%d|%Y-%m|%Y", "%Y%m%d")
+    return table(spark, sf_dir, "orders").select("o_orderkey", found.alias("r")).select("o_orderkey", "r.date_from", "r.date_to")
+
+
+@query("SELECT min(strftime(o_orderdate, '%Y%m%d')) AS first, max(strftime(o_orderdate, '%Y%m%d')) AS last FROM orders")
+def date_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    return frequency.date_bounds(table(spark, sf_dir, "orders").select(day.alias("date_from"), day.alias("date_to")))
+
+
+@query("""SELECT 'events' AS corpus, strftime(ts, '%Y%m%d') || '000000' AS date_from, strftime(ts, '%Y%m%d') || '235959' AS date_to, count(*) AS tokens FROM events GROUP BY ALL""")
+def timespans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("ts", "yyyyMMdd")
+    return frequency.timespans(table(spark, sf_dir, "events").select(day.alias("date_from"), day.alias("date_to"), F.lit("000000").alias("time_from"), F.lit("235959").alias("time_to")), "events")
+
+
+@query(f"WITH {PIECES}, {TAGGED} SELECT lemma AS lemgram, count(*) AS freq, 'docs' AS corpus FROM tag WHERE length(word) % 2 = 0 GROUP BY 1")
+def lemma_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.set_index(tagged(spark, sf_dir), "lemmas", "docs")
+
+
+@query(f"""WITH {PIECES}, c AS (SELECT lower(word) AS word, count(*) AS n FROM tok GROUP BY 1)
+    SELECT word, n, (n + 0.001) / ((SELECT sum(n) FROM c) + 0.001 * (SELECT count(*) FROM c)) AS probability FROM c""")
+def smoothed_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = tokens_of(spark, sf_dir).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    return frequency.smoothed(counts, "word", "n")
+
+
+EDGES = """
+    e AS (SELECT d.doc_id, d.sentence, h.idx AS h, h.pos AS hp, h.word AS hw, d.relation AS r, d.idx AS d, d.pos AS dp, d.word AS dw FROM tag d JOIN tag h ON d.doc_id = h.doc_id AND d.sentence = h.sentence AND d.head = h.idx),
+    hop AS (SELECT doc_id, h AS at, min_by(struct_pack(i := d, w := dw), d) FILTER (r = 'VG' AND dp = 'VB') AS vg, min_by(struct_pack(i := d, w := dw), d) FILTER (r IN ('PA', 'HD') AND dp = 'NN') AS pn,
+        min_by(struct_pack(i := d, w := dw), d) FILTER (r = 'SS' AND dp = 'HP') AS hp, min_by(struct_pack(i := d, w := dw), d) FILTER (r = 'PA' AND dp IN ('NN', 'PM')) AS pm FROM e GROUP BY 1, 2),
+    m AS (SELECT e.*, a.vg, b.pn, b.hp AS hpw, b.pm,
+        CASE WHEN e.hp = 'VB' AND r = 'SS' AND dp = 'NN' AND a.vg IS NOT NULL THEN 1 WHEN e.hp = 'VB' AND r IN ('SS', 'OO', 'IO', 'OA') AND dp = 'NN' THEN 2 WHEN e.hp = 'VB' AND r IN ('RA', 'TA') AND dp IN ('AB', 'NN') THEN 2
+            WHEN e.hp = 'VB' AND r IN ('RA', 'TA') AND dp = 'PP' AND b.pn IS NOT NULL THEN 4 WHEN e.hp = 'NN' AND r IN ('AT', 'ET') AND dp = 'JJ' THEN 2 WHEN e.hp = 'NN' AND r = 'ET' AND dp = 'VB' AND b.hp IS NOT NULL THEN 6
+            WHEN e.hp = 'NN' AND r = 'ET' AND dp = 'PP' AND b.pm IS NOT NULL THEN 7 WHEN e.hp = 'PP' AND r = 'PA' AND dp = 'NN' THEN 2 WHEN e.hp = 'JJ' AND r = 'AA' AND dp = 'AB' THEN 2 END AS rule
+        FROM e LEFT JOIN hop a ON e.doc_id = a.doc_id AND e.h = a.at LEFT JOIN hop b ON e.doc_id = b.doc_id AND e.d = b.at),
+    rel AS (SELECT doc_id, sentence, CASE WHEN rule = 1 THEN vg.w ELSE hw END AS head, r AS relation, CASE WHEN rule = 4 THEN pn.w WHEN rule = 7 THEN pm.w ELSE dw END AS dep, CASE WHEN rule IN (4, 7) THEN dw WHEN rule = 6 THEN hpw.w ELSE '' END AS extra FROM m WHERE rule IS NOT NULL
+        UNION ALL SELECT doc_id, sentence, word, 'OO', '', '' FROM tag t WHERE pos = 'VB' AND NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = t.doc_id AND e.h = t.idx AND e.r = 'OO'))"""
+
+
+@query(f"WITH {PIECES}, {TAGGED}, {EDGES} SELECT * FROM rel")
+def grammatical_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relations.relations(tagged(spark, sf_dir))
+    return found.select("doc_id", "sentence", F.col("head.word").alias("head"), "relation", F.col("dep.word").alias("dep"), F.coalesce(F.get("extra.baseforms", F.lit(0)), F.lit("")).alias("extra"))
+
+
+@query(f"WITH {PIECES}, {TAGGED}, {EDGES} SELECT doc_id, sentence, h AS head, r AS relation, d AS dep FROM e")
+def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.edges(tagged(spark, sf_dir)).select("doc_id", "sentence", F.col("head.idx").alias("head"), "relation", F.col("dep.idx").alias("dep"))
+
+
+@query()
+def relation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.triples(relations.relations(tagged(spark, sf_dir)))
+
+
+@query()
+def relation_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.relation_counts(relation_triples(spark, sf_dir))["relations"]
+
+
+@query()
+def relation_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.association(relations.relation_counts(relation_triples(spark, sf_dir)))
+
+
+@query("""SELECT c_custkey, c_nationkey, n_name || ';' || r_name AS value FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def nation_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two look-ups after each other."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    lexicon_ = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_nationkey").cast("string").alias("form"), F.concat_ws(";", "n_name", "r_name").alias("value"))
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_nationkey").cast("string").alias("word"))
+    return lexicon.look_up(own, lexicon_).select("c_custkey", "c_nationkey", "value")
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, s AS (SELECT doc_id, idx, word, CASE WHEN length(word) % 3 = 0 THEN length(word) // 3 - 1 END AS score FROM tag)
+    SELECT doc_id, idx, CAST(score AS DOUBLE) AS sentiment_score, CASE WHEN score > 0 THEN 'positive' WHEN score < 0 THEN 'negative' WHEN score = 0 THEN 'neutral' ELSE '' END AS sentiment_label FROM s""")
+def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tagged(spark, sf_dir)
+    known = own.select(F.col("word").alias("sense")).distinct().where(F.length("sense") % 3 == 0).withColumn("score", (F.floor(F.length("sense") / 3) - 1).cast("double"))
+    senses = F.array(F.concat("word", F.lit(":0.9")), F.concat(F.lit("other"), F.lit(":0.1")))
+    return lexicon.sentiment(own.withColumn("senses", senses), known).select("doc_id", "idx", "sentiment_score", "sentiment_label")
+
+
+CLASSED = "cl AS (SELECT doc_id, word, CASE WHEN pos IN ('NN', 'VB', 'JJ', 'AB') THEN 'len' || CAST(length(word) AS VARCHAR) END AS class FROM tag)"
+
+
+def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tagged(spark, sf_dir)
+    known = own.select(F.col("word").alias("sense")).distinct().withColumn("class", F.concat(F.lit("len"), F.length("sense").cast("string")))
+    return lexicon.token_classes(own.withColumn("senses", F.array("word")), known)
+
+
+@query(f"WITH {PIECES}, {TAGGED}, {CLASSED} SELECT class, count(*) AS n FROM cl WHERE class IS NOT NULL GROUP BY 1")
+def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classed(spark, sf_dir).select(F.explode("classes").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, {CLASSED}, f AS (SELECT class, count(*) / (SELECT count(*) FROM cl) AS freq FROM cl WHERE class IS NOT NULL GROUP BY 1),
+    n AS (SELECT doc_id, class, count(*) AS n FROM cl WHERE class IS NOT NULL GROUP BY 1, 2), t AS (SELECT doc_id, count(*) AS total FROM cl GROUP BY 1),
+    d AS (SELECT doc_id, class, n / total / freq AS dominance FROM n JOIN t USING (doc_id) JOIN f USING (class) WHERE n / total / freq >= 1),
+    r AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY dominance DESC) AS place FROM d) SELECT doc_id, class, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
+def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _classed(spark, sf_dir)
+    total = own.count()
+    reference = own.select(F.explode("classes").alias("class")).groupBy("class").agg((F.count("*") / F.lit(total)).alias("freq"))
+    return lexicon.text_classes(own, reference, ["doc_id"]).select("doc_id", "class", "place")
+
+
+@query("""WITH g AS (SELECT lower(n_name) AS k, max_by(n_name || ';' || r_name || ';0;0', n_nationkey) AS place FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
+    s AS (SELECT DISTINCT s_nationkey % 5 AS text, n_name AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+    SELECT CAST(text AS BIGINT) AS text, array_to_string(list(DISTINCT place ORDER BY place), '|') AS places FROM s JOIN g ON lower(trim(name)) = k GROUP BY 1""")
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    gazetteer = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_name").alias("name"), F.col("r_name").alias("country"), F.lit(0).alias("lat"), F.lit(0).alias("lon"), F.col("n_nationkey").alias("population"))
+    names = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select((F.col("s_nationkey") % 5).alias("text"), F.concat(F.lit(" "), "n_name").alias("name"))
+    return lexicon.places(names, gazetteer, ["text"]).select("text", F.array_join("places", "|").alias("places"))
+
+
+@query()
+def multiword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tagged(spark, sf_dir)
+    phrases = spark.createDataFrame([("of the", "of-the"), ("to the", "to-the"), ("in the", "in-the"), ("de la", "de-la"), ("von der", "von-der")], "form string, reading string")
+    return lexicon.multiwords(own, phrases)
+
+
+@query()
+def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = tokens_of(spark, sf_dir).select("word").where("length(word) between 6 and 20")
+    parts = words.groupBy(F.lower("word").alias("part")).agg(F.count("*").alias("n")).where("n > 20 and length(part) between 3 and 6").select("part", F.lit("any").alias("role"), (F.col("n") / 1e6).alias("probability"))
+    return lexicon.compounds(words, parts)
+
+
+@query()
+def lexicon_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("the", "DT.DEF"), ("and", "KN"), ("of", "PP"), ("is", "VB.PRS.AKT")], "form string, msd string")
+    return lexicon.tag_by_lexicon(tokens_of(spark, sf_dir), known).select("doc_id", "idx", "msd")
+
+
+@query()
+def tables_as_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exporters.csv(tagged(spark, sf_dir), ["word", "pos", "ref"], ["sentence"])
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, l AS (SELECT doc_id, sentence, string_agg(word || E'\\t' || pos, E'\\n' ORDER BY idx) AS body FROM (SELECT doc_id, idx, sentence, pos, replace(replace(replace(replace(word, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS word FROM tag) GROUP BY 1, 2)
+    SELECT doc_id, '<text id="' || doc_id || E'">\\n' || string_agg('<sentence id="' || sentence || E'">\\n' || body || E'\\n</sentence>', E'\\n' ORDER BY sentence) || E'\\n</text>\\n' AS content FROM l GROUP BY 1""")
+def vertical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exporters.vrt(tagged(spark, sf_dir), ["word", "pos"])
+
+
+@query()
+def scrambled_vertical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tagged(spark, sf_dir)
+    order = spans.scrambled(own.select("doc_id", F.col("sentence").alias("idx")).distinct()).select(F.col("doc_id").alias("o_doc"), F.col("idx").alias("o_sentence"), "place")
+    return exporters.vrt(own.join(order, (F.col("doc_id") == F.col("o_doc")) & (F.col("sentence") == F.col("o_sentence"))), ["word", "pos"], order="place")
+
+
+@query()
+def conllu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exporters.conllu(tagged(spark, sf_dir), {"ID": "ref", "FORM": "word", "XPOS": "pos", "DEPREL": "relation"})
+
+
+@query()
+def xml_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exporters.xml_pretty(tagged(spark, sf_dir), ["pos", "ref"])
+
+
+@query("SELECT doc_id, '<text id=\"' || doc_id || '\">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || E'</text>\\n' AS content FROM documents")
+def xml_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the token marks taken out again it is the text as it was."""
+    own = exporters.xml_preserved(tokens_of(spark, sf_dir), docs(spark, sf_dir), ["idx"])
+    return own.select("doc_id", F.regexp_replace("content", r"<token[^>]*>|</token>", "").alias("content"))
+
+
+@query("SELECT 'INSERT INTO `n` (`n_nationkey`, `n_name`) VALUES (' || n_nationkey || ', ''' || n_name || ''');' AS statement FROM nation")
+def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exporters.sql_rows(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name"), "n")
+
+
+@query()
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", importers.page_text(F.col("html")).alias("text"))
+
+
+@query()
+def imported_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML made of the documents, read back into elements."""
+    made = exporters.xml_pretty(tagged(spark, sf_dir), ["pos"]).select("doc_id", F.encode("content", "UTF-8").alias("content"))
+    return importers.elements(importers.parsed(made, importers.xml_parser()))
+
+
+@query()
+def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = docs(spark, sf_dir)
+    return spans.events({"line": segmentation.segment(own, "line_breaks"), "sentence": segmentation.segment(own, "stops", chunks=segmentation.segment(own, "line_breaks"))})

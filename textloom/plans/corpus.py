@@ -1,0 +1,165 @@
+"""Annotations by name: a corpus that makes each one from others when it is asked for.
+
+An operator is registered with the annotations that it takes and the one it gives. A corpus resolves a name to the lazy
+DataFrame that its operator makes of theirs, so that only what a target needs is ever planned. Names of classes, such as
+<token>, stand for the annotation that the corpus is set up with.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+from textloom.functions import tags
+from textloom.operators import numbering, segmentation, spans
+
+
+@dataclass(frozen=True)
+class Operator:
+    name: str
+    gives: str
+    takes: tuple[str, ...]
+    make: Callable[..., DataFrame]
+    languages: tuple[str, ...] = ()
+    order: int = 0
+
+
+REGISTRY: dict[str, list[Operator]] = {}
+
+
+def operator(gives: str, takes: tuple[str, ...] = (), languages: tuple[str, ...] = (), order: int = 0) -> Callable:
+    """Register a function from DataFrames to a DataFrame as what makes ``gives``. Of several the one of the lowest order is used."""
+
+    def register(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        REGISTRY.setdefault(gives, []).append(Operator(make.__name__, gives, takes, make, languages, order))
+        return make
+
+    return register
+
+
+@dataclass
+class Corpus:
+    """documents: doc_id and text. classes: what <token> and others stand for. given: annotations that exist already."""
+
+    documents: DataFrame
+    language: str = "swe"
+    classes: dict[str, str] = field(default_factory=dict)
+    given: dict[str, DataFrame] = field(default_factory=dict)
+    options: dict[str, dict] = field(default_factory=dict)
+    _made: dict[str, DataFrame] = field(default_factory=dict)
+
+    CLASSES = {"token": "segment.token", "sentence": "segment.sentence", "paragraph": "segment.paragraph"}
+
+    def name(self, annotation: str) -> str:
+        if annotation.startswith("<") and annotation.endswith(">"):
+            kind = annotation[1:-1]
+            return self.classes.get(kind) or self.CLASSES[kind]
+        return annotation
+
+    def plan(self, annotation: str) -> list[str]:
+        """The annotations that are made for one, in order."""
+        out: list[str] = []
+
+        def visit(name: str, above: tuple[str, ...]) -> None:
+            name = self.name(name)
+            if name in above:
+                raise ValueError(f"{name} needs itself: {' > '.join(above)}")
+            if name in out or name in self.given or name == "documents":
+                return
+            for t in self.chosen(name).takes:
+                visit(t, (*above, name))
+            out.append(name)
+
+        visit(annotation, ())
+        return out
+
+    def chosen(self, name: str) -> Operator:
+        found = [o for o in REGISTRY.get(name, []) if not o.languages or self.language in o.languages]
+        if not found:
+            raise KeyError(f"nothing makes {name} for {self.language}")
+        return min(found, key=lambda o: o.order)
+
+    def __getitem__(self, annotation: str) -> DataFrame:
+        name = self.name(annotation)
+        if name == "documents":
+            return self.documents
+        if name in self.given:
+            return self.given[name]
+        self.plan(name)
+        if name not in self._made:
+            own = self.chosen(name)
+            self._made[name] = own.make(*[self[t] for t in own.takes], **self.options.get(name, {}))
+        return self._made[name]
+
+
+def open_corpus(spark: SparkSession, path: str, **settings: object) -> Corpus:
+    """A corpus from a table of documents."""
+    return Corpus(spark.read.parquet(path).select("doc_id", "text"), **settings)
+
+
+def select_annotations(available: list[str], wanted: list[str]) -> dict[str, str]:
+    """Export names by annotation from a list: "a as b" renames, "not a" leaves out, "..." stands for all others; the last entry of a name counts."""
+    chosen: dict[str, str] = {}
+    left_out = {w[4:].strip() for w in wanted if w.startswith("not ")}
+    for w in wanted:
+        if w == "...":
+            for a in available:
+                chosen.setdefault(a, a)
+        elif not w.startswith("not "):
+            name, _, shown = w.partition(" as ")
+            chosen.pop(name.strip(), None)
+            chosen[name.strip()] = shown.strip() or name.strip()
+    if not any(not w.startswith("not ") for w in wanted):
+        chosen = {a: a for a in available}
+    return {a: s for a, s in chosen.items() if a not in left_out}
+
+
+def export_names(annotations: list[str]) -> dict[str, str]:
+    """Names without their modules (the part before the last full stop) where that leaves them different."""
+    short = {a: a.rpartition(".")[2] for a in annotations}
+    count: dict[str, int] = {}
+    for s in short.values():
+        count[s] = count.get(s, 0) + 1
+    return {a: s if count[s] == 1 else a for a, s in short.items()}
+
+
+@operator("segment.token", ("documents",))
+def tokens(documents: DataFrame, segmenter: str = "words_and_punctuation") -> DataFrame:
+    return segmentation.token_table(documents, segmenter)
+
+
+@operator("segment.sentence", ("documents",))
+def sentences(documents: DataFrame, segmenter: str = "stops") -> DataFrame:
+    return segmentation.segment(documents, segmenter)
+
+
+@operator("segment.paragraph", ("documents",))
+def paragraphs(documents: DataFrame, segmenter: str = "blank_lines") -> DataFrame:
+    return segmentation.segment(documents, segmenter)
+
+
+@operator("misc.sentence_of_token", ("<token>", "<sentence>"))
+def sentence_of_token(token: DataFrame, sentence: DataFrame) -> DataFrame:
+    return spans.parents_disjoint(token, sentence).withColumnRenamed("parent_idx", "sentence")
+
+
+@operator("misc.ref", ("<token>", "<sentence>"))
+def ref(token: DataFrame, sentence: DataFrame) -> DataFrame:
+    return numbering.relative(token, sentence, "ref")
+
+
+@operator("misc.number_position", ("<sentence>",))
+def number_position(sentence: DataFrame) -> DataFrame:
+    return numbering.by_position(sentence)
+
+
+@operator("misc.head_tail", ("<token>", "documents"))
+def head_tail(token: DataFrame, documents: DataFrame) -> DataFrame:
+    return spans.head_tail(token, documents)
+
+
+@operator("misc.upos", ("tagged",), languages=("swe",))
+def upos(tagged: DataFrame) -> DataFrame:
+    return tagged.withColumn("upos", tags.upos(tags.pos_of(tagged["msd"])))
