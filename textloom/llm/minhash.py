@@ -10,9 +10,9 @@ chance of the Jaccard similarity J in small sets too.
 2. Bands of ``rows`` registers are keys. In each band's bucket the classes are paired with one of them, the first by a
    hash that differs by band, so that a group of any size makes a pair for each class and band at most.
 3. Pairs whose collision-corrected estimate is too low by DEVIATIONS are left out; the others are confirmed on the full sets.
-4. Components of the confirmed links. Buckets that now hold several components pair
-   each class with those of other components, and 3. and 4. are run again. A pair of one bucket is thus either
-   examined or already connected; no cap applies.
+4. Components of the confirmed links. In buckets that now hold several components, blocks of members are compared with each
+   other on the full sets, and only links that connect components are passed on; then components are found again. A pair of
+   one bucket is thus either examined or already connected; no cap applies.
 
 Sets are made again from the texts for classes that share a bucket; nothing of all documents goes to the driver. What can
 be lost is a link whose sets agree in no band: with J = 0.85 and 16 bands of 4 about 8 in a million.
@@ -27,6 +27,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ BUCKETS, MANTISSA, REST = 64, 10, 58
 DEVIATIONS = 5.0
 ATTEMPTS = 512
 REMEMBERED = 500_000
+#: Sets in a block of a large bucket; hashes in a product.
+BLOCK, COLUMNS = 384, 4096
 _SOURCE = np.random.default_rng(20).integers(0, BUCKETS, (ATTEMPTS, BUCKETS))
 _FACTORS = np.random.default_rng(21).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _word_hashes: dict[bytes, int] = {}
@@ -171,6 +174,65 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, sketch: DataFrame, threshold:
     return joined(pairs, sets, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(similar, "a long, b long")
 
 
+def block_links(shingles: list[np.ndarray], roots: np.ndarray, side: np.ndarray, threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pairs of similar sets of different roots, as many as connect what all such pairs would.
+
+    side: 0 for sets of the first block, 1 for the second; pairs in one side count only if there is no other. All
+    intersections come from products of 0/1 matrices over the hashes that several sets have.
+    """
+    n, size = len(shingles), np.array([len(s) for s in shingles], np.float64)
+    values, column, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(n), size.astype(int)), times > 1
+    place, use = np.cumsum(shared) - 1, shared[column]
+    row, column = row[use], place[column[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - start] = 1
+        both += part @ part.T
+    similar = threshold[1] * both >= threshold[0] * (size[:, None] + size[None] - both)
+    similar &= roots[:, None] != roots[None]
+    if side.any() and not side.all():
+        similar &= side[:, None] != side[None]
+    group, out = {r: r for r in roots.tolist()}, []
+    for i, j in np.argwhere(np.triu(similar)).tolist():
+        x, y = int(roots[i]), int(roots[j])
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        while group[y] != y:
+            group[y] = group[group[y]]
+            y = group[y]
+        if x != y:
+            group[x] = y
+            out.append((i, j))
+    return out
+
+
+def _links_across(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between the components of each bucket, from (band, key, node, root).
+
+    A bucket's members are dealt into blocks of about BLOCK; a task compares two blocks, so that neither a bucket nor its pairs stand in one place.
+    """
+    size = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = members.join(size, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = own.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "partner"), "j": F.greatest("own", "partner")})
+    # Only pairs of blocks with several components have anything to compare.
+    several = own.groupBy("band", "key", "i", "j").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band", "key", "i", "j")
+    own = own.join(several, ["band", "key", "i", "j"], "left_semi").select("band", "key", "i", "j", "node", "root", (F.col("own") == F.col("j")).cast("int").alias("side"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        node = frame["node"].to_numpy()
+        found = block_links([np.frombuffer(x, np.uint64) for x in frame["shingles"]], frame["root"].to_numpy(), frame["side"].to_numpy(), threshold)
+        pairs = node[np.array(found, np.int64).reshape(-1, 2)]
+        return pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
+
+    return own.join(sets, "node").groupBy("band", "key", "i", "j").applyInPandas(lambda frame: compare(frame), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): a row for each row of ``docs``.
 
@@ -201,10 +263,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band", "key")
     open_ = written(placed.join(mixed, ["band", "key"], "left_semi"), "open-buckets")
     if not open_.isEmpty():
-        other = open_.withColumnsRenamed({"node": "other", "root": "other_root"})
-        more = open_.join(other, ["band", "key"]).where("root < other_root").select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        more = more.join(stars, ["a", "b"], "left_anti")
-        links = links.unionByName(_confirmed(more, sets, sketch, threshold))
+        links = links.unionByName(_links_across(open_, sets, threshold))
         roots = written(connected(links), "roots")
 
     member = full.select("high", "low", "n", "doc_id").distinct().join(classes.select("high", "low", "n", "node"), ["high", "low", "n"])
