@@ -6,9 +6,8 @@ minimiser is a segment: their units, and where they start. Equal windows have eq
 
 1. runs whose minimiser no other run has, nor another place of the text, are left out (no text travels for this);
 2. the segments of the others are cut out of their texts;
-3. where a minimiser has many different segments, only windows whose hash stands in several are kept, and the
-   segments are cut anew from these: a passage in very many texts differs in what surrounds it only, and
-   what surrounds it goes here; what stays is equal, and
+3. where a minimiser has many different segments, ends that no other segment has are cut off: a passage in very many
+   texts differs in what surrounds it only, and what surrounds it goes here; what stays is equal, and
 4. equal segments become one, with the smallest document and their number; segments go to
    shards by minimiser, some BYTES_A_SHARD to a shard.
 
@@ -32,6 +31,11 @@ from textloom.llm.minhash import word_hashes
 #: A minimiser of more different segments than this has them cut anew.
 MANY = 64
 BYTES_A_SHARD = 1 << 20
+#: Shared minimisers are broadcast up to so many, 8 bytes each.
+MOST_BROADCAST = 2_000_000
+#: About so many segments of one minimiser are compared in one task.
+TOGETHER = 512
+_ODD = 0x5851F42D4C957F2D
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -83,22 +87,54 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
-def _runs(docs: DataFrame, windows: Windows) -> DataFrame:
-    """(doc_id, digest, n, kept_sha256, minimisers, starts, counts, twice): a row a document; the SHA-256 is of the whole text's units."""
+def _minimisers(docs: DataFrame, windows: Windows) -> DataFrame:
+    """(doc_id, digest, route, start, n, twice): every run of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 512 << 10):
-            n, sha, own = [], [], []
-            for text in _texts(part.column("text")):
+            own = [windows.runs(windows.symbols(windows.split(text))) for text in _texts(part.column("text"))]
+            row = pa.array(np.repeat(np.arange(len(own)), [len(r[0]) for r in own]))
+            columns = [np.concatenate([r[i] for r in own]).view(np.int64) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("digest").take(row), *map(pa.array, columns)], ["doc_id", "digest", "route", "start", "n", "twice"])
+
+    return docs.mapInArrow(run, "doc_id long, digest long, route long, start long, n long, twice long")
+
+
+RUNS = "array<struct<start: long, n: long, route: long>>"
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("route", pa.int64())]))
+
+
+def _with_shared_runs(docs: DataFrame, windows: Windows, shared: DataFrame) -> DataFrame:
+    """(doc_id, digest, n, kept_sha256, text, runs): a row a document; n units, the SHA-256 of all, and where a run is shared those runs and the text.
+
+    Up to MOST_BROADCAST shared minimisers are sent to all tasks, which find a text's runs once more; beyond that runs and texts are joined.
+    """
+    wide = shared.count() > MOST_BROADCAST
+    if wide:
+        found = _minimisers(docs, windows).join(shared, "route").groupBy(F.col("doc_id").alias("r_doc"), F.col("digest").alias("r_digest")).agg(F.collect_set(F.struct("start", "n", "route")).alias("runs"))
+        docs = docs.join(found, docs["doc_id"].eqNullSafe(found["r_doc"]) & (docs["digest"] == found["r_digest"]), "left").select("doc_id", "digest", "text", "runs")
+    else:
+        known = docs.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow()["route"].to_numpy()))
+        docs = docs.withColumn("runs", F.lit(None).cast(RUNS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 512 << 10):
+            n, sha, kept, runs = [], [], [], part.column("runs").to_pylist()
+            texts = _texts(part.column("text"))
+            for i, text in enumerate(texts):
                 units = windows.split(text)
                 n.append(len(units))
                 sha.append(hashlib.sha256(windows.join(units)).hexdigest())
-                own.append(windows.runs(windows.symbols(units)))
-            offsets = pa.array(np.cumsum([0, *(len(r[0]) for r in own)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[i] for x in own]).view(np.int64))) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(n, pa.int64()), pa.array(sha), *lists], ["doc_id", "digest", "n", "kept_sha256", "minimisers", "starts", "counts", "twice"])
+                if not wide and len(known.value):
+                    route, start, count, _ = windows.runs(windows.symbols(units))
+                    route = route.view(np.int64)
+                    at = np.minimum(np.searchsorted(known.value, route), len(known.value) - 1)
+                    there = np.flatnonzero(known.value[at] == route)
+                    runs[i] = [{"start": a, "n": k, "route": r} for a, k, r in zip(start[there].tolist(), count[there].tolist(), route[there].tolist(), strict=True)]
+                kept.append(text if runs[i] else None)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(n, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()), pa.array([r or None for r in runs], _RUNS)], ["doc_id", "digest", "n", "kept_sha256", "text", "runs"])
 
-    return docs.mapInArrow(run, "doc_id long, digest long, n long, kept_sha256 string, minimisers array<long>, starts array<long>, counts array<long>, twice array<long>")
+    return docs.mapInArrow(run, f"doc_id long, digest long, n long, kept_sha256 string, text binary, runs {RUNS}")
 
 
 SEGMENT = "doc_id long, digest long, start long, route long, content_id binary, content binary"
@@ -123,44 +159,65 @@ def _cut(parts: DataFrame, windows: Windows, source: str = "text", moved: bool =
     return parts.mapInArrow(run, SEGMENT)
 
 
+def _reaches(symbols: list[np.ndarray], places: list[int], routes: list[int], step: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far from its minimiser on each segment is like another one of the same route, and a hash of what is one unit longer.
+
+    step: 1 for to the right, -1 for to the left. The far end has no longer string, and gets 0.
+    """
+    ways = [s[m:] if step > 0 else s[: m + 1][::-1] for s, m in zip(symbols, places, strict=True)]
+    size = np.array([len(w) for w in ways])
+    start = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(start, size)
+    power = np.cumprod(np.append(np.uint64(1), np.full(int(size.max()), _ODD, np.uint64)))
+    total = np.cumsum(np.concatenate(ways) * power[at])
+    before = np.concatenate([np.zeros(1, np.uint64), total])[start]
+    prefix = mix64((total - np.repeat(before, size)) * _B + np.repeat(np.array(routes, np.int64).view(np.uint64), size) + np.uint64(step & 3) + at.astype(np.uint64) * _A)
+    _, which, times = np.unique(prefix, return_inverse=True, return_counts=True)
+    reach = np.add.reduceat((times[which] > 1).astype(np.int64), start)
+    longer = np.where(reach < size, prefix[np.minimum(start + reach, len(prefix) - 1)], np.uint64(0))
+    return reach, longer.view(np.int64)
+
+
 def _cut_anew(segments: DataFrame, windows: Windows) -> DataFrame:
-    """The segments of minimisers with many different ones, cut down to windows that stand in several."""
-    many = written(segments.groupBy("route").agg(F.countDistinct("content_id").alias("different")).where(F.col("different") > MANY).select("route"), "many")
+    """The segments of minimisers with many different ones, without ends that no other segment has.
+
+    What is to the right of the minimiser in a segment is compared with some hundred others of its route in one task; the first string that none of them has goes into
+    a hash, and if no segment anywhere has the same hash no window with that string repeats. The same to the left. Segments that are not alone with theirs stay whole.
+    """
+    different = segments.groupBy("route").agg(F.countDistinct("content_id").alias("different")).where(F.col("different") > MANY)
+    many = written(different.select("route", F.ceil(F.col("different") / TOGETHER).alias("parts")), "many")
     if many.isEmpty():
         return segments
-    hot, others = segments.join(many, "route", "left_semi"), segments.join(many, "route", "left_anti")
+    hot, others = segments.join(many, "route"), segments.join(many, "route", "left_anti")
     again = F.min("doc_id") < F.max("doc_id") if windows.other_documents else F.count("*") > 1
-    contents = hot.groupBy("route", "content_id").agg(F.first("content").alias("content"), F.coalesce(again, F.lit(False)).alias("again"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "content", 256 << 10):
-            route, which, at, hashes, again = [], [], [], [], []
-            for r, c, text, more in zip(part.column("route").to_pylist(), part.column("content_id").to_pylist(), _texts(part.column("content")), part.column("again").to_pylist(), strict=True):
-                h = windows.hashes(windows.symbols(windows.split(text)), windows.length).view(np.int64)
-                hashes.append(h)
-                at.append(np.arange(len(h)))
-                route += [r] * len(h)
-                which += [c] * len(h)
-                again += [more] * len(h)
-            yield pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(which, pa.binary()), pa.array(np.concatenate(at)), pa.array(np.concatenate(hashes)), pa.array(again, pa.bool_())], ["route", "content_id", "at", "hash", "again"])
-
-    each = written(contents.mapInArrow(run, "route long, content_id binary, at long, hash long, again boolean"), "windows")
-    several = each.groupBy("route", "hash").agg(F.count("*").alias("k"), F.max("again").alias("a")).where("k > 1 or a").select("route", "hash")
-    kept = each.join(several, ["route", "hash"], "left_semi").groupBy("route", "content_id").agg(F.array_sort(F.collect_list("at")).alias("at"))
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = []
-            for route, at in zip(batch.column("route").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                p = np.array(at)
-                first = np.flatnonzero(np.concatenate([[True], np.diff(p) > 1]))
-                n = np.diff(np.append(first, len(p)))
-                runs.append([{"start": int(p[f]), "n": int(k), "route": route} for f, k in zip(first, n, strict=True)])
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("route", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("route"), batch.column("content_id"), pa.array(runs, kind)], ["route", "content_id", "runs"])
-
-    kept = kept.mapInArrow(stretches, "route long, content_id binary, runs array<struct<start: long, n: long, route: long>>")
-    parts = hot.join(kept, ["route", "content_id"]).select("doc_id", "digest", F.col("start").alias("base"), "content", "runs")
+    contents = hot.groupBy("route", "content_id").agg(F.first("content").alias("content"), F.first("parts").alias("parts"), F.coalesce(again, F.lit(False)).alias("again"))
+    contents = contents.withColumn("part", F.pmod(F.xxhash64("content_id"), "parts")).repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "route", "part").sortWithinPartitions("route", "part")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "content", 2 << 20):
+            texts = _texts(part.column("content"))
+            symbols = [windows.symbols(windows.split(t)) for t in texts]
+            routes, rows = part.column("route").to_pylist(), []
+            places = [np.flatnonzero(windows.hashes(s, windows.gram).view(np.int64) == r) for s, r in zip(symbols, routes, strict=True)]
+            whole = [len(p) != 1 or g for p, g in zip(places, part.column("again").to_pylist(), strict=True)]
+            first = [int(p[0]) if len(p) else 0 for p in places]
+            right, after = _reaches(symbols, first, routes, 1)
+            left, before = _reaches(symbols, first, routes, -1)
+            for i, s in enumerate(symbols):
+                a, b = (0, len(s)) if whole[i] else (first[i] + 1 - int(left[i]), first[i] + int(right[i]))
+                rows.append((a, b, None if whole[i] or a <= 0 else int(before[i]), None if whole[i] or b >= len(s) else int(after[i]), len(s)))
+            kinds = [pa.int64()] * 5
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("route"), part.column("content_id"), *columns], ["route", "content_id", "a", "b", "before", "after", "size"])
+
+    probes = written(contents.select("route", "content_id", "content", "again").mapInArrow(probe, "route long, content_id binary, a long, b long, before long, after long, size long"), "probes")
+    hashes = probes.select(F.col("before").alias("hash")).unionByName(probes.select(F.col("after").alias("hash"))).where("hash is not null")
+    shared = hashes.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
+    for side, end, far in (("before", "a", F.lit(0).cast("long")), ("after", "b", F.col("size"))):
+        probes = probes.join(shared.withColumnRenamed("hash", side).withColumn("like", F.lit(True)), side, "left").withColumn(end, F.when(F.col("like"), far).otherwise(F.col(end))).drop("like", side)
+    n = F.col("b") - F.col("a") - windows.length + 1
+    runs = probes.where(n > 0).select("route", "content_id", F.array(F.struct(F.col("a").alias("start"), n.alias("n"), "route")).alias("runs"))
+    parts = hot.join(runs, ["route", "content_id"]).select("doc_id", "digest", F.col("start").alias("base"), "content", "runs")
     return others.select("doc_id", "digest", "start", "route", "content_id", "content").unionByName(_cut(parts, windows, "content", moved=True))
 
 
@@ -171,15 +228,13 @@ def removed_repeats(docs: DataFrame, windows: Windows, index: Callable[[list[byt
     windows, (first, after the last, smallest document). With ``other_documents`` an interval counts for larger documents only.
     """
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("digest"), F.col(text_column).cast("string").alias("text"))
-    found = written(_runs(own, windows), "runs")
-    usable = found.where("size(minimisers) > 0" + (" and doc_id is not null" if windows.other_documents else "")).dropDuplicates(["doc_id", "digest"])
-    runs = usable.select("doc_id", "digest", F.explode(F.arrays_zip("minimisers", "starts", "counts", "twice")).alias("r")).select("doc_id", "digest", F.col("r.minimisers").alias("route"), F.col("r.starts").alias("start"), F.col("r.counts").alias("n"), F.col("r.twice").alias("twice"))
+    runs = _minimisers(own.where("doc_id is not null") if windows.other_documents else own, windows)
     again = F.min("doc_id") < F.max("doc_id") if windows.other_documents else (F.count("*") > 1) | (F.max("twice") > 0)
-    shared = runs.groupBy("route").agg(again.alias("again")).where("again").select("route")
-    runs = runs.join(shared, "route").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("start", "n", "route")).alias("runs"))
-    same = own["doc_id"].eqNullSafe(runs["doc_id"]) & (own["digest"] == runs["digest"])
-    texts = own.where(F.octet_length("text") >= windows.length).join(runs, same).select(own["doc_id"], own["digest"], "text", "runs")
-    texts = written(texts.dropDuplicates(["doc_id", "digest"]), "texts")
+    shared = written(runs.groupBy("route").agg(again.alias("again")).where("again").select("route"), "shared")
+    found = written(_with_shared_runs(own, windows, shared), "texts")
+    texts = found.where("runs is not null" + (" and doc_id is not null" if windows.other_documents else "")).select("doc_id", "digest", "text", "runs")
+    if not texts.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():  # equal rows
+        texts = written(texts.dropDuplicates(["doc_id", "digest"]), "texts")
     segments = written(_cut_anew(written(_cut(texts, windows), "segments"), windows), "segments")
 
     different = segments.groupBy("route", "content_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"), F.first("content").alias("content"))

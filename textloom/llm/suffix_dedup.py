@@ -23,28 +23,41 @@ from pyspark.sql import functions as F
 from textloom.llm.segments import Windows, removed_repeats
 
 WINDOW = 200
-TRIGGER, MODULUS = 8, 24
+TRIGGER, MODULUS = 8, 40
 
 
 def ranked(key: np.ndarray) -> np.ndarray:
     """Ranks from 1 on; equal keys have equal ranks."""
-    return np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+    order = np.argsort(key)
+    sorted_ = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return rank
 
 
 def doubled_ranks(symbols: np.ndarray, end: np.ndarray, longest: int) -> np.ndarray:
-    """Ranks of the strings from each place up to its own end; nothing is smaller than anything."""
-    rank, k, at = ranked(symbols), 1, np.arange(len(symbols))
-    while k < longest:
-        after = np.zeros(len(symbols), np.int64)
+    """Ranks of the strings from each place up to its own end, by their first ``longest`` symbols; nothing is smaller than anything.
+
+    As many symbols as fit into a number are sorted at once, then the sorted length is doubled.
+    """
+    n, bits = len(symbols), int(symbols.max() + 1).bit_length()
+    at, key, k = np.arange(n), np.zeros(n, np.int64), 62 // bits
+    for i in range(k):
+        inside = at + i < end
+        key <<= bits
+        key[inside] += symbols[at[inside] + i] + 1
+    rank = ranked(key)
+    while k < longest and rank.max() < n:
+        after = np.zeros(n, np.int64)
         inside = at + k < end
         after[inside] = rank[at[inside] + k]
-        rank = ranked(rank * (len(symbols) + 1) + after)
+        rank = ranked(rank * (n + 1) + after)
         k *= 2
     return rank
 
 
-def parse_order(text: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """The order of all suffixes that start before the last TRIGGER units.
+def parse_order(text: np.ndarray, marks: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
+    """The places ``wanted`` in the order of their suffixes, as far as ``depth`` units tell.
 
     text: units, 0 for end marks; it ends with TRIGGER of them. marks: the first of each TRIGGER end marks.
     """
@@ -68,11 +81,10 @@ def parse_order(text: np.ndarray, marks: np.ndarray) -> np.ndarray:
     dictionary = np.frombuffer(b"".join(numbers), np.uint16).astype(np.int64)
     suffix = doubled_ranks(dictionary, np.repeat(phrase_end, length), int(length.max()))
     by_rank = ranked(suffix[phrase_end - length])[parse]  # the parse in terms of sorted phrases
-    follow = np.append(doubled_ranks(by_rank, np.full(len(parse), len(parse)), len(parse)), 0)
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n - TRIGGER)))
-    at = np.arange(starts[0], n - TRIGGER)
-    inside = suffix[(phrase_end - length)[parse[owner]] + at - starts[owner]]
-    return np.lexsort((follow[owner + 1], inside))
+    follow = np.append(doubled_ranks(by_rank, np.full(len(parse), len(parse)), min(depth, len(parse))), 0)  # a phrase adds one unit at least
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n - TRIGGER)))[wanted]
+    inside = suffix[(phrase_end - length)[parse[owner]] + wanted - starts[owner]]
+    return wanted[np.argsort(inside * (len(parse) + 2) + follow[owner + 1])]
 
 
 def repeated_windows(contents: list[bytes], documents: list[int], times: list[int], length: int = WINDOW) -> list[list[tuple[int, int, int]]]:
@@ -82,9 +94,8 @@ def repeated_windows(contents: list[bytes], documents: list[int], times: list[in
     stop = np.cumsum(size + TRIGGER) - TRIGGER
     text = data.astype(np.int64) + 1
     text[(stop[:, None] + np.arange(TRIGGER)).ravel()] = 0
-    order = parse_order(text, stop)
     room = np.repeat(stop, size + TRIGGER) - np.arange(len(text)) >= length
-    order = order[room[order]]
+    order = parse_order(text, stop, np.flatnonzero(room), length)
     left, right = order[:-1], order[1:]
     chunk = np.zeros(len(data), np.uint64)
     for i in range(8):
@@ -107,6 +118,6 @@ def repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     digest: xxhash64 of the text. kept: the bytes left; null where nothing is removed.
     """
-    windows = Windows(words=False, length=WINDOW, gram=32, other_documents=False)
+    windows = Windows(words=False, length=WINDOW, gram=64, other_documents=False)
     out = removed_repeats(docs, windows, repeated_windows, id_column, text_column)
     return out.select(F.col(id_column), "digest", F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept")
