@@ -293,7 +293,7 @@ def set_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("o_custkey", shown.alias("shown"), values.first_of_set(F.col("v")).alias("first"), F.array_join(values.merged_sets(F.col("v"), F.col("d")), ",").alias("merged"), F.size(values.set_values(shown)).cast("long").alias("size"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN 'b' ELSE 'a' END AS best FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size >= 25 THEN 'b' ELSE 'a' END AS best FROM part")
 def best_of_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = F.array(F.lit("a:0.25"), F.concat(F.lit("b:0."), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("0")))
     return table(spark, sf_dir, "part").select("p_partkey", values.best_of_set(scored).alias("best"))
@@ -427,7 +427,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     gazetteer = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_name").alias("name"), F.col("r_name").alias("country"), F.lit(0).alias("lat"), F.lit(0).alias("lon"), F.col("n_nationkey").alias("population"))
     names = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select((F.col("s_nationkey") % 5).alias("text"), F.concat(F.lit(" "), "n_name").alias("name"))
-    return lexicon.places(names, gazetteer, ["text"]).select("text", F.array_join("places", "|").alias("places"))
+    return lexicon.places(names, gazetteer, ["text"]).select(F.col("text").cast("long").alias("text"), F.array_join("places", "|").alias("places"))
 
 
 @query()

@@ -34,7 +34,7 @@ def csv(tokens: DataFrame, columns: list[str], sentence_attributes: list[str] |
     line = F.concat_ws(delimiter, *[_text(c) for c in columns])
     place = lambda kind, idx: F.struct(F.col("sentence").cast("long"), F.lit(kind), idx)
     lines = tokens.select("doc_id", place(1, F.col("idx").cast("long")).alias("place"), line.alias("line"))
-    sentences = tokens.groupBy("doc_id", "sentence").agg(*[F.first(a).alias(a) for a in sentence_attributes or []])
+    sentences = tokens.groupBy("doc_id", "sentence").agg(F.count("*").alias("n_tokens"), *[F.first(a).alias(a) for a in sentence_attributes or [] if a != "sentence"])
     lines = lines.unionByName(sentences.select("doc_id", place(2, F.lit(0).cast("long")).alias("place"), F.lit("").alias("line")))
     for n, a in enumerate(sentence_attributes or []):
         lines = lines.unionByName(sentences.select("doc_id", place(0, F.lit(n).cast("long")).alias("place"), F.concat(F.lit(f"# sentence.{a} = "), _text(a)).alias("line")))
@@ -47,7 +47,7 @@ def conllu(tokens: DataFrame, fields: dict[str, str | None], sentence_id: str =
     values = [F.when(_text(fields[f]) == "", "_").otherwise(_text(fields[f])) if fields.get(f) else F.lit("_") for f in CONLLU]
     place = lambda kind, idx: F.struct(F.col("sentence").cast("long"), F.lit(kind), idx)
     lines = tokens.select("doc_id", place(1, F.col("idx").cast("long")).alias("place"), F.concat_ws("\t", *values).alias("line"))
-    sentences = tokens.groupBy("doc_id", "sentence").agg(F.first(sentence_id).cast("string").alias("label"))
+    sentences = tokens.groupBy("doc_id", "sentence").agg(F.first(F.col(sentence_id)).cast("string").alias("label"))
     for kind, line in ((0, F.concat(F.lit("# sent_id = "), F.col("label"))), (2, F.lit(""))):
         lines = lines.unionByName(sentences.select("doc_id", place(kind, F.lit(0).cast("long")).alias("place"), line.alias("line")))
     return _together(lines)
