@@ -8,7 +8,7 @@ minimiser is a segment: their units, and where they start. Equal windows have eq
 2. the segments of the others are cut out of their texts;
 3. where a minimiser has many different segments, ends that no other segment has are cut off: a passage in very many
    texts differs in what surrounds it only, and what surrounds it goes here; what stays is equal, and
-4. equal segments become one, with the smallest document and their number; segments go to
+4. equal segments become one, with the smallest document and their number; those of a minimiser with several go to
    shards by minimiser, some BYTES_A_SHARD to a shard.
 
 What is equal is decided by the index that is built for each shard, not by these hashes.
@@ -30,7 +30,7 @@ from textloom.llm.minhash import word_hashes
 
 #: A minimiser of more different segments than this has them cut anew.
 MANY = 64
-BYTES_A_SHARD = 1 << 20
+BYTES_A_SHARD = 1 << 19
 #: Shared minimisers are broadcast up to so many, 8 bytes each.
 MOST_BROADCAST = 2_000_000
 #: About so many segments of one minimiser are compared in one task.
@@ -137,7 +137,7 @@ def _with_shared_runs(docs: DataFrame, windows: Windows, shared: DataFrame) -> D
     return docs.mapInArrow(run, f"doc_id long, digest long, n long, kept_sha256 string, text binary, runs {RUNS}")
 
 
-SEGMENT = "doc_id long, digest long, start long, route long, content_id binary, content binary"
+SEGMENT = "doc_id long, digest long, start long, route long, content_id binary, n long, content binary"
 
 
 def _cut(parts: DataFrame, windows: Windows, source: str = "text", moved: bool = False) -> DataFrame:
@@ -151,18 +151,18 @@ def _cut(parts: DataFrame, windows: Windows, source: str = "text", moved: bool =
                 units = windows.split(text)
                 for r in runs:
                     content = windows.join(units[r["start"] : r["start"] + r["n"] + windows.length - 1])
-                    rows.append((doc, digest, at + r["start"], r["route"], hashlib.blake2b(content, digest_size=16).digest(), content))
+                    rows.append((doc, digest, at + r["start"], r["route"], hashlib.blake2b(content, digest_size=16).digest(), r["n"], content))
             if rows:
-                kinds = [pa.int64()] * 4 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "digest", "start", "route", "content_id", "content"])
+                kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "digest", "start", "route", "content_id", "n", "content"])
 
     return parts.mapInArrow(run, SEGMENT)
 
 
-def _reaches(symbols: list[np.ndarray], places: list[int], routes: list[int], step: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far from its minimiser on each segment is like another one of the same route, and a hash of what is one unit longer.
+def _prefixes(symbols: list[np.ndarray], places: list[int], routes: list[int], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the strings that begin with each segment's minimiser, of all lengths; their first places in the answer, and their numbers.
 
-    step: 1 for to the right, -1 for to the left. The far end has no longer string, and gets 0.
+    step: 1 for to the right, -1 for to the left.
     """
     ways = [s[m:] if step > 0 else s[: m + 1][::-1] for s, m in zip(symbols, places, strict=True)]
     size = np.array([len(w) for w in ways])
@@ -171,18 +171,16 @@ def _reaches(symbols: list[np.ndarray], places: list[int], routes: list[int], st
     power = np.cumprod(np.append(np.uint64(1), np.full(int(size.max()), _ODD, np.uint64)))
     total = np.cumsum(np.concatenate(ways) * power[at])
     before = np.concatenate([np.zeros(1, np.uint64), total])[start]
-    prefix = mix64((total - np.repeat(before, size)) * _B + np.repeat(np.array(routes, np.int64).view(np.uint64), size) + np.uint64(step & 3) + at.astype(np.uint64) * _A)
-    _, which, times = np.unique(prefix, return_inverse=True, return_counts=True)
-    reach = np.add.reduceat((times[which] > 1).astype(np.int64), start)
-    longer = np.where(reach < size, prefix[np.minimum(start + reach, len(prefix) - 1)], np.uint64(0))
-    return reach, longer.view(np.int64)
+    return mix64((total - np.repeat(before, size)) * _B + np.repeat(np.array(routes, np.int64).view(np.uint64), size) + np.uint64(step & 3) + at.astype(np.uint64) * _A), start, size
 
 
 def _cut_anew(segments: DataFrame, windows: Windows) -> DataFrame:
     """The segments of minimisers with many different ones, without ends that no other segment has.
 
-    What is to the right of the minimiser in a segment is compared with some hundred others of its route in one task; the first string that none of them has goes into
-    a hash, and if no segment anywhere has the same hash no window with that string repeats. The same to the left. Segments that are not alone with theirs stay whole.
+    A segment's strings to the right of its minimiser are compared with those of some hundred others of its route in one task. Such a group passes on the strings
+    that several of them have, and of each segment the first string that it has alone. If nothing else anywhere is equal to that string no window
+    with it repeats, and the segment is cut before it. The same to the left. A segment whose string is found elsewhere stays whole; as it may have more strings that
+    another group's segments took to be theirs alone, all its strings are passed on in a second round.
     """
     different = segments.groupBy("route").agg(F.countDistinct("content_id").alias("different")).where(F.col("different") > MANY)
     many = written(different.select("route", F.ceil(F.col("different") / TOGETHER).alias("parts")), "many")
@@ -193,32 +191,61 @@ def _cut_anew(segments: DataFrame, windows: Windows) -> DataFrame:
     contents = hot.groupBy("route", "content_id").agg(F.first("content").alias("content"), F.first("parts").alias("parts"), F.coalesce(again, F.lit(False)).alias("again"))
     contents = contents.withColumn("part", F.pmod(F.xxhash64("content_id"), "parts")).repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "route", "part").sortWithinPartitions("route", "part")
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "content", 2 << 20):
-            texts = _texts(part.column("content"))
-            symbols = [windows.symbols(windows.split(t)) for t in texts]
-            routes, rows = part.column("route").to_pylist(), []
-            places = [np.flatnonzero(windows.hashes(s, windows.gram).view(np.int64) == r) for s, r in zip(symbols, routes, strict=True)]
-            whole = [len(p) != 1 or g for p, g in zip(places, part.column("again").to_pylist(), strict=True)]
-            first = [int(p[0]) if len(p) else 0 for p in places]
-            right, after = _reaches(symbols, first, routes, 1)
-            left, before = _reaches(symbols, first, routes, -1)
-            for i, s in enumerate(symbols):
-                a, b = (0, len(s)) if whole[i] else (first[i] + 1 - int(left[i]), first[i] + int(right[i]))
-                rows.append((a, b, None if whole[i] or a <= 0 else int(before[i]), None if whole[i] or b >= len(s) else int(after[i]), len(s)))
-            kinds = [pa.int64()] * 5
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("route"), part.column("content_id"), *columns], ["route", "content_id", "a", "b", "before", "after", "size"])
+    def symbols_of(part: pa.RecordBatch) -> list[np.ndarray]:
+        return [windows.symbols(windows.split(t)) for t in _texts(part.column("content"))]
+
+    def minimiser(symbols: np.ndarray, route: int) -> np.ndarray:
+        return np.flatnonzero(windows.hashes(symbols, windows.gram).view(np.int64) == route)
 
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "content", 256 << 10):
+            symbols, routes = symbols_of(part), part.column("route").to_pylist()
+            places = [minimiser(s, r) for s, r in zip(symbols, routes, strict=True)]
+            whole = np.array([len(p) != 1 or g for p, g in zip(places, part.column("again").to_pylist(), strict=True)])
+            first, length = np.array([int(p[0]) if len(p) else 0 for p in places]), np.array([len(s) for s in symbols])
+            ends, nodes = {}, []
+            for step in (1, -1):
+                prefix, start, size = _prefixes(symbols, first.tolist(), routes, step)
+                _, which, times = np.unique(prefix, return_inverse=True, return_counts=True)
+                shared = times[which] > 1
+                # The strings of segments that stay whole are passed on too.
+                nodes.append(np.unique(prefix[shared | np.repeat(whole, size)]))
+                reach = np.add.reduceat(shared.astype(np.int64), start)
+                ends[step] = reach, prefix[np.minimum(start + reach, len(prefix) - 1)].view(np.int64), (reach < size) & ~whole
+            a, b = np.where(whole, 0, first + 1 - ends[-1][0]), np.where(whole, length, first + ends[1][0])
+            before, after = (pa.array(ends[s][1], mask=~ends[s][2]) for s in (-1, 1))
+            yield pa.RecordBatch.from_arrays([part.column("route"), part.column("content_id"), pa.array(a), pa.array(b), before, after, pa.array(length)], names)
+            n = np.concatenate(nodes).view(np.int64)
+            nothing = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, pa.nulls(len(n), pa.binary()), nothing, nothing, nothing, pa.array(n), nothing], names)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "content", 512 << 10):
+            symbols, routes = symbols_of(part), part.column("route").to_pylist()
+            first = [int(p[0]) if len(p := minimiser(s, r)) else 0 for s, r in zip(symbols, routes, strict=True)]
+            found = np.concatenate([_prefixes(symbols, first, routes, step)[0] for step in (1, -1)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], ["hash"])
+
+    names = ["route", "content_id", "a", "b", "before", "after", "size"]
     probes = written(contents.select("route", "content_id", "content", "again").mapInArrow(probe, "route long, content_id binary, a long, b long, before long, after long, size long"), "probes")
     hashes = probes.select(F.col("before").alias("hash")).unionByName(probes.select(F.col("after").alias("hash"))).where("hash is not null")
-    shared = hashes.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
-    for side, end, far in (("before", "a", F.lit(0).cast("long")), ("after", "b", F.col("size"))):
-        probes = probes.join(shared.withColumnRenamed("hash", side).withColumn("like", F.lit(True)), side, "left").withColumn(end, F.when(F.col("like"), far).otherwise(F.col(end))).drop("like", side)
+    like = hashes.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
+    probes = probes.where("content_id is not null")
+
+    def widened(probes: DataFrame, like: DataFrame) -> DataFrame:
+        """Segments whose strings are found elsewhere reach to their ends."""
+        for side, end, far in (("before", "a", F.lit(0).cast("long")), ("after", "b", F.col("size"))):
+            found = like.select(F.col("hash").alias(side), F.lit(True).alias("like"))
+            probes = probes.join(found, side, "left").withColumns({end: F.when(F.col("like"), far).otherwise(F.col(end)), "met": F.col("met") | F.coalesce("like", F.lit(False))}).drop("like")
+        return probes
+
+    probes = written(widened(probes.withColumn("met", F.lit(False)), like), "probes")
+    met = hot.select("route", "content_id", "content").join(probes.where("met").select("route", "content_id"), ["route", "content_id"], "left_semi").dropDuplicates(["route", "content_id"])
+    probes = widened(probes, met.mapInArrow(every, "hash long").distinct())
     n = F.col("b") - F.col("a") - windows.length + 1
     runs = probes.where(n > 0).select("route", "content_id", F.array(F.struct(F.col("a").alias("start"), n.alias("n"), "route")).alias("runs"))
     parts = hot.join(runs, ["route", "content_id"]).select("doc_id", "digest", F.col("start").alias("base"), "content", "runs")
-    return others.select("doc_id", "digest", "start", "route", "content_id", "content").unionByName(_cut(parts, windows, "content", moved=True))
+    return others.select("doc_id", "digest", "start", "route", "content_id", "n", "content").unionByName(written(_cut(parts, windows, "content", moved=True), "segments"))
 
 
 def removed_repeats(docs: DataFrame, windows: Windows, index: Callable[[list[bytes], list[int], list[int]], list[list[tuple[int, int, int]]]], id_column: str, text_column: str) -> DataFrame:
@@ -235,9 +262,15 @@ def removed_repeats(docs: DataFrame, windows: Windows, index: Callable[[list[byt
     texts = found.where("runs is not null" + (" and doc_id is not null" if windows.other_documents else "")).select("doc_id", "digest", "text", "runs")
     if not texts.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():  # equal rows
         texts = written(texts.dropDuplicates(["doc_id", "digest"]), "texts")
-    segments = written(_cut_anew(written(_cut(texts, windows), "segments"), windows), "segments")
-
-    different = segments.groupBy("route", "content_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"), F.first("content").alias("content"))
+    segments = _cut_anew(written(_cut(texts, windows), "segments"), windows)
+
+    # A segment with others of its minimiser goes to an index; so does one that stands once, as its own windows may be equal. The rest have nothing to be compared with.
+    stats = written(segments.groupBy("route", "content_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"), F.max("n").alias("n")), "different")
+    alone = F.col("different") == 1 if windows.other_documents else (F.col("different") == 1) & (F.col("times") > 1)
+    compared = written(stats.groupBy("route").agg(F.count("*").alias("different"), F.min("times").alias("times")).where(~alone).select("route"), "compared")
+    near = F.broadcast if compared.count() <= MOST_BROADCAST else (lambda table: table)
+    lone = stats.join(near(compared), "route", "left_anti").select("route", "content_id", F.lit(0).cast("long").alias("first"), F.col("n").alias("last"), F.col("doc").alias("smallest"))
+    different = segments.join(near(compared), "route", "left_semi").groupBy("route", "content_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"), F.first("content").alias("content"))
     spark = docs.sparkSession
     shards = different.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "route").sortWithinPartitions("route", "content_id")
 
@@ -261,7 +294,7 @@ def removed_repeats(docs: DataFrame, windows: Windows, index: Callable[[list[byt
         if held:
             yield answers()
 
-    spans = shards.mapInArrow(search, "route long, content_id binary, first long, last long, smallest long")
+    spans = shards.mapInArrow(search, "route long, content_id binary, first long, last long, smallest long").unionByName(lone)
     hits = segments.select("doc_id", "digest", "start", "route", "content_id").join(spans, ["route", "content_id"])
     if windows.other_documents:
         hits = hits.where("smallest < doc_id")
