@@ -71,10 +71,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float) -
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, size: Column | None = None, weight: Column | None = None, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target, and mix_times: how often the mix holds the row.
 
-    size: the words of a row, counted in its text if not given. weight: its quality weight.
+    size: the words of a row, counted in its text if not given. weight: its quality weight. Columns of ``docs`` whose
+    names begin with mix_ are replaced.
     """
     size = n_words(docs[text_column]) if size is None else size
     weight = quality_weight(docs[text_column]) if weight is None else weight
+    columns = [c for c in docs.columns if not c.startswith("mix_")]
     digest = F.md5(F.coalesce(docs[id_column].cast("string"), F.lit("")))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
     w = F.greatest(F.coalesce(F.nanvl(weight.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_WEIGHT))
@@ -103,7 +105,7 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     rows = keyed.join(near(limits.withColumnRenamed("source", "mix_source")), keyed[source_column].eqNullSafe(F.col("mix_source")))
     here, key = F.struct("mix_range", "mix_part"), F.struct("mix_key", F.col(id_column).alias("id"), "mix_size")
     once = F.coalesce((here < F.col("end")) | (here == F.col("end")) & (F.col("stop").isNull() | (key < F.col("stop"))), F.lit(False))
-    return rows.select(*[keyed[c] for c in docs.columns], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), (F.col("epochs") + once.cast("long")).alias("mix_times"))
+    return rows.select(*[keyed[c] for c in columns], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), (F.col("epochs") + once.cast("long")).alias("mix_times"))
 
 
 def _with(left: DataFrame, right: DataFrame, *on: str, how: str = "inner") -> DataFrame:

@@ -128,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "qua
 
 
 def quality_scores(docs: DataFrame, weights: dict[str, np.ndarray] | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with the column quality_score, the probability of label 1, rounded to six digits."""
+    """``docs`` with the column quality_score, the probability of label 1, rounded to six digits; one of that name is replaced."""
+    docs = docs.drop("quality_score")
     own = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
