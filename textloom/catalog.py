@@ -362,6 +362,13 @@ def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.edges(tagged(spark, sf_dir)).select("doc_id", "sentence", F.col("head.idx").alias("head"), "relation", F.col("dep.idx").alias("dep"))
 
 
+@query(f"""WITH {PIECES}, {TAGGED}, {EDGES}, one AS (SELECT DISTINCT doc_id, sentence, relation, head, dep, extra FROM rel)
+    SELECT relation, count(*) > 0 AS found, count(DISTINCT doc_id) AS n_docs FROM one GROUP BY 1""")
+def relations_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relations.triples(relations.relations(tagged(spark, sf_dir)))
+    return found.groupBy("relation").agg((F.count("*") > 0).alias("found"), F.count_distinct("doc_id").alias("n_docs"))
+
+
 @query()
 def relation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.triples(relations.relations(tagged(spark, sf_dir)))

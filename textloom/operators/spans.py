@@ -47,7 +47,7 @@ def parents_in_order(child: DataFrame, parent: DataFrame) -> DataFrame:
 
     The sweep is made per document: documents must fit in a task.
     """
-    schema = child.withColumn("parent_idx", F.lit(0).cast(dict(parent.dtypes)["idx"])).schema
+    schema = child.withColumn("parent_idx", F.lit(None).cast(dict(parent.dtypes)["idx"])).schema
 
     def sweep(key: tuple, inner: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
         outer = outer.sort_values(["start", "end", "idx"])
