@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom import catalog
 from textloom.functions import dates, tags, values
-from textloom.operators import frequency, lexicon, numbering, readability, relations, segmentation, spans
+from textloom.operators import frequency, lexicon, models, numbering, readability, relations, segmentation, spans
 from textloom.plans import corpus
 from textloom.sinks import exporters
 from textloom.sources import importers
@@ -205,6 +205,21 @@ def test_lexicons(spark):
     assert [(r["first"], r["last"], r["reading"]) for r in lexicon.multiwords(line, phrases).collect()] == [(1, 3, "nyc")]
 
 
+def test_lexicon_builders(spark):
+    xml = """<L><LexicalEntry><Lemma><feat att="writtenForm" val="hund"/><feat att="lemgram" val="hund..nn.1"/><feat att="partOfSpeech" val="nn"/><feat att="inherent" val="u"/></Lemma>
+      <WordForm><feat att="writtenForm" val="hunden"/><feat att="msd" val="sg def nom"/></WordForm><WordForm><feat att="writtenForm" val="hund"/><feat att="msd" val="ci"/></WordForm>
+      <WordForm><feat att="writtenForm" val="varm korv"/><feat att="msd" val="sg"/></WordForm><Sense id="hund..1"/></LexicalEntry><LexicalEntry/></L>"""
+    entries = models.lexicon_entries(spark.createDataFrame([(xml,)], "content string"))
+    tags_ = spark.createDataFrame([("nn", "sg def nom", "NN.UTR.SIN.DEF.NOM")], "pos string, tag string, msd string")
+    assert [tuple(r) for r in models.word_lexicon(entries, tags_).collect()] == [("hunden", "hund..nn.1", "hund", "hund..1", ["NN.UTR.SIN.DEF.NOM"])]
+    assert [tuple(r) for r in models.phrase_lexicon(entries).collect()] == [("varm korv", "hund..nn.1")]
+    assert {r["part"]: r["params"] for r in models.compound_lexicon(entries).collect()}["hund"] == ["ci"]
+    links = spark.createDataFrame([("a", "x", "exactMatch", 1), ("a", "y", "exactMatch", 2), ("a", "z", "other", 3)], "form string, value string, kind string, place int")
+    assert [tuple(r) for r in models.pivot_lexicon(links).collect()] == [("a", "y")]
+    frames = spark.createDataFrame([("fr--Sewing", ["s..1"])], "frame string, senses array<string>")
+    assert [tuple(r) for r in models.frame_lexicon(frames, "fr--").collect()] == [("s..1", "Sewing")]
+
+
 def test_key_chain(spark):
     first = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "9")], "key string, value string")
     assert sorted(tuple(r) for r in spans.chain(first, spark.createDataFrame([("1", "x"), ("2", "y")], "key string, value string"), default="-").collect()) == [("a", "x"), ("b", "y"), ("c", "-")]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import dates, tags, values
-from textloom.operators import frequency, lexicon, numbering, readability, relations, segmentation, spans
+from textloom.operators import frequency, lexicon, models, numbering, readability, relations, segmentation, spans
 from textloom.sinks import exporters
 from textloom.sources import importers
 
@@ -513,3 +513,33 @@ def imported_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = docs(spark, sf_dir)
     return spans.events({"line": segmentation.segment(own, "line_breaks"), "sentence": segmentation.segment(own, "stops", chunks=segmentation.segment(own, "line_breaks"))})
+
+
+@query("""SELECT DISTINCT * FROM (SELECT lower(n_name) AS known_as, n_name AS name, r_name AS country, n_nationkey AS population FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT 'old ' || lower(n_name), n_name, r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0)""")
+def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    cities = nation.join(region, nation["n_regionkey"] == region["r_regionkey"]).select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("r_name").alias("country"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.col("n_nationkey").alias("population"))
+    other = cities.select("id", F.when(F.col("id") % 2 == 0, "en").otherwise("xx").alias("language"), F.concat(F.lit("Old "), "name").alias("other_name"))
+    return models.gazetteer(cities, other, ("en",)).select("known_as", "name", "country", "population")
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, {CLASSED}, n AS (SELECT class, count(*) AS n FROM cl WHERE class IS NOT NULL GROUP BY 1)
+    SELECT class, (n + 0.1) / ((SELECT count(*) FROM cl) + 0.1 * (SELECT count(*) FROM n)) AS freq FROM n""")
+def class_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _classed(spark, sf_dir)
+    return models.class_frequencies(own, own.select(F.explode("classes").alias("class")))
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, n AS (SELECT word, pos AS tag, count(*) AS n FROM tag GROUP BY 1, 2)
+    SELECT word, tag, n, (n + 0.001) / ((SELECT sum(n) FROM n) + 0.001 * (SELECT count(*) FROM n)) AS probability FROM n""")
+def word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.word_model(tagged(spark, sf_dir).select("word", F.concat("pos", F.lit(".X")).alias("msd"), F.lit(1).alias("freq")))
+
+
+@query("""SELECT DISTINCT lower(p_brand) AS form, 'NN.X' AS tags FROM part WHERE p_size <= 25 AND lower(p_brand) NOT IN (SELECT lower(p_brand) FROM part WHERE p_size > 49)
+    UNION SELECT DISTINCT upper(left(p_brand, 1)) || lower(substring(p_brand, 2)), 'NN.X' FROM part WHERE p_size <= 25 AND lower(p_brand) NOT IN (SELECT lower(p_brand) FROM part WHERE p_size > 49)""")
+def tag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumn("form", F.lower("p_brand"))
+    words = part.where("p_size <= 25").select("form", F.array(F.lit("NN.X"), F.lit("NN.-")).alias("tags")).distinct()
+    return models.tag_table(words, part.where("p_size > 49").select("form")).select("form", F.array_join("tags", "|").alias("tags"))
