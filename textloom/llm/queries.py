@@ -111,4 +111,42 @@ ORACLES: dict[str, str] = {
         SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
         FROM s JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)
     """,
+    "op5_fm_index_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), p AS (
+            SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)
+        ), g AS (
+            SELECT DISTINCT p.doc_id, unnest(range(p.i, p.i + 50)) AS i FROM p JOIN (SELECT h, min(doc_id) AS d FROM p GROUP BY h) m USING (h) WHERE m.d < p.doc_id
+        ), u AS (
+            SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w
+        ), k AS (
+            SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.i) AS kept, count(*) AS n FROM u ANTI JOIN g ON u.doc_id = g.doc_id AND u.i = g.i GROUP BY 1
+        )
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+    """,
+    "op9_source_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                1 - exp(ln((CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+                    / greatest(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^A-Za-z ]+', '', 'g')) / length(text) ELSE 0 END, 0.05)) AS k
+            FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0 * sum(size) AS cap, ([3.0, 1.0, 2.0])[(row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % 3 + 1] AS w FROM d GROUP BY 1
+        ), l AS (
+            SELECT *, row_number() OVER o AS place,
+                (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+            FROM s WINDOW o AS (ORDER BY cap / w, source IS NULL, source)
+        ), t AS (
+            SELECT source, source_size, least(cap, w * (SELECT arg_min(level, place) FROM l WHERE level * w <= cap)) AS target FROM l
+        ), e AS (
+            SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t
+        ), b AS (
+            SELECT d.doc_id, d.size, d.k, e.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+            FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+        )
+        SELECT doc_id, size, source_size, target,
+            CAST(size * (epochs + CASE WHEN bool_or(before + size / 2 > target - epochs * source_size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) THEN 0 ELSE 1 END) AS BIGINT) AS taken
+        FROM b
+    """,
 }
