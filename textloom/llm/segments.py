@@ -29,7 +29,7 @@ from textloom.llm.common import mix64, raw, slices, sliding_min, written
 from textloom.llm.minhash import word_hashes
 
 #: A minimiser of more different segments than this has them cut anew.
-MANY = 64
+MANY = 1024
 BYTES_A_SHARD = 1 << 19
 #: Shared minimisers are broadcast up to so many, 8 bytes each.
 MOST_BROADCAST = 2_000_000
