@@ -35,13 +35,18 @@ def test_schemas(kept):
         assert df.dtypes == kept[0].dtypes
 
 
-def test_filter_drops_junk_and_keeps_clean_documents(spark, kept):
-    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    before, after = rows(kept[0]), rows(kept[1])
+def test_filter_drops_junk_and_keeps_clean_documents(spark):
+    """On the larger sf0.01: the smallest tables have a handful of junk documents to learn from."""
+    import corpus_pipeline
+
+    sf = SF.replace("0.001", "0.01")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before, after = rows(docs), rows(corpus_pipeline.quality_filter(spark, docs, sf))
     good = [d for d in before if labels.get(d) == 1]
     bad = [d for d in before if labels.get(d) == 0]
     assert sum(d in after for d in good) >= 0.97 * len(good)
-    assert sum(d not in after for d in bad) >= 0.7 * len(bad)
+    assert sum(d not in after for d in bad) >= 0.8 * len(bad)
 
 
 def test_one_of_each_group_stays(kept):
