@@ -97,22 +97,21 @@ def head_tail(tokens: DataFrame, docs: DataFrame, longest: int | None = None) ->
 
     What follows a token up to the last line break of the gap is its tail; the rest is the next token's head.
     """
-    text = docs.select(F.col("doc_id").alias("t_doc"), "text")
-    by_place = Window.partitionBy("doc_id").orderBy("start", "end", "idx")
-    out = tokens.join(text, F.col("doc_id") == F.col("t_doc"))
-    following = F.coalesce(F.lead("start").over(by_place), F.length("text"))
-    gap = F.when(following > F.col("end"), F.col("text").substr(F.col("end") + 1, following - F.col("end"))).otherwise("")
-    out = out.withColumn("gap", gap)
-    rest = F.locate("\n", F.reverse("gap"))
-    out = out.withColumn("carried", F.when(rest > 1, F.expr("right(gap, locate('\n', reverse(gap)) - 1)")).otherwise(""))
-    out = out.withColumn("tail", F.expr("left(gap, length(gap) - length(carried))"))
-    out = out.withColumn("head", F.coalesce(F.lag("carried").over(by_place), F.lit("")))
+    lists = tokens.groupBy(F.col("doc_id").alias("t_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "idx"))).alias("spans"))
+    own = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("t_doc")).select("t_doc", "text", "spans")
+    following = lambda i: F.coalesce(F.get("spans", i + 1)["start"], F.length("text"))
+    gap = lambda s, i: F.when(following(i) > s["end"], F.col("text").substr(s["end"] + 1, following(i) - s["end"])).otherwise("")
+    own = own.select("t_doc", F.transform("spans", lambda s, i: F.struct(s["idx"].alias("idx"), gap(s, i).alias("gap"))).alias("gaps"))
+    # What stands after the gap's last line break goes to the next token.
+    own = own.select("t_doc", F.transform("gaps", lambda g: F.struct(g["idx"].alias("idx"), g["gap"].alias("gap"), F.when(F.contains(g["gap"], F.lit("\n")), F.substring_index(g["gap"], "\n", -1)).otherwise("").alias("carried"))).alias("gaps"))
+    head = lambda i: F.when(i > 0, F.get("gaps", i - 1)["carried"]).otherwise("")
+    own = own.select("t_doc", F.explode(F.transform("gaps", lambda g, i: F.struct(g["idx"].alias("t_idx"), head(i).alias("head"), g["gap"].substr(F.lit(1), F.length(g["gap"]) - F.length(g["carried"])).alias("tail")))).alias("g")).select("t_doc", "g.*")
     for name in ("head", "tail"):
         kept = F.col(name) if longest is None else F.substring(name, 1, longest)
         for plain, written in ((" ", "\\s"), ("\n", "\\n"), ("\t", "\\t")):
             kept = F.replace(kept, F.lit(plain), F.lit(written))
-        out = out.withColumn(name, kept)
-    return out.select(*tokens.columns, "head", "tail")
+        own = own.withColumn(name, kept)
+    return tokens.join(own, (F.col("doc_id") == F.col("t_doc")) & (F.col("idx") == F.col("t_idx"))).select(*tokens.columns, "head", "tail")
 
 
 def merged(tables: dict[str, DataFrame]) -> DataFrame:

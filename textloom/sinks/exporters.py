@@ -84,12 +84,12 @@ def xml_preserved(tokens: DataFrame, docs: DataFrame, columns: list[str]) -> Dat
     """XML that keeps the text's white space: token elements in the running text. tokens: with start and end."""
     attributes = [F.when(_text(c) != "", F.concat(F.lit(f' {c}="'), _xml(_text(c)), F.lit('"'))).otherwise("") for c in columns]
     spans = tokens.groupBy(F.col("doc_id").alias("s_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.concat(F.lit("<token"), *attributes, F.lit(">")).alias("open")))).alias("spans"))
-    out = docs.join(spans, F.col("doc_id") == F.col("s_doc"), "left").withColumn("spans", F.coalesce("spans", F.filter("spans", lambda s: F.lit(False))))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    out = docs.join(spans, F.col("doc_id") == F.col("s_doc"), "left")
     piece = lambda a, b: _xml(F.col("text").substr(a + 1, b - a))
-    done = F.aggregate("spans", first, lambda s, x: F.struct(x["end"].alias("at"), F.concat(s["parts"], F.array(piece(s["at"], x["start"]), x["open"], piece(x["start"], x["end"]), F.lit("</token>"))).alias("parts")))
-    out = out.select("doc_id", "text", done.alias("done"))
-    body = F.when(F.col("done").isNull(), _xml(F.col("text"))).otherwise(F.concat(F.array_join("done.parts", ""), _xml(F.expr("substring(text, done.at + 1)"))))
+    before = lambda i: F.when(i > 0, F.get("spans", i - 1)["end"]).otherwise(0)
+    parts = F.transform("spans", lambda x, i: F.concat(piece(before(i), x["start"]), x["open"], piece(x["start"], x["end"]), F.lit("</token>")))
+    rest = piece(F.coalesce(F.element_at("spans", -1)["end"], F.lit(0)), F.length("text"))
+    body = F.when(F.col("spans").isNull(), _xml(F.col("text"))).otherwise(F.concat(F.array_join(parts, ""), rest))
     return out.select("doc_id", F.concat(F.lit('<text id="'), _xml(F.col("doc_id").cast("string")), F.lit('">'), body, F.lit("</text>\n")).alias("content"))
 
 
