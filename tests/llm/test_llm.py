@@ -498,3 +498,27 @@ def test_language_model_with_rare_words_joined(docs, monkeypatch):
     monkeypatch.setattr(lm, "KNOWN", 20)
     got = {(r["doc_id"], r["n_tokens"]): (r["n_known"], round(r["base_score"], 6)) for r in lm.lm_scores(docs, F.lit(False)).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("contexts", [1 << 15, 40, 0])
+def test_language_model_keeps_all_contexts(spark, monkeypatch, contexts):
+    """Every counted context counts, whatever the size of the training texts and whichever contexts are broadcast."""
+    monkeypatch.setattr(lm, "CONTEXTS", contexts)
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(900))) for i in range(24)] + [(30, "rare qzx qzy"), (31, "qzx QZw é new"), (32, ""), (33, None)]
+    held = {20, 21, 31}
+    log10 = _ppm([(t or "").lower().encode() for i, t in rows if i not in held])
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id").isin(*held)).collect()}
+    assert got == {i: pytest.approx(log10((t or "").lower().encode()), rel=1e-5, abs=1e-4) for i, t in rows}
+
+
+def test_language_model_of_all_bytes(spark, monkeypatch):
+    """Contexts after which every byte was seen have nothing to escape to; without training all bytes are alike."""
+    monkeypatch.setattr(lm, "CONTEXTS", 0)
+    rng = random.Random(9)
+    rows = [(i, "".join(chr(rng.choice([rng.randrange(128), rng.randrange(0x800), 0x4E00 + rng.randrange(99)])) for _ in range(4000)).replace("İ", "")) for i in range(4)]
+    lower = lambda t: t.encode().lower()
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    log10 = _ppm([lower(t) for i, t in rows if i])
+    assert {r["doc_id"]: r["score"] for r in lm.lm_scores(table, F.col("doc_id") == 0).collect()} == {i: pytest.approx(log10(lower(t)), rel=1e-5) for i, t in rows}
+    assert lm.lm_scores(table.where("doc_id = 1"), F.lit(True)).first()["score"] == pytest.approx(-len(rows[1][1].encode()) * math.log10(256))
