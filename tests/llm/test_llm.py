@@ -522,3 +522,23 @@ def test_language_model_of_all_bytes(spark, monkeypatch):
     log10 = _ppm([lower(t) for i, t in rows if i])
     assert {r["doc_id"]: r["score"] for r in lm.lm_scores(table, F.col("doc_id") == 0).collect()} == {i: pytest.approx(log10(lower(t)), rel=1e-5) for i, t in rows}
     assert lm.lm_scores(table.where("doc_id = 1"), F.lit(True)).first()["score"] == pytest.approx(-len(rows[1][1].encode()) * math.log10(256))
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_hot_minimiser_twice_in_a_segment(spark, monkeypatch, words):
+    """A line that stands twice close together in one document and once in another, before the same passage."""
+    monkeypatch.setattr(segments, "MANY", 1)
+    monkeypatch.setattr(segments, "TOGETHER", 3)
+    rng = random.Random(12)
+    some = lambda n: " ".join("%x" % rng.randrange(1 << 28) for _ in range(n))
+    rows = []
+    for i in range(150):
+        line, after = some(8 if words else 9), some(60)
+        rows += [(2 * i, f"{some(60)} {line} a b c {line} {after}", "x"), (2 * i + 1, f"{some(60)} other c {line} {after}", "x")]
+    rows += [(1000, "y" * 6000, "x"), (1001, "z " + "y" * 5000 + " z", "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    if words:
+        expected, got = _without_repeats(True, 50, rows, True), fm_dedup.substring_dedup(table).withColumn("n_spans", F.lit(0)).withColumnRenamed("n_words", "n")
+    else:
+        expected, got = _without_repeats(False, 200, rows, False), suffix_dedup.repeated_bytes(table).withColumnRenamed("n_bytes", "n")
+    assert {r["doc_id"]: (r["n"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == {i: tuple(expected[i, t][k] for k in (0, 1, 3)) for i, t, _ in rows}

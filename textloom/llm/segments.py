@@ -197,6 +197,24 @@ def _cut_anew(segments: DataFrame, windows: Windows) -> DataFrame:
     def minimiser(symbols: np.ndarray, route: int) -> np.ndarray:
         return np.flatnonzero(windows.hashes(symbols, windows.gram).view(np.int64) == route)
 
+    def places_of(symbols: np.ndarray, route: int, step: int) -> np.ndarray:
+        """Every place of the minimiser; of those that have the same string of a window's length only one, so that periodic segments have few."""
+        places = minimiser(symbols, route)
+        if len(places) < 2:
+            return places
+        begin = places if step > 0 else places - windows.length + 1
+        inside = (begin >= 0) & (begin <= len(symbols) - windows.length)
+        first = np.unique(windows.hashes(symbols, windows.length)[begin[inside]], return_index=True)[1]
+        return np.concatenate([places[~inside], places[inside][first]])
+
+    def strings(symbols: list[np.ndarray], routes: list[int], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """_prefixes from every place of the minimiser, of a window's length at most, and the first entry of each segment."""
+        places = [places_of(s, r, step) for s, r in zip(symbols, routes, strict=True)]
+        cut = [(s[p : p + windows.length], 0) if step > 0 else (s[max(0, p + 1 - windows.length) : p + 1], min(p, windows.length - 1)) for s, own in zip(symbols, places, strict=True) for p in own.tolist()]
+        number = np.array([len(own) for own in places])
+        prefix, start, size = _prefixes([c for c, _ in cut], [m for _, m in cut], np.repeat(routes, number).tolist(), step)
+        return prefix, start, size, np.cumsum(number) - number
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "content", 256 << 10):
             symbols, routes = symbols_of(part), part.column("route").to_pylist()
@@ -205,12 +223,12 @@ def _cut_anew(segments: DataFrame, windows: Windows) -> DataFrame:
             first, length = np.array([int(p[0]) if len(p) else 0 for p in places]), np.array([len(s) for s in symbols])
             ends, nodes = {}, []
             for step in (1, -1):
-                prefix, start, size = _prefixes(symbols, first.tolist(), routes, step)
+                prefix, start, size, own = strings(symbols, routes, step)
                 _, which, times = np.unique(prefix, return_inverse=True, return_counts=True)
                 shared = times[which] > 1
                 # The strings of segments that stay whole are passed on too.
-                nodes.append(np.unique(prefix[shared | np.repeat(whole, size)]))
-                reach = np.add.reduceat(shared.astype(np.int64), start)
+                nodes.append(np.unique(prefix[shared | np.repeat(np.repeat(whole, np.diff(np.append(own, len(size)))), size)]))
+                reach, start, size = np.add.reduceat(shared.astype(np.int64), start)[own], start[own], size[own]
                 ends[step] = reach, prefix[np.minimum(start + reach, len(prefix) - 1)].view(np.int64), (reach < size) & ~whole
             a, b = np.where(whole, 0, first + 1 - ends[-1][0]), np.where(whole, length, first + ends[1][0])
             before, after = (pa.array(ends[s][1], mask=~ends[s][2]) for s in (-1, 1))
@@ -222,8 +240,7 @@ def _cut_anew(segments: DataFrame, windows: Windows) -> DataFrame:
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "content", 512 << 10):
             symbols, routes = symbols_of(part), part.column("route").to_pylist()
-            first = [int(p[0]) if len(p := minimiser(s, r)) else 0 for s, r in zip(symbols, routes, strict=True)]
-            found = np.concatenate([_prefixes(symbols, first, routes, step)[0] for step in (1, -1)])
+            found = np.concatenate([strings(symbols, routes, step)[0] for step in (1, -1)])
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], ["hash"])
 
     names = ["route", "content_id", "a", "b", "before", "after", "size"]
