@@ -542,3 +542,20 @@ def test_hot_minimiser_twice_in_a_segment(spark, monkeypatch, words):
     else:
         expected, got = _without_repeats(False, 200, rows, False), suffix_dedup.repeated_bytes(table).withColumnRenamed("n_bytes", "n")
     assert {r["doc_id"]: (r["n"], r["n_removed"], r["kept_sha256"]) for r in got.collect()} == {i: tuple(expected[i, t][k] for k in (0, 1, 3)) for i, t, _ in rows}
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_minimisers_of_many_bytes(docs, monkeypatch, words):
+    """No index is given more of one minimiser than BYTES_A_ROUTE; what is found is the same."""
+    monkeypatch.setattr(segments, "BYTES_A_ROUTE", 1000)
+    monkeypatch.setattr(segments, "BYTES_A_SHARD", 1)
+    windows = segments.Windows(words, *((50, 8, True) if words else (200, 64, False)))
+    index = fm_dedup.repeated_windows if words else suffix_dedup.repeated_windows
+
+    def bounded(contents, *others):
+        assert sum(map(len, contents)) <= 1000
+        return index(contents, *others)
+
+    expected = _without_repeats(words, windows.length, list(dict.fromkeys(ROWS)), words)
+    want = Counter((i, *(expected[i, t][k] for k in (0, 1, 3))) for i, t, _ in ROWS)
+    assert multiset(segments.removed_repeats(docs, windows, bounded, "doc_id", "text"), "doc_id", "n", "n_removed", "kept_sha256") == want

@@ -11,7 +11,8 @@ minimiser is a segment: their units, and where they start. Equal windows have eq
 4. equal segments become one, with the smallest document and their number; those of a minimiser with several go to
    shards by minimiser, some BYTES_A_SHARD to a shard.
 
-What is equal is decided by the index that is built for each shard, not by these hashes.
+What is equal is decided by the index that is built for each shard, not by these hashes. A minimiser whose different segments
+have more than BYTES_A_ROUTE is too much for one task: its windows are compared one by one instead, by digests of 128 bits, as equal segments are.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from textloom.llm.minhash import word_hashes
 #: A minimiser of more different segments than this has them cut anew.
 MANY = 1024
 BYTES_A_SHARD = 1 << 19
+#: Up to so many bytes, the different segments of one minimiser go to one index.
+BYTES_A_ROUTE = 4 << 20
 #: Shared minimisers are broadcast up to so many, 8 bytes each.
 MOST_BROADCAST = 2_000_000
 #: About so many segments of one minimiser are compared in one task.
@@ -265,6 +268,28 @@ def _cut_anew(segments: DataFrame, windows: Windows) -> DataFrame:
     return others.select("doc_id", "digest", "start", "route", "content_id", "n", "content").unionByName(written(_cut(parts, windows, "content", moved=True), "segments"))
 
 
+def _by_windows(contents: DataFrame, windows: Windows) -> DataFrame:
+    """(route, content_id, first, last, smallest) of each repeated window of (route, content_id, doc, times, content), without an index."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "content", 32 << 10):
+            ids, at, first = [], [], []
+            for i, text in enumerate(_texts(part.column("content"))):
+                units = windows.split(text)
+                for p in range(len(units) - windows.length + 1):
+                    ids.append(hashlib.blake2b(windows.join(units[p : p + windows.length]), digest_size=16).digest())
+                    at.append(i)
+                    first.append(p)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *(part.column(c).take(rows) for c in ("route", "content_id", "doc", "times")), pa.array(first, pa.int64())], ["window", "route", "content_id", "doc", "times", "first"])
+
+    own = written(contents.mapInArrow(cut, "window binary, route long, content_id binary, doc long, times long, first long"), "windows")
+    met = own.groupBy("window").agg(F.min("doc").alias("smallest"), F.sum("times").alias("times"))
+    # A window of one segment only may still be in several documents.
+    met = met if windows.other_documents else met.where("times > 1")
+    return own.select("window", "route", "content_id", "first").join(met.select("window", "smallest"), "window").select("route", "content_id", "first", (F.col("first") + 1).alias("last"), "smallest")
+
+
 def removed_repeats(docs: DataFrame, windows: Windows, index: Callable[[list[bytes], list[int], list[int]], list[list[tuple[int, int, int]]]], id_column: str, text_column: str) -> DataFrame:
     """(doc_id, n, n_removed, n_spans, kept_sha256): a row for each row of ``docs``.
 
@@ -282,12 +307,16 @@ def removed_repeats(docs: DataFrame, windows: Windows, index: Callable[[list[byt
     segments = _cut_anew(written(_cut(texts, windows), "segments"), windows)
 
     # A segment with others of its minimiser goes to an index; so does one that stands once, as its own windows may be equal. The rest have nothing to be compared with.
-    stats = written(segments.groupBy("route", "content_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"), F.max("n").alias("n")), "different")
+    stats = written(segments.groupBy("route", "content_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"), F.max("n").alias("n"), F.max(F.length("content")).alias("size")), "different")
     alone = F.col("different") == 1 if windows.other_documents else (F.col("different") == 1) & (F.col("times") > 1)
-    compared = written(stats.groupBy("route").agg(F.count("*").alias("different"), F.min("times").alias("times")).where(~alone).select("route"), "compared")
+    compared = written(stats.groupBy("route").agg(F.count("*").alias("different"), F.min("times").alias("times"), F.sum("size").alias("size")).where(~alone).select("route", (F.col("size") > BYTES_A_ROUTE).alias("wide")), "compared")
     near = F.broadcast if compared.count() <= MOST_BROADCAST else (lambda table: table)
-    lone = stats.join(near(compared), "route", "left_anti").select("route", "content_id", F.lit(0).cast("long").alias("first"), F.col("n").alias("last"), F.col("doc").alias("smallest"))
-    different = segments.join(near(compared), "route", "left_semi").groupBy("route", "content_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"), F.first("content").alias("content"))
+    lone = stats.join(near(compared.select("route")), "route", "left_anti").select("route", "content_id", F.lit(0).cast("long").alias("first"), F.col("n").alias("last"), F.col("doc").alias("smallest"))
+
+    def contents(routes: DataFrame) -> DataFrame:
+        return segments.join(near(routes.select("route")), "route", "left_semi").groupBy("route", "content_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"), F.first("content").alias("content"))
+
+    different = contents(compared.where("not wide"))
     spark = docs.sparkSession
     shards = different.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "route").sortWithinPartitions("route", "content_id")
 
@@ -312,6 +341,8 @@ def removed_repeats(docs: DataFrame, windows: Windows, index: Callable[[list[byt
             yield answers()
 
     spans = shards.mapInArrow(search, "route long, content_id binary, first long, last long, smallest long").unionByName(lone)
+    if not (wide := compared.where("wide")).isEmpty():
+        spans = spans.unionByName(_by_windows(contents(wide), windows))
     hits = segments.select("doc_id", "digest", "start", "route", "content_id").join(spans, ["route", "content_id"])
     if windows.other_documents:
         hits = hits.where("smallest < doc_id")
