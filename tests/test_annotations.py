@@ -293,3 +293,31 @@ def test_catalogue_against_sql(spark, name):
     assert sorted(result.columns) == columns
     want = db.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({catalog.ORACLES[name]})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*columns).collect())
+
+
+def test_compounds_of_all_tokens(spark, tmp_path):
+    """The query splits every word by every word, whatever their lengths and counts."""
+    text = "at ut bok utat hund hundbok bibliotek bibliotekhund universitet universitetbibliotekbok glass kål skål glasskål glasskål bokbokbok"
+    (tmp_path / "documents.parquet").mkdir()
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    tokens = text.split()
+    count = {w: tokens.count(w) for w in tokens}
+
+    def splits(word, at=0):
+        if at >= len(word):
+            yield 1.0, ()
+        for b in range(at + 2, len(word) + 1):
+            part = word[at:b]
+            if part in count and part != word:
+                for back in (0, 1) if b < len(word) and part[-1] == part[-2] and part[-1] in "bcdfghjklmnpqrstvwxz" else (0,):
+                    for p, rest in splits(word, b - back):
+                        yield p * count[part] / 1e6, (part, *rest)
+
+    want = {}
+    for word in count:
+        found = [s for s in splits(word) if 2 <= len(s[1]) <= 4]
+        if found and len(word) >= 4:
+            p, parts = min(found, key=lambda s: (len(s[1]), -s[0], s[1]))
+            want[word] = (list(parts), pytest.approx(p))
+    assert {"utat", "universitetbibliotekbok", "hundbok"} <= set(want)
+    assert {r["word"]: (r["parts"], r["score"]) for r in catalog.compounds(spark, str(tmp_path)).collect()} == want

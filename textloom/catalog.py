@@ -446,8 +446,8 @@ def multiword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = tokens_of(spark, sf_dir).select("word").where("length(word) between 6 and 20")
-    parts = words.groupBy(F.lower("word").alias("part")).agg(F.count("*").alias("n")).where("n > 20 and length(part) between 3 and 6").select("part", F.lit("any").alias("role"), (F.col("n") / 1e6).alias("probability"))
+    words = tokens_of(spark, sf_dir).select("word")
+    parts = words.groupBy(F.lower("word").alias("part")).agg(F.count("*").alias("n")).select("part", F.lit("any").alias("role"), (F.col("n") / 1e6).alias("probability"))
     return lexicon.compounds(words, parts)
 
 

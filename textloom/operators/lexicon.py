@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions.values import reading_precision
 
+#: The reference analyses no longer words.
+LONGEST_COMPOUND = 75
+
 
 def look_up(tokens: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
     """tokens joined with the lexicon's rows for the word, and, if it is not in lower case, with those for its lower-cased form after them.
@@ -139,10 +142,10 @@ def compounds(words: DataFrame, lexicon: DataFrame, most_parts: int = 4, word: s
 
     lexicon: part, role (prefix, infix, suffix, or any), probability. Fewest parts first, then the largest product of probabilities, then the parts in order. Of three
     equal consonants where parts meet one is written, so it counts for both. The lexicon is joined by the substrings of
-    each word, so that no task holds it.
+    each word, so that no task holds it. Words of less than 4 or more than LONGEST_COMPOUND letters are left out.
     """
     consonants = "bcdfghjklmnpqrstvwxz"
-    own = words.select(F.lower(word).alias("word")).where(F.length("word") >= 4).distinct()
+    own = words.select(F.lower(word).alias("word")).where(F.length("word").between(4, LONGEST_COMPOUND)).distinct()
     pieces = own.withColumn("a", F.explode(F.sequence(F.lit(0), F.length("word") - 2))).withColumn("b", F.explode(F.sequence(F.col("a") + 2, F.length("word"))))
     pieces = pieces.withColumn("text", F.expr("substring(word, a + 1, b - a)"))
     doubled = F.col("text").substr(-1, 1)
