@@ -254,9 +254,8 @@ def _without_repeats(words: bool, length: int, unique_rows: list[tuple], other_d
 
 @pytest.mark.parametrize("hot", [False, True])
 def test_substring_dedup(docs, monkeypatch, hot):
-    if hot:  # every shared segment counts as one of many
-        monkeypatch.setattr(segments, "MANY", 1)
-        monkeypatch.setattr(segments, "TOGETHER", 3)
+    if hot:  # every minimiser of several segments is split
+        monkeypatch.setattr(segments, "BYTES_A_ROUTE", 1)
     expected = _without_repeats(True, 50, list(dict.fromkeys(ROWS)), True)
     want = Counter((i, *(expected[i, t][k] for k in (0, 1, 3))) for i, t, _ in ROWS)
     assert multiset(fm_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == want
@@ -265,8 +264,7 @@ def test_substring_dedup(docs, monkeypatch, hot):
 @pytest.mark.parametrize("hot", [False, True])
 def test_repeated_bytes(docs, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr(segments, "MANY", 1)
-        monkeypatch.setattr(segments, "TOGETHER", 3)
+        monkeypatch.setattr(segments, "BYTES_A_ROUTE", 1)
         monkeypatch.setattr(segments, "MOST_BROADCAST", -1)  # the way by joins
     expected = _without_repeats(False, 200, list(dict.fromkeys(ROWS)), False)
     want = Counter((i, *expected[i, t]) for i, t, _ in ROWS)
@@ -299,7 +297,7 @@ def test_indexes_on_random_segments():
         documents, times = [rng.randint(1, 9) for _ in contents], [rng.choice([1, 1, 2]) for _ in contents]
         if not contents:
             continue
-        words = fm_dedup.repeated_windows([" ".join(c).encode() for c in contents], documents, times, length)
+        words = fm_dedup.repeated_windows([" ".join(c).encode() for c in contents], documents, times, length, 4 if length < 50 else 5)
         assert [[m for a, b, m in spans for _ in range(a, b)] for spans in words] == _segment_answers(contents, documents, times, length, True)
         spans = suffix_dedup.repeated_windows([c.encode() for c in contents], documents, times, length)
         flags = [[any(a <= p < b for a, b, _ in s) for p in range(len(c) - length + 1)] for c, s in zip(contents, spans, strict=True)]
@@ -527,8 +525,7 @@ def test_language_model_of_all_bytes(spark, monkeypatch):
 @pytest.mark.parametrize("words", [True, False])
 def test_hot_minimiser_twice_in_a_segment(spark, monkeypatch, words):
     """A line that stands twice close together in one document and once in another, before the same passage."""
-    monkeypatch.setattr(segments, "MANY", 1)
-    monkeypatch.setattr(segments, "TOGETHER", 3)
+    monkeypatch.setattr(segments, "BYTES_A_ROUTE", 1)
     rng = random.Random(12)
     some = lambda n: " ".join("%x" % rng.randrange(1 << 28) for _ in range(n))
     rows = []
@@ -546,16 +543,41 @@ def test_hot_minimiser_twice_in_a_segment(spark, monkeypatch, words):
 
 @pytest.mark.parametrize("words", [True, False])
 def test_minimisers_of_many_bytes(docs, monkeypatch, words):
-    """No index is given more of one minimiser than BYTES_A_ROUTE; what is found is the same."""
+    """No index is given more than BYTES_A_ROUTE of several segments of one minimiser; what is found is the same, and comes from the index."""
     monkeypatch.setattr(segments, "BYTES_A_ROUTE", 1000)
     monkeypatch.setattr(segments, "BYTES_A_SHARD", 1)
     windows = segments.Windows(words, *((50, 8, True) if words else (200, 64, False)))
     index = fm_dedup.repeated_windows if words else suffix_dedup.repeated_windows
 
     def bounded(contents, *others):
-        assert sum(map(len, contents)) <= 1000
+        assert sum(map(len, contents)) <= 1000 or len(contents) == 1
         return index(contents, *others)
 
     expected = _without_repeats(words, windows.length, list(dict.fromkeys(ROWS)), words)
     want = Counter((i, *(expected[i, t][k] for k in (0, 1, 3))) for i, t, _ in ROWS)
     assert multiset(segments.removed_repeats(docs, windows, bounded, "doc_id", "text"), "doc_id", "n", "n_removed", "kept_sha256") == want
+    nothing = segments.removed_repeats(docs, windows, lambda contents, *others: [[] for _ in contents], "doc_id", "text")
+    assert nothing.agg(F.sum("n_removed")).first()[0] == 0
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_longer_grams_are_decided_by_the_window(words):
+    """Equal windows get equal keys at every length, wherever they stand."""
+    windows = segments.Windows(words, *((50, 8, True) if words else (200, 64, False)))
+    rng, keys = random.Random(7), {}
+    base = [rng.choice([b"a", b"b", b"c"]) for _ in range(700)] + [b"a"] * 400 + [b"b", b"a"] * 200
+    for _ in range(60):
+        a = rng.randrange(len(base) - 400)
+        own = [rng.choice([b"a", b"c"]) for _ in range(rng.randrange(90))] + base[a : a + 400]
+        todo = [(route, -1, a, own[a : a + n + windows.length - 1]) for route, a, n, _ in zip(*(x.tolist() for x in windows.runs(windows.symbols(own if words else b"".join(own)))), strict=True)]
+        assert sum(len(x[3]) - windows.length + 1 for x in todo) == len(own) - windows.length + 1
+        for size in windows.grams()[:-1]:
+            parts = []
+            for route, anchor, at, units in todo:
+                symbols = windows.symbols(units if words else b"".join(units))
+                for key, first, n, place in zip(*(x.tolist() for x in windows.longer(symbols, np.uint64(route).view(np.int64), anchor, size)), strict=True):
+                    parts.append((key, place, at + first, units[first : first + n + windows.length - 1]))
+                    for p in range(first, first + n):
+                        assert keys.setdefault((size, b" ".join(units[p : p + windows.length])), key) == key
+            assert sum(len(x[3]) - windows.length + 1 for x in parts) == len(own) - windows.length + 1
+            todo = parts

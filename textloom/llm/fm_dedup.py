@@ -1,15 +1,18 @@
-"""Substring dedup with an FM-index for each shard.
+"""Substring dedup with a compressed FM-index for each shard.
 
-A shard's segments (see segments.py) are one text of word numbers, each segment ended by a separator of its own. The index has the
-Burrows-Wheeler transform of it in a wavelet matrix: a bit vector for each bit of the word numbers, packed, with the
-ones counted before each packed word. The segments are streamed against it: for every end of a window, backward
-search adds one word to the left at a time, for all windows at once, which gives the matching statistic up to the
-window's length; where it reaches the length, the interval's smallest document is looked up. Windows
-whose interval holds no smaller document any more drop out on the way.
+A window of WINDOW words is a row of blocks of BLOCK words that stand BLOCK words apart. A shard's segments (see segments.py) are therefore
+indexed as one text of blocks: for each segment its blocks at the places 0, BLOCK, 2 BLOCK ..., then those at 1, BLOCK + 1 ..., and so on, each row
+ended by a separator of its own. The index has the Burrows-Wheeler transform of that text in a wavelet matrix: packed bits, with
+32-bit counts for 512 bits and 16-bit counts for 64 bits. Only the minima of stretches of document numbers are kept sorted for range queries.
+
+The segments are streamed against it: for every window, backward search adds one block to the left at a time, for all
+windows at once, which gives the matching statistic in blocks up to the window's length; where it reaches the length, the interval's smallest
+document is looked up. Windows whose interval holds no smaller document any more drop out on the way: they are no longer than that.
 
 Words are unchanged runs of anything but ASCII white space. A word goes if it is covered by a window of WINDOW words that also starts in a document with a
 smaller doc_id. Null and empty texts have no words and keep none. Rows with a null id are never touched. Rows equal in
-id and text are one document; repeats between rows of one id do not count.
+id and text are one document; repeats between rows of one id do not count. An empty table gives an empty one. Texts of any length are cut into
+segments; columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -20,9 +23,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm.segments import Windows, removed_repeats
 
-WINDOW = 50
-#: After so many words a window is looked at whether a smaller document is left.
-LOOKS = (8, 20, 35)
+WINDOW, BLOCK = 50, 5
+#: Document numbers in a stretch.
+STRETCH = 16
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
@@ -46,88 +49,113 @@ class WaveletMatrix:
     """Counts of a symbol before a place in a sequence."""
 
     def __init__(self, sequence: np.ndarray, bits: int):
-        self.bits, self.words, self.ones, self.zeros = bits, [], [], []
-        now = sequence.astype(np.int64)
+        self.bits, self.levels = bits, []
+        now = sequence
         for b in reversed(range(bits)):
-            bit = (now >> b & 1).astype(np.uint8)
-            packed = np.packbits(np.pad(bit, (0, -len(bit) % 64 + 64)), bitorder="little").view(np.uint64)
-            self.words.append(packed)
-            self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]))
-            self.zeros.append(len(bit) - int(bit.sum()))
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
+            bit = (now >> b & 1).astype(bool)
+            packed = np.packbits(np.pad(bit, (0, -len(bit) % 512 + 512)), bitorder="little").view(np.uint64)
+            ones = np.bitwise_count(packed).astype(np.int64).reshape(-1, 8)
+            large = np.concatenate([[0], np.cumsum(ones.sum(1))[:-1]]).astype(np.uint32)
+            small = (np.cumsum(ones, axis=1) - ones).astype(np.uint16).ravel()
+            self.levels.append((packed, large, small, len(bit) - int(bit.sum())))
+            now = np.concatenate([now[~bit], now[bit]])
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before each place, less a constant of the symbol."""
+        """How often each symbol stands before each place, plus a constant of the symbol."""
         at = place
-        for level in range(self.bits):
-            word, left = at >> 6, (at & 63).astype(np.uint64)
-            ones = self.ones[level][word] + np.bitwise_count(self.words[level][word] & ((np.uint64(1) << left) - np.uint64(1)))
-            one = symbol >> (self.bits - 1 - level) & 1
-            at = np.where(one == 1, self.zeros[level] + ones, at - ones)
+        for level, (packed, large, small, zeros) in enumerate(self.levels):
+            word = at >> 6
+            below = packed[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
+            ones = large[at >> 9].astype(np.int64) + small[word] + np.bitwise_count(below)
+            at = np.where(symbol >> (self.bits - 1 - level) & 1, zeros + ones, at - ones)
         return at
 
 
 class FMIndex:
-    """Backward search in a shard's segments, with the smallest document of each interval."""
-
-    def __init__(self, symbols: np.ndarray, ends: np.ndarray, document: np.ndarray):
-        """symbols: numbers from 1 on. ends: where segments end. document: of each segment."""
-        n, m = len(symbols), len(ends)
-        place = np.arange(n) + np.repeat(np.arange(m), np.diff(ends, prepend=0))
-        text = np.empty(n + m, np.int64)
-        text[place] = symbols + m
-        stops = ends + np.arange(m)
-        text[stops] = np.arange(m)
+    """Backward search in rows of symbols, with the smallest document of each interval."""
+
+    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, document: np.ndarray):
+        """symbols: numbers from 0 on, row by row. sizes: of the rows. document: of each row."""
+        n, m = len(symbols), len(sizes)
+        text, stops = np.empty(n + m, np.int64), np.cumsum(sizes + 1) - 1
+        inside = np.ones(n + m, bool)
+        inside[stops] = False
+        text[inside], text[stops] = symbols + m, np.arange(m)
         order = suffix_order(text)
+        count = int(symbols.max()) + 1
+        self.bits = max(1, int(count).bit_length())
         before = text[order - 1]
-        self.bits = max(1, int(symbols.max()).bit_length())
-        self.matrix = WaveletMatrix(np.where(before < m, 0, before - m), self.bits)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(np.where(text < m, 0, text - m), minlength=int(symbols.max()) + 1))])
-        self.size = n + m
-        self.base = self.matrix.rank(np.arange(int(symbols.max()) + 1), np.zeros(int(symbols.max()) + 1, np.int64))
-        owner = document[np.searchsorted(stops, order)]
-        self.least = [owner]
-        while 2 << (len(self.least) - 1) <= self.size:
+        self.matrix = WaveletMatrix(np.where(before < m, count, before - m).astype(np.int32), self.bits)
+        self.first = m + np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=count))])
+        self.base = self.matrix.rank(np.arange(count), np.zeros(count, np.int64))
+        self.documents, owner = np.unique(document, return_inverse=True)
+        self.owner = np.append(np.repeat(owner, sizes + 1)[order], np.full(2 * STRETCH, len(self.documents))).astype(np.int32)
+        self.least = [self.owner[: len(self.owner) // STRETCH * STRETCH].reshape(-1, STRETCH).min(1)]
+        while 2 << (len(self.least) - 1) <= len(self.least[0]):
             last, k = self.least[-1], 1 << (len(self.least) - 1)
             self.least.append(np.minimum(last[:-k], last[k:]))
 
+    def start(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of single symbols."""
+        return self.first[symbol], self.first[symbol + 1]
+
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of the patterns with one more symbol on the left."""
-        start = self.first[symbol] - self.base[symbol]
-        return start + self.matrix.rank(symbol, low), start + self.matrix.rank(symbol, high)
+        both = self.matrix.rank(np.tile(symbol, 2), np.concatenate([low, high])) + np.tile(self.first[symbol] - self.base[symbol], 2)
+        return both[: len(low)], both[len(low) :]
 
     def smallest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The smallest document of each non-empty interval."""
-        level = np.frexp((high - low).astype(np.float64))[1] - 1
-        out = np.empty(len(low), np.int64)
+        out = np.full(len(low), len(self.documents), np.int32)
+        for i in range(STRETCH):  # up to a stretch's border from either end
+            for at in (low + i, high - 1 - i):
+                np.minimum(out, self.owner[at], out=out, where=(at >= low) & (at < high))
+        a, b = -(-low // STRETCH), high // STRETCH
+        whole = np.flatnonzero(b > a)
+        level = np.frexp((b - a)[whole].astype(np.float64))[1] - 1
         for k in np.unique(level):
-            own = level == k
-            out[own] = np.minimum(self.least[k][low[own]], self.least[k][high[own] - (1 << int(k))])
-        return out
+            own = whole[level == k]
+            out[own] = np.minimum(out[own], np.minimum(self.least[k][a[own]], self.least[k][b[own] - (1 << int(k))]))
+        return self.documents[out]
+
+
+def blocks_of(words: list[list[bytes]], block: int) -> np.ndarray:
+    """The number of the block that begins at each place of the joined segments; equal blocks have equal numbers. Those that reach over a segment's end mean nothing."""
+    numbers: dict[bytes, int] = {}
+    number = np.array([numbers.setdefault(w, len(numbers)) for own in words for w in own], np.int64)
+    out, done = number, 1
+    for _ in range(block - 1):
+        key = out[: len(number) - done] * len(number) + number[done:]
+        out, done = np.unique(key, return_inverse=True)[1], done + 1
+    return np.append(out, np.zeros(done - 1, np.int64))
 
 
-def repeated_windows(contents: list[bytes], documents: list[int], times: list[int], length: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def repeated_windows(contents: list[bytes], documents: list[int], times: list[int], length: int = WINDOW, block: int = BLOCK) -> list[list[tuple[int, int, int]]]:
     """Of each segment (first window, after the last, smallest document that has them)."""
     words = [c.split() for c in contents]
-    numbers: dict[bytes, int] = {}
-    symbols = np.array([numbers.setdefault(w, len(numbers) + 1) for own in words for w in own], np.int64)
-    ends, document = np.cumsum([len(own) for own in words]), np.array(documents, np.int64)
-    index = FMIndex(symbols, ends, document)
-    n = np.diff(ends, prepend=0) - length + 1
+    size, document = np.array([len(own) for own in words]), np.array(documents, np.int64)
+    number, begin = blocks_of(words, block), np.cumsum(size) - size
+    # The blocks of each segment by their place modulo the block's length.
+    whole = size - block + 1
+    owner = np.repeat(np.arange(len(size)), whole)
+    place = np.arange(int(whole.sum())) - np.repeat(np.cumsum(whole) - whole, whole)
+    row = owner * block + place % block
+    order = np.lexsort((place, row))
+    rows, sizes = np.unique(row, return_counts=True)
+    index = FMIndex(number[begin[owner] + place][order], sizes, document[rows // block])
+    n = size - length + 1
     segment = np.repeat(np.arange(len(n)), n)
-    start = np.arange(int(n.sum())) + np.repeat(np.cumsum(np.diff(ends, prepend=0)) - np.diff(ends, prepend=0) - (np.cumsum(n) - n), n)
-    smallest = document[segment].copy()
-    active, low, high = np.arange(len(start)), np.zeros(len(start), np.int64), np.full(len(start), index.size)
-    for step in range(1, length + 1):
-        low, high = index.extend(symbols[start[active] + length - step], low, high)
-        if step in LOOKS or step == length:
-            least = index.smallest(low, high)
-            on = least < document[segment[active]]
-            active, low, high, least = active[on], low[on], high[on], least[on]
-            if not len(active):
-                break
-    else:
-        smallest[active] = least
+    start = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
+    smallest, active = document[segment], np.arange(len(start))
+    for step in range(length // block):
+        symbol = number[start[active] + length - block * (step + 1)]
+        low, high = index.extend(symbol, low, high) if step else index.start(symbol)
+        least = index.smallest(low, high)
+        on = least < document[segment[active]]
+        active, low, high, least = active[on], low[on], high[on], least[on]
+        if not len(active):
+            break
+    smallest[active] = least
     out, at = [], 0
     for k in n.tolist():
         own = smallest[at : at + k]

@@ -4,15 +4,17 @@ A window is ``length`` consecutive units (words or bytes) of one text. Its minim
 the hashes of the ``gram`` units at its places; neighbouring windows mostly share theirs, and a run of windows with one
 minimiser is a segment: their units, and where they start. Equal windows have equal minimisers, so
 
-1. runs whose minimiser no other run has, nor another place of the text, are left out (no text travels for this);
-2. the segments of the others are cut out of their texts;
-3. where a minimiser has many different segments, ends that no other segment has are cut off: a passage in very many
-   texts differs in what surrounds it only, and what surrounds it goes here; what stays is equal, and
-4. equal segments become one, with the smallest document and their number; those of a minimiser with several go to
-   shards by minimiser, some BYTES_A_SHARD to a shard.
-
-What is equal is decided by the index that is built for each shard, not by these hashes. A minimiser whose different segments
-have more than BYTES_A_ROUTE is too much for one task: its windows are compared one by one instead, by digests of 128 bits, as equal segments are.
+1. runs whose minimiser no other run has, nor another place of the text, are left out before any text travels;
+2. the segments of the others are cut out of their texts, and equal ones are merged, with their smallest and largest document and number;
+3. segments go to shards by minimiser, some BYTES_A_SHARD to a shard, and every shard's index tells which of their windows repeat.
+
+A passage in very many documents has minimisers whose segments differ in what stands around the passage. A minimiser with more than
+BYTES_A_ROUTE of different segments is replaced by longer grams: a window reaches beyond the gram by f units, so it
+has (f + 1) / 2 more of them to the right, or as many to the left, and the longer gram on that side, which the window alone decides, becomes its key.
+Each window has one key at every length, and the last gram is the window itself, of which there is one segment only: no
+shard depends on how many documents share a passage, and nothing is left out on the way.
+
+What repeats is decided by the index that is built for each shard, not by these hashes.
 """
 
 from __future__ import annotations
@@ -29,17 +31,14 @@ from pyspark.sql import functions as F
 from textloom.llm.common import mix64, raw, slices, sliding_min, written
 from textloom.llm.minhash import word_hashes
 
-#: A minimiser of more different segments than this has them cut anew.
-MANY = 1024
+#: A shard is closed when it has so many bytes; a minimiser with more than BYTES_A_ROUTE of different segments is split.
 BYTES_A_SHARD = 1 << 19
-#: Up to so many bytes, the different segments of one minimiser go to one index.
-BYTES_A_ROUTE = 4 << 20
-#: Shared minimisers are broadcast up to so many, 8 bytes each.
+BYTES_A_ROUTE = 1 << 18
+#: Split minimisers are broadcast up to so many, 8 bytes each; there is at most one for each BYTES_A_ROUTE of segments.
 MOST_BROADCAST = 2_000_000
-#: About so many segments of one minimiser are compared in one task.
-TOGETHER = 512
-_ODD = 0x5851F42D4C957F2D
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+
+Index = Callable[[list[bytes], list[int], list[int]], list[list[tuple[int, int, int]]]]
 
 
 @dataclass(frozen=True)
@@ -70,19 +69,52 @@ class Windows:
         return mix64(out[:n] * _B + out[size - done : size - done + n]) if done < size else out
 
     def runs(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(minimiser, first window, windows, whether the minimiser stands in the text twice) of each run."""
+        """(minimiser, first window, windows, whether the minimiser stands in the text twice) of each run.
+
+        In periodic text a minimiser can hold on for ever; a run ends after twice the windows that one gram can be in.
+        """
         if len(symbols) < self.length:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         hashes = self.hashes(symbols, self.gram)
         least = sliding_min(hashes, self.length - self.gram + 1)
-        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        at, new = np.arange(len(least)), np.concatenate([[True], least[1:] != least[:-1]])
+        first = np.flatnonzero((at - np.maximum.accumulate(np.where(new, at, 0))) % (2 * (self.length - self.gram + 1)) == 0)
         twice = np.zeros(len(first), np.int64)
         if not self.other_documents:
             hashes = np.append(np.sort(hashes), np.uint64(0))
-            at = np.searchsorted(hashes[:-1], least[first])
-            twice = (hashes[at + 1] == least[first]) & (at + 1 < len(hashes) - 1)
+            place = np.searchsorted(hashes[:-1], least[first])
+            twice = (hashes[place + 1] == least[first]) & (place + 1 < len(hashes) - 1)
         return least[first], first, np.diff(np.append(first, len(least))), twice.astype(np.int64)
 
+    def grams(self) -> list[int]:
+        """The lengths of the keys of each pass, the window's own last."""
+        out = [self.gram]
+        while out[-1] < self.length:
+            out.append(self.length - (self.length - out[-1]) // 4)
+        return out
+
+    def longer(self, symbols: np.ndarray, route: int, anchor: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, first window, windows, place of the key's gram) of each run of a segment, by grams of the next length.
+
+        anchor: the place of the present gram, of ``size`` units, or -1 if it is a minimiser; then it is each window's first place with that hash.
+        """
+        start, free = np.arange(len(symbols) - self.length + 1), self.length - size
+        if anchor < 0:
+            places = np.flatnonzero(self.hashes(symbols, size).view(np.int64) == route)
+            gram = places[np.searchsorted(places, start)]
+        else:
+            gram = np.full(len(start), anchor)
+        side = np.zeros(len(start), np.uint64)
+        for _ in range(2):
+            more = (free + 1) // 2
+            right = start + free - gram >= more
+            gram = np.where(right, gram, gram - more)
+            side = side * np.uint64(2) + right
+            size, free = size + more, free - more
+        first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (side[1:] != side[:-1])]))
+        key = mix64(self.hashes(symbols, size)[gram[first]] * _C + side[first] + np.uint64(4 * size))
+        return key, first, np.diff(np.append(first, len(start))), gram[first] - first
+
 
 def _texts(column: pa.Array) -> list[bytes]:
     data, offsets = raw(column)
@@ -90,280 +122,150 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
+def _batch(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+
 def _minimisers(docs: DataFrame, windows: Windows) -> DataFrame:
-    """(doc_id, digest, route, start, n, twice): every run of every text."""
+    """(doc, digest, route, start, n, twice): every run of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 512 << 10):
             own = [windows.runs(windows.symbols(windows.split(text))) for text in _texts(part.column("text"))]
             row = pa.array(np.repeat(np.arange(len(own)), [len(r[0]) for r in own]))
             columns = [np.concatenate([r[i] for r in own]).view(np.int64) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("digest").take(row), *map(pa.array, columns)], ["doc_id", "digest", "route", "start", "n", "twice"])
-
-    return docs.mapInArrow(run, "doc_id long, digest long, route long, start long, n long, twice long")
-
+            yield pa.RecordBatch.from_arrays([part.column("doc").take(row), part.column("digest").take(row), *map(pa.array, columns)], ["doc", "digest", "route", "start", "n", "twice"])
 
-RUNS = "array<struct<start: long, n: long, route: long>>"
-_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("n", pa.int64()), ("route", pa.int64())]))
+    return docs.select("doc", "digest", "text").mapInArrow(run, "doc long, digest long, route long, start long, n long, twice long")
 
 
-def _with_shared_runs(docs: DataFrame, windows: Windows, shared: DataFrame) -> DataFrame:
-    """(doc_id, digest, n, kept_sha256, text, runs): a row a document; n units, the SHA-256 of all, and where a run is shared those runs and the text.
-
-    Up to MOST_BROADCAST shared minimisers are sent to all tasks, which find a text's runs once more; beyond that runs and texts are joined.
-    """
-    wide = shared.count() > MOST_BROADCAST
-    if wide:
-        found = _minimisers(docs, windows).join(shared, "route").groupBy(F.col("doc_id").alias("r_doc"), F.col("digest").alias("r_digest")).agg(F.collect_set(F.struct("start", "n", "route")).alias("runs"))
-        docs = docs.join(found, docs["doc_id"].eqNullSafe(found["r_doc"]) & (docs["digest"] == found["r_digest"]), "left").select("doc_id", "digest", "text", "runs")
-    else:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow()["route"].to_numpy()))
-        docs = docs.withColumn("runs", F.lit(None).cast(RUNS))
+def _cut(texts: DataFrame, windows: Windows) -> DataFrame:
+    """Segments of (doc, digest, text, runs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 512 << 10):
-            n, sha, kept, runs = [], [], [], part.column("runs").to_pylist()
-            texts = _texts(part.column("text"))
-            for i, text in enumerate(texts):
+            rows = []
+            for doc, digest, text, runs in zip(part.column("doc").to_pylist(), part.column("digest").to_pylist(), _texts(part.column("text")), part.column("runs").to_pylist(), strict=True):
                 units = windows.split(text)
-                n.append(len(units))
-                sha.append(hashlib.sha256(windows.join(units)).hexdigest())
-                if not wide and len(known.value):
-                    route, start, count, _ = windows.runs(windows.symbols(units))
-                    route = route.view(np.int64)
-                    at = np.minimum(np.searchsorted(known.value, route), len(known.value) - 1)
-                    there = np.flatnonzero(known.value[at] == route)
-                    runs[i] = [{"start": a, "n": k, "route": r} for a, k, r in zip(start[there].tolist(), count[there].tolist(), route[there].tolist(), strict=True)]
-                kept.append(text if runs[i] else None)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), pa.array(n, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()), pa.array([r or None for r in runs], _RUNS)], ["doc_id", "digest", "n", "kept_sha256", "text", "runs"])
+                for r in runs:
+                    content = windows.join(units[r["start"] : r["start"] + r["n"] + windows.length - 1])
+                    rows.append((doc, digest, r["start"], r["route"], hashlib.blake2b(content, digest_size=16).digest(), content))
+            yield _batch(rows, doc=pa.int64(), digest=pa.int64(), start=pa.int64(), route=pa.int64(), content_id=pa.binary(), content=pa.binary())
 
-    return docs.mapInArrow(run, f"doc_id long, digest long, n long, kept_sha256 string, text binary, runs {RUNS}")
+    return texts.select("doc", "digest", "text", "runs").mapInArrow(run, "doc long, digest long, start long, route long, content_id binary, content binary")
 
 
-SEGMENT = "doc_id long, digest long, start long, route long, content_id binary, n long, content binary"
+def _merged(segments: DataFrame) -> DataFrame:
+    """(route, content_id, anchor, content, doc, last, times, wide): different segments, and whether their route has too many bytes for one index."""
+    size = segments.groupBy("route", "content_id").agg(F.max(F.length("content")).alias("size"))
+    wide = written(size.groupBy("route").agg(F.sum("size").alias("size"), F.count("*").alias("different")).where((F.col("size") > BYTES_A_ROUTE) & (F.col("different") > 1)).select("route", F.lit(True).alias("wide")), "wide")
+    near = F.broadcast(wide) if wide.count() <= MOST_BROADCAST else wide
+    merged = segments.groupBy("route", "content_id").agg(F.first("anchor").alias("anchor"), F.first("content").alias("content"), F.min("doc").alias("doc"), F.max("last").alias("last"), F.sum("times").alias("times"))
+    return written(merged.join(near, "route", "left").withColumn("wide", F.coalesce("wide", F.lit(False))), "different")
 
 
-def _cut(parts: DataFrame, windows: Windows, source: str = "text", moved: bool = False) -> DataFrame:
-    """Segments of (doc_id, digest, ``source``, runs): runs are structs of start, windows and route, from the source's start on."""
+def _split(contents: DataFrame, windows: Windows, size: int) -> DataFrame:
+    """The segments by longer grams, each with its place in the segment that it is cut from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, source, 512 << 10):
-            rows: list = []
-            base = part.column("base").to_pylist() if moved else [0] * part.num_rows
-            for doc, digest, text, runs, at in zip(part.column("doc_id").to_pylist(), part.column("digest").to_pylist(), _texts(part.column(source)), part.column("runs").to_pylist(), base, strict=True):
-                units = windows.split(text)
-                for r in runs:
-                    content = windows.join(units[r["start"] : r["start"] + r["n"] + windows.length - 1])
-                    rows.append((doc, digest, at + r["start"], r["route"], hashlib.blake2b(content, digest_size=16).digest(), r["n"], content))
-            if rows:
-                kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "digest", "start", "route", "content_id", "n", "content"])
-
-    return parts.mapInArrow(run, SEGMENT)
-
-
-def _prefixes(symbols: list[np.ndarray], places: list[int], routes: list[int], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the strings that begin with each segment's minimiser, of all lengths; their first places in the answer, and their numbers.
-
-    step: 1 for to the right, -1 for to the left.
-    """
-    ways = [s[m:] if step > 0 else s[: m + 1][::-1] for s, m in zip(symbols, places, strict=True)]
-    size = np.array([len(w) for w in ways])
-    start = np.cumsum(size) - size
-    at = np.arange(int(size.sum())) - np.repeat(start, size)
-    power = np.cumprod(np.append(np.uint64(1), np.full(int(size.max()), _ODD, np.uint64)))
-    total = np.cumsum(np.concatenate(ways) * power[at])
-    before = np.concatenate([np.zeros(1, np.uint64), total])[start]
-    return mix64((total - np.repeat(before, size)) * _B + np.repeat(np.array(routes, np.int64).view(np.uint64), size) + np.uint64(step & 3) + at.astype(np.uint64) * _A), start, size
-
-
-def _cut_anew(segments: DataFrame, windows: Windows) -> DataFrame:
-    """The segments of minimisers with many different ones, without ends that no other segment has.
-
-    A segment's strings to the right of its minimiser are compared with those of some hundred others of its route in one task. Such a group passes on the strings
-    that several of them have, and of each segment the first string that it has alone. If nothing else anywhere is equal to that string no window
-    with it repeats, and the segment is cut before it. The same to the left. A segment whose string is found elsewhere stays whole; as it may have more strings that
-    another group's segments took to be theirs alone, all its strings are passed on in a second round.
-    """
-    different = segments.groupBy("route").agg(F.countDistinct("content_id").alias("different")).where(F.col("different") > MANY)
-    many = written(different.select("route", F.ceil(F.col("different") / TOGETHER).alias("parts")), "many")
-    if many.isEmpty():
-        return segments
-    hot, others = segments.join(many, "route"), segments.join(many, "route", "left_anti")
-    again = F.min("doc_id") < F.max("doc_id") if windows.other_documents else F.count("*") > 1
-    contents = hot.groupBy("route", "content_id").agg(F.first("content").alias("content"), F.first("parts").alias("parts"), F.coalesce(again, F.lit(False)).alias("again"))
-    contents = contents.withColumn("part", F.pmod(F.xxhash64("content_id"), "parts")).repartition(int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")), "route", "part").sortWithinPartitions("route", "part")
-
-    def symbols_of(part: pa.RecordBatch) -> list[np.ndarray]:
-        return [windows.symbols(windows.split(t)) for t in _texts(part.column("content"))]
-
-    def minimiser(symbols: np.ndarray, route: int) -> np.ndarray:
-        return np.flatnonzero(windows.hashes(symbols, windows.gram).view(np.int64) == route)
-
-    def places_of(symbols: np.ndarray, route: int, step: int) -> np.ndarray:
-        """Every place of the minimiser; of those that have the same string of a window's length only one, so that periodic segments have few."""
-        places = minimiser(symbols, route)
-        if len(places) < 2:
-            return places
-        begin = places if step > 0 else places - windows.length + 1
-        inside = (begin >= 0) & (begin <= len(symbols) - windows.length)
-        first = np.unique(windows.hashes(symbols, windows.length)[begin[inside]], return_index=True)[1]
-        return np.concatenate([places[~inside], places[inside][first]])
-
-    def strings(symbols: list[np.ndarray], routes: list[int], step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """_prefixes from every place of the minimiser, of a window's length at most, and the first entry of each segment."""
-        places = [places_of(s, r, step) for s, r in zip(symbols, routes, strict=True)]
-        cut = [(s[p : p + windows.length], 0) if step > 0 else (s[max(0, p + 1 - windows.length) : p + 1], min(p, windows.length - 1)) for s, own in zip(symbols, places, strict=True) for p in own.tolist()]
-        number = np.array([len(own) for own in places])
-        prefix, start, size = _prefixes([c for c, _ in cut], [m for _, m in cut], np.repeat(routes, number).tolist(), step)
-        return prefix, start, size, np.cumsum(number) - number
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "content", 256 << 10):
-            symbols, routes = symbols_of(part), part.column("route").to_pylist()
-            places = [minimiser(s, r) for s, r in zip(symbols, routes, strict=True)]
-            whole = np.array([len(p) != 1 or g for p, g in zip(places, part.column("again").to_pylist(), strict=True)])
-            first, length = np.array([int(p[0]) if len(p) else 0 for p in places]), np.array([len(s) for s in symbols])
-            ends, nodes = {}, []
-            for step in (1, -1):
-                prefix, start, size, own = strings(symbols, routes, step)
-                _, which, times = np.unique(prefix, return_inverse=True, return_counts=True)
-                shared = times[which] > 1
-                # The strings of segments that stay whole are passed on too.
-                nodes.append(np.unique(prefix[shared | np.repeat(np.repeat(whole, np.diff(np.append(own, len(size)))), size)]))
-                reach, start, size = np.add.reduceat(shared.astype(np.int64), start)[own], start[own], size[own]
-                ends[step] = reach, prefix[np.minimum(start + reach, len(prefix) - 1)].view(np.int64), (reach < size) & ~whole
-            a, b = np.where(whole, 0, first + 1 - ends[-1][0]), np.where(whole, length, first + ends[1][0])
-            before, after = (pa.array(ends[s][1], mask=~ends[s][2]) for s in (-1, 1))
-            yield pa.RecordBatch.from_arrays([part.column("route"), part.column("content_id"), pa.array(a), pa.array(b), before, after, pa.array(length)], names)
-            n = np.concatenate(nodes).view(np.int64)
-            nothing = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, pa.nulls(len(n), pa.binary()), nothing, nothing, nothing, pa.array(n), nothing], names)
-
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "content", 512 << 10):
-            symbols, routes = symbols_of(part), part.column("route").to_pylist()
-            found = np.concatenate([strings(symbols, routes, step)[0] for step in (1, -1)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], ["hash"])
-
-    names = ["route", "content_id", "a", "b", "before", "after", "size"]
-    probes = written(contents.select("route", "content_id", "content", "again").mapInArrow(probe, "route long, content_id binary, a long, b long, before long, after long, size long"), "probes")
-    hashes = probes.select(F.col("before").alias("hash")).unionByName(probes.select(F.col("after").alias("hash"))).where("hash is not null")
-    like = hashes.groupBy("hash").agg(F.count("*").alias("k")).where("k > 1").select("hash")
-    probes = probes.where("content_id is not null")
-
-    def widened(probes: DataFrame, like: DataFrame) -> DataFrame:
-        """Segments whose strings are found elsewhere reach to their ends."""
-        for side, end, far in (("before", "a", F.lit(0).cast("long")), ("after", "b", F.col("size"))):
-            found = like.select(F.col("hash").alias(side), F.lit(True).alias("like"))
-            probes = probes.join(found, side, "left").withColumns({end: F.when(F.col("like"), far).otherwise(F.col(end)), "met": F.col("met") | F.coalesce("like", F.lit(False))}).drop("like")
-        return probes
-
-    probes = written(widened(probes.withColumn("met", F.lit(False)), like), "probes")
-    met = hot.select("route", "content_id", "content").join(probes.where("met").select("route", "content_id"), ["route", "content_id"], "left_semi").dropDuplicates(["route", "content_id"])
-    probes = widened(probes, met.mapInArrow(every, "hash long").distinct())
-    n = F.col("b") - F.col("a") - windows.length + 1
-    runs = probes.where(n > 0).select("route", "content_id", F.array(F.struct(F.col("a").alias("start"), n.alias("n"), "route")).alias("runs"))
-    parts = hot.join(runs, ["route", "content_id"]).select("doc_id", "digest", F.col("start").alias("base"), "content", "runs")
-    return others.select("doc_id", "digest", "start", "route", "content_id", "n", "content").unionByName(written(_cut(parts, windows, "content", moved=True), "segments"))
-
-
-def _by_windows(contents: DataFrame, windows: Windows) -> DataFrame:
-    """(route, content_id, first, last, smallest) of each repeated window of (route, content_id, doc, times, content), without an index."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "content", 32 << 10):
-            ids, at, first = [], [], []
-            for i, text in enumerate(_texts(part.column("content"))):
+        for part in slices(batches, "content", 64 << 10):
+            rows = []
+            for text, route, own, anchor, *known in zip(_texts(part.column("content")), *(part.column(c).to_pylist() for c in ("route", "content_id", "anchor", "doc", "last", "times")), strict=True):
                 units = windows.split(text)
-                for p in range(len(units) - windows.length + 1):
-                    ids.append(hashlib.blake2b(windows.join(units[p : p + windows.length]), digest_size=16).digest())
-                    at.append(i)
-                    first.append(p)
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *(part.column(c).take(rows) for c in ("route", "content_id", "doc", "times")), pa.array(first, pa.int64())], ["window", "route", "content_id", "doc", "times", "first"])
+                keys, first, n, places = windows.longer(windows.symbols(units), route, anchor, size)
+                for key, a, k, place in zip(keys.view(np.int64).tolist(), first.tolist(), n.tolist(), places.tolist(), strict=True):
+                    content = windows.join(units[a : a + k + windows.length - 1])
+                    rows.append((route, own, a, key, hashlib.blake2b(content + place.to_bytes(4, "little"), digest_size=16).digest(), place, content, *known))
+            yield _batch(rows, of_route=pa.int64(), of_id=pa.binary(), offset=pa.int64(), route=pa.int64(), content_id=pa.binary(), anchor=pa.int64(), content=pa.binary(), doc=pa.int64(), last=pa.int64(), times=pa.int64())
 
-    own = written(contents.mapInArrow(cut, "window binary, route long, content_id binary, doc long, times long, first long"), "windows")
-    met = own.groupBy("window").agg(F.min("doc").alias("smallest"), F.sum("times").alias("times"))
-    # A window of one segment only may still be in several documents.
-    met = met if windows.other_documents else met.where("times > 1")
-    return own.select("window", "route", "content_id", "first").join(met.select("window", "smallest"), "window").select("route", "content_id", "first", (F.col("first") + 1).alias("last"), "smallest")
+    return contents.mapInArrow(run, "of_route long, of_id binary, offset long, route long, content_id binary, anchor long, content binary, doc long, last long, times long")
 
 
-def removed_repeats(docs: DataFrame, windows: Windows, index: Callable[[list[bytes], list[int], list[int]], list[list[tuple[int, int, int]]]], id_column: str, text_column: str) -> DataFrame:
-    """(doc_id, n, n_removed, n_spans, kept_sha256): a row for each row of ``docs``.
-
-    index: for a shard's different segments, their smallest documents and their numbers, gives each one's intervals of repeated
-    windows, (first, after the last, smallest document). With ``other_documents`` an interval counts for larger documents only.
-    """
-    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_column).alias("digest"), F.col(text_column).cast("string").alias("text"))
-    runs = _minimisers(own.where("doc_id is not null") if windows.other_documents else own, windows)
-    again = F.min("doc_id") < F.max("doc_id") if windows.other_documents else (F.count("*") > 1) | (F.max("twice") > 0)
-    shared = written(runs.groupBy("route").agg(again.alias("again")).where("again").select("route"), "shared")
-    found = written(_with_shared_runs(own, windows, shared), "texts")
-    texts = found.where("runs is not null" + (" and doc_id is not null" if windows.other_documents else "")).select("doc_id", "digest", "text", "runs")
-    if not texts.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():  # equal rows
-        texts = written(texts.dropDuplicates(["doc_id", "digest"]), "texts")
-    segments = _cut_anew(written(_cut(texts, windows), "segments"), windows)
-
-    # A segment with others of its minimiser goes to an index; so does one that stands once, as its own windows may be equal. The rest have nothing to be compared with.
-    stats = written(segments.groupBy("route", "content_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"), F.max("n").alias("n"), F.max(F.length("content")).alias("size")), "different")
-    alone = F.col("different") == 1 if windows.other_documents else (F.col("different") == 1) & (F.col("times") > 1)
-    compared = written(stats.groupBy("route").agg(F.count("*").alias("different"), F.min("times").alias("times"), F.sum("size").alias("size")).where(~alone).select("route", (F.col("size") > BYTES_A_ROUTE).alias("wide")), "compared")
-    near = F.broadcast if compared.count() <= MOST_BROADCAST else (lambda table: table)
-    lone = stats.join(near(compared.select("route")), "route", "left_anti").select("route", "content_id", F.lit(0).cast("long").alias("first"), F.col("n").alias("last"), F.col("doc").alias("smallest"))
-
-    def contents(routes: DataFrame) -> DataFrame:
-        return segments.join(near(routes.select("route")), "route", "left_semi").groupBy("route", "content_id").agg(F.min("doc_id").alias("doc"), F.count("*").alias("times"), F.first("content").alias("content"))
-
-    different = contents(compared.where("not wide"))
-    spark = docs.sparkSession
-    shards = different.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "route").sortWithinPartitions("route", "content_id")
+def _searched(contents: DataFrame, windows: Windows, index: Index) -> DataFrame:
+    """(route, content_id, first, after, smallest) by the shards' indexes."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         size = 0
 
         def answers() -> pa.RecordBatch:
-            rows = [(r, c, a, b, d) for (r, c, *_), spans in zip(held, index([x[4] for x in held], [x[2] for x in held], [x[3] for x in held]), strict=True) for a, b, d in spans]
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["route", "content_id", "first", "last", "smallest"])
+            spans = index([x[5] for x in held], [x[2] for x in held], [x[4] for x in held])
+            rows = [(x[0], x[1], a, b, d) for x, own in zip(held, spans, strict=True) for a, b, d in own if d < x[3] or not windows.other_documents]
+            return _batch(rows, route=pa.int64(), content_id=pa.binary(), first=pa.int64(), after=pa.int64(), smallest=pa.int64())
 
         for part in slices(batches, "content", 256 << 10):
-            for row in zip(*(part.column(c).to_pylist() for c in ("route", "content_id", "doc", "times", "content")), strict=True):
+            for row in zip(*(part.column(c).to_pylist() for c in ("route", "content_id", "doc", "last", "times", "content")), strict=True):
                 if size >= BYTES_A_SHARD and row[0] != held[-1][0]:
                     yield answers()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield answers()
 
-    spans = shards.mapInArrow(search, "route long, content_id binary, first long, last long, smallest long").unionByName(lone)
-    if not (wide := compared.where("wide")).isEmpty():
-        spans = spans.unionByName(_by_windows(contents(wide), windows))
-    hits = segments.select("doc_id", "digest", "start", "route", "content_id").join(spans, ["route", "content_id"])
+    shards = contents.select("route", "content_id", "doc", "last", "times", "content").repartition(int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "route").sortWithinPartitions("route", "content_id")
+    return shards.mapInArrow(search, "route long, content_id binary, first long, after long, smallest long")
+
+
+def _spans(segments: DataFrame, windows: Windows, index: Index, grams: list[int]) -> DataFrame:
+    """(route, content_id, first, after, smallest): the repeated windows of each different segment."""
+    contents = _merged(segments)
+    if len(grams) == 1:
+        return written(_searched(contents, windows, index), "spans")
+    found = _searched(contents.where("not wide"), windows, index)
+    wide = contents.where("wide")
+    if wide.isEmpty():
+        return written(found, "spans")
+    parts = written(_split(wide, windows, grams[0]), "parts")
+    inner = _spans(parts, windows, index, grams[1:])
+    moved = parts.select("of_route", "of_id", "offset", "route", "content_id").join(inner, ["route", "content_id"])
+    moved = moved.select(F.col("of_route").alias("route"), F.col("of_id").alias("content_id"), (F.col("offset") + F.col("first")).alias("first"), (F.col("offset") + F.col("after")).alias("after"), "smallest")
+    return written(found.unionByName(moved), "spans")
+
+
+def removed_repeats(docs: DataFrame, windows: Windows, index: Index, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, digest, n, n_removed, n_spans, kept_sha256, kept): a row for each row of ``docs``; an empty table gives none.
+
+    index: for a shard's different segments, their smallest documents and their numbers, gives each one's intervals of repeated
+    windows, (first, after the last, smallest document). With ``other_documents`` an interval counts for larger documents only, and rows
+    with a null id are not touched. digest: xxhash64 of the text. kept: what is left where something is removed, else null.
+    """
+    text, id_ = F.col(text_column).cast("string"), F.col(id_column).cast("long")
+    # doc and digest tell rows apart; the digest has whether the id is null.
+    own = docs.select(id_.alias("doc_id"), F.coalesce(id_, F.lit(0)).alias("doc"), F.xxhash64(text, id_.isNull()).alias("digest"), F.xxhash64(text).alias("text_digest"), text.alias("text"))
+    taking_part = own.where("doc_id is not null") if windows.other_documents else own
+    runs = written(_minimisers(taking_part, windows), "runs")
+    again = F.min("doc") < F.max("doc") if windows.other_documents else (F.count("*") > 1) | (F.max("twice") > 0)
+    shared = runs.groupBy("route").agg(again.alias("again")).where("again").select("route")
+    mine = runs.join(shared, "route", "left_semi").groupBy("doc", "digest").agg(F.collect_set(F.struct("start", "n", "route")).alias("runs"))
+    texts = taking_part.groupBy("doc", "digest").agg(F.first("text").alias("text")).join(mine, ["doc", "digest"])
+    segments = written(_cut(texts, windows), "segments")
+
+    known = segments.withColumns({"anchor": F.lit(-1).cast("long"), "last": F.col("doc"), "times": F.lit(1).cast("long")})
+    spans = _spans(known, windows, index, windows.grams())
+    hits = segments.select("doc", "digest", "start", "route", "content_id").join(spans, ["route", "content_id"])
     if windows.other_documents:
-        hits = hits.where("smallest < doc_id")
-    hits = hits.groupBy("doc_id", "digest").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last")).alias("b"))).alias("spans"))
-    hits = texts.select("doc_id", "digest", "text").join(hits.withColumnsRenamed({"doc_id": "hit", "digest": "hit_digest"}), F.col("doc_id").eqNullSafe(F.col("hit")) & (F.col("digest") == F.col("hit_digest")))
+        hits = hits.where("smallest < doc")
+    hits = hits.groupBy("doc", "digest").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("after")).alias("b"))).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
             rows = []
             for text, spans in zip(_texts(part.column("text")), part.column("spans").to_pylist(), strict=True):
                 units = windows.split(text)
+                if not spans:
+                    rows.append((len(units), 0, 0, hashlib.sha256(windows.join(units)).hexdigest(), None))
+                    continue
                 gone = covered(len(units), np.array([(s["a"], s["b"]) for s in spans]), windows.length)
-                left = [w for w, g in zip(units, gone.tolist(), strict=True) if not g] if windows.words else np.frombuffer(units, np.uint8)[~gone].tobytes()
-                rows.append((int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(windows.join(left)).hexdigest(), windows.join(left)))
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest"), *columns], ["id", "id_digest", "n_removed", "n_spans", "sha", "kept"])
-
-    kept = hits.select("doc_id", "digest", "text", "spans").mapInArrow(keep, "id long, id_digest long, n_removed long, n_spans long, sha string, kept binary")
-    return found.select("doc_id", "digest", "n", "kept_sha256").join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("id_digest")), "left").select(
-        F.col("doc_id").alias(id_column), "digest", "n", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("sha", "kept_sha256").alias("kept_sha256"), "kept"
-    )
+                left = windows.join([w for w, g in zip(units, gone.tolist(), strict=True) if not g]) if windows.words else np.frombuffer(units, np.uint8)[~gone].tobytes()
+                rows.append((len(units), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest(), left))
+            out = _batch(rows, n=pa.int64(), n_removed=pa.int64(), n_spans=pa.int64(), kept_sha256=pa.string(), kept=pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_digest"), *out.columns], ["doc_id", "digest", *out.schema.names])
+
+    left = own.join(hits, ["doc", "digest"], "left").select("doc_id", "text_digest", "text", "spans")
+    kept = left.mapInArrow(keep, "doc_id long, digest long, n long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return kept.withColumnRenamed("doc_id", id_column)
 
 
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:

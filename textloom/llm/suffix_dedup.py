@@ -10,8 +10,8 @@ among equal ones by the suffix of the parse that follows. Repetitive text has fe
 A string of WINDOW bytes stands elsewhere if a neighbour in that order begins with the same WINDOW bytes, which are compared,
 eight at a time.
 
-Every byte goes that is covered by such a string; matches may overlap and lie in one document, never across two. Null texts are empty. Rows equal in id and
-text are one document.
+Every byte goes that is covered by such a string; matches may overlap and lie in one document, never across two. Null texts are empty and keep nothing. Rows equal in id and
+text are one document, also where the id is null. An empty table gives an empty one. Texts of any length are cut into segments; columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -38,22 +38,37 @@ def ranked(key: np.ndarray) -> np.ndarray:
 def doubled_ranks(symbols: np.ndarray, end: np.ndarray, longest: int) -> np.ndarray:
     """Ranks of the strings from each place up to its own end, by their first ``longest`` symbols; nothing is smaller than anything.
 
-    As many symbols as fit into a number are sorted at once, then the sorted length is doubled.
+    As many symbols as fit into a number are sorted at once, then the sorted length is doubled for those that are still equal to others.
     """
     n, bits = len(symbols), int(symbols.max() + 1).bit_length()
     at, key, k = np.arange(n), np.zeros(n, np.int64), 62 // bits
     for i in range(k):
-        inside = at + i < end
         key <<= bits
-        key[inside] += symbols[at[inside] + i] + 1
-    rank = ranked(key)
-    while k < longest and rank.max() < n:
-        after = np.zeros(n, np.int64)
-        inside = at + k < end
-        after[inside] = rank[at[inside] + k]
-        rank = ranked(rank * (n + 1) + after)
+        if i < n:
+            key[: n - i] += np.where(at[: n - i] + i < end[: n - i], symbols[i:] + 1, 0)
+    order = np.argsort(key)
+    place, value = np.arange(n), key[order]
+    rank = np.empty(n, np.int64)
+    while True:
+        # place: where equal ones stand in the order; value: what was compared; a rank is the first place of those that are equal.
+        new = np.concatenate([[True], value[1:] != value[:-1]])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(place)), 0))
+        own = order[place]
+        rank[own] = place[first]
+        equal = ~new | np.append(~new[1:], False)
+        open_ = equal & (own + k < end[own])
+        if k >= longest or not open_.any():
+            return rank
+        # Strings that have ended stay with the equal ones that go on.
+        going = np.logical_or.reduceat(open_, np.flatnonzero(new))[np.cumsum(new) - 1]
+        place, own = place[going], own[going]
+        after = np.zeros(len(own), np.int64)
+        inside = own + k < end[own]
+        after[inside] = rank[own[inside] + k] + 1
+        value = rank[own] * (n + 2) + after
+        by = np.argsort(value)
+        order[place], value = own[by], value[by]
         k *= 2
-    return rank
 
 
 def parse_order(text: np.ndarray, marks: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
