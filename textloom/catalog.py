@@ -66,10 +66,10 @@ def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The tables above in SQL.
 PIECES = r"""
-    p AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
+    p AS MATERIALIZED (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
         FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+|\s+') AS ps FROM documents)),
     o AS (SELECT doc_id, i, piece, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS e FROM p),
-    tok AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, CAST(e - length(piece) AS INTEGER) AS start, e AS "end", piece AS word
+    tok AS MATERIALIZED (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx, CAST(e - length(piece) AS INTEGER) AS start, e AS "end", piece AS word
         FROM o WHERE NOT regexp_matches(piece, '^\s+$'))"""
 SENTENCES = r"""
     sp AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
@@ -84,7 +84,7 @@ LINES = r"""
     lines AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx,
         CAST(e - length(ltrim(piece, E' \t\r')) AS INTEGER) AS start, CAST(e - length(piece) + length(rtrim(piece, E' \t\r')) AS INTEGER) AS "end" FROM lo WHERE trim(piece, E' \t\r') <> '')"""
 TAGGED = """
-    tag AS (SELECT doc_id, idx, start, "end", lower(word) AS word, idx // 8 AS sentence, idx % 8 + 1 AS ref,
+    tag AS MATERIALIZED (SELECT doc_id, idx, start, "end", lower(word) AS word, idx // 8 AS sentence, idx % 8 + 1 AS ref,
         (['VB', 'NN', 'PP', 'NN', 'JJ', 'AB', 'VB'])[(length(word) + idx) % 7 + 1] AS pos,
         CASE WHEN idx % 8 > 0 THEN idx - idx % 8 + (idx % 8 - 1) // 2 END AS head,
         CASE WHEN idx % 8 = 0 THEN 'ROOT' ELSE (['SS', 'OO', 'RA', 'PA', 'ET', 'AT', 'VG', 'AA', 'TA'])[(length(word) * 5 + idx) % 9 + 1] END AS relation,
@@ -339,19 +339,29 @@ def smoothed_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EDGES = """
-    e AS (SELECT d.doc_id, d.sentence, h.idx AS h, h.pos AS hp, h.word AS hw, d.relation AS r, d.idx AS d, d.pos AS dp, d.word AS dw FROM tag d JOIN tag h ON d.doc_id = h.doc_id AND d.sentence = h.sentence AND d.head = h.idx),
-    hop AS (SELECT doc_id, h AS at, min_by(struct_pack(i := d, w := dw), d) FILTER (r = 'VG' AND dp = 'VB') AS vg, min_by(struct_pack(i := d, w := dw), d) FILTER (r IN ('PA', 'HD') AND dp = 'NN') AS pn,
-        min_by(struct_pack(i := d, w := dw), d) FILTER (r = 'SS' AND dp = 'HP') AS hp, min_by(struct_pack(i := d, w := dw), d) FILTER (r = 'PA' AND dp IN ('NN', 'PM')) AS pm FROM e GROUP BY 1, 2),
+    e AS MATERIALIZED (SELECT d.doc_id, d.sentence, h.idx AS h, h.pos AS hp, d.relation AS r, d.idx AS d, d.pos AS dp FROM tag d JOIN tag h ON d.doc_id = h.doc_id AND d.head = h.idx),
+    hop AS MATERIALIZED (SELECT doc_id, h AS at, min(d) FILTER (r = 'VG' AND dp = 'VB') AS vg, min(d) FILTER (r IN ('PA', 'HD') AND dp = 'NN') AS pn, min(d) FILTER (r = 'SS' AND dp = 'HP') AS hp,
+        min(d) FILTER (r = 'PA' AND dp IN ('NN', 'PM')) AS pm, count(*) FILTER (r = 'OO') AS oo FROM e GROUP BY 1, 2),
     m AS (SELECT e.*, a.vg, b.pn, b.hp AS hpw, b.pm,
         CASE WHEN e.hp = 'VB' AND r = 'SS' AND dp = 'NN' AND a.vg IS NOT NULL THEN 1 WHEN e.hp = 'VB' AND r IN ('SS', 'OO', 'IO', 'OA') AND dp = 'NN' THEN 2 WHEN e.hp = 'VB' AND r IN ('RA', 'TA') AND dp IN ('AB', 'NN') THEN 2
             WHEN e.hp = 'VB' AND r IN ('RA', 'TA') AND dp = 'PP' AND b.pn IS NOT NULL THEN 4 WHEN e.hp = 'NN' AND r IN ('AT', 'ET') AND dp = 'JJ' THEN 2 WHEN e.hp = 'NN' AND r = 'ET' AND dp = 'VB' AND b.hp IS NOT NULL THEN 6
             WHEN e.hp = 'NN' AND r = 'ET' AND dp = 'PP' AND b.pm IS NOT NULL THEN 7 WHEN e.hp = 'PP' AND r = 'PA' AND dp = 'NN' THEN 2 WHEN e.hp = 'JJ' AND r = 'AA' AND dp = 'AB' THEN 2 END AS rule
         FROM e LEFT JOIN hop a ON e.doc_id = a.doc_id AND e.h = a.at LEFT JOIN hop b ON e.doc_id = b.doc_id AND e.d = b.at),
-    rel AS (SELECT doc_id, sentence, CASE WHEN rule = 1 THEN vg.w ELSE hw END AS head, r AS relation, CASE WHEN rule = 4 THEN pn.w WHEN rule = 7 THEN pm.w ELSE dw END AS dep, CASE WHEN rule IN (4, 7) THEN dw WHEN rule = 6 THEN hpw.w ELSE '' END AS extra FROM m WHERE rule IS NOT NULL
-        UNION ALL SELECT doc_id, sentence, word, 'OO', '', '' FROM tag t WHERE pos = 'VB' AND NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = t.doc_id AND e.h = t.idx AND e.r = 'OO'))"""
-
-
-@query(f"WITH {PIECES}, {TAGGED}, {EDGES} SELECT * FROM rel")
+    ends AS (SELECT doc_id, sentence, CASE WHEN rule = 1 THEN vg ELSE h END AS h, r AS relation, CASE rule WHEN 4 THEN pn WHEN 7 THEN pm ELSE d END AS d, CASE WHEN rule IN (4, 7) THEN d WHEN rule = 6 THEN hpw END AS x FROM m WHERE rule IS NOT NULL
+        UNION ALL SELECT t.doc_id, t.sentence, t.idx, 'OO', NULL, NULL FROM tag t LEFT JOIN hop ON t.doc_id = hop.doc_id AND t.idx = hop.at WHERE t.pos = 'VB' AND coalesce(hop.oo, 0) = 0),
+    rel AS MATERIALIZED (SELECT r.doc_id, r.sentence, r.relation, h.word AS head, h.pos AS head_pos, CAST(h.ref AS INTEGER) AS head_ref, h.lemma AS head_lemma, coalesce(d.word, '') AS dep, coalesce(d.pos, '') AS dep_pos, CAST(coalesce(d.ref, h.ref) AS INTEGER) AS dep_ref,
+            coalesce(d.lemma, '') AS dep_lemma, coalesce(x.word, '') AS extra
+        FROM ends r JOIN tag h ON r.doc_id = h.doc_id AND r.h = h.idx LEFT JOIN tag d ON r.doc_id = d.doc_id AND r.d = d.idx LEFT JOIN tag x ON r.doc_id = x.doc_id AND r.x = x.idx)"""
+TRIPLES = """
+    k AS (SELECT *, unnest([1, 2, 3]) AS kind FROM rel),
+    tri AS MATERIALIZED (SELECT DISTINCT doc_id, sentence, CASE WHEN kind = 2 THEN head ELSE head_lemma END AS head, head_pos, relation, CASE WHEN kind = 3 THEN dep ELSE dep_lemma END AS dep, dep_pos, extra, head_ref, dep_ref,
+        CAST(kind <> 2 AS INTEGER) AS lemma_head, CAST(kind <> 3 AS INTEGER) AS lemma_dep, CAST(kind = 2 AS INTEGER) AS word_head, CAST(kind = 3 AS INTEGER) AS word_dep FROM k)"""
+COUNTS = """
+    g AS MATERIALIZED (SELECT * REPLACE (CASE WHEN relation IN ('OO', 'IO') THEN 'OBJ' WHEN relation IN ('RA', 'TA', 'OA') THEN 'ADV' ELSE relation END AS relation) FROM tri),
+    cnt AS (SELECT head, head_pos, relation, dep, dep_pos, extra, count(*) AS freq, max(lemma_head) AS lemma_head, max(lemma_dep) AS lemma_dep, max(word_head) AS word_head, max(word_dep) AS word_dep FROM g GROUP BY ALL)"""
+
+
+@query(f"WITH {PIECES}, {TAGGED}, {EDGES} SELECT doc_id, sentence, head, relation, dep, extra FROM rel")
 def grammatical_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = relations.relations(tagged(spark, sf_dir))
     return found.select("doc_id", "sentence", F.col("head.word").alias("head"), "relation", F.col("dep.word").alias("dep"), F.coalesce(F.get("extra.baseforms", F.lit(0)), F.lit("")).alias("extra"))
@@ -362,26 +372,39 @@ def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.edges(tagged(spark, sf_dir)).select("doc_id", "sentence", F.col("head.idx").alias("head"), "relation", F.col("dep.idx").alias("dep"))
 
 
-@query(f"""WITH {PIECES}, {TAGGED}, {EDGES}, one AS (SELECT DISTINCT doc_id, sentence, relation, head, dep, extra FROM rel)
-    SELECT relation, count(*) > 0 AS found, count(DISTINCT doc_id) AS n_docs FROM one GROUP BY 1""")
+@query(f"WITH {PIECES}, {TAGGED}, {EDGES}, {TRIPLES} SELECT relation, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM tri GROUP BY 1")
 def relations_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = relations.triples(relations.relations(tagged(spark, sf_dir)))
-    return found.groupBy("relation").agg((F.count("*") > 0).alias("found"), F.count_distinct("doc_id").alias("n_docs"))
+    return found.groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query()
+@query(f"WITH {PIECES}, {TAGGED}, {EDGES}, {TRIPLES} SELECT * FROM tri")
 def relation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.triples(relations.relations(tagged(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {PIECES}, {TAGGED}, {EDGES}, {TRIPLES}, {COUNTS} SELECT * FROM cnt")
 def relation_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.relation_counts(relation_triples(spark, sf_dir))["relations"]
+    return relations.relation_counts(relation_triples(spark, sf_dir))["relations"].drop("id")
 
 
-@query()
+@query(f"WITH {PIECES}, {TAGGED}, {EDGES}, {TRIPLES}, {COUNTS} SELECT head, head_pos, relation, count(*) AS freq FROM g WHERE lemma_head = 1 AND lemma_dep = 1 OR word_head = 1 GROUP BY ALL")
+def relation_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.relation_counts(relation_triples(spark, sf_dir))["head_relation"]
+
+
+@query(f"WITH {PIECES}, {TAGGED}, {EDGES}, {TRIPLES}, {COUNTS} SELECT dep, dep_pos, extra, relation, count(*) AS freq FROM g WHERE lemma_head = 1 AND lemma_dep = 1 OR word_dep = 1 GROUP BY ALL")
+def relation_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.relation_counts(relation_triples(spark, sf_dir))["dep_relation"]
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, {EDGES}, {TRIPLES}, {COUNTS}, n AS (SELECT relation, count(*) AS n FROM g WHERE lemma_head = 1 AND lemma_dep = 1 GROUP BY 1),
+    nh AS (SELECT head, head_pos, relation, count(*) AS nh FROM g WHERE lemma_head = 1 AND lemma_dep = 1 OR word_head = 1 GROUP BY ALL),
+    nd AS (SELECT dep, dep_pos, extra, relation, count(*) AS nd FROM g WHERE lemma_head = 1 AND lemma_dep = 1 OR word_dep = 1 GROUP BY ALL)
+    SELECT head, head_pos, relation, dep, dep_pos, extra, freq, round(freq * log2(n * freq / (nh * nd)), 9) AS mi FROM cnt JOIN n USING (relation) JOIN nh USING (head, head_pos, relation) JOIN nd USING (dep, dep_pos, extra, relation)
+    WHERE lemma_head = 1 AND lemma_dep = 1""")
 def relation_association(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.association(relations.relation_counts(relation_triples(spark, sf_dir)))
+    return relations.association(relations.relation_counts(relation_triples(spark, sf_dir))).drop("id").withColumn("mi", F.round("mi", 9))
 
 
 @query("""SELECT c_custkey, c_nationkey, n_name || ';' || r_name AS value FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
