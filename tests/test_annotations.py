@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import random
+import re
 import zipfile
 
 import pytest
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from textloom import catalog
 from textloom.functions import dates, tags, values
 from textloom.operators import frequency, lexicon, models, numbering, readability, relations, segmentation, spans
-from textloom.plans import corpus
-from textloom.sinks import exporters
+from textloom.plans import names
+from textloom.sinks import exporters, trees
 from textloom.sources import importers
 
 SF = "/root/testdata/sf0.001"
@@ -255,32 +256,99 @@ def test_formats(spark, tmp_path):
     assert exporters.vrt(tokens, ["word", "pos"]).first()["content"] == '<text id="7">\n<sentence id="0">\na&amp;\tX\nb\t\n</sentence>\n<sentence id="1">\nc\tY\n</sentence>\n</text>\n'
     assert exporters.conllu(tokens, {"ID": "idx", "FORM": "word", "XPOS": "pos"}).first()["content"].splitlines()[:3] == ["# sent_id = 0", "0\ta&\t_\t_\tX\t_\t_\t_\t_\t_", "1\tb\t_\t_\t_\t_\t_\t_\t_\t_"]
     docs = spark.createDataFrame([(7, "a b c"), (8, "x<y")], "doc_id long, text string")
-    assert {r["doc_id"]: r["content"] for r in exporters.xml_preserved(tokens, docs, ["pos"]).collect()} == {7: '<text id="7"><token pos="X">a</token> <token>b</token> <token pos="Y">c</token></text>\n', 8: '<text id="8">x&lt;y</text>\n'}
+    assert {r["doc_id"]: r["content"] for r in trees.tree(docs, {"token": tokens}, {"token": ["pos"]}, "preserved").collect()} == {7: '<text id="7"><token pos="X">a</token> <token>b</token> <token pos="Y">c</token></text>\n', 8: '<text id="8">x&lt;y</text>\n'}
     exporters.write_documents(exporters.combined(exporters.xml_pretty(tokens, ["pos"]), "c"), str(tmp_path / "out"), "bzip2")
     assert any(name.endswith(".bz2") for name in os.listdir(tmp_path / "out"))
     assert [r[0] for r in exporters.sql_rows(spark.createDataFrame([(1, "o'x", None)], "a long, b string, c string"), "t").collect()] == ["INSERT INTO `t` (`a`, `b`, `c`) VALUES (1, 'o''x', NULL);"]
 
 
-def test_corpus_makes_what_is_asked_for(spark):
-    own = corpus.Corpus(texts(spark, "One two. Three."))
-    assert own.plan("misc.ref") == ["segment.token", "segment.sentence", "misc.ref"]
-    assert [r["ref"] for r in own["misc.ref"].orderBy("idx").collect()] == ["1", "2", "3", "1", "2"]
-    with pytest.raises(KeyError):
-        own["nothing"]
-    assert corpus.select_annotations(["a", "b", "c"], ["a as x", "...", "not c"]) == {"a": "x", "b": "b"}
-    assert corpus.export_names(["m.word", "n.word", "m.pos"]) == {"m.word": "m.word", "n.word": "n.word", "m.pos": "pos"}
+def test_export_names():
+    assert names.select_annotations(["a", "b", "c"], ["a as x", "...", "not c"]) == {"a": "x", "b": "b"}
+    assert names.export_names(["m.word", "n.word", "m.pos"]) == {"m.word": "m.word", "n.word": "n.word", "m.pos": "pos"}
+    assert names.without_collisions({"m.a": "a", "m.b": "b"}, ["b"]) == {"m.a": "a", "m.b": "corpus.b"}
+    assert [exporters.xml_name(n) for n in ("a.b", "1st", "a b:c", "é")] == ["a.b", "_1st", "a_b_c", "é"]
+
+
+def test_crossing_spans():
+    """Every mark is closed in the order of opening, every piece of text has just the spans that cover it, and parts of a span have one number."""
+    rng = random.Random(1)
+    for _ in range(300):
+        n = rng.randint(1, 12)
+        own = sorted({(a, rng.randint(a, n)) for a in (rng.randrange(n) for _ in range(rng.randint(1, 7)))}, key=lambda s: (s[0], s[1] > s[0], -s[1]))
+        events, crossing = trees.nested_events(own)
+        stack, covered, at, opened = [], [set() for _ in range(n)], 0, [0] * len(own)
+        for place, kind, k in events:
+            assert place >= at
+            for x in range(at, place):
+                covered[x] = set(stack)
+            at = place
+            if kind == "close":
+                assert stack.pop() == k
+            else:
+                stack.append(k)
+                opened[k] += 1
+        assert not stack
+        for x in range(n):
+            assert covered[x] == {k for k, (a, b) in enumerate(own) if a <= x < b} or x >= at
+        assert {k for k, c in enumerate(opened) if c > 1} <= set(crossing) and all(opened)
+
+
+def test_trees(spark):
+    docs = spark.createDataFrame([(1, "a b. c d"), (2, None), (3, "x")], "doc_id long, text string")
+    part = spark.createDataFrame([(1, 0, 0, 8, "p")], "doc_id long, idx int, start int, end int, kind string")
+    line = spark.createDataFrame([(1, 0, 0, 4, 1), (1, 1, 5, 8, 0)], "doc_id long, idx int, start int, end int, place int")
+    token = spark.createDataFrame([(1, 0, 0, 1, "a"), (1, 1, 2, 3, "b"), (1, 2, 3, 4, "."), (1, 3, 5, 6, "c"), (1, 4, 7, 8, "d")], "doc_id long, idx int, start int, end int, word string")
+    tables = {"part": part, "line": line, "token": token}
+    got = {r["doc_id"]: r["content"] for r in trees.tree(docs, tables, {"part": ["kind"]}).collect()}
+    assert got[1] == '<text id="1">\n  <part kind="p">\n    <line>\n      <token>a</token>\n      <token>b</token>\n      <token>.</token>\n    </line>\n    <line>\n      <token>c</token>\n      <token>d</token>\n    </line>\n  </part>\n</text>\n'
+    assert got[2] == '<text id="2">\n</text>\n' and got[3] == '<text id="3">\n</text>\n'
+    got = {r["doc_id"]: r["content"] for r in trees.tree(docs, tables, {}, "vertical", scramble="line").collect()}
+    assert got[1] == '<text id="1">\n<part>\n<line>\nc\nd\n</line>\n<line>\na\nb\n.\n</line>\n</part>\n</text>\n'
+    crossing = spark.createDataFrame([(1, 0, 0, 3)], "doc_id long, idx int, start int, end int")
+    other = spark.createDataFrame([(1, 0, 2, 6)], "doc_id long, idx int, start int, end int")
+    got = {r["doc_id"]: r["content"] for r in trees.tree(docs, {"x": crossing, "y": other}, {}, "preserved").collect()}
+    assert got[1] == '<text id="1"><x>a <y overlap="1">b</y></x><y overlap="1">. c</y> d</text>\n' and got[2] == '<text id="2"></text>\n'
+    # Two chapters, of which the lines are mixed: their elements are closed and opened around them.
+    chapter = spark.createDataFrame([(1, 0, 0, 4), (1, 1, 5, 8)], "doc_id long, idx int, start int, end int")
+    got = trees.tree(docs.where("doc_id = 1"), {"chapter": chapter, "line": line, "token": token}, {"chapter": ["idx"]}, "vertical", scramble="line").first()["content"]
+    assert got == '<text id="1">\n<chapter idx="1">\n<line>\nc\nd\n</line>\n</chapter>\n<chapter idx="0">\n<line>\na\nb\n.\n</line>\n</chapter>\n</text>\n'
+
+
+def test_sql_texts(spark):
+    rows = spark.createDataFrame([(i, f"n'{i}") for i in range(25)], "id long, name string")
+    made = [r["statement"] for r in exporters.sql_inserts(rows, "t", "id", rows_a_statement=10).collect()]
+    found = sorted(int(x) for m in made for x in re.findall(r"^\((\d+), 'n''\1'\)", m, re.M))
+    assert found == list(range(25)) and all(m.startswith("INSERT INTO `t` (`id`, `name`) VALUES\n(") and m.endswith(");") for m in made)
+    assert exporters.sql_inserts(rows.where("false"), "t", "id").count() == 0
+    assert exporters.sql_table(rows, "t", ("id",), ("name",))["create"] == "CREATE TABLE `temp_t` (`id` BIGINT, `name` VARCHAR(255), PRIMARY KEY (`id`), INDEX `name` (`name`));"
+
+
+def test_file_ids_of_many_names(spark):
+    got = [r["file_id"] for r in numbering.file_ids(spark.range(20_000).select(F.col("id").cast("string").alias("file"))).collect()]
+    assert len(got) == len(set(got)) == 20_000
+    some = numbering.file_ids(spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "file string")).collect()
+    assert sorted(r["file"] for r in some) == ["a", "b"]
+
+
+def test_tag_sets(spark):
+    cases = [("VMN0000", "cat", "EAGLES", "VERB"), ("Fp", "cat", "EAGLES", "PUNCT"), ("NP", "spa", "EAGLES", "PROPN"), ("CS", "rus", "EAGLES", "CONJ"), ("NNP", "eng", "Penn", "PROPN"), ("Fat", "eng", "Penn", "PUNCT"), ("FW", "eng", "Penn", "X"), ("Zu", "eng", "Penn", "NUM"), ("Vpi", "bul", "BulTreeBank", "VERB"),
+        ("J.crd", "est", "TreeTagger", "X"), ("V.main", "est", "TreeTagger", "VERB"), ("PrfPrc", "fin", "FinnTreeBank", "VERB"), ("CC_x", "fin", "FinnTreeBank", "CONJ"), ("$.", "nld", "TreeTagger", "PUNCT"), ("nounpl", "nld", "TreeTagger", "NOUN"), ("N:nom", "lat", "TreeTagger", "NOUN"), ("subst:sg", "pol", "NationalCorpusofPolish", "NOUN"),
+        ("Vmip", "ron", "MULTEXT", "VERB"), ("Afp", "ron", "MULTEXT", "ADJ"), (",", "slk", "SlovakNationalCorpus", "PUNCT"), ("SSms", "slk", "SlovakNationalCorpus", "NOUN"), (":q", "slk", "SlovakNationalCorpus", "X"), ("$(", "deu", "STTS", "PUNCT"), ("XYZ", "fra", "TreeTagger", "X"), ("PRO:PER", "fra", "TreeTagger", "PRON"),
+        ("VMinf", "spa", "TreeTagger", "VERB"), ("ADJ", "spa", "TreeTagger", "ADJ"), ("VER:infi", "ita", "TreeTagger", "VERB"), ("Sp-l", "rus", "TreeTagger", "ADP"), ("NN", "swe", "SUC", "NOUN"), ("N", "swe", "none", "")]
+    row = spark.range(1).select(*[tags.upos(F.lit(t), language, kind).alias(f"c{i}") for i, (t, language, kind, _) in enumerate(cases)]).first()
+    assert [(c[0], row[i]) for i, c in enumerate(cases)] == [(c[0], c[3]) for c in cases]
 
 
 def test_streams(spark, tmp_path):
     from textloom.streaming import annotate
 
     spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
-    stream = annotate.token_stream(annotate.arriving(spark, str(tmp_path / "in"), "doc_id long, text string"))
+    stream = segmentation.token_table(annotate.arriving(spark, str(tmp_path / "in"), "doc_id long, text string"))
     annotate.write_table(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert sorted(r["word"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
 
 
-@pytest.mark.parametrize("name", ["tokens", "token_sentence", "head_and_tail", "frequency_list", "grammatical_relations", "date_ranges", "vertical_text"])
+@pytest.mark.parametrize("name", ["tokens", "token_sentence", "head_and_tail", "frequency_list", "grammatical_relations", "relation_association", "date_ranges", "vertical_text", "xml_preserved", "span_events"])
 def test_catalogue_against_sql(spark, name):
     import duckdb
 

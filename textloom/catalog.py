@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions import dates, tags, values
 from textloom.operators import frequency, lexicon, models, numbering, readability, relations, segmentation, spans
-from textloom.sinks import exporters
+from textloom.sinks import exporters, trees
 from textloom.sources import importers
+from textloom.streaming import annotate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +84,17 @@ LINES = r"""
     lo AS (SELECT doc_id, i, piece, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS e FROM lp),
     lines AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS idx,
         CAST(e - length(ltrim(piece, E' \t\r')) AS INTEGER) AS start, CAST(e - length(piece) + length(rtrim(piece, E' \t\r')) AS INTEGER) AS "end" FROM lo WHERE trim(piece, E' \t\r') <> '')"""
+# Sentences that no line break crosses.
+INNER = r"""
+    ip AS (SELECT doc_id, ls, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i
+        FROM (SELECT l.doc_id, l.start AS ls, regexp_extract_all(substring(d.text, l.start + 1, l."end" - l.start), '[^.!?]*[.!?]+\s*|[^.!?]+') AS ps FROM lines l JOIN documents d USING (doc_id))),
+    io AS (SELECT doc_id, ls, piece, ls + sum(length(piece)) OVER (PARTITION BY doc_id, ls ORDER BY i) AS e FROM ip),
+    it AS (SELECT doc_id, CAST(e - length(ltrim(piece, E' \n\t\r')) AS INTEGER) AS start, CAST(e - length(piece) + length(rtrim(piece, E' \n\t\r')) AS INTEGER) AS "end" FROM io WHERE trim(piece, E' \n\t\r') <> ''),
+    inner_sent AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS idx, start, "end" FROM it)"""
+# What stands between opening and closing marks of lines and tokens.
+XML = lambda column: f"replace(replace(replace(replace({column}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+LINE_TOKENS = """
+    lt AS (SELECT l.doc_id, l.idx AS line, t.idx, t.word FROM lines l JOIN tok t ON l.doc_id = t.doc_id AND l.start <= t.start AND t."end" <= l."end")"""
 TAGGED = """
     tag AS MATERIALIZED (SELECT doc_id, idx, start, "end", lower(word) AS word, idx // 8 AS sentence, idx % 8 + 1 AS ref,
         (['VB', 'NN', 'PP', 'NN', 'JJ', 'AB', 'VB'])[(length(word) + idx) % 7 + 1] AS pos,
@@ -121,7 +133,7 @@ def trained_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.segment(docs(spark, sf_dir), segmentation.trained_sentences(abbreviations=("ca.", "etc.")))
 
 
-@query()
+@query(f"WITH {LINES}, {INNER} SELECT * FROM inner_sent")
 def sentences_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that no line break crosses."""
     own = docs(spark, sf_dir)
@@ -191,6 +203,11 @@ def sentence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.span_ids(sentences_of(spark, sf_dir), "sentence")
 
 
+@query("SELECT count(DISTINCT doc_id) AS files, count(DISTINCT doc_id) AS ids FROM documents")
+def file_ids_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_ids(spark, sf_dir).agg(F.count("*").alias("files"), F.count_distinct("file_id").alias("ids"))
+
+
 @query()
 def file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.file_ids(docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file")))
@@ -442,12 +459,12 @@ def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PIECES}, {TAGGED}, {CLASSED}, f AS (SELECT class, count(*) / (SELECT count(*) FROM cl) AS freq FROM cl WHERE class IS NOT NULL GROUP BY 1),
     n AS (SELECT doc_id, class, count(*) AS n FROM cl WHERE class IS NOT NULL GROUP BY 1, 2), t AS (SELECT doc_id, count(*) AS total FROM cl GROUP BY 1),
     d AS (SELECT doc_id, class, n / total / freq AS dominance FROM n JOIN t USING (doc_id) JOIN f USING (class) WHERE n / total / freq >= 1),
-    r AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY dominance DESC) AS place FROM d) SELECT doc_id, class, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
+    r AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY dominance DESC) AS place FROM d) SELECT doc_id, class, round(dominance, 9) AS dominance, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
 def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _classed(spark, sf_dir)
     total = own.count()
     reference = own.select(F.explode("classes").alias("class")).groupBy("class").agg((F.count("*") / F.lit(total)).alias("freq"))
-    return lexicon.text_classes(own, reference, ["doc_id"]).select("doc_id", "class", "place")
+    return lexicon.text_classes(own, reference, ["doc_id"]).select("doc_id", "class", F.round("dominance", 9).alias("dominance"), "place")
 
 
 @query("""WITH g AS (SELECT lower(n_name) AS k, max_by(n_name || ';' || r_name || ';0;0', n_nationkey) AS place FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
@@ -460,7 +477,8 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.places(names, gazetteer, ["text"]).select(F.col("text").cast("long").alias("text"), F.array_join("places", "|").alias("places"))
 
 
-@query()
+@query(f"""WITH {PIECES}, {TAGGED}, f(a, b, reading) AS (VALUES ('of', 'the', 'of-the'), ('to', 'the', 'to-the'), ('in', 'the', 'in-the'), ('de', 'la', 'de-la'), ('von', 'der', 'von-der'))
+    SELECT x.doc_id, x.sentence, x.idx AS first, y.idx AS last, reading FROM tag x JOIN tag y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND y.idx = x.idx + 1 JOIN f ON x.word = f.a AND y.word = f.b""")
 def multiword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = tagged(spark, sf_dir)
     phrases = spark.createDataFrame([("of the", "of-the"), ("to the", "to-the"), ("in the", "in-the"), ("de la", "de-la"), ("von der", "von-der")], "form string, reading string")
@@ -474,13 +492,15 @@ def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.compounds(words, parts)
 
 
-@query()
+@query(fr"""WITH {PIECES} SELECT doc_id, idx, CASE lower(word) WHEN 'the' THEN 'DT.DEF' WHEN 'and' THEN 'KN' WHEN 'of' THEN 'PP' WHEN 'is' THEN 'VB.PRS.AKT' ELSE CASE WHEN regexp_matches(word, '^[.!?]+$') THEN 'MAD'
+    WHEN regexp_matches(word, '^[^\p{{L}}\p{{N}}]+$') THEN 'MID' WHEN regexp_matches(word, '^\p{{N}}+$') THEN 'RG.NOM' WHEN regexp_matches(word, '^\p{{Lu}}') THEN 'PM.NOM' ELSE 'NN' END END AS msd FROM tok""")
 def lexicon_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.createDataFrame([("the", "DT.DEF"), ("and", "KN"), ("of", "PP"), ("is", "VB.PRS.AKT")], "form string, msd string")
     return lexicon.tag_by_lexicon(tokens_of(spark, sf_dir), known).select("doc_id", "idx", "msd")
 
 
-@query()
+@query(f"""WITH {PIECES}, {TAGGED}, l AS (SELECT doc_id, sentence, '# sentence.sentence = ' || sentence || E'\\n' || string_agg(word || E'\\t' || pos || E'\\t' || ref, E'\\n' ORDER BY idx) || E'\\n' AS body FROM tag GROUP BY 1, 2)
+    SELECT doc_id, E'word\\tpos\\tref\\n' || string_agg(body, E'\\n' ORDER BY sentence) || E'\\n' AS content FROM l GROUP BY 1""")
 def tables_as_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exporters.csv(tagged(spark, sf_dir), ["word", "pos", "ref"], ["sentence"])
 
@@ -498,21 +518,46 @@ def scrambled_vertical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exporters.vrt(own.join(order, (F.col("doc_id") == F.col("o_doc")) & (F.col("sentence") == F.col("o_sentence"))), ["word", "pos"], order="place")
 
 
-@query()
+@query(f"""WITH {PIECES}, {TAGGED}, l AS (SELECT doc_id, sentence, '# sent_id = ' || sentence || E'\\n' || string_agg(ref || E'\\t' || word || E'\\t_\\t_\\t' || pos || E'\\t_\\t_\\t' || relation || E'\\t_\\t_', E'\\n' ORDER BY idx) || E'\\n' AS body FROM tag GROUP BY 1, 2)
+    SELECT doc_id, string_agg(body, E'\\n' ORDER BY sentence) || E'\\n' AS content FROM l GROUP BY 1""")
 def conllu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exporters.conllu(tagged(spark, sf_dir), {"ID": "ref", "FORM": "word", "XPOS": "pos", "DEPREL": "relation"})
 
 
-@query()
+@query(f"""WITH {PIECES}, {TAGGED}, l AS (SELECT doc_id, sentence, '  <sentence id="' || sentence || E'">\\n' || string_agg('    <token pos="' || pos || '" ref="' || ref || '">' || {XML("word")} || '</token>', E'\\n' ORDER BY idx) || E'\\n  </sentence>' AS body FROM tag GROUP BY 1, 2)
+    SELECT doc_id, '<text id="' || doc_id || E'">\\n' || string_agg(body, E'\\n' ORDER BY sentence) || E'\\n</text>\\n' AS content FROM l GROUP BY 1""")
 def xml_pretty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exporters.xml_pretty(tagged(spark, sf_dir), ["pos", "ref"])
 
 
-@query("SELECT doc_id, '<text id=\"' || doc_id || '\">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') || E'</text>\\n' AS content FROM documents")
+def _lines_and_tokens(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"line": segmentation.segment(docs(spark, sf_dir), "line_breaks"), "token": tokens_of(spark, sf_dir)}
+
+
+@query(f"""WITH {PIECES}, {LINES}, ev AS (
+        SELECT doc_id, start AS place, 1 AS phase, -"end" AS far, 0 AS depth, '<line idx="' || idx || '">' AS mark FROM lines UNION ALL SELECT doc_id, "end", 0, -start, 0, '</line>' FROM lines
+        UNION ALL SELECT doc_id, start, 1, -"end", 1, '<token idx="' || idx || '">' FROM tok UNION ALL SELECT doc_id, "end", 0, -start, -1, '</token>' FROM tok),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place, phase, far, depth) AS n FROM ev),
+    g AS (SELECT r.doc_id, n, place, {XML("substring(d.text, 1 + coalesce(lag(place) OVER w, 0), place - coalesce(lag(place) OVER w, 0))")} || mark AS piece FROM r JOIN documents d USING (doc_id) WINDOW w AS (PARTITION BY r.doc_id ORDER BY n)),
+    b AS (SELECT doc_id, string_agg(piece, '' ORDER BY n) AS body, max(place) AS last FROM g GROUP BY 1)
+    SELECT d.doc_id, '<text id="' || d.doc_id || '">' || coalesce(b.body, '') || {XML("substring(d.text, 1 + coalesce(b.last, 0))")} || E'</text>\\n' AS content FROM documents d LEFT JOIN b USING (doc_id)""")
 def xml_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the token marks taken out again it is the text as it was."""
-    own = exporters.xml_preserved(tokens_of(spark, sf_dir), docs(spark, sf_dir), ["idx"])
-    return own.select("doc_id", F.regexp_replace("content", r"<token[^>]*>|</token>", "").alias("content"))
+    return trees.tree(docs(spark, sf_dir), _lines_and_tokens(spark, sf_dir), {"line": ["idx"], "token": ["idx"]}, "preserved")
+
+
+@query(f"""WITH {PIECES}, {LINES}, {LINE_TOKENS}, b AS (SELECT doc_id, line, '  <line idx="' || line || E'">\\n' || string_agg('    <token idx="' || idx || '">' || {XML("word")} || E'</token>\\n', '' ORDER BY idx) || E'  </line>\\n' AS body FROM lt GROUP BY 1, 2)
+    SELECT doc_id, '<text id="' || doc_id || E'">\\n' || coalesce(string_agg(body, '' ORDER BY line), '') || E'</text>\\n' AS content FROM documents LEFT JOIN b USING (doc_id) GROUP BY 1""")
+def xml_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trees.tree(docs(spark, sf_dir), _lines_and_tokens(spark, sf_dir), {"line": ["idx"], "token": ["idx"]})
+
+
+@query(f"""WITH {PIECES}, {LINES}, {LINE_TOKENS}, b AS (SELECT doc_id, line, '<line idx="' || line || E'">\\n' || string_agg({XML("word")} || E'\\t' || idx || E'\\n', '' ORDER BY idx) || E'</line>\\n' AS body FROM lt GROUP BY 1, 2)
+    SELECT doc_id, '<text id="' || doc_id || E'">\\n' || coalesce(string_agg(body, '' ORDER BY line DESC), '') || E'</text>\\n' AS content FROM documents LEFT JOIN b USING (doc_id) GROUP BY 1""")
+def reversed_vertical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in another order, here the last first."""
+    tables = _lines_and_tokens(spark, sf_dir)
+    tables["line"] = tables["line"].withColumn("place", -F.col("idx"))
+    return trees.tree(docs(spark, sf_dir), tables, {"line": ["idx"]}, "vertical", ("word", "idx"), scramble="line")
 
 
 @query("SELECT 'INSERT INTO `n` (`n_nationkey`, `n_name`) VALUES (' || n_nationkey || ', ''' || n_name || ''');' AS statement FROM nation")
@@ -520,24 +565,219 @@ def sql_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exporters.sql_rows(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name"), "n")
 
 
-@query()
+@query(r"""WITH t AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages),
+    u AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<(/p|br|/div|/li|/h[1-6]|/tr)\b[^>]*>', E'\n', 'g'), '<[^>]*>', '', 'g') AS t FROM t),
+    v AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM u)
+    SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', E'\n', 'g'), ' ') AS text FROM v""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", importers.page_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(f"""WITH {PIECES}, {TAGGED}, s AS (SELECT doc_id, sentence, 6 + sum(5 + length(word)) AS size, sum(5 + length(word)) AS inside FROM tag GROUP BY 1, 2),
+    sp AS (SELECT *, 3 + coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY sentence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s),
+    t AS (SELECT t.*, sp.start + 5 + coalesce(sum(5 + length(word)) OVER (PARTITION BY t.doc_id, t.sentence ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM tag t JOIN sp USING (doc_id, sentence))
+    SELECT doc_id, 'token' AS element, idx, CAST(place AS INTEGER) AS start, CAST(place + length(word) AS INTEGER) AS "end", 'pos=' || pos AS attributes FROM t
+    UNION ALL SELECT doc_id, 'sentence', CAST(sentence AS INTEGER), CAST(start AS INTEGER), CAST(start + inside + 3 AS INTEGER), 'id=' || sentence FROM sp
+    UNION ALL SELECT doc_id, 'text', 0, 0, CAST(1 + sum(size) AS INTEGER), 'id=' || doc_id FROM s GROUP BY doc_id""")
 def imported_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XML made of the documents, read back into elements."""
     made = exporters.xml_pretty(tagged(spark, sf_dir), ["pos"]).select("doc_id", F.encode("content", "UTF-8").alias("content"))
-    return importers.elements(importers.parsed(made, importers.xml_parser()))
+    found = importers.elements(importers.parsed(made, importers.xml_parser(form=None)))
+    return found.withColumn("attributes", F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda a: F.concat(a["key"], F.lit("="), a["value"])), ","))
 
 
-@query()
+@query(f"""WITH {LINES}, {INNER}, sp AS (SELECT doc_id, 'line' AS annotation, idx, start, "end", 0 AS level FROM lines UNION ALL SELECT doc_id, 'sentence', idx, start, "end", 1 FROM inner_sent),
+    ev AS (SELECT doc_id, start AS "at", true AS opens, annotation, idx, 2 AS phase, -"end" AS far, level AS depth FROM sp UNION ALL SELECT doc_id, "end", false, annotation, idx, 0, -start, -level FROM sp)
+    SELECT doc_id, "at", opens, annotation, idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "at", phase, far, depth, idx, opens DESC) AS INTEGER) AS rank FROM ev""")
 def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = docs(spark, sf_dir)
     return spans.events({"line": segmentation.segment(own, "line_breaks"), "sentence": segmentation.segment(own, "stops", chunks=segmentation.segment(own, "line_breaks"))})
 
 
+@query(f"""WITH {SENTENCES}, {LINES} SELECT doc_id, 'line' AS annotation, idx, start, "end" FROM lines UNION ALL SELECT doc_id, 'sentence', idx, start, "end" FROM sent""")
+def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.merged({"line": segmentation.segment(docs(spark, sf_dir), "line_breaks"), "sentence": sentences_of(spark, sf_dir)})
+
+
+@query(f"""WITH {SENTENCES}, {LINES} SELECT 'line' AS outer, 'sentence' AS inner, (SELECT count(*) FROM sent s WHERE EXISTS (SELECT 1 FROM lines l WHERE l.doc_id = s.doc_id AND l.start <= s.start AND s."end" <= l."end")) AS n
+    UNION ALL SELECT 'sentence', 'line', (SELECT count(*) FROM lines l WHERE EXISTS (SELECT 1 FROM sent s WHERE l.doc_id = s.doc_id AND s.start <= l.start AND l."end" <= s."end"))""")
+def element_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.element_order({"line": segmentation.segment(docs(spark, sf_dir), "line_breaks"), "sentence": sentences_of(spark, sf_dir)})
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN n_nationkey % 5 = 4 THEN 'none' ELSE r_name END AS value FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def key_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_nationkey").cast("string").alias("value"))
+    nation = table(spark, sf_dir, "nation").where("n_nationkey % 5 <> 4").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("key"), F.col("r_name").alias("value"))
+    return spans.chain(own, nation, region, default="none")
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g'), '\p{Cf}', '', 'g') AS text FROM pages")
+def cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", values.without_format_characters(values.without_control_characters(F.col("html"))).alias("text"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority ELSE o_orderstatus END AS overridden, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE o_orderstatus || '+F' END AS twins, replace(o_clerk, '.', '-') AS index_name,
+    CASE o_orderkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.75 WHEN 2 THEN 0.66 ELSE 0.25 END AS precision, 'name=' || o_orderkey || ':0.5' AS affixed FROM (SELECT *, o_orderpriority || '.x' AS o_clerk FROM orders)""")
+def more_value_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, priority, k = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderkey") % 4
+    msd = F.when(k == 0, "").when(k == 1, "NN.UTR").when(k == 2, "NN.NEU").otherwise("VB.PRS")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", values.overridden(status, F.when(status == "O", priority).otherwise(F.when(status == "F", "|").otherwise(""))).alias("overridden"), values.joined(status, F.lit("F"), separator="+", merge_twins=True).alias("twins"),
+        values.index_name(F.concat(priority, F.lit(".x"))).alias("index_name"), values.reading_precision(msd, F.array(F.lit("NN.UTR"))).alias("precision"), values.affixed(F.col("o_orderkey").cast("string"), "name=", ":0.5").alias("affixed"),
+    )
+
+
+LEXICON = """
+    lx AS (SELECT t.doc_id, t.idx, word || r.s AS reading, CASE WHEN pos = 'NN' AND (idx % 2 = 0) = (r.s = '..nn.1') THEN 0.75 WHEN pos = 'NN' THEN 0.66 WHEN pos = 'VB' AND idx % 2 = 0 AND r.s = '..nn.2' THEN 0.75 WHEN pos = 'VB' AND r.s = '..nn.2' THEN 0.66 END AS precision
+        FROM tag t, (VALUES ('..nn.1'), ('..nn.2')) r(s) WHERE length(word) % 4 = 0)"""
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, {LEXICON}, n AS (SELECT *, precision / sum(precision) OVER (PARTITION BY doc_id, idx) AS score FROM lx WHERE precision IS NOT NULL)
+    SELECT doc_id, idx, reading, round(score, 9) AS score FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, idx) AS best FROM n) WHERE score >= best - 0.05""")
+def lexicon_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tagged(spark, sf_dir).withColumn("msd", F.concat("pos", F.when(F.col("idx") % 2 == 0, ".a").otherwise(".b")))
+    forms = own.where(F.length("word") % 4 == 0).select(F.col("word").alias("form")).distinct()
+    first = forms.select("form", F.concat("form", F.lit("..nn.1")).alias("reading"), F.array(F.lit("NN.a")).alias("tags"))
+    second = forms.select("form", F.concat("form", F.lit("..nn.2")).alias("reading"), F.array(F.lit("NN.b"), F.lit("VB.a")).alias("tags"))
+    found = lexicon.readings(own.select("doc_id", "idx", "word", "msd"), first.unionByName(second), epsilon=0.05)
+    return found.select("doc_id", "idx", "reading", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {PIECES}, {TAGGED} SELECT doc_id, idx, CASE WHEN length(word) % 2 = 0 THEN word || '..nn.1' WHEN length(word) % 3 = 0 THEN word || '-old' WHEN length(word) % 5 = 0 THEN word || '-older' ELSE '' END AS lemma FROM tag""")
+def fallback_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tagged(spark, sf_dir)
+    forms = own.select(F.col("word").alias("form")).distinct()
+    tables = [forms.where(F.length("form") % n == 0).select("form", F.array(F.concat("form", F.lit(end))).alias("values")) for n, end in ((3, "-old"), (5, "-older"))]
+    return lexicon.fallback(own.select("doc_id", "idx", "word", "lemmas"), "lemmas", *tables).select("doc_id", "idx", F.array_join("lemmas", "|").alias("lemma"))
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, v AS (SELECT DISTINCT left(word, length(word) - 1) AS form, word AS variant FROM tag WHERE length(word) BETWEEN 5 AND 8)
+    SELECT doc_id, idx, coalesce(s.variants, '') AS variants FROM tag LEFT JOIN (SELECT form, string_agg(variant, '|' ORDER BY variant) AS variants FROM v GROUP BY 1) s ON word = form""")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tagged(spark, sf_dir)
+    known = own.where(F.length("word").between(5, 8)).select(F.expr("left(word, length(word) - 1)").alias("form"), F.col("word").alias("variant")).distinct()
+    return lexicon.variants(own.select("doc_id", "idx", "word"), known).select("doc_id", "idx", F.array_join("variants", "|").alias("variants"))
+
+
+@query(f"""WITH {PIECES}, {TAGGED} SELECT doc_id, idx, CASE WHEN length(word) % 4 = 0 THEN word || '-today' ELSE '' END AS modern FROM tag""")
+def modern_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemmas linked through a pivot lexicon; of several links the last exact one counts."""
+    own = tagged(spark, sf_dir).select("doc_id", "idx", "word", "lemmas")
+    forms = own.select(F.explode("lemmas").alias("form"), "word").distinct().where(F.length("word") % 4 == 0)
+    links = forms.select("form", F.explode(F.array(F.struct(F.lit("-before").alias("end"), F.lit("exactMatch").alias("kind"), F.lit(0).alias("place")), F.struct(F.lit("-today").alias("end"), F.lit("exactMatch").alias("kind"), F.lit(1).alias("place")), F.struct(F.lit("-near").alias("end"), F.lit("closeMatch").alias("kind"), F.lit(2).alias("place")))).alias("l"), "word")
+    pivot = models.pivot_lexicon(links.select("form", F.concat("word", "l.end").alias("value"), "l.kind", "l.place"))
+    return lexicon.linked(own, pivot, "lemmas", "modern").select("doc_id", "idx", F.array_join("modern", "|").alias("modern"))
+
+
+@query("SELECT p_partkey, ([ 'NN', 'PM|PMA', 'JJ', '' ])[p_partkey % 4 + 1] AS pos FROM part")
+def homograph_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lemgrams = F.element_at(F.array(F.array(F.lit("bok..nn.1"), F.lit("bok..e.1")), F.array(F.lit("Lund..pm.1"), F.lit("Lund..pma.1")), F.array(F.lit("grön..av.1"), F.lit("grön..av.2")), F.array(F.lit("x..sxc.1"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    mapping = spark.createDataFrame([("nn", ["NN"]), ("pm", ["PM"]), ("pma", ["PMA"]), ("av", ["JJ"])], "pos string, tags array<string>")
+    own = table(spark, sf_dir, "part").select("p_partkey", lemgrams.alias("lemgrams"))
+    return lexicon.homograph_sets(own, mapping, "p_partkey").select("p_partkey", F.array_join("pos", "|").alias("pos"))
+
+
+@query("SELECT DISTINCT p_brand || '..1' AS sense, CAST(CASE WHEN p_brand < 'Brand#3' THEN -1 ELSE 1 END AS DOUBLE) AS score FROM part")
+def sentiment_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "part").select(F.concat("p_brand", F.when(F.col("p_brand") < "Brand#3", "..1\t-1").otherwise("..1 1")).alias("line")).distinct()
+    edge = spark.createDataFrame([("# a comment",), ("  ",)], "line string")
+    return models.sentiment_lexicon(lines.unionByName(edge))
+
+
+@query("""SELECT DISTINCT p_brand AS sense, u.level, CASE u.level WHEN 'head' THEN p_type WHEN 'subsection' THEN left(p_type, 3) WHEN 'section' THEN left(p_type, 2) ELSE left(p_type, 1) END AS class
+    FROM (SELECT p_brand, substring(p_brand, 7, 1) || 'xyz' AS p_type FROM part), (VALUES ('head'), ('subsection'), ('section'), ('class')) u(level)""")
+def class_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    senses = table(spark, sf_dir, "part").select(F.col("p_brand").alias("sense"), F.concat(F.substring("p_brand", 7, 1), F.lit("xyz")).alias("head")).distinct()
+    hierarchy = senses.select("head").distinct().select("head", F.expr("left(head, 3)").alias("subsection"), F.expr("left(head, 2)").alias("section"), F.expr("left(head, 1)").alias("class"))
+    return models.class_lexicon(senses, hierarchy)
+
+
+@query("SELECT DISTINCT p_brand AS sense, 'T' || p_size % 7 AS class FROM part")
+def frame_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = table(spark, sf_dir, "part").groupBy((F.col("p_size") % 7).alias("n")).agg(F.collect_set("p_brand").alias("senses"))
+    return models.frame_lexicon(frames.select(F.concat(F.lit("fn--T"), F.col("n").cast("string")).alias("frame"), "senses"), "fn--")
+
+
+@query("""WITH c AS (SELECT DISTINCT p_brand AS compound, 'T' || p_size % 3 || '+' || 'T' || p_size % 5 AS tag FROM part), n AS (SELECT tag, count(*) AS n FROM c GROUP BY 1)
+    SELECT tag, n, (n + 0.001) / ((SELECT sum(n) FROM n) + 0.001 * (SELECT count(*) FROM n)) AS probability FROM n""")
+def compound_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "part").select(F.col("p_brand").alias("compound"), F.array(*[F.concat(F.lit("T"), (F.col("p_size") % n).cast("string")) for n in (3, 5)]).alias("tags"))
+    return models.compound_model(own)
+
+
+ENTRIES = [("bok", "bok", "bok..nn.1", "bok..1", "nn", ["u"], "sg indef nom", "sg indef nom", "nn_3u_bok"), ("böcker", "bok", "bok..nn.1", "bok..1", "nn", ["u"], "pl indef nom", "pl indef nom", "nn_3u_bok"), ("bok", "bok", "bok..nn.1", "bok..1", "nn", ["u"], "ci", "ci", "nn_3u_bok"),
+    ("i dag", "i dag", "i_dag..abm.1", "i_dag..1", "abm", [], "invar", "invar", "abm_i_i_dag")]
+ENTRY_ROWS = "e(form, baseform, reading, sense, pos, tag) AS (VALUES ('bok', 'bok', 'bok..nn.1', 'bok..1', 'nn', 'sg indef nom'), ('böcker', 'bok', 'bok..nn.1', 'bok..1', 'nn', 'pl indef nom'), ('bok', 'bok', 'bok..nn.1', 'bok..1', 'nn', 'ci'), ('i dag', 'i dag', 'i_dag..abm.1', 'i_dag..1', 'abm', 'invar'))"
+
+
+def _entries(spark: SparkSession) -> DataFrame:
+    """A small lexicon in the mark-up that lexicons come in, read as such."""
+    forms = lambda own: "".join(f'<WordForm><feat att="writtenForm" val="{e[0]}"/><feat att="msd" val="{e[6]}"/></WordForm>' for e in own)
+    entry = lambda own: f'<LexicalEntry><Lemma><FormRepresentation><feat att="writtenForm" val="{own[0][1]}"/><feat att="lemgram" val="{own[0][2]}"/><feat att="partOfSpeech" val="{own[0][4]}"/><feat att="inherent" val="{" ".join(own[0][5])}"/><feat att="paradigm" val="{own[0][8]}"/></FormRepresentation></Lemma>{forms(own)}<Sense id="{own[0][3]}"/></LexicalEntry>'
+    return models.lexicon_entries(spark.createDataFrame([(f"<LexicalResource><Lexicon>{entry(ENTRIES[:3])}{entry(ENTRIES[3:])}</Lexicon></LexicalResource>".encode(),)], "content binary"))
+
+
+@query(f"WITH {ENTRY_ROWS} SELECT form, reading, baseform, sense, 'NN.' || upper(left(tag, 2)) AS tags FROM e WHERE tag <> 'ci' AND form <> 'i dag'")
+def word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag_map = spark.createDataFrame([("nn", "sg indef nom", "NN.SG"), ("nn", "pl indef nom", "NN.PL")], "pos string, tag string, msd string")
+    return models.word_lexicon(_entries(spark), tag_map).withColumn("tags", F.array_join("tags", "|"))
+
+
+@query(f"WITH {ENTRY_ROWS} SELECT DISTINCT form, reading FROM e WHERE form LIKE '% %'")
+def phrase_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.phrase_lexicon(_entries(spark))
+
+
+@query(f"WITH {ENTRY_ROWS} SELECT form AS part, reading, string_agg(DISTINCT tag, '|' ORDER BY tag) AS params FROM e GROUP BY 1, 2")
+def compound_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.compound_lexicon(_entries(spark)).withColumn("params", F.array_join("params", "|"))
+
+
+@query("SELECT 'undated' AS corpus, '00000000000000' AS date_from, '00000000000000' AS date_to, count(*) AS tokens FROM events")
+def undated_timespans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return frequency.timespans(table(spark, sf_dir, "events").select(*[none.alias(c) for c in ("date_from", "date_to", "time_from", "time_to")]), "undated")
+
+
+@query("SELECT 'events' AS corpus, strftime(ts, '%Y%m%d') AS date_from, strftime(ts, '%Y%m%d') AS date_to, CAST(count(*) AS BIGINT) AS tokens FROM events GROUP BY ALL")
+def timespans_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequency.timespans_by_day(timespans(spark, sf_dir))
+
+
+@query("SELECT event_id, strftime(ts, '%H%M%S') AS time_from, strftime(CASE event_id % 2 WHEN 0 THEN ts ELSE date_trunc('minute', ts) + INTERVAL 59 SECOND END, '%H%M%S') AS time_to FROM (SELECT event_id, CASE event_id % 2 WHEN 0 THEN ts ELSE date_trunc('minute', ts) END AS ts FROM events)")
+def time_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm"))
+    found = dates.date_range(written, None, "%Y-%m-%d %H:%M:%S|%Y-%m-%d %H:%M", "%H%M%S")
+    return table(spark, sf_dir, "events").select("event_id", found.alias("r")).select("event_id", F.col("r.date_from").alias("time_from"), F.col("r.date_to").alias("time_to"))
+
+
+@query("""WITH e AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS start FROM events) SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM e GROUP BY e.start HAVING e.start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream that has come to its end: the windows that the watermark has closed."""
+    path = annotate.scratch(spark, "windowed-events")
+    stream = annotate.arriving(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").select("ts").schema.simpleString()[7:-1].replace(":", " "))
+    counts = annotate.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), [])
+    annotate.write_table(counts, f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{path}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+
+
+TAG_SAMPLES = {
+    ("cat", "EAGLES"): ("NCMS", "NOUN"), ("rus", "EAGLES"): ("Vx", "VERB"), ("eng", "Penn"): ("NNPS", "PROPN"), ("bul", "BulTreeBank"): ("PT_a", "PUNCT"), ("est", "TreeTagger"): ("S.com", "NOUN"), ("fin", "FinnTreeBank"): ("N_Nom", "NOUN"), ("nld", "TreeTagger"): ("det__art", "DET"),
+    ("lat", "TreeTagger"): ("V:IND", "VERB"), ("pol", "NationalCorpusofPolish"): ("ger:sg", "VERB"), ("ron", "MULTEXT"): ("Spsa", "ADP"), ("slk", "SlovakNationalCorpus"): (":r", "PROPN"), ("deu", "STTS"): ("PTKZU", "PART"), ("fra", "TreeTagger"): ("DET:POS", "PRON"), ("spa", "TreeTagger"): ("VLfin", "VERB"),
+    ("ita", "TreeTagger"): ("VER:fin", "VERB"), ("rus", "TreeTagger"): ("Ncmsnn", "NOUN"), ("xxx", "none"): ("N", ""),
+}
+
+
+@query("SELECT language, tag_set, count(*) AS n, upos FROM customer, (VALUES " + ", ".join(f"('{k[0]}', '{k[1]}', '{u}')" for k, (_, u) in TAG_SAMPLES.items()) + ") v(language, tag_set, upos) GROUP BY ALL")
+def universal_tags_of_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tag of each set, on every row."""
+    own = table(spark, sf_dir, "customer").select(*[F.lit(tag).alias("tag") for tag, _ in list(TAG_SAMPLES.values())[:1]])
+    kinds = [F.struct(F.lit(k[0]).alias("language"), F.lit(k[1]).alias("tag_set"), tags.upos(F.lit(tag), *k).alias("upos")) for k, (tag, _) in TAG_SAMPLES.items()]
+    return own.select(F.explode(F.array(*kinds)).alias("k")).groupBy("k.language", "k.tag_set", "k.upos").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT DISTINCT * FROM (SELECT lower(n_name) AS known_as, n_name AS name, r_name AS country, n_nationkey AS population FROM nation JOIN region ON n_regionkey = r_regionkey
     UNION ALL SELECT 'old ' || lower(n_name), n_name, r_name, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0)""")
 def gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:

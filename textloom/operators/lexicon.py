@@ -71,6 +71,17 @@ def linked(tokens: DataFrame, lexicon: DataFrame, column: str, name: str) -> Dat
     return out.select(*tokens.columns, F.coalesce(name, F.array().cast("array<string>")).alias(name))
 
 
+def homograph_sets(tokens: DataFrame, mapping: DataFrame, key: str = "idx", column: str = "lemgrams") -> DataFrame:
+    """tokens with pos, the sorted set of the tags that a mapping (pos, tags) gives for the parts of speech in lemgrams, which stand after the two full stops; those of fragments and compounds (e, sxc, mxc) have none.
+
+    key: what tells tokens apart. Tokens without lemgrams, or with none that is known, have the empty set.
+    """
+    kinds = F.filter(F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda v: F.regexp_extract(v, r"\.\.(.*?)\.", 1)), lambda k: ~k.isin("", "e", "sxc", "mxc"))
+    known = tokens.select(F.col(key).alias("h_key"), F.explode(F.array_distinct(kinds)).alias("pos")).join(mapping, "pos")
+    found = known.groupBy("h_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("pos"))
+    return tokens.join(found, F.col(key) == F.col("h_key"), "left").select(*tokens.columns, F.coalesce("pos", F.array().cast("array<string>")).alias("pos"))
+
+
 def sentiment(tokens: DataFrame, lexicon: DataFrame, senses: str = "senses") -> DataFrame:
     """tokens with sentiment_score and sentiment_label of their best-scored sense (``sense:score`` members; without a score -1).
 

@@ -94,6 +94,13 @@ def class_lexicon(senses: DataFrame, hierarchy: DataFrame) -> DataFrame:
     return own.select("sense", F.explode(levels).alias("l")).select("sense", "l.level", "l.class").distinct()
 
 
+def sentiment_lexicon(lines: DataFrame) -> DataFrame:
+    """(sense, score) from lines of a sense and its score between white space; comments begin with #, blank lines go. Of a sense that comes again the larger score counts."""
+    parts = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
+    own = lines.where(~F.trim("line").startswith("#") & (F.trim("line") != "")).select(F.get(parts, F.lit(0)).alias("sense"), F.get(parts, F.lit(1)).cast("double").alias("score"))
+    return own.groupBy("sense").agg(F.max("score").alias("score"))
+
+
 def frame_lexicon(frames: DataFrame, prefix: str = "") -> DataFrame:
     """(sense, class) from (frame, senses): the frames of each sense, without the prefix of their names."""
     name = F.when(F.col("frame").startswith(prefix), F.expr(f"substring(frame, {len(prefix) + 1})")).otherwise(F.col("frame")) if prefix else F.col("frame")
@@ -140,8 +147,3 @@ def split_token_list(words: DataFrame, pieces: DataFrame) -> DataFrame:
     cut = pieces.groupBy(F.col("doc_id").alias("form")).agg(F.count("*").alias("n")).where("n > 1")
     return words.select("form").distinct().join(cut.select("form"), "form", "left_semi")
 
-
-def latest(table: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return table.withColumn("last_", last).where("last_ = 1").drop("last_")

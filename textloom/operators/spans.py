@@ -6,11 +6,10 @@ range as a further condition, so that one long document is spread over many keys
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Code points in a bin.
 BIN = 2048
@@ -82,10 +81,17 @@ def inherit(child: DataFrame, parent: DataFrame, attribute: str, name: str | Non
     return out.select(*child.columns, F.coalesce("p_value", F.lit("")).alias(name or f"inherit_{attribute}"))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def cut_texts(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """The pieces of each text; expressions would count its characters anew for each piece."""
+    return pd.Series([None if t is None or a is None else [t[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)] for t, a, b in zip(text, starts, ends, strict=True)], dtype=object)
+
+
 def span_texts(spans: DataFrame, docs: DataFrame, keep_format_characters: bool = False) -> DataFrame:
-    """The span's columns and word, its text without format characters (with them if nothing else is in it)."""
-    text = docs.select(F.col("doc_id").alias("t_doc"), "text")
-    out = spans.join(text, F.col("doc_id") == F.col("t_doc")).withColumn("word", F.expr("substring(text, start + 1, end - start)"))
+    """The span's columns and word, its text without format characters (with them if nothing else is in it). Spans meet their text once a document."""
+    lists = spans.groupBy(F.col("doc_id").alias("t_doc")).agg(F.collect_list(F.struct(*spans.columns)).alias("spans"))
+    own = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("t_doc")).select("spans", cut_texts("text", "spans.start", "spans.end").alias("words"))
+    out = own.select(F.explode(F.arrays_zip("spans", "words")).alias("z")).select("z.spans.*", F.col("z.words").alias("word"))
     if not keep_format_characters:
         plain = F.regexp_replace("word", r"\p{Cf}", "")
         out = out.withColumn("word", F.when(plain == "", F.col("word")).otherwise(plain))
@@ -97,21 +103,23 @@ def head_tail(tokens: DataFrame, docs: DataFrame, longest: int | None = None) ->
 
     What follows a token up to the last line break of the gap is its tail; the rest is the next token's head.
     """
-    lists = tokens.groupBy(F.col("doc_id").alias("t_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "idx"))).alias("spans"))
-    own = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("t_doc")).select("t_doc", "text", "spans")
-    following = lambda i: F.coalesce(F.get("spans", i + 1)["start"], F.length("text"))
-    gap = lambda s, i: F.when(following(i) > s["end"], F.col("text").substr(s["end"] + 1, following(i) - s["end"])).otherwise("")
-    own = own.select("t_doc", F.transform("spans", lambda s, i: F.struct(s["idx"].alias("idx"), gap(s, i).alias("gap"))).alias("gaps"))
+    order = F.struct("start", "end", "idx", F.struct(*tokens.columns).alias("token"))
+    lists = tokens.groupBy(F.col("doc_id").alias("t_doc")).agg(F.array_sort(F.collect_list(order)).alias("spans"))
+    own = docs.select("doc_id", "text").join(lists, F.col("doc_id") == F.col("t_doc")).select("text", "spans")
+    following = F.transform("spans", lambda s, i: F.greatest(s["end"], F.coalesce(F.get("spans", i + 1)["start"], F.length("text"))))
+    own = own.select("spans.token", cut_texts("text", "spans.end", following).alias("gaps"))
     # What stands after the gap's last line break goes to the next token.
-    own = own.select("t_doc", F.transform("gaps", lambda g: F.struct(g["idx"].alias("idx"), g["gap"].alias("gap"), F.when(F.contains(g["gap"], F.lit("\n")), F.substring_index(g["gap"], "\n", -1)).otherwise("").alias("carried"))).alias("gaps"))
-    head = lambda i: F.when(i > 0, F.get("gaps", i - 1)["carried"]).otherwise("")
-    own = own.select("t_doc", F.explode(F.transform("gaps", lambda g, i: F.struct(g["idx"].alias("t_idx"), head(i).alias("head"), g["gap"].substr(F.lit(1), F.length(g["gap"]) - F.length(g["carried"])).alias("tail")))).alias("g")).select("t_doc", "g.*")
+    carried = F.transform("gaps", lambda g: F.when(F.contains(g, F.lit("\n")), F.substring_index(g, "\n", -1)).otherwise(""))
+    own = own.select("token", "gaps", carried.alias("carried"))
+    head = F.transform("gaps", lambda g, i: F.when(i > 0, F.get("carried", i - 1)).otherwise(""))
+    tail = F.transform("gaps", lambda g, i: g.substr(F.lit(1), F.length(g) - F.length(F.get("carried", i))))
+    own = own.select(F.explode(F.arrays_zip("token", head.alias("head"), tail.alias("tail"))).alias("z")).select("z.token.*", "z.head", "z.tail")
     for name in ("head", "tail"):
         kept = F.col(name) if longest is None else F.substring(name, 1, longest)
         for plain, written in ((" ", "\\s"), ("\n", "\\n"), ("\t", "\\t")):
             kept = F.replace(kept, F.lit(plain), F.lit(written))
         own = own.withColumn(name, kept)
-    return tokens.join(own, (F.col("doc_id") == F.col("t_doc")) & (F.col("idx") == F.col("t_idx"))).select(*tokens.columns, "head", "tail")
+    return own.select(*tokens.columns, "head", "tail")
 
 
 def merged(tables: dict[str, DataFrame]) -> DataFrame:
@@ -185,7 +193,3 @@ def scrambled(chunks: DataFrame, seed_column: str = "idx") -> DataFrame:
     shuffle = F.xxhash64(F.col("doc_id"), F.col(seed_column))
     return chunks.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(shuffle, "idx")) - 1)
 
-
-def iterate(frame: DataFrame) -> Iterator:
-    """Rows of a small result one by one, without collecting all."""
-    return frame.toLocalIterator()

@@ -1,11 +1,13 @@
 """Sinks: annotated corpora as text formats. Each gives (doc_id, content), a row a document, to be written by write_documents().
 
 tokens: doc_id, sentence, idx, and the columns that are written. Lines are made by expressions; a document's lines are
-put together by one grouping.
+put together where its tokens are, after one shuffle.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,84 +15,67 @@ from pyspark.sql import functions as F
 CONLLU = ("ID", "FORM", "LEMMA", "UPOS", "XPOS", "FEATS", "HEAD", "DEPREL", "DEPS", "MISC")
 
 
-def _text(column: str) -> Column:
+def as_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def _together(lines: DataFrame, separator: str = "\n", end: str = "\n") -> DataFrame:
-    """(doc_id, content) from (doc_id, place, line); place orders the lines."""
-    every = F.array_sort(F.collect_list(F.struct("place", "line")))
-    return lines.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(every, lambda x: x["line"]), separator), F.lit(end)).alias("content"))
-
-
-def _xml(value: Column) -> Column:
+def xml_escaped(value: Column) -> Column:
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         value = F.replace(value, F.lit(plain), F.lit(entity))
     return value
 
 
+def xml_name(name: str) -> str:
+    """A name that XML allows: what it does not allow becomes _, and a first character that cannot begin a name gets one before it."""
+    shown = re.sub(r"[^\w.\-]", "_", name)
+    return shown if re.match(r"[^\W\d]", shown) else f"_{shown}"
+
+
+def _by_sentence(tokens: DataFrame, line: Column, before: list[Column], after: list[Column], order: str = "sentence", kept: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, content): a line a token between lines of its sentence, which are made of the sentence's columns ``kept``. Tokens are read and shuffled once, by document."""
+    kept = tuple(dict.fromkeys(("sentence", *kept)))
+    own = tokens.select("doc_id", F.col(order).cast("long").alias("s_order"), F.col("idx").cast("long").alias("t_order"), line.alias("line"), *kept).repartition("doc_id")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("t_order", "line"))), lambda x: x["line"])
+    sentences = own.groupBy("doc_id", "s_order").agg(lines.alias("lines"), *[F.first(c).alias(c) for c in kept])
+    text = F.array_join(F.concat(F.array(*before).cast("array<string>"), F.col("lines"), F.array(*after).cast("array<string>")), "\n")
+    every = F.array_sort(F.collect_list(F.struct("s_order", text.alias("text"))))
+    return sentences.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(every, lambda x: x["text"]), "\n"), F.lit("\n")).alias("content"))
+
+
 def csv(tokens: DataFrame, columns: list[str], sentence_attributes: list[str] | None = None, delimiter: str = "\t") -> DataFrame:
     """A header, a line a token, a blank line after each sentence; lines "# sentence.attribute = value" before it."""
-    line = F.concat_ws(delimiter, *[_text(c) for c in columns])
-    place = lambda kind, idx: F.struct(F.col("sentence").cast("long"), F.lit(kind), idx)
-    lines = tokens.select("doc_id", place(1, F.col("idx").cast("long")).alias("place"), line.alias("line"))
-    sentences = tokens.groupBy("doc_id", "sentence").agg(F.count("*").alias("n_tokens"), *[F.first(a).alias(a) for a in sentence_attributes or [] if a != "sentence"])
-    lines = lines.unionByName(sentences.select("doc_id", place(2, F.lit(0).cast("long")).alias("place"), F.lit("").alias("line")))
-    for n, a in enumerate(sentence_attributes or []):
-        lines = lines.unionByName(sentences.select("doc_id", place(0, F.lit(n).cast("long")).alias("place"), F.concat(F.lit(f"# sentence.{a} = "), _text(a)).alias("line")))
-    header = tokens.select("doc_id").distinct().select("doc_id", F.struct(F.lit(-1).cast("long"), F.lit(0), F.lit(0).cast("long")).alias("place"), F.lit(delimiter.join(columns)).alias("line"))
-    return _together(header.union(lines))
+    attributes = sentence_attributes or []
+    before = [F.concat(F.lit(f"# sentence.{a} = "), as_text(a)) for a in attributes]
+    out = _by_sentence(tokens, F.concat_ws(delimiter, *[as_text(c) for c in columns]), before, [F.lit("")], kept=tuple(attributes))
+    return out.select("doc_id", F.concat(F.lit(delimiter.join(columns) + "\n"), "content").alias("content"))
 
 
 def conllu(tokens: DataFrame, fields: dict[str, str | None], sentence_id: str = "sentence") -> DataFrame:
     """CoNLL-U: fields names the token column of each format column; missing ones and empty values are _."""
-    values = [F.when(_text(fields[f]) == "", "_").otherwise(_text(fields[f])) if fields.get(f) else F.lit("_") for f in CONLLU]
-    place = lambda kind, idx: F.struct(F.col("sentence").cast("long"), F.lit(kind), idx)
-    lines = tokens.select("doc_id", place(1, F.col("idx").cast("long")).alias("place"), F.concat_ws("\t", *values).alias("line"))
-    sentences = tokens.groupBy("doc_id", "sentence").agg(F.first(F.col(sentence_id)).cast("string").alias("label"))
-    for kind, line in ((0, F.concat(F.lit("# sent_id = "), F.col("label"))), (2, F.lit(""))):
-        lines = lines.unionByName(sentences.select("doc_id", place(kind, F.lit(0).cast("long")).alias("place"), line.alias("line")))
-    return _together(lines)
+    values = [F.when(as_text(fields[f]) == "", "_").otherwise(as_text(fields[f])) if fields.get(f) else F.lit("_") for f in CONLLU]
+    return _by_sentence(tokens, F.concat_ws("\t", *values), [F.concat(F.lit("# sent_id = "), as_text(sentence_id))], [F.lit("")], kept=(sentence_id,))
 
 
-def _nested(tokens: DataFrame, line: Column, open_: Column, close: Column, order: Column) -> DataFrame:
-    """Token lines between their sentences' opening and closing lines."""
-    sentences = tokens.groupBy("doc_id", "sentence").agg(F.first(order).alias("order"))
-    lines = tokens.select("doc_id", F.struct(order.alias("order"), F.lit(1).alias("kind"), F.col("idx").cast("long").alias("idx")).alias("place"), line.alias("line"))
-    for kind, text in ((0, open_), (2, close)):
-        lines = lines.unionByName(sentences.select("doc_id", F.struct("order", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("idx")).alias("place"), text.alias("line")))
-    return lines
+def _in_text(out: DataFrame) -> DataFrame:
+    return out.select("doc_id", F.concat(F.lit('<text id="'), xml_escaped(F.col("doc_id").cast("string")), F.lit('">\n'), "content", F.lit("</text>\n")).alias("content"))
 
 
 def vrt(tokens: DataFrame, columns: list[str], order: str = "sentence") -> DataFrame:
-    """Vertical text: a line a token, columns between tabs, in sentence elements of a text element. order: gives the sentences' order, so that they can be scrambled."""
-    cell = lambda c: _xml(F.regexp_replace(_text(c), r"[\t\n]", " "))
+    """Vertical text: a line a token, columns between tabs, in sentence elements of a text element. order: gives the sentences' order, so that they can be scrambled.
+
+    trees.tree() does so for any annotations.
+    """
+    cell = lambda c: xml_escaped(F.regexp_replace(as_text(c), r"[\t\n]", " "))
     sentence = F.concat(F.lit('<sentence id="'), F.col("sentence").cast("string"), F.lit('">'))
-    lines = _nested(tokens, F.concat_ws("\t", *[cell(c) for c in columns]), sentence, F.lit("</sentence>"), F.col(order).cast("long"))
-    out = _together(lines)
-    return out.select("doc_id", F.concat(F.lit('<text id="'), _xml(F.col("doc_id").cast("string")), F.lit('">\n'), "content", F.lit("</text>\n")).alias("content"))
+    return _in_text(_by_sentence(tokens, F.concat_ws("\t", *[cell(c) for c in columns]), [sentence], [F.lit("</sentence>")], order))
 
 
 def xml_pretty(tokens: DataFrame, columns: list[str], word: str = "word", order: str = "sentence") -> DataFrame:
-    """XML with one token element a line; columns become attributes, empty ones are left out."""
-    attributes = [F.when(_text(c) != "", F.concat(F.lit(f' {c}="'), _xml(_text(c)), F.lit('"'))).otherwise("") for c in columns]
-    token = F.concat(F.lit("    <token"), *attributes, F.lit(">"), _xml(_text(word)), F.lit("</token>"))
+    """XML with one token element a line; columns become attributes, empty ones are left out. trees.tree() does so for any annotations."""
+    attributes = [F.when(as_text(c) != "", F.concat(F.lit(f' {c}="'), xml_escaped(as_text(c)), F.lit('"'))).otherwise("") for c in columns]
+    token = F.concat(F.lit("    <token"), *attributes, F.lit(">"), xml_escaped(as_text(word)), F.lit("</token>"))
     sentence = F.concat(F.lit('  <sentence id="'), F.col("sentence").cast("string"), F.lit('">'))
-    out = _together(_nested(tokens, token, sentence, F.lit("  </sentence>"), F.col(order).cast("long")))
-    return out.select("doc_id", F.concat(F.lit('<text id="'), _xml(F.col("doc_id").cast("string")), F.lit('">\n'), "content", F.lit("</text>\n")).alias("content"))
-
-
-def xml_preserved(tokens: DataFrame, docs: DataFrame, columns: list[str]) -> DataFrame:
-    """XML that keeps the text's white space: token elements in the running text. tokens: with start and end."""
-    attributes = [F.when(_text(c) != "", F.concat(F.lit(f' {c}="'), _xml(_text(c)), F.lit('"'))).otherwise("") for c in columns]
-    spans = tokens.groupBy(F.col("doc_id").alias("s_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.concat(F.lit("<token"), *attributes, F.lit(">")).alias("open")))).alias("spans"))
-    out = docs.join(spans, F.col("doc_id") == F.col("s_doc"), "left")
-    piece = lambda a, b: _xml(F.col("text").substr(a + 1, b - a))
-    before = lambda i: F.when(i > 0, F.get("spans", i - 1)["end"]).otherwise(0)
-    parts = F.transform("spans", lambda x, i: F.concat(piece(before(i), x["start"]), x["open"], piece(x["start"], x["end"]), F.lit("</token>")))
-    rest = piece(F.coalesce(F.element_at("spans", -1)["end"], F.lit(0)), F.length("text"))
-    body = F.when(F.col("spans").isNull(), _xml(F.col("text"))).otherwise(F.concat(F.array_join(parts, ""), rest))
-    return out.select("doc_id", F.concat(F.lit('<text id="'), _xml(F.col("doc_id").cast("string")), F.lit('">'), body, F.lit("</text>\n")).alias("content"))
+    return _in_text(_by_sentence(tokens, token, [sentence], [F.lit("  </sentence>")], order))
 
 
 def combined(contents: DataFrame, corpus: str) -> DataFrame:
@@ -109,18 +94,44 @@ def write_documents(contents: DataFrame, path: str, compression: str = "none") -
     contents.select(F.regexp_replace("content", "\n$", "").alias("value")).write.mode("overwrite").option("compression", compression).text(path)
 
 
+def _quoted(name: str, kind: str) -> Column:
+    text = F.replace(F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
+    shown = F.col(name).cast("string") if kind in ("int", "bigint", "double", "boolean") else F.concat(F.lit("'"), text, F.lit("'"))
+    return F.coalesce(shown, F.lit("NULL"))
+
+
 def sql_rows(rows: DataFrame, table: str) -> DataFrame:
     """(statement): an INSERT for each row of a table, values quoted."""
-    def quoted(name: str, kind: str) -> Column:
-        text = F.replace(F.replace(F.col(name).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
-        shown = F.col(name).cast("string") if kind in ("int", "bigint", "double", "boolean") else F.concat(F.lit("'"), text, F.lit("'"))
-        return F.coalesce(shown, F.lit("NULL"))
-
     names = ", ".join(f"`{c}`" for c in rows.columns)
-    values = F.concat_ws(", ", *[quoted(c, k) for c, k in rows.dtypes])
+    values = F.concat_ws(", ", *[_quoted(c, k) for c, k in rows.dtypes])
     return rows.select(F.concat(F.lit(f"INSERT INTO `{table}` ({names}) VALUES ("), values, F.lit(");")).alias("statement"))
 
 
+def sql_inserts(rows: DataFrame, table: str, key: str, rows_a_statement: int = 100) -> DataFrame:
+    """(bucket, statement): INSERTs of some ``rows_a_statement`` rows each, dealt by a hash of ``key`` and in its order; no task holds more than one statement's rows."""
+    names = ", ".join(f"`{c}`" for c in rows.columns)
+    values = F.concat(F.lit("("), F.concat_ws(", ", *[_quoted(c, k) for c, k in rows.dtypes]), F.lit(")"))
+    buckets = max(1, -(-rows.count() // rows_a_statement))
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.struct(F.col(key).alias("key"), values.alias("row")).alias("v"))
+    together = F.array_join(F.transform(F.array_sort(F.collect_list("v")), lambda v: v["row"]), ",\n")
+    return dealt.groupBy("bucket").agg(F.concat(F.lit(f"INSERT INTO `{table}` ({names}) VALUES\n"), together, F.lit(";")).alias("statement"))
+
+
+SQL_TYPES = {"int": "INT", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "VARCHAR(255)", "date": "DATE", "timestamp": "DATETIME"}
+
+
+def sql_table(rows: DataFrame, table: str, primary: tuple[str, ...] = (), indexes: tuple[str, ...] = (), temporary: str = "temp_") -> dict[str, str]:
+    """Statements around the INSERTs: create makes a table with a temporary name, delete clears a corpus' rows, rename puts it in the place of the old one."""
+    columns = [f"`{c}` {SQL_TYPES.get(k, 'TEXT')}" for c, k in rows.dtypes]
+    columns += [f"PRIMARY KEY ({', '.join(f'`{c}`' for c in primary)})"] * bool(primary) + [f"INDEX `{c}` (`{c}`)" for c in indexes]
+    return {
+        "create": f"CREATE TABLE `{temporary}{table}` ({', '.join(columns)});",
+        "delete": f"DELETE FROM `{table}` WHERE `corpus` = ?;",
+        "drop": f"DROP TABLE IF EXISTS `{table}`;",
+        "rename": f"RENAME TABLE `{temporary}{table}` TO `{table}`;",
+    }
+
+
 def corpus_info(n_sentences: DataFrame, bounds: DataFrame, resolution: str, protected: bool = False) -> DataFrame:
     """(line): what the index tool is told of a corpus, from one-row tables."""
     n, b = n_sentences.first(), bounds.first()

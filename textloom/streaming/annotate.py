@@ -1,12 +1,21 @@
-"""Annotation of documents that arrive: the stateless operators run on streams as they are; counts are kept by event-time windows."""
+"""Annotation of documents that arrive: the stateless operators, such as segmentation.token_table(), run on streams as they are; counts are kept by event-time windows."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textloom.operators.segmentation import token_table
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share; only local sessions may go without one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(path or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def arriving(spark: SparkSession, path: str, schema: str, files_a_trigger: int = 16) -> DataFrame:
@@ -14,11 +23,6 @@ def arriving(spark: SparkSession, path: str, schema: str, files_a_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
-def token_stream(docs: DataFrame, segmenter: str = "words_and_punctuation") -> DataFrame:
-    """The tokens of a stream of documents; no state is kept."""
-    return token_table(docs, segmenter)
-
-
 def windowed_counts(events: DataFrame, keys: list[str], time: str = "ts", length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, end, keys..., n) by tumbling windows; rows later than the watermark are dropped, and with it state."""
     out = events.withWatermark(time, late).groupBy(F.window(time, length), *keys).agg(F.count("*").alias("n"))
