@@ -5,8 +5,8 @@ document is covered by chunks of 2 * HALF bytes that overlap by HALF: in each ch
 filter's largest answer counts, the chunks' answers are averaged over
 the whole document, and a logistic unit makes one probability of them.
 
-It is fitted on the driver, on a bounded sample of labelled rows: at most ``per_class`` rows of either label, the
-first by a digest of their ids, none longer than TRAIN_BYTES. Only the text is an input. Scoring is one pass over whole texts.
+It is fitted on the driver, on a bounded sample of labelled rows: the first by a digest of their ids, at most ``per_class`` rows and TRAIN_BYTES of whole texts
+of either label. Only the text is an input. Scoring is one pass over whole texts, PIECE chunks at a time, so that a text of any length takes bounded memory.
 
 A null text is empty, and gets the score of zero bytes. Labels other than 0 and 1 and labels without a document are left out; of several labels of
 a document the smallest counts. Without both labels every score is 0.5. Rows are scored one by one, so repeated rows agree.
@@ -25,7 +25,9 @@ from textloom.llm.common import raw, slices
 
 WIDTH, STEP, HALF = 8, 4, 128
 EMBEDDING, FILTERS = 6, 24
-PER_CLASS, TRAIN_BYTES = 800, 64 << 10
+PER_CLASS, TRAIN_BYTES = 800, 16 << 20
+#: Halves of chunks that are answered at a time.
+PIECE = 2048
 EPOCHS, BATCH, RATE = 10, 16, 0.01
 
 
@@ -36,36 +38,59 @@ def fresh_weights(seed: int = 7) -> dict[str, np.ndarray]:
     return {k: (draw(s) * scale[k]).astype(np.float32) for k, s in shapes.items()}
 
 
-def _forward(weights: dict, data: np.ndarray, offsets: np.ndarray) -> dict:
-    """All that the network makes of the documents, with what its training needs."""
+def _padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The documents' bytes with zeros up to whole halves of chunks, and the number of halves of each."""
     length = np.diff(offsets)
     halves = -(-(length + WIDTH - STEP) // HALF)
-    halves_end = np.cumsum(halves)
-    padded = np.zeros(int(halves_end[-1]) * HALF + WIDTH, np.uint8)
-    padded[np.arange(len(data)) + np.repeat((halves_end - halves) * HALF - offsets[:-1], length)] = data
-    at = np.arange(int(halves_end[-1]) * HALF // STEP) * STEP
+    end = np.cumsum(halves)
+    padded = np.zeros(int(end[-1]) * HALF + WIDTH, np.uint8)
+    for at, a, b in zip(((end - halves) * HALF).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        padded[at : at + b - a] = data[a:b]
+    return padded, halves
+
+
+def _answers(weights: dict, padded: np.ndarray, halves: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, inputs, answers): what the filters see and say at the places of the halves from ``first`` up to ``last``."""
+    at = np.arange(first * HALF // STEP, last * HALF // STEP) * STEP
     windows = padded[at[:, None] + np.arange(WIDTH)]
+    end = np.cumsum(halves)
+    end = end[(end > first) & (end <= last)] - first
+    windows[end * (HALF // STEP) - 1, WIDTH - STEP :] = 0  # the next document begins there
     inputs = weights["embedding"][windows].reshape(len(windows), -1)
-    answers = (inputs @ weights["filters"]).reshape(-1, HALF // STEP, FILTERS)
-    best = answers.max(1) + weights["bias"]
+    return windows, inputs, (inputs @ weights["filters"]).reshape(-1, HALF // STEP, FILTERS)
+
+
+def _pooled(weights: dict, best: np.ndarray, halves: np.ndarray) -> dict:
+    """From each half's largest answers to a logit a document, with what training needs."""
     # The chunks: each half with its next one, or alone in a document of one half.
+    end = np.cumsum(halves)
     last = np.zeros(len(best), bool)
-    last[halves_end - 1] = True
+    last[end - 1] = True
     starts = ~last
-    starts[halves_end[halves == 1] - 1] = True
+    starts[end[halves == 1] - 1] = True
     first = np.flatnonzero(starts)
     second = np.where(last[first], first, first + 1)
     later = best[second] > best[first]
     chunk = np.maximum(np.where(later, best[second], best[first]), 0)
     n_chunks = np.maximum(halves - 1, 1)
     pooled = np.add.reduceat(chunk, np.cumsum(n_chunks) - n_chunks) / n_chunks[:, None]
-    logit = pooled @ weights["out"] + weights["level"]
-    return locals()
+    return {"first": first, "second": second, "later": later, "chunk": chunk, "n_chunks": n_chunks, "pooled": pooled, "logit": pooled @ weights["out"] + weights["level"]}
+
+
+def _forward(weights: dict, data: np.ndarray, offsets: np.ndarray) -> dict:
+    """All that the network makes of the documents, with what its training needs."""
+    padded, halves = _padded(data, offsets)
+    windows, inputs, answers = _answers(weights, padded, halves, 0, int(halves.sum()))
+    best = answers.max(1) + weights["bias"]
+    return {"windows": windows, "inputs": inputs, "answers": answers, "best": best} | _pooled(weights, best, halves)
 
 
 def probabilities(weights: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A probability for each document; the documents' bytes stand one after another."""
-    return 1 / (1 + np.exp(-_forward(weights, data, offsets)["logit"].astype(np.float64)))
+    padded, halves = _padded(data, offsets)
+    n = int(halves.sum())
+    best = np.concatenate([_answers(weights, padded, halves, i, min(n, i + PIECE))[2].max(1) for i in range(0, n, PIECE)]) + weights["bias"]
+    return 1 / (1 + np.exp(-_pooled(weights, best, halves)["logit"].astype(np.float64)))
 
 
 def _gradients(weights: dict, data: np.ndarray, offsets: np.ndarray, label: np.ndarray, importance: np.ndarray) -> dict:
@@ -107,13 +132,15 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = EPOCHS, seed: int
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, label: str, id_column: str, text_column: str, per_class: int) -> DataFrame:
-    """(id, label, text) of the bounded sample. allowed: a condition on the id column of ``labels``."""
+    """(id, label, text, digest) of the bounded sample. allowed: a condition on the id column of ``labels``.
+
+    Labels are joined with the documents' ids first, so that only such with a document count; then the chosen ones with their texts.
+    """
     own = labels.where(allowed & F.col(label).isin(0, 1)).groupBy(F.col(id_column).alias("id")).agg(F.min(label).alias("label"))
-    digest = F.md5(F.col("id").cast("string"))
-    few = [own.where(F.col("label") == k).orderBy(digest, "id").limit(2 * per_class) for k in (0, 1)]
-    few = F.broadcast(few[0].unionByName(few[1]))  # 4 * per_class rows at most
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).join(few, "id")
-    return rows.select("id", "label", "text", digest.alias("digest"))
+    own = own.join(docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id")), "id", "left_semi").withColumn("digest", F.md5(F.col("id").cast("string")))
+    few = [own.where(F.col("label") == k).orderBy("digest", "id").limit(per_class) for k in (0, 1)]
+    few = F.broadcast(few[0].unionByName(few[1]))  # 2 * per_class rows at most
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text is not null").join(few, "id").select("id", "label", "text", "digest")
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quality", id_column: str = "doc_id", text_column: str = "text", per_class: int = PER_CLASS) -> dict[str, np.ndarray] | None:
@@ -121,9 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "qua
     rows = training_rows(docs, labels, allowed, label, id_column, text_column, per_class)
     texts, y = [], []
     for k in (0, 1):
+        left = TRAIN_BYTES
         for r in rows.where(F.col("label") == k).orderBy("digest", "id", "text").limit(per_class).select("text").toLocalIterator():
-            texts.append(r["text"].encode())
-            y.append(k)
+            text = r["text"].encode()
+            if len(text) <= left:
+                left -= len(text)
+                texts.append(text)
+                y.append(k)
     return fit(texts, np.array(y))
 
 
