@@ -1,9 +1,9 @@
 """Licence scans: an exact set-similarity join of text blocks and licence templates.
 
 Words are runs of letters and digits (every non-ASCII character counts as a
-letter), ASCII-lower-cased. A text block is BLOCK consecutive words; blocks start
-every BLOCK / 2 words, so that a template of up to BLOCK / 2 words that stands in a
-text stands in one block. A block meets a template if it holds at least ``threshold`` of
+letter), ASCII-lower-cased. Each template has text blocks of its own length: half_block() words or more than it has, and
+as many again; blocks start every half, so that a template that stands in a
+text stands in one block, however long it is. A block meets a template if it holds at least ``threshold`` of
 the template's distinct words.
 
 The join is exact. Words are ordered by how many documents hold them, rarest
@@ -13,20 +13,22 @@ any template (length filter), and after the first shared word enough words are l
 in both (positional filter). Pairs that pass are confirmed on the full sets. Only
 documents with a prefix word are cut into blocks at all.
 
-Everything is DataFrame operations. Null and empty texts have no words, no label and
-score 0. Rows with equal ids are kept apart by a digest of their text; equal rows get equal results.
+Everything is DataFrame operations. Templates are few and given with the code, so what is made of them is broadcast. Null and empty texts have no words, no label and
+score 0; an empty table gives an empty result, and so do templates without a word. Rows with equal ids are kept apart by a digest of their text; equal rows get equal results.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 32
+#: The shortest half of a block.
+HALF = 16
 THRESHOLD = 0.8
-#: label: template. Common short notices.
+#: label: template. Common short notices, and whole texts and file headers as they are published.
 TEMPLATES = {
     "apache-notice": "Licensed under the Apache License, Version 2.0",
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted",
@@ -35,6 +37,23 @@ TEMPLATES = {
     "mit-notice": "Released under the MIT License",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
     "mpl-notice": "This source code form is subject to the terms of the Mozilla Public License",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software
+        without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+        Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+        PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+        notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+        IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "apache-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "gpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either
+        version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+        of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with
+        this program. If not, see https://www.gnu.org/licenses/.""",
 }
 #: phrase: label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -73,20 +92,28 @@ def phrase_places(plain: Column, phrases: dict[str, str]) -> dict[str, Column]:
     }
 
 
+def half_block(template: str) -> int:
+    """The words between the starts of a template's blocks: HALF doubled until the template fits."""
+    n, half = len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", template)), HALF
+    while half < n:
+        half *= 2
+    return half
+
+
 def template_order(plain: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
-    """(label, word, place, n, least, rank): each template's distinct words by rising document frequency.
+    """(label, word, place, n, least, rank, half): each template's distinct words by rising document frequency.
 
     plain: one column ``plain`` of ASCII-lower-cased plain words. rank: the word's place in the global order.
     """
     spark = plain.sparkSession
-    words = spark.createDataFrame(sorted(templates.items()), "label string, template string").select("label", F.explode(F.array_distinct(F.filter(F.split(ascii_lower(plain_words(F.col("template"))), " "), lambda w: w != ""))).alias("word"))
+    words = spark.createDataFrame([(k, t, half_block(t)) for k, t in sorted(templates.items())], "label string, template string, half int").select("label", "half", F.explode(F.array_distinct(F.filter(F.split(ascii_lower(plain_words(F.col("template"))), " "), lambda w: w != ""))).alias("word"))
     vocabulary = sorted({r["word"] for r in words.collect()})  # of the templates
     held = plain.select(F.explode(F.array_intersect(F.split("plain", " "), F.array(*[F.lit(w) for w in vocabulary]))).alias("word"))
     counts = held.groupBy("word").agg(F.count("*").alias("n_docs"))
     order = words.join(F.broadcast(counts), "word", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
     by_label = Window.partitionBy("label").orderBy("n_docs", "word")
     order = order.withColumns({"place": F.row_number().over(by_label) - 1, "n": F.count("*").over(Window.partitionBy("label")), "rank": F.dense_rank().over(Window.orderBy("n_docs", "word"))})
-    return order.select("label", "word", "place", "n", F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int").alias("least"), "rank")
+    return order.select("label", "word", "place", "n", F.ceil(F.col("n") * F.lit(threshold) - 1e-9).cast("int").alias("least"), "rank", "half")
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -107,22 +134,24 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases
     has_prefix = F.col("plain").rlike(" (" + "|".join(prefix) + ") ") if prefix else F.lit(False)
     kept = F.create_map(*[F.lit(x) for w in sorted(rank) for x in (w, rank[w])])
     found = base.where(has_prefix).dropDuplicates(["id", "digest"]).select("id", "digest", F.posexplode(F.split(F.trim("plain"), " ")).alias("at", "word")).where(F.col("word").isin(sorted(rank)))
-    half = BLOCK // 2
-    found = found.withColumn("rank", kept[F.col("word")]).withColumn("block", F.explode(F.array(F.floor(F.col("at") / half), F.floor(F.col("at") / half) - 1))).where("block >= 0 or at < %d" % half)
-    blocks = found.groupBy("id", "digest", "block").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))  # template words only: few
-    blocks = blocks.where(F.size("ranks") >= min((r["least"] for r in rows), default=1))
-
-    sets = order.groupBy("label", "n", "least").agg(F.array_sort(F.collect_list("rank")).alias("template"))
+    halves = sorted({r["half"] for r in rows})
+    fewest = F.create_map(*[F.lit(x) for h in halves or [HALF] for x in (h, min((r["least"] for r in rows if r["half"] == h), default=1))])
+    places_of = F.array(*[F.struct(F.lit(h).alias("half"), (F.floor(F.col("at") / h) - back).alias("block")) for h in halves or [HALF] for back in (0, 1)])
+    found = found.withColumn("rank", kept[F.col("word")]).select("id", "digest", "rank", F.explode(places_of).alias("b")).select("id", "digest", "rank", "b.half", "b.block").where("block >= 0")
+    blocks = found.groupBy("id", "digest", "half", "block").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))  # template words only: few
+    blocks = blocks.where(F.size("ranks") >= fewest[F.col("half")])
+
+    sets = order.groupBy("label", "n", "least", "half").agg(F.array_sort(F.collect_list("rank")).alias("template"))
     starts = order.where("place <= n - least").select("label", "rank", "place")
     starts = F.broadcast(starts.join(F.broadcast(sets), "label"))  # templates: their size is fixed
-    pairs = blocks.select("*", F.posexplode("ranks").alias("own_place", "rank")).join(starts, "rank")
+    pairs = blocks.select("*", F.posexplode("ranks").alias("own_place", "rank")).join(starts, ["rank", "half"])
     pairs = pairs.where(F.size("ranks") >= F.col("least"))  # length
     left = F.least(F.col("n") - F.col("place"), F.size("ranks") - F.col("own_place"))
-    pairs = pairs.groupBy("id", "digest", "block", "label", "n", "least", "ranks", "template").agg(F.max(left).alias("left"))
+    pairs = pairs.groupBy("id", "digest", "half", "block", "label", "n", "least", "ranks", "template").agg(F.max(left).alias("left"))
     pairs = pairs.where(F.col("left") >= F.col("least"))  # position: of the first shared word all shared ones are left
     share = F.size(F.array_intersect("ranks", "template")) / F.col("n")
     met = pairs.withColumn("share", share).where(F.col("share") >= F.col("least") / F.col("n"))
-    met = met.groupBy("id", "digest").agg(F.array_sort(F.collect_set("label")).alias("met"), F.max("share").alias("score"), F.array_sort(F.collect_list(F.struct("label", (F.col("block") * half).alias("word"), "share"))).alias("blocks"))
+    met = met.groupBy("id", "digest").agg(F.array_sort(F.collect_set("label")).alias("met"), F.max("share").alias("score"), F.array_sort(F.collect_list(F.struct("label", (F.col("block") * F.col("half")).alias("word"), "share"))).alias("blocks"))
 
     counted = base.select("id", "digest", F.greatest(_spaces(F.col("plain")) - 1, F.lit(0)).cast("long").alias("n_words"), *[c.alias(k) for k, c in places.items()])
     met = met.withColumnsRenamed({"id": "met_id", "digest": "met_digest"})
