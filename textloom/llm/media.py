@@ -11,9 +11,10 @@ the file's INFO list has the payload's length. Any JPEG reader can decode the fr
 Reading parses the RIFF lists, finds the frames by the idx1 index, decodes the
 coefficients (tables of one code at once, any other baseline grey frame bit by bit),
 and transforms them to samples. A shot begins where the histograms of neighbouring frames differ by more
-than the mean and three deviations of the differences just before.
+than the mean and three deviations of the differences just before; the first two differences of a file are only looked back on.
 
-A null payload counts as empty. Rows are handled one by one, so repeated rows and ids do no harm.
+A null payload counts as empty. Rows are handled one by one, so repeated rows and ids do no harm. An empty table gives an empty one. Media that can't be read
+(damaged, cut off, no AVI, colour or progressive frames) give one row that says why; they don't stop the job.
 """
 
 from __future__ import annotations
@@ -305,20 +306,23 @@ def store_avi(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
 
 def avi_clips(media: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
-    """(id, clip, first_frame, last_frame, start_s, end_s): the shots of each AVI file; none for a null."""
+    """(id, clip, first_frame, last_frame, start_s, end_s, error): the shots of each AVI file; none for a null, and for media that can't be read one row with only the error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "media"):
             rows = []
             for key, data in zip(part.column("id").to_pylist(), part.column("media").to_pylist(), strict=True):
                 if data is not None:
-                    _, shots, us = decode_avi(data)
-                    rows += [(key, k, a, b - 1, a * us / 1e6, b * us / 1e6) for k, (a, b) in enumerate(shots)]
-            kinds = [part.schema.field("id").type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["id", "clip", "first_frame", "last_frame", "start_s", "end_s"])
-
-    schema = f"id {dict(media.dtypes)[id_column]}, clip int, first_frame long, last_frame long, start_s double, end_s double"
+                    try:
+                        _, shots, us = decode_avi(data)
+                        rows += [(key, k, a, b - 1, a * us / 1e6, b * us / 1e6, None) for k, (a, b) in enumerate(shots)]
+                    except (ValueError, KeyError, IndexError, struct.error) as problem:
+                        rows.append((key, None, None, None, None, None, f"{type(problem).__name__}: {problem}"))
+            kinds = [part.schema.field("id").type, pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["id", "clip", "first_frame", "last_frame", "start_s", "end_s", "error"])
+
+    schema = f"id {dict(media.dtypes)[id_column]}, clip int, first_frame long, last_frame long, start_s double, end_s double, error string"
     return media.select(media[id_column].alias("id"), media[media_column].alias("media")).mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 
