@@ -7,9 +7,9 @@ a prefix is taken. A source's target is met by complete epochs first; the rest
 is the prefix of that order whose words fit, the last document being taken if
 more than half of it fits.
 
-No source is sorted in one task. Keys are dealt into ranges, the ranges' words
+No source is sorted in one task. Keys are dealt into ranges of their logarithm, the ranges' words
 are summed up, and only the range in which a budget ends is sorted; it is
-dealt again by finer ranges of the key first, so that it is small.
+dealt again by finer ranges first, so that it is small. A weight only shifts the logarithm: the ranges are as fine for any weight.
 
 Nulls: a null text has size 0; null sources are one source, the last; a null
 weight or one that is not above 0 counts as the least weight. Rows with equal ids
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import written
 
-#: Ranges of the key at each of the two levels.
-RANGES = 2048
+#: Ranges of the key for each doubling of it, and parts of a range.
+RANGES, PARTS = 512, 2048
 #: A source takes no more than so many epochs.
 MOST_EPOCHS = 2.0
 LEAST_WEIGHT = 0.05
@@ -39,8 +39,8 @@ def n_words(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """The share of ASCII letters and spaces in a text: a plain measure of how little mark-up and junk it holds."""
-    kept = F.length(F.regexp_replace(text, "[^A-Za-z ]+", ""))
+    """The share of letters of any script and of spaces in a text: a plain measure of how little mark-up and junk it holds."""
+    kept = F.length(F.regexp_replace(text, r"[^\p{L}\p{M} ]+", ""))
     return F.when(F.length(text) > 0, kept / F.length(text)).otherwise(0.0)
 
 
@@ -80,9 +80,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     digest = F.md5(F.coalesce(docs[id_column].cast("string"), F.lit("")))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
     w = F.greatest(F.coalesce(F.nanvl(weight.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_WEIGHT))
-    keyed = docs.withColumns({"mix_size": size, "mix_key": 1 - F.exp(F.log(u) / w)})
-    place = F.col("mix_key") * RANGES
-    keyed = keyed.withColumns({"mix_range": F.floor(place), "mix_part": F.floor((place - F.floor(place)) * RANGES)})
+    keyed = docs.withColumns({"mix_size": size, "mix_key": -F.log(u) / w})
+    place = F.log2("mix_key") * RANGES
+    keyed = keyed.withColumns({"mix_range": F.floor(place), "mix_part": F.floor((place - F.floor(place)) * PARTS)})
     slim = written(keyed.select(F.col(source_column).alias("source"), F.col(id_column).alias("id"), "mix_size", "mix_key", "mix_range", "mix_part"), "mixing")
 
     first = slim.groupBy("source", "mix_range").agg(F.sum("mix_size").alias("words"))

@@ -128,8 +128,8 @@ ORACLES: dict[str, str] = {
     "op9_source_mix": r"""
         WITH d AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-                1 - exp(ln((CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
-                    / greatest(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^A-Za-z ]+', '', 'g')) / length(text) ELSE 0 END, 0.05)) AS k
+                -ln((CAST('0x' || substring(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+                    / greatest(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\p{L}\p{M} ]+', '', 'g')) / length(text) ELSE 0 END, 0.05) AS k
             FROM documents
         ), s AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0 * sum(size) AS cap, ([3.0, 1.0, 2.0])[(row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") - 1) % 3 + 1] AS w FROM d GROUP BY 1
