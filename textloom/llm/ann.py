@@ -40,10 +40,18 @@ def rotation(dimension: int, bits: int, seed: int = 42) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, dimension)))[0]
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean lengths; the squares of tiny or huge components must not vanish or overflow."""
+    largest = np.abs(vectors).max(axis=1)
+    largest = np.where(largest > 0, largest, 1.0)
+    return largest * np.sqrt(((vectors / largest[:, None]) ** 2).sum(1))
+
+
 def one_bit_codes(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed words, lengths, correction scalars a)."""
-    norms = np.sqrt((vectors.astype(np.float64) ** 2).sum(1))
-    turned = vectors / norms[:, None] @ turn.T
+    norms = lengths(vectors)
+    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    turned = unit / np.sqrt((unit**2).sum(1))[:, None] @ turn.T
     codes = np.packbits(turned > 0, axis=1, bitorder="little").view(np.uint64)
     return codes, norms, np.abs(turned).sum(1) / np.sqrt(turn.shape[0])
 
@@ -51,7 +59,7 @@ def one_bit_codes(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np
 def estimates(codes: np.ndarray, fit: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, float]:
     """Of each coded unit vector the estimated inner product with one rotated query, and the rounding's deviation."""
     bits = len(query)
-    low, step = query.min(), max((query.max() - query.min()) / (2**QUERY_BITS - 1), 1e-30)
+    low, step = query.min(), max((query.max() - query.min()) / (2**QUERY_BITS - 1), np.finfo(np.float64).tiny)
     level = np.rint((query - low) / step).astype(np.uint8)
     ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
     weighted = np.zeros(len(codes), np.int64)
@@ -109,17 +117,18 @@ def _nearest(row: dict, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     query_ids, queries = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["query_vectors"]).reshape(-1, dimension)
     spread = EPSILON * np.sqrt(np.maximum(0, 1 - fit**2) / (turn.shape[0] - 1)) / fit
     out: list = [[], [], []]
+    np.seterr(over="ignore", invalid="ignore")
     for query_id, query in zip(query_ids, queries, strict=True):
         own = ids != query_id
         guess, rounding = estimates(codes, fit, turn @ query)
-        guess, bound = guess * norms, (spread * np.sqrt(query @ query) + EPSILON * rounding / fit) * norms
+        guess, bound = guess * norms, (spread * lengths(query[None])[0] + EPSILON * rounding / fit) * norms
         guess[~own] = -np.inf
         m = min(k, int(own.sum()))
         if not m:
             continue
         first = np.argpartition(-guess, m - 1)[:m]
         enough = (vectors[first] * query).sum(1).min()
-        maybe = np.flatnonzero(own & (guess + bound >= enough))
+        maybe = np.flatnonzero(own & ~(guess + bound < enough))  # also where the bound is no number
         maybe = np.union1d(maybe, first)
         exact = (vectors[maybe] * query).sum(1)
         best = np.lexsort((ids[maybe], -exact))[:k]
