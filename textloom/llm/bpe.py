@@ -7,7 +7,8 @@ of the ranks. The normaliser is the identity. Pre-tokens are encoded one by
 one, and a pre-token that is a piece itself is that piece. Decoding maps each id
 back to its bytes.
 
-Nulls and empty texts give no ids. Texts are taken whole.
+Nulls and empty texts give no ids. Texts are taken whole. Rows are encoded one by one, so repeated rows and ids do no harm; an empty table gives an empty
+one. Other columns are kept as they are, but for those that an operator adds.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import slices
 
-#: How many pre-tokens a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+#: How many pre-tokens, none longer than LONG characters, a worker remembers before it starts afresh.
+REMEMBERED, LONG = 600_000, 64
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -104,7 +105,11 @@ class Codec:
             self.known.clear()
             new = set().union(*found)
         self._learn(list(new))
-        return [" ".join([self.known[t] for t in tokens]) for tokens in found]
+        out = [" ".join([self.known[t] for t in tokens]) for tokens in found]
+        for t in new:
+            if len(t) > LONG:
+                del self.known[t]
+        return out
 
     def decode(self, encoded: list[str]) -> list[bytes]:
         """The bytes of each text, from its ids."""
