@@ -152,6 +152,32 @@ def sentence_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.parents_disjoint(sentences_of(spark, sf_dir), segmentation.segment(own, "line_breaks"))
 
 
+@query(f'WITH {SENTENCES}, {LINES} SELECT s.*, l.idx AS parent_idx FROM sent s LEFT JOIN lines l ON s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end"')
+def sentence_line_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep, which gives the same where neither children nor parents overlap."""
+    return spans.parents_in_order(sentences_of(spark, sf_dir), segmentation.segment(docs(spark, sf_dir), "line_breaks"))
+
+
+@query(f"WITH {LINES} SELECT * FROM lines")
+def segments_between_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words between spans that are kept; there is nothing between lines."""
+    own = docs(spark, sf_dir)
+    return segmentation.segment(own, "whitespace", existing=segmentation.segment(own, "line_breaks"))
+
+
+@query(f"""WITH {LINES}, {INNER} SELECT doc_id, 'line' AS annotation, idx, start, "end", 0 AS part, false AS overlaps FROM lines UNION ALL SELECT doc_id, 'sentence', idx, start, "end", 0, false FROM inner_sent""")
+def split_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested spans stay whole."""
+    own = docs(spark, sf_dir)
+    lines = segmentation.segment(own, "line_breaks")
+    return spans.split_overlaps(spans.merged({"line": lines, "sentence": segmentation.segment(own, "stops", chunks=lines)}))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n")
+def no_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.count_chunks(sentences_of(spark, sf_dir).where("start < 0"))
+
+
 @query(f'WITH {SENTENCES}, {LINES} SELECT s.* FROM sent s WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end")')
 def sentences_across_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.orphans(sentences_of(spark, sf_dir), segmentation.segment(docs(spark, sf_dir), "line_breaks"))
