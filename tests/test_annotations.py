@@ -314,6 +314,34 @@ def test_trees(spark):
     assert got == '<text id="1">\n<chapter idx="1">\n<line>\nc\nd\n</line>\n</chapter>\n<chapter idx="0">\n<line>\na\nb\n.\n</line>\n</chapter>\n</text>\n'
 
 
+def test_gapped_multiwords(spark):
+    def found(text, *entries, most_gaps=1):
+        rows = [(1, 0, i, w.split("/")[0], w.split("/")[1]) for i, w in enumerate(text.split())]
+        tokens = spark.createDataFrame(rows, "doc_id long, sentence int, idx int, word string, pos string")
+        known = spark.createDataFrame([(w.split(), r, g, p) for w, r, g, p in entries], "words array<string>, reading string, gaps boolean, particle boolean")
+        out = lexicon.gapped_multiwords(tokens, known, most_gaps)
+        return tokens, out, sorted((r["places"], r["reading"]) for r in out.collect())
+
+    take = ("ta hand om", "ta_hand_om..vbm.1", True, True)
+    assert found("Ta/VB hand/NN om/PL dem/PN", take)[2] == [([0, 1, 2], "ta_hand_om..vbm.1")]
+    assert found("ta/VB sin/PS hand/NN om/PL", take)[2] == [([0, 2, 3], "ta_hand_om..vbm.1")]
+    assert found("ta/VB sin/PS hand/NN nu/AB om/PL", take)[2] == []  # two gaps
+    assert found("ta/VB sin/PS hand/NN nu/AB om/PL", take, most_gaps=2)[2] == [([0, 2, 4], "ta_hand_om..vbm.1")]
+    assert found("ta/VB ge/VB hand/NN om/PL", take)[2] == []  # another verb in a verb's gap
+    assert found("ta/VB hand/NN om/PP", take)[2] == []  # the particle is a preposition
+    assert found("ta/NN hand/NN om/PL", take)[2] == []  # no verb
+    assert found("i/PP stora/JJ dag/NN", ("i dag", "i_dag..abm.1", False, False))[2] == []
+    assert found("i/PP dag/NN", ("i dag", "i_dag..abm.1", False, False))[2] == [([0, 1], "i_dag..abm.1")]
+    assert found("ju/KN desto/AB", ("ju * desto", "ju_desto..knm.1", True, False))[2] == [([0, 1], "ju_desto..knm.1")]
+    # b a b a of one part of speech: a goes; of different ones both stay.
+    cross = "b1/NN a1/NN b2/NN a2/NN"
+    assert found(cross, ("a1 a2", "a..nnm.1", True, False), ("b1 b2", "b..nnm.1", True, False))[2] == [([0, 2], "b..nnm.1")]
+    assert len(found(cross, ("a1 a2", "a..nnm.1", True, False), ("b1 b2", "b..abm.1", True, False))[2]) == 2
+    tokens, out, _ = found("ta/VB sin/PS hand/NN om/PL", take)
+    sets = lexicon.with_multiwords(tokens.withColumn("lemmas", F.when(F.col("idx") == 0, F.array(F.lit("ta..vb.1"))).otherwise(F.array().cast("array<string>"))), out, "lemmas")
+    assert {r["idx"]: r["lemmas"] for r in sets.collect()} == {0: ["ta..vb.1", "ta_hand_om..vbm.1"], 1: [], 2: ["ta_hand_om..vbm.1:0"], 3: ["ta_hand_om..vbm.1:0"]}
+
+
 def test_sql_texts(spark):
     rows = spark.createDataFrame([(i, f"n'{i}") for i in range(25)], "id long, name string")
     made = [r["statement"] for r in exporters.sql_inserts(rows, "t", "id", rows_a_statement=10).collect()]

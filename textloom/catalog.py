@@ -511,6 +511,24 @@ def multiword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.multiwords(own, phrases)
 
 
+@query(f"""WITH {PIECES}, {TAGGED}, f(a, b, reading) AS (VALUES ('of', 'the', 'of_the..ppm.1'), ('in', 'the', 'in_the..ppm.1'), ('de', 'la', 'de_la..ppm.1')),
+    m AS (SELECT x.doc_id, x.idx, reading FROM tag x JOIN tag y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND y.idx = x.idx + 1 JOIN f ON x.word = f.a AND y.word = f.b),
+    v AS (SELECT doc_id, idx, reading AS value FROM m UNION ALL SELECT doc_id, idx + 1, reading || ':' || idx FROM m), g AS (SELECT doc_id, idx, string_agg(value, '|' ORDER BY value) AS more FROM v GROUP BY 1, 2)
+    SELECT doc_id, idx, concat_ws('|', CASE WHEN length(word) % 2 = 0 THEN word || '..nn.1' END, more) AS lemmas FROM tag LEFT JOIN g USING (doc_id, idx)""")
+def multiword_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases without gaps, written back to all their words."""
+    own = tagged(spark, sf_dir)
+    phrases = spark.createDataFrame([(["of", "the"], "of_the..ppm.1"), (["in", "the"], "in_the..ppm.1"), (["de", "la"], "de_la..ppm.1")], "words array<string>, reading string")
+    found = lexicon.gapped_multiwords(own, phrases.withColumns({"gaps": F.lit(False), "particle": F.lit(False)}))
+    return lexicon.with_multiwords(own.select("doc_id", "idx", "lemmas"), found, "lemmas").select("doc_id", "idx", F.array_join("lemmas", "|").alias("lemmas"))
+
+
+@query()
+def gapped_multiword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phrases = spark.createDataFrame([(["of", "the"], "of_the..ppm.1"), (["the", "*", "of"], "the_of..nnm.1"), (["is", "the"], "is_the..vbm.1")], "words array<string>, reading string")
+    return lexicon.gapped_multiwords(tagged(spark, sf_dir), phrases.withColumns({"gaps": F.lit(True), "particle": F.lit(False)}))
+
+
 @query()
 def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = tokens_of(spark, sf_dir).select("word")
