@@ -224,6 +224,18 @@ def shuffled_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.shuffled(sentences_of(spark, sf_dir), "idx")
 
 
+@query(f"WITH {SENTENCES} SELECT doc_id, count(*) AS n, CAST(1 AS INTEGER) AS least, CAST(count(*) AS INTEGER) AS most, count(*) AS different FROM sent GROUP BY 1")
+def random_number_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of a document are 1 to n, each once."""
+    number = F.col("number").cast("int")
+    return random_numbers(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.min(number).alias("least"), F.max(number).alias("most"), F.count_distinct(number).alias("different"))
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, count(*) AS n, count(*) AS different FROM sent GROUP BY 1")
+def sentence_ids_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_ids(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("different"))
+
+
 @query()
 def sentence_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.span_ids(sentences_of(spark, sf_dir), "sentence")
@@ -562,6 +574,13 @@ def scrambled_vertical_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exporters.vrt(own.join(order, (F.col("doc_id") == F.col("o_doc")) & (F.col("sentence") == F.col("o_sentence"))), ["word", "pos"], order="place")
 
 
+@query(f"""WITH {PIECES}, {TAGGED} SELECT doc_id, count(*) AS words, count(DISTINCT sentence) AS sentences FROM tag GROUP BY 1""")
+def scrambled_text_is_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scrambling keeps every word and sentence."""
+    lines = scrambled_vertical_text(spark, sf_dir).select("doc_id", F.explode(F.split("content", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(F.col("line").contains("\t")).alias("words"), F.count_if(F.col("line").startswith("<sentence ")).alias("sentences"))
+
+
 @query(f"""WITH {PIECES}, {TAGGED}, l AS (SELECT doc_id, sentence, '# sent_id = ' || sentence || E'\\n' || string_agg(ref || E'\\t' || word || E'\\t_\\t_\\t' || pos || E'\\t_\\t_\\t' || relation || E'\\t_\\t_', E'\\n' ORDER BY idx) || E'\\n' AS body FROM tag GROUP BY 1, 2)
     SELECT doc_id, string_agg(body, E'\\n' ORDER BY sentence) || E'\\n' AS content FROM l GROUP BY 1""")
 def conllu(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,19 +122,58 @@ SEGMENTERS: dict[str, Callable[[str], Pieces]] = {
 }
 
 
-def _trimmed(text: str, a: int, b: int) -> tuple[int, int] | None:
-    piece = text[a:b]
-    left = len(piece) - len(piece.lstrip())
-    return (a + left, a + len(piece.rstrip())) if left < len(piece) else None
+#: Segmenters whose pieces never begin or end with white space.
+TIGHT = ("whitespace", "words_and_punctuation")
+#: Texts of so many bytes are cut at a time.
+BYTES_AT_A_TIME = 1 << 20
+
+
+def _cutter(segmenter: str | Callable[[str], Pieces]) -> Callable[[str], list[tuple[int, int]]]:
+    """A function to the spans of a text without white space around them; blank ones are left out."""
+    cut = SEGMENTERS[segmenter] if isinstance(segmenter, str) else segmenter
+    if segmenter in TIGHT:
+        return lambda text: list(cut(text))
+
+    def spans(text: str) -> list[tuple[int, int]]:
+        out = []
+        for a, b in cut(text):
+            while a < b and text[a].isspace():
+                a += 1
+            while a < b and text[b - 1].isspace():
+                b -= 1
+            if a < b:
+                out.append((a, b))
+        return out
+
+    return spans
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their texts have BYTES_AT_A_TIME at most, or are one."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES_AT_A_TIME, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _span_columns(ids: pa.Array, lists: list[list[tuple[int, int]]]) -> list[pa.Array]:
+    """doc_id, idx, start and end of all spans."""
+    n = np.array([len(x) for x in lists], np.int64)
+    edges = np.array([s for x in lists for s in x], np.int32).reshape(-1, 2)
+    idx = np.arange(len(edges)) - np.repeat(np.cumsum(n) - n, n)
+    return [ids.take(pa.array(np.repeat(np.arange(len(n)), n))), *(pa.array(np.ascontiguousarray(c, np.int32)) for c in (idx, edges[:, 0], edges[:, 1]))]
 
 
 def segment(docs: DataFrame, segmenter: str | Callable[[str], Pieces] = "whitespace", chunks: DataFrame | None = None, existing: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, idx, start, end): the spans of every text, without surrounding white space; blank ones are left out.
 
     chunks: spans whose edges no segment may cross. existing: spans that are kept; only what lies between them is segmented.
-    A null text has no spans. Each document is handled in one task, batch by batch.
+    A null text has no spans. Each document is handled in one task, some megabyte of texts at a time.
     """
-    cut = SEGMENTERS[segmenter] if isinstance(segmenter, str) else segmenter
+    cut = _cutter(segmenter)
     own = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     for name, spans in (("chunks", chunks), ("kept", existing)):
         if spans is None:
@@ -151,41 +192,30 @@ def segment(docs: DataFrame, segmenter: str | Callable[[str], Pieces] = "whitesp
                 inside += 1
             if inside < len(fixed) and fixed[inside][0] <= a and b <= fixed[inside][1]:
                 continue
-            for x, y in cut(text[a:b]):
-                if span := _trimmed(text, a + x, a + y):
-                    out.append(span)
+            out += [(a + x, a + y) for x, y in cut(text[a:b])]
         return sorted(out)
 
+    whole = chunks is None and existing is None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                lists = [spans_of(t, c or [], k or []) for t, c, k in zip(part.column("text").to_pylist(), part.column("chunks").to_pylist(), part.column("kept").to_pylist(), strict=True)]
-                ids = part.column("doc_id").take(pa.array([i for i, spans in enumerate(lists) for _ in spans], pa.int32()))
-                columns = [[i for spans in lists for i in range(len(spans))], [a for spans in lists for a, _ in spans], [b for spans in lists for _, b in spans]]
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int32()) for c in columns)], ["doc_id", "idx", "start", "end"])
+        for part in _parts(batches):
+            texts = part.column("text").to_pylist()
+            lists = [cut(t) for t in texts] if whole else [spans_of(t, c or [], k or []) for t, c, k in zip(texts, part.column("chunks").to_pylist(), part.column("kept").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(_span_columns(part.column("doc_id"), lists), ["doc_id", "idx", "start", "end"])
 
     return own.select("doc_id", "text", "chunks", "kept").mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, idx int, start int, end int")
 
 
 def token_table(docs: DataFrame, segmenter: str | Callable[[str], Pieces] = "words_and_punctuation", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, idx, start, end, word) in one pass: segmenting and the spans' text together."""
-    cut = SEGMENTERS[segmenter] if isinstance(segmenter, str) else segmenter
+    cut = _cutter(segmenter)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                rows: list = [[], [], [], [], []]
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    spans = [s for a, b in cut(text) if (s := _trimmed(text, a, b))]
-                    rows[0] += [i] * len(spans)
-                    rows[1] += range(len(spans))
-                    rows[2] += [a for a, _ in spans]
-                    rows[3] += [b for _, b in spans]
-                    rows[4] += [text[a:b] for a, b in spans]
-                arrays = [part.column("doc_id").take(pa.array(rows[0], pa.int32())), *(pa.array(c, pa.int32()) for c in rows[1:4]), pa.array(rows[4], pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "idx", "start", "end", "word"])
+        for part in _parts(batches):
+            texts = part.column("text").to_pylist()
+            lists = [cut(t) for t in texts]
+            words = pa.array([t[a:b] for t, spans in zip(texts, lists, strict=True) for a, b in spans], pa.string())
+            yield pa.RecordBatch.from_arrays([*_span_columns(part.column("doc_id"), lists), words], ["doc_id", "idx", "start", "end", "word"])
 
     own = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, idx int, start int, end int, word string")
