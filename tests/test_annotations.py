@@ -8,12 +8,13 @@ import random
 import re
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textloom import catalog
 from textloom.functions import dates, tags, values
-from textloom.operators import frequency, lexicon, models, numbering, readability, relations, segmentation, spans
+from textloom.operators import alignment, frequency, lexicon, models, numbering, readability, relations, segmentation, spans
 from textloom.plans import names
 from textloom.sinks import exporters, trees
 from textloom.sources import importers
@@ -342,6 +343,25 @@ def test_gapped_multiwords(spark):
     assert {r["idx"]: r["lemmas"] for r in sets.collect()} == {0: ["ta..vb.1", "ta_hand_om..vbm.1"], 1: [], 2: ["ta_hand_om..vbm.1:0"], 3: ["ta_hand_om..vbm.1:0"]}
 
 
+def test_alignment(spark):
+    """Against all ways to cut both sides into beads."""
+    def cheapest(a, b):
+        if not a and not b:
+            return 0.0
+        return min(float(alignment.bead_costs(np.array(float(sum(a[:x]))), np.array(float(sum(b[:y]))), p)) + cheapest(a[x:], b[y:]) for (x, y), p in alignment.BEADS.items() if x <= len(a) and y <= len(b))
+
+    rng = random.Random(5)
+    for _ in range(60):
+        a, b = ([rng.randint(0, 90) for _ in range(rng.randint(0, 5))] for _ in range(2))
+        beads = alignment.aligned_lengths(a, b)
+        assert [x for i, i1, _, _ in beads for x in a[i:i1]] == a and [x for _, _, j, j1 in beads for x in b[j:j1]] == b
+        cost = sum(float(alignment.bead_costs(np.array(float(sum(a[i:i1]))), np.array(float(sum(b[j:j1]))), alignment.BEADS[i1 - i, j1 - j])) for i, i1, j, j1 in beads)
+        assert cost == pytest.approx(cheapest(a, b))
+    left = spark.createDataFrame([("x", 0, 100), ("x", 1, 40), ("x", 2, 45), ("y", 0, 9)], "link string, idx long, length long")
+    right = spark.createDataFrame([("x", 0, 102), ("x", 1, 88), ("z", 0, None)], "link string, idx long, length long")
+    assert sorted(map(tuple, alignment.align(left, right).collect())) == [("x", 0, "left", 0), ("x", 0, "right", 0), ("x", 1, "left", 1), ("x", 1, "left", 2), ("x", 1, "right", 1), ("y", 0, "left", 0), ("z", 0, "right", 0)]
+
+
 def test_sql_texts(spark):
     rows = spark.createDataFrame([(i, f"n'{i}") for i in range(25)], "id long, name string")
     made = [r["statement"] for r in exporters.sql_inserts(rows, "t", "id", rows_a_statement=10).collect()]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import dates, tags, values
-from textloom.operators import frequency, lexicon, models, numbering, readability, relations, segmentation, spans
+from textloom.operators import alignment, frequency, lexicon, models, numbering, readability, relations, segmentation, spans
 from textloom.sinks import exporters, trees
 from textloom.sources import importers
 from textloom.streaming import annotate
@@ -173,6 +173,17 @@ def split_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.split_overlaps(spans.merged({"line": lines, "sentence": segmentation.segment(own, "stops", chunks=lines)}))
 
 
+@query(f"""WITH {LINES}, {INNER}, i AS (SELECT s.doc_id, s.idx, l.idx AS line, CAST(row_number() OVER (PARTITION BY s.doc_id, l.idx ORDER BY s.idx) - 1 AS INTEGER) AS bead FROM inner_sent s JOIN lines l ON s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end")
+    SELECT doc_id || '/' || line AS link, bead, side, CAST(idx AS BIGINT) AS idx FROM i, (VALUES ('left'), ('right')) v(side)""")
+def aligned_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences aligned with those of the same text, line by line: each with itself."""
+    own = docs(spark, sf_dir)
+    lines = segmentation.segment(own, "line_breaks")
+    sentences = spans.parents_disjoint(segmentation.segment(own, "stops", chunks=lines), lines, keep_orphans=False)
+    sentences = sentences.select(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("parent_idx").cast("string")).alias("link"), "idx", (F.col("end") - F.col("start")).alias("length"))
+    return alignment.align(sentences, sentences)
+
+
 @query("SELECT CAST(0 AS BIGINT) AS n")
 def no_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbering.count_chunks(sentences_of(spark, sf_dir).where("start < 0"))
