@@ -55,7 +55,8 @@ def multiset(df, *columns):
     return Counter(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_empty_tables(spark, empty):
+def test_empty_tables(spark, empty, ranks):
+    assert bpe.bpe_digests(empty, *ranks).count() == 0
     assert minhash.near_duplicates(empty).count() == 0
     assert fm_dedup.substring_dedup(empty).count() == 0
     assert suffix_dedup.repeated_bytes(empty).count() == 0
@@ -91,6 +92,19 @@ def test_neighbours(spark):
     assert hits >= 0.95 * 20 * len(got)
 
 
+def test_neighbours_of_tiny_and_huge_vectors(spark):
+    """Squares of components vanish or overflow; the measure on the vectors themselves does not."""
+    rows = [(0, [1.0, 0.0]), (1, [1e-3, 0.0]), (2, [1e200, 1.0]), (3, [1e-200, 1e-200]), (4, [-1.0, 0.0]), (5, [-1e200, 0.0]), (20, [1e-200, 0.0]), (40, [1e100, 1e100])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got: dict = {}
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q, vector in rows:
+        if q % 20 == 0:
+            exact = sorted(((sum(x * y for x, y in zip(vector, v, strict=True)), i) for i, v in rows if i != q), key=lambda x: (-x[0], x[1]))[:4]
+            assert got[q] == [(i, s) for s, i in exact]
+
+
 def test_neighbours_of_few_vectors(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 0.5)]
@@ -126,6 +140,7 @@ def test_near_duplicates(docs, k, threshold):
 def test_blocks_of_large_buckets(spark, monkeypatch):
     """Documents that all look alike to the sketch, of which few are linked."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "SKETCHES", 16)
     rng = random.Random(5)
     base = ["b%d" % i for i in range(120)]
     rows = []
@@ -155,6 +170,30 @@ def test_register_agreement_estimates_similarity():
     assert len(set(r[2])) <= 3
 
 
+def test_register_estimates_of_blocks():
+    rng = np.random.default_rng(8)
+    a, b, n = rng.integers(0, 3, (9, minhash.BUCKETS)).astype(np.uint16), rng.integers(0, 3, (5, minhash.BUCKETS)).astype(np.uint16), rng.integers(1, 500, 14).astype(float)
+    table = minhash.estimates(a, b, n[:9], n[9:])
+    for i in range(9):
+        for j in range(5):
+            assert table[i, j] == pytest.approx(minhash.estimate(a[i : i + 1], b[j : j + 1], n[i : i + 1], n[9 + j : 10 + j])[0], abs=1e-5)
+
+
+def test_stars_connect_what_the_links_connect():
+    rng = np.random.default_rng(9)
+    for _ in range(100):
+        good = rng.random((rng.integers(1, 9), rng.integers(1, 9))) < 0.2
+        rows = len(good)
+
+        def components(edges):
+            group = list(range(sum(good.shape)))
+            for x, y in edges:
+                group = [group[y] if g == group[x] else g for g in group]
+            return {frozenset(i for i, g in enumerate(group) if g == k) for k in set(group)}
+
+        assert components(minhash.stars_of(good)) == components([(i, rows + j) for i, j in np.argwhere(good).tolist()])
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 380)] + [(9, 9), (5, None)]
@@ -187,6 +226,42 @@ def test_quality_network(spark):
     assert sum((out[i] >= 0.5) == (i % 3 > 0) for i in held) >= 0.95 * len(held)
 
 
+def test_network_against_plain_loops(monkeypatch):
+    """Byte by byte, filter by filter: chunks of 256 bytes every 128 cover the whole text, with zeros after it."""
+    weights = quality.fresh_weights(3)
+    rng = random.Random(2)
+    texts = [b"", b"a", rng.randbytes(120), rng.randbytes(128), rng.randbytes(129), rng.randbytes(1000), rng.randbytes(5000)]
+
+    def plain(text: bytes) -> float:
+        halves = -(-(len(text) + 4) // 128)
+        data = text + bytes(halves * 128 + 8 - len(text))
+        answer = lambda p, f: sum(float(weights["embedding"][data[p + i]][e]) * float(weights["filters"][i * 6 + e][f]) for i in range(8) for e in range(6))
+        best = [[max(answer(h * 128 + p, f) for p in range(0, 128, 4)) + float(weights["bias"][f]) for f in range(24)] for h in range(halves)]
+        chunks = [best[h : h + 2] for h in range(max(1, halves - 1))]
+        pooled = [sum(max(0.0, *(half[f] for half in c)) for c in chunks) / len(chunks) for f in range(24)]
+        return 1 / (1 + math.exp(-(sum(p * float(w) for p, w in zip(pooled, weights["out"], strict=True)) + float(weights["level"][0]))))
+
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    for piece in (2048, 3):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert quality.probabilities(weights, data, offsets) == pytest.approx([plain(t) for t in texts], abs=1e-5)
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """Labels without a document don't take the place of others; texts count whole up to the bound."""
+    rows = [(i, "x" * (10 + i)) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1000 + i, 1) for i in range(500)] + [(99, 1)], "doc_id long, quality int")
+    found = quality.training_rows(docs, labels, F.lit(True), "quality", "doc_id", "text", 10).collect()
+    first = lambda k: sorted((hashlib.md5(str(i).encode()).hexdigest(), i) for i in range(40) if i % 2 == k)[:10]
+    assert sorted((r["digest"], r["id"]) for r in found) == sorted(first(0) + first(1))
+    taken = {}
+    monkeypatch.setattr(quality, "fit", lambda texts, y: taken.update(sizes=[len(t) for t in texts], y=y.tolist()))
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 100)
+    quality.train(docs, labels, F.lit(True), per_class=10)
+    assert set(taken["y"]) == {0, 1} and all(sum(s for s, k in zip(taken["sizes"], taken["y"], strict=True) if k == c) <= 100 for c in (0, 1))
+
+
 def test_gradients():
     weights = {k: v.astype(np.float64) for k, v in quality.fresh_weights().items()}
     data, offsets = np.frombuffer(b"some text and more!" * 30 + b"short", np.uint8), np.array([0, 570, 570, 575])
@@ -222,6 +297,18 @@ def test_media_of_any_bytes():
         media.read_riff(b"RIFFxxxxWAVE" + b"\0" * 20)
 
 
+def test_media_that_cannot_be_read(spark):
+    whole = media.encode_avi(bytes(range(256)) * 10)
+    broken = bytearray(whole)
+    broken[whole.index(b"\xff\xda") + 20] ^= 0xFF
+    rows = [(1, whole), (2, b""), (3, b"no media"), (4, whole[: len(whole) // 2]), (5, bytes(broken)), (6, None)]
+    got: dict = {}
+    for r in media.avi_clips(spark.createDataFrame(rows, "doc_id long, media binary")).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    assert all(r["error"] is None for r in got[1]) and all(len(got[i]) == 1 and got[i][0]["error"] and got[i][0]["clip"] is None for i in (2, 3, 4, 5))
+
+
 def test_shots_follow_histograms():
     a, b = np.eye(media.BINS)[0], np.eye(media.BINS)[5]
     assert media.shot_starts(np.array([a] * 6 + [b] * 6 + [a] * 3)) == [0, 6, 12]
@@ -312,11 +399,12 @@ def _license_row(text: str | None) -> tuple:
         at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
         places += at
         found |= {label} if at else set()
-    best, half = 0.0, licenses.BLOCK // 2
+    best = 0.0
     for label, template in licenses.TEMPLATES.items():
+        half = licenses.half_block(template)
         own = set(re.findall(r"[a-z0-9]+", template.lower()))
         for b in range(0, max(1, len(words)), half):
-            share = len(own & set(words[b : b + licenses.BLOCK])) / len(own)
+            share = len(own & set(words[b : b + 2 * half])) / len(own)
             if share * len(own) >= math.ceil(licenses.THRESHOLD * len(own) - 1e-9):
                 best = max(best, share)
                 found.add(label)
@@ -340,6 +428,24 @@ def test_license_templates_in_wider_text(spark):
     assert got[1]["labels"] == "mit-grant" and got[1]["blocks"][0]["label"] == "mit-grant" and got[2]["n_base"] == 3
 
 
+def test_license_texts_of_any_length(spark):
+    """Whole texts, with a few words changed, anywhere in others; and templates given by the caller."""
+    rng = random.Random(3)
+    rows = []
+    for i, (label, template) in enumerate(licenses.TEMPLATES.items()):
+        own = template.split()
+        for k in rng.sample(range(len(own)), len(own) // 25):
+            own[k] = "changed"
+        rows.append((i, "w " * rng.randrange(700) + " ".join(own) + " w" * rng.randrange(100)))
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(licenses.TEMPLATES.items()):
+        assert tuple(got[i][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels")) == _license_row(rows[i][1])[:6]
+        assert label in got[i]["labels"].split(",") and all(b["word"] >= 0 for b in got[i]["blocks"])
+    long = " ".join(f"term{i}" for i in range(3000))
+    table = spark.createDataFrame([(1, "x " * 999 + long), (2, " ".join(long.split()[:2000])), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.license_scan(table, {"own": long}, {"no such": "none"}).collect()} == {1: "own", 2: "", 3: ""}
+
+
 @pytest.fixture(scope="module")
 def ranks():
     import public_tokenizers
@@ -412,14 +518,15 @@ def test_mixing(docs):
     assert Counter((r["doc_id"], r["mix_size"], r["mix_times"]) for r in rows) == Counter((r["doc_id"], r["mix_size"], r["mix_times"]) for r in again)
 
 
-def test_mixing_takes_the_sample_order(spark):
-    """The rows taken once more are the first ones by the exponential keys, up to the budget."""
-    rows = [(i, "a" if i < 300 else "b" if i < 330 else None, (i * 7) % 13 + 1) for i in range(360)]
+@pytest.mark.parametrize("weight", [1.0, 0.05, 40.0])
+def test_mixing_takes_the_sample_order(spark, weight):
+    """The rows taken once more are the first ones by the exponential keys, up to the budget; rows of one id have one key."""
+    rows = [(i, "a" if i < 300 else "b" if i < 330 else None, (i * 7) % 13 + 1) for i in range(360)] + [(i, "a", 20) for i in range(0, 300, 3)]
     table = spark.createDataFrame(rows, "doc_id long, source string, size long")
-    out = mixing.mixed(table, size=table["size"], weight=F.lit(1.0)).collect()
-    key = lambda i: 1 - math.exp(math.log((int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) + 0.5) / 16**13))
+    out = mixing.mixed(table, size=table["size"], weight=F.lit(weight)).collect()
+    key = lambda i: -math.log((int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) + 0.5) / 16**13) / max(weight, 0.05)
     for s in ("a", "b", None):
-        own = sorted((r for r in out if r["source"] == s), key=lambda r: key(r["doc_id"]))
+        own = sorted((r for r in out if r["source"] == s), key=lambda r: (key(r["doc_id"]), r["doc_id"], r["size"]))
         epochs = int(own[0]["mix_target"] / own[0]["mix_source_size"] + 1e-12)
         rest, before, open_ = own[0]["mix_target"] - epochs * own[0]["mix_source_size"], 0, True
         for r in own:
@@ -428,6 +535,12 @@ def test_mixing_takes_the_sample_order(spark):
             before += r["size"]
 
 
+def test_quality_weight(spark):
+    rows = [(None, 0.0), ("", 0.0), ("ab c", 1.0), ("ab12", 0.5), ("тёплый д", 1.0), ("中文。。", 0.5), ("<p>a</p>", 3 / 8)]
+    table = spark.createDataFrame(rows, "text string, weight double")
+    assert [r[0] for r in table.select(mixing.quality_weight(F.col("text"))).collect()] == [w for _, w in rows]
+
+
 def _ppm(rows: list[bytes], order: int = 3):
     """Chances by the definition: walk down from the longest context, leaving out what was seen."""
     counts: dict = {}

@@ -104,3 +104,28 @@ def test_run_is_the_stages_in_turn(spark, kept):
 
     got = corpus_pipeline.run(spark, SF)
     assert Counter((r["doc_id"], r["decoded_sha256"]) for r in got.collect()) == Counter((r["doc_id"], r["decoded_sha256"]) for r in kept[5].collect())
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, columns of the operators' own names, and tables without rows."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, text, "en", "a", 3), (1, text, "en", "a", 3), (2, "before " + text + " after", "en", None, 4), (2, "before " + text + " after", "en", None, 4), (3, None, None, "a", None), (4, "", "en", "b", 0), (None, text, "en", "a", 5), (None, None, "en", "a", 5), (5, "short one", "en", "b", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, quality_score string, kept int, mix_size long, digest int, route string"
+    odd = spark.createDataFrame([(*r, "q", 1, 2, 3, "r") for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+        got = Counter((r["doc_id"], r["source"]) for r in out.collect())
+        every = Counter((r[0], r[3]) for r in rows)
+        if name == "token_ids":
+            assert got == every
+            continue
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS
+        if name == "near_dedup":  # 2 is a near copy of 1; equal rows stay together
+            assert got == every - Counter([(2, None)] * 2)
+        elif name == "substring_dedup":
+            assert {r["doc_id"]: r["text"] for r in out.where("doc_id = 2").collect()} == {2: "before after"} and got == every
+        else:
+            assert set(got) <= set(every)

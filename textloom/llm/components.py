@@ -30,4 +30,16 @@ def connected(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(b.alias("a"), F.col("m").alias("b")), F.struct(a.alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = written(small.where(a != b).distinct(), "edges")
+    else:
+        raise RuntimeError(f"edges are no stars after {MOST_ROUNDS} rounds")
     return now.select(a.alias("node"), b.alias("root")).unionByName(now.select(b.alias("node"), b.alias("root"))).distinct()
+
+
+def joined_components(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) of connected() with further edges: only components that these join are worked on."""
+    named = edges.select("a", "b")
+    for end in ("a", "b"):
+        named = named.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(end, F.coalesce(f"root_{end}", end)).drop(f"root_{end}")
+    new = written(connected(named), "roots")
+    known = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("new_root")), "root", "left").select("node", F.coalesce("new_root", "root").alias("root"))
+    return known.unionByName(new.join(roots.select("node"), "node", "left_anti").select("node", "root"))

@@ -10,15 +10,16 @@ chance of the Jaccard similarity J in small sets too.
 2. Bands of ``rows`` registers are keys. In each band's bucket the classes are paired with one of them, the first by a
    hash that differs by band, so that a group of any size makes a pair for each class and band at most.
 3. Pairs whose collision-corrected estimate is too low by DEVIATIONS are left out; the others are confirmed on the full sets.
-4. Components of the confirmed links. In buckets that now hold several components, blocks of members are compared with each
-   other on the full sets, and only links that connect components are passed on; then components are found again. A pair of
-   one bucket is thus either examined or already connected; no cap applies.
+4. Components of the confirmed links. In buckets that now hold several components, blocks of registers are compared with each other: members
+   of different components that may be alike are one family, members without any such partner leave.
+5. Blocks of a family's full sets are compared, each pair once however many buckets it shares, and only links that connect
+   components are passed on; then components are joined. A pair of one bucket is thus examined, unlike by its registers, or already connected; no cap applies.
 
 Sets are made again from the texts for classes that share a bucket; nothing of all documents goes to the driver. What can
 be lost is a link whose sets agree in no band: with J = 0.85 and 16 bands of 4 about 8 in a million.
 
 Words are ASCII-lower-cased runs of anything but ASCII white space. A text of fewer words is one shingle; an empty or
-null text has none and is linked with nothing. Rows of one id are one document when they link. A null id is linked with nothing. Equal rows get equal results.
+null text has none and is linked with nothing; an empty table gives an empty one. Very long texts are bounded by blocks of BLOCK_BYTES, or one set. Rows of one id are one document when they link. A null id is linked with nothing. Equal rows get equal results.
 """
 
 from __future__ import annotations
@@ -29,18 +30,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import mix64, slices, written
-from textloom.llm.components import connected
+from textloom.llm.components import connected, joined_components
 
 BUCKETS, MANTISSA, REST = 64, 10, 58
 DEVIATIONS = 5.0
 ATTEMPTS = 512
-REMEMBERED = 500_000
-#: Sets in a block of a large bucket; hashes in a product.
-BLOCK, COLUMNS = 384, 4096
+#: Words that a worker remembers at most, none longer than LONG bytes.
+REMEMBERED, LONG = 500_000, 64
+#: Ids are broadcast up to so many, 8 bytes each.
+MOST_BROADCAST = 2_000_000
+#: Registers, then full sets and their bytes, in a block of a large bucket; hashes in a product.
+SKETCHES, BLOCK, BLOCK_BYTES, COLUMNS = 2048, 1024, 8 << 20, 4096
 _SOURCE = np.random.default_rng(20).integers(0, BUCKETS, (ATTEMPTS, BUCKETS))
 _FACTORS = np.random.default_rng(21).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _word_hashes: dict[bytes, int] = {}
@@ -50,9 +54,14 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; a worker remembers those it has met."""
     if len(_word_hashes) > REMEMBERED:
         _word_hashes.clear()
-    for w in set(words).difference(_word_hashes):
+    new = set(words).difference(_word_hashes)
+    for w in new:
         _word_hashes[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    out = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    for w in new:
+        if len(w) > LONG:
+            del _word_hashes[w]
+    return out
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -99,20 +108,36 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _lengths(n: np.ndarray) -> np.ndarray:
+    """Of each set's size, how likely the smallest hash of a bucket lies in [2^-z-1, 2^-z), by z."""
+    return np.diff((1 - 2.0 ** -np.arange(41)[None]) ** np.maximum(n[:, None] / BUCKETS, 1), axis=1)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Jaccard estimates from rows of registers, less the agreements that chance alone makes.
 
     Smallest hashes of different elements agree in zeros z with the chance that both lie in [2^-z-1, 2^-z),
     and in the mantissa once in 2^MANTISSA.
     """
-    def share(n: np.ndarray) -> np.ndarray:
-        edge = (1 - 2.0 ** -np.arange(41)[None]) ** np.maximum(n[:, None] / BUCKETS, 1)
-        return np.diff(edge, axis=1)
-
-    chance = (share(n_a) * share(n_b)).sum(1) / (1 << MANTISSA)
+    chance = (_lengths(n_a) * _lengths(n_b)).sum(1) / (1 << MANTISSA)
     return ((a == b).mean(1) - chance) / (1 - chance)
 
 
+def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """As estimate(), for every row of a with every row of b."""
+    a, b, same = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), np.zeros((len(a), len(b)), np.uint8)
+    for x, y in zip(a, b, strict=True):
+        same += (x[:, None] == y[None]).view(np.uint8)
+    chance = (_lengths(n_a) @ _lengths(n_b).T / (1 << MANTISSA)).astype(np.float32)
+    return (same * np.float32(1 / BUCKETS) - chance) / (1 - chance)
+
+
+def lowest_estimate(threshold: tuple[int, int]) -> float:
+    """Pairs below it are not confirmed."""
+    least = threshold[0] / threshold[1]
+    return least - DEVIATIONS * np.sqrt(least * (1 - least) / BUCKETS)
+
+
 def sketches(docs: DataFrame, k: int, rows: int, id_column: str, text_column: str) -> DataFrame:
     """(doc_id, n, high, low, sketch): the set's size, a 128-bit digest of it, and its registers."""
 
@@ -141,7 +166,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, k: int, id_column: str, text_col
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "shingles"])
 
     own = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).cast("string").alias("text")).where("text is not null")
-    return own.join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "node long, n long, shingles binary")
+    near = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes  # otherwise Spark chooses, and may shuffle all texts for a few ids
+    return own.join(near.select("node"), "node", "left_semi").mapInArrow(run, "node long, n long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, sketch: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -153,7 +179,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, sketch: DataFrame, threshold:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("sketch_a", "sketch_b"))
                 n = [batch.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b")]
-                good = (estimate(a, b, *n) >= least - DEVIATIONS * np.sqrt(least * (1 - least) / BUCKETS)) & (np.minimum(*n) >= least * np.maximum(*n) - 1e-9)
+                good = (estimate(a, b, *n) >= lowest_estimate(threshold)) & (np.minimum(*n) >= least * np.maximum(*n) - 1e-9)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,25 +206,32 @@ def block_links(shingles: list[np.ndarray], roots: np.ndarray, side: np.ndarray,
     side: 0 for sets of the first block, 1 for the second; pairs in one side count only if there is no other. All
     intersections come from products of 0/1 matrices over the hashes that several sets have.
     """
-    n, size = len(shingles), np.array([len(s) for s in shingles], np.float64)
-    values, column, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
-    row, shared = np.repeat(np.arange(n), size.astype(int)), times > 1
-    place, use = np.cumsum(shared) - 1, shared[column]
-    row, column = row[use], place[column[use]]
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(first) or not len(second):
+        first = second = np.arange(len(shingles))
+    size = np.array([len(s) for s in shingles], np.float32)
+    _, column, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+    shared, use = times > 1, times[column] > 1
+    row, column = np.repeat(np.arange(len(shingles)), size.astype(int))[use], (np.cumsum(shared) - 1)[column[use]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((n, n), np.float32)
+    at = np.zeros((2, len(shingles)), np.int64)
+    at[0, first], at[1, second] = np.arange(len(first)), np.arange(len(second))
+    sides = [np.isin(row, own) for own in (first, second)]
+    both = np.zeros((len(first), len(second)), np.float32)
     for start in range(0, int(shared.sum()), COLUMNS):
         a, b = np.searchsorted(column, [start, start + COLUMNS])
-        part = np.zeros((n, COLUMNS), np.float32)
-        part[row[a:b], column[a:b] - start] = 1
-        both += part @ part.T
-    similar = threshold[1] * both >= threshold[0] * (size[:, None] + size[None] - both)
-    similar &= roots[:, None] != roots[None]
-    if side.any() and not side.all():
-        similar &= side[:, None] != side[None]
+        parts = []
+        for k, own in enumerate((first, second)):
+            part, there = np.zeros((len(own), COLUMNS), np.float32), sides[k][a:b]
+            part[at[k, row[a:b][there]], column[a:b][there] - start] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    similar = threshold[1] * both >= threshold[0] * (size[first, None] + size[None, second] - both)
+    similar &= roots[first, None] != roots[None, second]
     group, out = {r: r for r in roots.tolist()}, []
-    for i, j in np.argwhere(np.triu(similar)).tolist():
+    for i, j in np.argwhere(similar).tolist():
+        i, j = int(first[i]), int(second[j])
         x, y = int(roots[i]), int(roots[j])
         while group[x] != x:
             group[x] = group[group[x]]
@@ -212,17 +245,62 @@ def block_links(shingles: list[np.ndarray], roots: np.ndarray, side: np.ndarray,
     return out
 
 
-def _links_across(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between the components of each bucket, from (band, key, node, root).
+def _block_pairs(members: DataFrame, weight: Column) -> DataFrame:
+    """(band, key, i, j, node, root, side) from (band, key, node, root): each bucket's members dealt into as many blocks as the weights' sum says, for each pair of its blocks.
 
-    A bucket's members are dealt into blocks of about BLOCK; a task compares two blocks, so that neither a bucket nor its pairs stand in one place.
+    A task compares two blocks, so that neither a bucket nor its pairs stand in one place. Only pairs of blocks with several components are kept.
     """
-    size = members.groupBy("band", "key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    size = members.groupBy("band", "key").agg(F.ceil(F.sum(weight)).cast("int").alias("blocks"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band", "key", "blocks")
     own = members.join(size, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     own = own.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "partner"), "j": F.greatest("own", "partner")})
-    # Only pairs of blocks with several components have anything to compare.
     several = own.groupBy("band", "key", "i", "j").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band", "key", "i", "j")
-    own = own.join(several, ["band", "key", "i", "j"], "left_semi").select("band", "key", "i", "j", "node", "root", (F.col("own") == F.col("j")).cast("int").alias("side"))
+    return own.join(several, ["band", "key", "i", "j"], "left_semi").select("band", "key", "i", "j", "node", "root", (F.col("own") == F.col("j")).cast("int").alias("side"))
+
+
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Pairs of blocks over all tasks: they are much work for few bytes, by which Spark would put them together."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "key", "i", "j")
+
+
+def stars_of(good: np.ndarray) -> list[tuple[int, int]]:
+    """(row or len(rows) + column, row): of each component of a 0/1 matrix of links between rows and columns its members with one of its rows."""
+    rows, out = good.any(1), []
+    while rows.any():
+        first = int(np.argmax(rows))
+        new_rows, own_rows, own_columns = np.arange(len(rows)) == first, np.zeros(len(rows), bool), np.zeros(good.shape[1], bool)
+        while new_rows.any():
+            own_rows |= new_rows
+            new_columns = good[new_rows].any(0) & ~own_columns
+            own_columns |= new_columns
+            new_rows = good[:, new_columns].any(1) & ~own_rows
+        rows &= ~own_rows
+        out += [(i, first) for i in [*np.flatnonzero(own_rows).tolist(), *(len(rows) + np.flatnonzero(own_columns)).tolist()]]
+    return out
+
+
+def _promising(members: DataFrame, sketch: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) that connect all members of buckets, from (band, key, node, root), that may be alike and are of different components."""
+    least, lowest = threshold[0] / threshold[1], lowest_estimate(threshold)
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        side, node, root = (frame[c].to_numpy() for c in ("side", "node", "root"))
+        n, rows = frame["n"].to_numpy().astype(np.float64), np.frombuffer(b"".join(frame["sketch"]), np.uint16).reshape(-1, BUCKETS)
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(first) or not len(second):
+            first = second = np.arange(len(frame))
+        good = estimates(rows[first], rows[second], n[first], n[second]) >= lowest
+        a, b = n[first, None], n[None, second]
+        good &= (root[first, None] != root[None, second]) & (least * a <= b + 1e-9) & (least * b <= a + 1e-9)
+        both = np.concatenate([node[first], node[second]])
+        edges = both[np.array(stars_of(good), np.int64).reshape(-1, 2)]
+        return pd.DataFrame({"a": edges.max(axis=1), "b": edges.min(axis=1)})
+
+    pairs = _spread(_block_pairs(members, F.lit(1 / SKETCHES)).join(sketch, "node"))
+    return pairs.groupBy("band", "key", "i", "j").applyInPandas(lambda frame: compare(frame), "a long, b long").where("a <> b").distinct()
+
+
+def _links_across(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between the components of each family, from (band, key, node, root, n)."""
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         node = frame["node"].to_numpy()
@@ -230,7 +308,8 @@ def _links_across(members: DataFrame, sets: DataFrame, threshold: tuple[int, int
         pairs = node[np.array(found, np.int64).reshape(-1, 2)]
         return pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
 
-    return own.join(sets, "node").groupBy("band", "key", "i", "j").applyInPandas(lambda frame: compare(frame), "a long, b long").distinct()
+    pairs = _spread(_block_pairs(members, F.greatest(F.lit(1 / BLOCK), F.col("n") * 8 / BLOCK_BYTES)).join(sets, "node"))
+    return pairs.groupBy("band", "key", "i", "j").applyInPandas(lambda frame: compare(frame), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -251,7 +330,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     shared = banded.groupBy("band", "key").agg(F.min(first).alias("first"), F.count("*").alias("size")).where("size > 1").select("band", "key", F.col("first.node").alias("center"))
     buckets = written(banded.join(shared, ["band", "key"]), "buckets")
     stars = buckets.where("node <> center").select(F.greatest("node", "center").alias("a"), F.least("node", "center").alias("b")).distinct()
-    inside = buckets.select("node").distinct()
+    inside = written(buckets.select("node").distinct(), "inside")
     sketch = classes.groupBy("node").agg(F.max("n").alias("n"), F.max_by("sketch", "n").alias("sketch")).join(inside, "node", "left_semi")
     sketch = written(sketch, "bucket-sketches")
     sets = _sets_of(docs, inside, k, id_column, text_column)
@@ -259,12 +338,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     links = written(_confirmed(stars, sets, sketch, threshold), "links")
     roots = written(connected(links), "roots")
 
-    placed = buckets.join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band", "key")
-    open_ = written(placed.join(mixed, ["band", "key"], "left_semi"), "open-buckets")
-    if not open_.isEmpty():
-        links = links.unionByName(_links_across(open_, sets, threshold))
-        roots = written(connected(links), "roots")
+    rooted = lambda table, roots: table.select("band", "key", "node").join(roots, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
+    placed = rooted(buckets, roots)
+    open_ = placed.groupBy("band", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("band", "key")
+    families = written(_promising(placed.join(open_, ["band", "key"], "left_semi"), sketch, threshold), "families")
+    if not families.isEmpty():
+        families = connected(families).select(F.lit(0).alias("band"), F.col("root").alias("key"), "node")
+        left = rooted(families, roots).join(sketch.select("node", "n"), "node")
+        links = written(_links_across(written(left, "families"), sets, threshold), "links")
+        roots = written(joined_components(roots, links), "roots")
 
     member = full.select("high", "low", "n", "doc_id").distinct().join(classes.select("high", "low", "n", "node"), ["high", "low", "n"])
     member = member.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id"))
