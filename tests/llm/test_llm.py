@@ -179,6 +179,19 @@ def test_register_estimates_of_blocks():
             assert table[i, j] == pytest.approx(minhash.estimate(a[i : i + 1], b[j : j + 1], n[i : i + 1], n[9 + j : 10 + j])[0], abs=1e-5)
 
 
+def test_pairings_meet_all_pairs_of_different_roots():
+    rng = np.random.default_rng(10)
+    for _ in range(200):
+        n = int(rng.integers(1, 12))
+        roots, side = rng.integers(0, 3, n), rng.integers(0, 2, n)
+        met = {frozenset((int(i), int(j))) for some, others in minhash.pairings(roots, side) for i in some for j in others if roots[i] != roots[j]}
+        crossing = len(set(side.tolist())) == 2
+        assert met == {frozenset((i, j)) for i in range(n) for j in range(i) if roots[i] != roots[j] and (not crossing or side[i] != side[j])}
+        sets = [np.unique(rng.integers(0, 30, 8).astype(np.uint64)) for _ in range(n)]
+        for some, others in minhash.pairings(roots, side):
+            assert minhash.common_elements(sets, some, others).tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in others] for i in some]
+
+
 def test_stars_connect_what_the_links_connect():
     rng = np.random.default_rng(9)
     for _ in range(100):

@@ -200,48 +200,59 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, sketch: DataFrame, threshold:
     return joined(pairs, sets, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(similar, "a long, b long")
 
 
-def block_links(shingles: list[np.ndarray], roots: np.ndarray, side: np.ndarray, threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """Pairs of similar sets of different roots, as many as connect what all such pairs would.
+def pairings(roots: np.ndarray, side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(some, others): which members of two blocks are compared with which, so that every pair of different roots is.
 
-    side: 0 for sets of the first block, 1 for the second; pairs in one side count only if there is no other. All
-    intersections come from products of 0/1 matrices over the hashes that several sets have.
+    side: 0 for members of the first block, 1 for the second; pairs in one side count only if there is no other. Members of the most common root
+    are only compared with those of others.
     """
     first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    values, times = np.unique(roots, return_counts=True)
+    few = roots != values[np.argmax(times)]
     if not len(first) or not len(second):
-        first = second = np.arange(len(shingles))
-    size = np.array([len(s) for s in shingles], np.float32)
-    _, column, times = np.unique(np.concatenate(shingles), return_inverse=True, return_counts=True)
+        out = [(np.flatnonzero(few), np.arange(len(roots)))]
+    else:
+        out = [(first[few[first]], second), (first[~few[first]], second[few[second]])]
+    return [(a, b) for a, b in out if len(a) and len(b)]
+
+
+def common_elements(sets: list[np.ndarray], some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """How many elements each of some sets has in common with each of others: products of 0/1 matrices over the elements that several sets have."""
+    own = [sets[i] for i in [*some, *others]]
+    _, column, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
     shared, use = times > 1, times[column] > 1
-    row, column = np.repeat(np.arange(len(shingles)), size.astype(int))[use], (np.cumsum(shared) - 1)[column[use]]
+    row, column = np.repeat(np.arange(len(own)), [len(s) for s in own])[use], (np.cumsum(shared) - 1)[column[use]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    at = np.zeros((2, len(shingles)), np.int64)
-    at[0, first], at[1, second] = np.arange(len(first)), np.arange(len(second))
-    sides = [np.isin(row, own) for own in (first, second)]
-    both = np.zeros((len(first), len(second)), np.float32)
+    both = np.zeros((len(some), len(others)), np.float32)
     for start in range(0, int(shared.sum()), COLUMNS):
         a, b = np.searchsorted(column, [start, start + COLUMNS])
-        parts = []
-        for k, own in enumerate((first, second)):
-            part, there = np.zeros((len(own), COLUMNS), np.float32), sides[k][a:b]
-            part[at[k, row[a:b][there]], column[a:b][there] - start] = 1
-            parts.append(part)
-        both += parts[0] @ parts[1].T
-    similar = threshold[1] * both >= threshold[0] * (size[first, None] + size[None, second] - both)
-    similar &= roots[first, None] != roots[None, second]
+        part = np.zeros((len(own), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - start] = 1
+        both += part[: len(some)] @ part[len(some) :].T
+    return both
+
+
+def block_links(shingles: list[np.ndarray], roots: np.ndarray, side: np.ndarray, threshold: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pairs of similar sets of different roots, as many as connect what all such pairs would; roots and side as for pairings()."""
+    size = np.array([len(s) for s in shingles], np.float32)
     group, out = {r: r for r in roots.tolist()}, []
-    for i, j in np.argwhere(similar).tolist():
-        i, j = int(first[i]), int(second[j])
-        x, y = int(roots[i]), int(roots[j])
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        while group[y] != y:
-            group[y] = group[group[y]]
-            y = group[y]
-        if x != y:
-            group[x] = y
-            out.append((i, j))
+    for some, others in pairings(roots, side):
+        both = common_elements(shingles, some, others)
+        similar = threshold[1] * both >= threshold[0] * (size[some, None] + size[None, others] - both)
+        similar &= roots[some, None] != roots[None, others]
+        for i, j in np.argwhere(similar).tolist():
+            i, j = int(some[i]), int(others[j])
+            x, y = int(roots[i]), int(roots[j])
+            while group[x] != x:
+                group[x] = group[group[x]]
+                x = group[x]
+            while group[y] != y:
+                group[y] = group[group[y]]
+                y = group[y]
+            if x != y:
+                group[x] = y
+                out.append((i, j))
     return out
 
 
@@ -285,14 +296,14 @@ def _promising(members: DataFrame, sketch: DataFrame, threshold: tuple[int, int]
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         side, node, root = (frame[c].to_numpy() for c in ("side", "node", "root"))
         n, rows = frame["n"].to_numpy().astype(np.float64), np.frombuffer(b"".join(frame["sketch"]), np.uint16).reshape(-1, BUCKETS)
-        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(first) or not len(second):
-            first = second = np.arange(len(frame))
-        good = estimates(rows[first], rows[second], n[first], n[second]) >= lowest
-        a, b = n[first, None], n[None, second]
-        good &= (root[first, None] != root[None, second]) & (least * a <= b + 1e-9) & (least * b <= a + 1e-9)
-        both = np.concatenate([node[first], node[second]])
-        edges = both[np.array(stars_of(good), np.int64).reshape(-1, 2)]
+        edges = []
+        for some, others in pairings(root, side):
+            good = estimates(rows[some], rows[others], n[some], n[others]) >= lowest
+            a, b = n[some, None], n[None, others]
+            good &= (root[some, None] != root[None, others]) & (least * a <= b + 1e-9) & (least * b <= a + 1e-9)
+            both = np.concatenate([node[some], node[others]])
+            edges.append(both[np.array(stars_of(good), np.int64).reshape(-1, 2)])
+        edges = np.concatenate([*edges, np.zeros((0, 2), np.int64)])
         return pd.DataFrame({"a": edges.max(axis=1), "b": edges.min(axis=1)})
 
     pairs = _spread(_block_pairs(members, F.lit(1 / SKETCHES)).join(sketch, "node"))
