@@ -693,7 +693,7 @@ def cleaned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority ELSE o_orderstatus END AS overridden, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE o_orderstatus || '+F' END AS twins, replace(o_clerk, '.', '-') AS index_name,
-    CASE o_orderkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.75 WHEN 2 THEN 0.66 ELSE 0.25 END AS precision, 'name=' || o_orderkey || ':0.5' AS affixed FROM (SELECT *, o_orderpriority || '.x' AS o_clerk FROM orders)""")
+    CAST(CASE o_orderkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.75 WHEN 2 THEN 0.66 ELSE 0.25 END AS DOUBLE) AS precision, 'name=' || o_orderkey || ':0.5' AS affixed FROM (SELECT *, o_orderpriority || '.x' AS o_clerk FROM orders)""")
 def more_value_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     status, priority, k = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderkey") % 4
     msd = F.when(k == 0, "").when(k == 1, "NN.UTR").when(k == 2, "NN.NEU").otherwise("VB.PRS")
