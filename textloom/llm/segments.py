@@ -209,18 +209,19 @@ def _searched(contents: DataFrame, windows: Windows, index: Index) -> DataFrame:
 
 
 def _spans(segments: DataFrame, windows: Windows, index: Index, grams: list[int]) -> DataFrame:
-    """(route, content_id, first, after, smallest): the repeated windows of each different segment."""
+    """(route, content_id, spans): the repeated windows of each different segment, as structs of first, after and smallest; a row a segment that has any."""
     contents = _merged(segments)
-    if len(grams) == 1:
-        return written(_searched(contents, windows, index), "spans")
-    found = _searched(contents.where("not wide"), windows, index)
+    last = len(grams) == 1
+    found = _searched(contents if last else contents.where("not wide"), windows, index)
+    found = found.groupBy("route", "content_id").agg(F.collect_list(F.struct("first", "after", "smallest")).alias("spans"))
     wide = contents.where("wide")
-    if wide.isEmpty():
+    if last or wide.isEmpty():
         return written(found, "spans")
     parts = written(_split(wide, windows, grams[0]), "parts")
     inner = _spans(parts, windows, index, grams[1:])
     moved = parts.select("of_route", "of_id", "offset", "route", "content_id").join(inner, ["route", "content_id"])
-    moved = moved.select(F.col("of_route").alias("route"), F.col("of_id").alias("content_id"), (F.col("offset") + F.col("first")).alias("first"), (F.col("offset") + F.col("after")).alias("after"), "smallest")
+    moved = moved.withColumn("spans", F.transform("spans", lambda s: F.struct((F.col("offset") + s["first"]).alias("first"), (F.col("offset") + s["after"]).alias("after"), s["smallest"].alias("smallest"))))
+    moved = moved.groupBy(F.col("of_route").alias("route"), F.col("of_id").alias("content_id")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return written(found.unionByName(moved), "spans")
 
 
@@ -245,9 +246,9 @@ def removed_repeats(docs: DataFrame, windows: Windows, index: Index, id_column:
     known = segments.withColumns({"anchor": F.lit(-1).cast("long"), "last": F.col("doc"), "times": F.lit(1).cast("long")})
     spans = _spans(known, windows, index, windows.grams())
     hits = segments.select("doc", "digest", "start", "route", "content_id").join(spans, ["route", "content_id"])
-    if windows.other_documents:
-        hits = hits.where("smallest < doc")
-    hits = hits.groupBy("doc", "digest").agg(F.collect_list(F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("after")).alias("b"))).alias("spans"))
+    mine = F.filter("spans", lambda s: s["smallest"] < F.col("doc")) if windows.other_documents else F.col("spans")
+    hits = hits.select("doc", "digest", F.transform(mine, lambda s: F.struct((F.col("start") + s["first"]).alias("a"), (F.col("start") + s["after"]).alias("b"))).alias("spans")).where(F.size("spans") > 0)
+    hits = hits.groupBy("doc", "digest").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 20):
