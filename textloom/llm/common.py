@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words of a text: runs of anything but ASCII white space. bytes.split() cuts at just these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +38,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_within(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a hint to broadcast it if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds at most ``max_bytes`` a slice, or one row."""
     for batch in batches:

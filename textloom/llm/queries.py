@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, fm_dedup, licenses, lm, media, minhash, mixing, quality, suffix_dedup
+from textloom.llm import ann, bpe, collocations, fm_dedup, licenses, lm, media, minhash, mixing, quality, suffix_dedup
 from textloom.llm.common import written
 
 
@@ -65,6 +65,10 @@ def op10_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(documents(spark, sf_dir, "doc_id", "text"), F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir, "text", "lang"))
+
+
 QUERIES = {
     "op1_one_bit_neighbours": op1_one_bit_neighbours,
     "op2_hyperminhash": op2_hyperminhash,
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_bpe_roundtrip": op8_bpe_roundtrip,
     "op9_source_mix": op9_source_mix,
     "op10_ppm_scores": op10_ppm_scores,
+    "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {
     "op1_one_bit_neighbours": """
@@ -149,4 +154,28 @@ ORACLES: dict[str, str] = {
             CAST(size * (epochs + CASE WHEN bool_or(before + size / 2 > target - epochs * source_size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) THEN 0 ELSE 1 END) AS BIGINT) AS taken
         FROM b
     """,
+    "op13_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+        ), g AS (
+            SELECT lang, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, range(1, 6) r(n) WHERE len(w) >= n)
+        ), f AS (
+            SELECT lang, n, phrase, count(*) AS f FROM g GROUP BY ALL
+        ), t AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS total FROM f WHERE n = 1 GROUP BY 1
+        ), c AS (
+            SELECT lang, n, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE n >= 2 AND f >= 100
+        ), k AS (
+            SELECT lang, phrase, a, w, unnest(range(1, n)) AS k FROM c
+            WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.lang = c.lang AND o.n > c.n AND o.a >= c.a AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))
+        ), s AS (
+            SELECT k.lang, k.phrase, k.a, k.k, l.f AS l, r.f AS r, total AS n, CAST((1000::HUGEINT * k.a * total) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+            FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[:k.k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k.k + 1:], ' ') JOIN t ON t.lang = k.lang
+        ), b AS (
+            SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b QUALIFY rank <= 2000
+    """,
 }
