@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import dates, tags, values
-from textloom.operators import alignment, frequency, lexicon, models, numbering, readability, relations, segmentation, spans
+from textloom.operators import alignment, frequency, lexicon, models, numbering, phrases, readability, relations, segmentation, spans
 from textloom.sinks import exporters, trees
 from textloom.sources import importers
 from textloom.streaming import annotate
@@ -880,3 +880,89 @@ def tag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumn("form", F.lower("p_brand"))
     words = part.where("p_size <= 25").select("form", F.array(F.lit("NN.X"), F.lit("NN.-")).alias("tags")).distinct()
     return models.tag_table(words, part.where("p_size > 49").select("form")).select("form", F.array_join("tags", "|").alias("tags"))
+
+
+# Multiwords and whole lexicon annotation: phrases are the frequent pairs of words in sentences, with rules by the lengths of their words.
+PHRASES = """
+    ph AS MATERIALIZED (SELECT a, b, length(a) % 2 = 0 AS gaps, length(b) % 2 = 0 AND (length(a) + length(b)) % 3 = 0 AS particle, a || '_' || b || (['..vbm.1', '..nnm.1', '..abm.1'])[(length(a) + length(b)) % 3 + 1] AS lemgram
+        FROM (SELECT x.word AS a, y.word AS b FROM tag x JOIN tag y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND y.idx = x.idx + 1 WHERE regexp_full_match(x.word, '[a-z]+') AND regexp_full_match(y.word, '[a-z]+') GROUP BY 1, 2 HAVING count(*) >= 20)),
+    py AS (SELECT x.doc_id, x.sentence, x.idx AS first, min(y.idx) AS last, a, gaps, lemgram, contains(lemgram, '..vbm.') AS verb FROM tag x JOIN ph ON x.word = a
+        JOIN tag y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND y.idx > x.idx AND y.word = b AND NOT (particle AND y.pos = 'PP') GROUP BY ALL),
+    pf AS (SELECT p.*, x.pos AS p1, y.pos AS p2 FROM py p JOIN tag x ON p.doc_id = x.doc_id AND p.first = x.idx JOIN tag y ON p.doc_id = y.doc_id AND p.last = y.idx
+        WHERE (gaps OR p.last = p.first + 1) AND NOT (verb AND EXISTS (SELECT 1 FROM tag g WHERE g.doc_id = p.doc_id AND g.idx > p.first AND g.idx < p.last AND g.pos = 'VB'))
+          AND (NOT verb OR 'VB' IN (x.pos, y.pos)) AND (NOT contains(lemgram, '..nnm.') OR 'NN' IN (x.pos, y.pos))),
+    pw AS MATERIALIZED (SELECT doc_id, sentence, first, last, lemgram FROM pf a WHERE NOT EXISTS (SELECT 1 FROM pf b WHERE a.doc_id = b.doc_id AND a.sentence = b.sentence AND right(a.lemgram, 7) = right(b.lemgram, 7)
+        AND (b.first < a.first AND a.first < b.last AND b.last < a.last OR a.first < b.first AND a.last = b.last)))"""
+
+
+def _frequent_pairs(own: DataFrame) -> DataFrame:
+    after = F.lead("word").over(Window.partitionBy("doc_id", "sentence").orderBy("idx"))
+    pairs = own.select(F.col("word").alias("a"), after.alias("b")).where(F.col("a").rlike("^[a-z]+$") & F.col("b").rlike("^[a-z]+$")).groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 20")
+    length = F.length("a") + F.length("b")
+    kind = F.element_at(F.array(F.lit("..vbm.1"), F.lit("..nnm.1"), F.lit("..abm.1")), (length % 3 + 1).cast("int"))
+    return pairs.select(
+        F.array("a", "b").alias("words"), F.array(F.concat_ws(" ", "a", "b")).alias("baseforms"), F.array(F.concat("a", F.lit("_"), "b", kind)).alias("lemgrams"), F.array(F.concat("a", F.lit("_"), "b", F.lit("..1"))).alias("senses"),
+        (F.length("a") % 2 == 0).alias("gaps"), ((F.length("b") % 2 == 0) & (length % 3 == 0)).alias("particle"))
+
+
+@query(f"WITH {PIECES}, {TAGGED}, {PHRASES} SELECT * FROM pw")
+def phrase_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words with a gap where the phrase allows it, found by the trie of all frequent pairs."""
+    own = tagged(spark, sf_dir).select("doc_id", "sentence", "idx", "word", "pos")
+    found = phrases.phrase_places(own, phrases.phrase_trie(_frequent_pairs(own)), msd="pos")
+    return found.select("doc_id", "sentence", F.get("places", F.lit(0)).alias("first"), F.get("places", F.lit(1)).alias("last"), F.get("lemgrams", F.lit(0)).alias("lemgram"))
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, {PHRASES}, {LEXICON}, n AS (SELECT *, precision / sum(precision) OVER (PARTITION BY doc_id, idx) AS score FROM lx WHERE precision IS NOT NULL),
+    single AS (SELECT doc_id, idx, string_agg(reading, '|' ORDER BY precision DESC, reading) AS readings FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, idx) AS best FROM n) WHERE score >= best - 0.05 GROUP BY 1, 2),
+    v AS (SELECT doc_id, first AS idx, lemgram AS value, first, last FROM pw UNION ALL SELECT doc_id, last, lemgram || ':' || first, first, last FROM pw),
+    m AS (SELECT doc_id, idx, string_agg(value, '|' ORDER BY last, first) AS more FROM v GROUP BY 1, 2)
+    SELECT doc_id, idx, concat_ws('|', readings, more) AS lemgrams FROM tag LEFT JOIN single USING (doc_id, idx) LEFT JOIN m USING (doc_id, idx)""")
+def lexicon_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of single words and phrases, and their write-back, in one exchange of the tokens by sentence."""
+    own = tagged(spark, sf_dir).select("doc_id", "sentence", "idx", "word", "pos", F.concat("pos", F.when(F.col("idx") % 2 == 0, ".a").otherwise(".b")).alias("msd"))
+    forms = own.where(F.length("word") % 4 == 0).select(F.col("word").alias("form")).distinct()
+    entry = lambda end, *tags_: F.struct(F.array(*[F.lit(t) for t in tags_]).alias("tags"), F.array("form").alias("baseforms"), F.array(F.concat("form", F.lit(end))).alias("lemgrams"), F.array(F.concat("form", F.lit(end))).alias("senses"))
+    words = forms.select("form", F.explode(F.array(entry("..nn.1", "NN.a"), entry("..nn.2", "NN.b", "VB.a"))).alias("e")).select("form", "e.*")
+    out = phrases.annotate(own, words, phrases.phrase_trie(_frequent_pairs(own)), epsilon=0.05)
+    return out.select("doc_id", "idx", F.array_join("lemgrams", "|").alias("lemgrams"))
+
+
+def _inflections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inflection table of the parts: a single word, the words of a phrase in two forms, and a phrase that never ends."""
+    part = table(spark, sf_dir, "part")
+    words = F.concat(F.split("p_name", " "), F.array(F.lower("p_type")))
+    row = lambda place, form, param: F.struct(place.alias("place"), form.alias("form"), param.alias("param"))
+    several = lambda offset, end: F.transform(words, lambda w, i: row(i + offset, F.concat(w, F.lit(end)), F.concat(F.lit("sg 1:"), (i + 1).cast("string"), F.lit("-"), F.size(words).cast("string"))))
+    rows = F.concat(
+        F.array(row(F.lit(0), F.lower("p_brand"), F.lit("sg indef nom")), row(F.lit(1), F.lit("frag"), F.lit("ci"))), several(10, ""), several(20, "s"),
+        F.array(row(F.lit(30), F.lower("p_type"), F.lit("pl 1-1")), row(F.lit(31), F.lower("p_brand"), F.lit("pl")), row(F.lit(40), F.lit("open"), F.lit("sg 1:1-2"))))
+    pick = lambda n, *values_: F.element_at(F.array(*[F.lit(v) for v in values_]), (F.col("p_partkey") % n + 1).cast("int"))
+    pos = pick(3, "vbm", "nnm", "abm")
+    paradigm = F.concat(pos, pick(5, "_x_1", "_x2_1", "_1p1_", "_2", "_0p_"))
+    lemgram = F.concat("p_name", F.lit(".."), pos, F.lit("."), F.col("p_partkey").cast("string"))
+    return part.select(
+        F.col("p_partkey").alias("entry"), F.explode(rows).alias("r"), pos.alias("pos"), paradigm.alias("paradigm"), F.when(F.col("p_size") % 2 == 0, F.array(F.lit("u"))).otherwise(F.array().cast("array<string>")).alias("inherent"),
+        F.array("p_name").alias("baseforms"), F.array(lemgram).alias("lemgrams"), F.array(lemgram).alias("senses")).select("*", "r.*").drop("r")
+
+
+PARTS = """
+    pt AS (SELECT p_partkey, p_name, lower(p_type) AS t, lower(p_brand) AS brand, p_size, (['vbm', 'nnm', 'abm'])[p_partkey % 3 + 1] AS pos, p_partkey % 5 AS k, string_split(p_name, ' ') || [lower(p_type)] AS w FROM part),
+    pl AS (SELECT *, p_name || '..' || pos || '.' || p_partkey AS lemgram FROM pt)"""
+
+
+@query(f"""WITH {PARTS}, f AS (SELECT *, unnest(['', 's']) AS e FROM pl), g AS (SELECT *, list_transform(w, lambda x: x || e) AS x, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 END AS gap FROM f)
+    SELECT array_to_string(CASE WHEN gap IS NULL THEN x ELSE x[:gap] || ['*'] || x[gap + 1:] END, ' ') AS words, lemgram, pos = 'vbm' AS gaps, pos = 'vbm' AND k = 2 AS particle FROM g""")
+def paradigm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases with gaps and particles by paradigm, from an inflection table."""
+    return phrases.phrase_entries(_inflections(spark, sf_dir)).select(F.array_join("words", " ").alias("words"), F.get("lemgrams", F.lit(0)).alias("lemgram"), "gaps", "particle")
+
+
+@query(f"""WITH {PARTS}, f AS (SELECT lemgram, brand AS form, pos || CASE WHEN p_size % 2 = 0 THEN ' u' ELSE '' END || ' sg indef nom' AS tag FROM pl
+        UNION ALL SELECT lemgram, t, CASE pos WHEN 'vbm' THEN 'vb' ELSE pos END || CASE WHEN p_size % 2 = 0 THEN ' u' ELSE '' END || ' pl' FROM pl
+        UNION ALL SELECT lemgram, brand, CASE pos WHEN 'vbm' THEN 'vb' ELSE pos END || CASE WHEN p_size % 2 = 0 THEN ' u' ELSE '' END || ' pl' FROM pl)
+    SELECT form, lemgram, string_agg(DISTINCT upper(tag), '|' ORDER BY upper(tag)) AS tags FROM f WHERE tag NOT LIKE 'abm%' GROUP BY 1, 2""")
+def paradigm_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single words with the tags that a map has for their forms; adverbs are not in the map."""
+    tag_map = table(spark, sf_dir, "part").select(F.explode(F.array(*[F.lit(f"{p}{u} {e}") for p in ("vbm", "vb", "nnm") for u in ("", " u") for e in ("sg indef nom", "pl")])).alias("tag")).distinct().withColumn("msd", F.upper("tag"))
+    return phrases.word_entries(_inflections(spark, sf_dir), tag_map).select("form", F.get("lemgrams", F.lit(0)).alias("lemgram"), F.array_join("tags", "|").alias("tags"))

@@ -11,9 +11,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textloom.functions.values import reading_precision
+from textloom.operators import phrases
 
 #: The reference analyses no longer words.
 LONGEST_COMPOUND = 75
@@ -149,60 +149,17 @@ def multiwords(tokens: DataFrame, lexicon: DataFrame, keys: tuple[str, ...] = ("
     return found.withColumn("covered", furthest).withColumn("longest", F.max("last").over(Window.partitionBy(*keys, "first"))).where("last = longest and (covered is null or last > covered)").drop("covered", "longest")
 
 
-def _follow(line: list[str], tags: list[str], at: int, rest: list[str], gaps: bool, particle: bool, verb: bool, most_gaps: int) -> list[int] | None:
-    """Places of a phrase that opens at ``at``, or None. Between its words may stand others, in ``most_gaps`` runs at most, if it allows gaps; no verbs in a verb's."""
-    places, used, inside = [at], 0, False
-    for i in range(at + 1, len(line)):
-        if rest[0] == "*" and line[i] == rest[1]:
-            rest = rest[1:]
-        if used > most_gaps:
-            return None
-        if line[i] == rest[0] and not (particle and len(rest) == 1 and tags[i].startswith("PP")):
-            places.append(i)
-            rest, inside = rest[1:], False
-            if not rest:
-                return places
-        elif not gaps or verb and tags[i].startswith("VB"):
-            return None
-        else:
-            used, inside = used + (not inside), True
-    return None
-
-
 def gapped_multiwords(tokens: DataFrame, lexicon: DataFrame, most_gaps: int = 1, keys: tuple[str, ...] = ("doc_id", "sentence"), word: str = "word", msd: str = "pos", check_tags: bool = True) -> DataFrame:
     """(keys..., places, reading): where a lexicon's phrases stand, with other words between theirs where they allow it.
 
-    lexicon: words (array, lower case; * where a gap may be), reading, gaps, particle. Every phrase is found by its first word. With check_tags readings with ..vbm. need a verb among
+    lexicon: words (array, lower case; * where a gap may be), reading, gaps, particle. Each sentence walks the phrases' trie once. With check_tags readings with ..vbm. need a verb among
     their words, ..nnm. a noun, and a particle phrase does not end in a preposition. Of two phrases of one part of speech that cross (b a b a), or end together without one holding the
     other, the one that ends later, or begins earlier, goes. places: idx of the words.
     """
-    order = F.array_sort(F.collect_list(F.struct("idx", F.lower(word).alias("w"), F.coalesce(msd, F.lit("")).alias("t"))))
-    sentences = tokens.groupBy(*keys).agg(order.alias("line"))
-    entries = lexicon.select("words", "reading", "gaps", "particle").where(F.size("words") > 1).withColumn("opening", F.get("words", F.lit(0)))
-    starts = sentences.select("*", F.posexplode("line.w").alias("at", "opening")).join(entries, "opening")
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def followed(line: pd.Series, tags: pd.Series, at: pd.Series, words: pd.Series, reading: pd.Series, gaps: pd.Series, particle: pd.Series) -> pd.Series:
-        rows = zip(line, tags, at, words, reading, gaps, particle, strict=True)
-        return pd.Series([_follow(list(x), list(t), int(a), list(w)[1:], bool(g), bool(p) and check_tags, "..vbm." in r, most_gaps) for x, t, a, w, r, g, p in rows], dtype=object)
-
-    found = starts.withColumn("found", followed("line.w", "line.t", "at", "words", "reading", "gaps", "particle")).where("found is not null")
-    own_tags = F.transform("found", lambda i: F.get("line.t", i))
-    if check_tags:
-        fits = lambda *kinds: F.exists(own_tags, lambda t: F.substring(t, 1, 2).isin(*kinds))
-        found = found.where((~F.contains("reading", F.lit("..vbm.")) | fits("VB")) & (~F.contains("reading", F.lit("..nnm.")) | fits("NN", "PM", "UO")))
-    kind = F.regexp_extract("reading", r"\.(\w\w?)m?\.", 1)
-    found = found.select(*keys, F.struct(kind.alias("kind"), F.transform("found", lambda i: F.get("line.idx", i)).alias("places"), "reading").alias("m"))
-    every = found.groupBy(*keys).agg(F.collect_set("m").alias("every"))
-    first, last = lambda m: F.get(m["places"], F.lit(0)), lambda m: F.element_at(m["places"], -1)
-
-    def worse(a: Column, b: Column) -> Column:
-        crossing = (first(b) < first(a)) & (first(a) < last(b)) & (last(b) < last(a))
-        together = (first(a) < first(b)) & (last(a) == last(b)) & (F.size(F.array_except(b["places"], a["places"])) > 0)
-        return (a["kind"] == b["kind"]) & (crossing | together)
-
-    kept = every.select(*keys, F.explode(F.filter("every", lambda a: ~F.exists("every", lambda b: worse(a, b)))).alias("m"))
-    return kept.select(*keys, "m.places", "m.reading")
+    none = F.array().cast("array<string>")
+    trie = phrases.phrase_trie(lexicon.select("words", none.alias("baseforms"), F.array("reading").alias("lemgrams"), none.alias("senses"), "gaps", "particle"))
+    found = phrases.phrase_places(tokens, trie, keys=keys, word=word, msd=msd, most_gaps=most_gaps, check_tags=check_tags)
+    return found.select(*keys, "places", F.get("lemgrams", F.lit(0)).alias("reading"))
 
 
 def with_multiwords(tokens: DataFrame, found: DataFrame, column: str) -> DataFrame:
