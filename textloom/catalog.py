@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import dates, tags, values
-from textloom.operators import alignment, frequency, lexicon, models, numbering, phrases, readability, relations, segmentation, spans
+from textloom.operators import alignment, constituents as trees_of, frequency, lexicon, models, numbering, phrases, readability, relations, segmentation, spans
 from textloom.sinks import exporters, trees
 from textloom.sources import importers
 from textloom.streaming import annotate
@@ -966,3 +966,35 @@ def paradigm_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single words with the tags that a map has for their forms; adverbs are not in the map."""
     tag_map = table(spark, sf_dir, "part").select(F.explode(F.array(*[F.lit(f"{p}{u} {e}") for p in ("vbm", "vb", "nnm") for u in ("", " u") for e in ("sg indef nom", "pl")])).alias("tag")).distinct().withColumn("msd", F.upper("tag"))
     return phrases.word_entries(_inflections(spark, sf_dir), tag_map).select("form", F.get("lemgrams", F.lit(0)).alias("lemgram"), F.array_join("tags", "|").alias("tags"))
+
+
+# Trees: tagged words with more parts of speech and relations, heads as in a heap.
+TREE_WORDS = """
+    tw AS MATERIALIZED (SELECT doc_id, sentence, ref, (['VB', 'NN', 'PP', 'KN', 'JJ', 'AB', 'SN', 'RG', 'MAD', 'HP', 'XY'])[(length(word) * 3 + idx) % 11 + 1] AS pos, CASE WHEN ref > 1 THEN ref // 2 END AS head,
+        CASE WHEN ref = 1 THEN 'ROOT' ELSE (['SS', 'CJ', 'UA', 'MS', 'ET', 'AT', 'HD'])[(length(word) * 5 + idx) % 7 + 1] END AS rel FROM tag),
+    th AS (SELECT w.*, c.head IS NOT NULL AS has FROM tw w LEFT JOIN (SELECT DISTINCT doc_id, sentence, head FROM tw) c ON c.doc_id = w.doc_id AND c.sentence = w.sentence AND c.head = w.ref),
+    tc AS MATERIALIZED (SELECT *, rel <> 'HD' AND (pos IN ('VB', 'NN', 'JJ', 'AB', 'RG', 'HP') OR has) AS nt FROM th),
+    tk AS MATERIALIZED (SELECT w.doc_id, w.sentence, w.ref, any_value(w.pos) AS pos, any_value(w.rel) AS rel, any_value(w.head) AS head, any_value(w.nt) AS nt, coalesce(bool_or(c.rel = 'SS'), false) AS subject, coalesce(bool_or(c.rel = 'UA'), false) AS ua,
+            coalesce(bool_or(c.pos = 'HP' AND c.ref > w.ref AND NOT c.has), false) AS asks, min(CASE WHEN c.nt AND c.rel = 'CJ' THEN c.ref END) AS cj, min(CASE WHEN c.nt AND c.rel = 'MS' THEN c.ref END) AS ms
+        FROM tc w LEFT JOIN tc c ON c.doc_id = w.doc_id AND c.sentence = w.sentence AND c.head = w.ref GROUP BY ALL),
+    tl AS (SELECT *, CASE pos WHEN 'NN' THEN 'NP' WHEN 'VB' THEN CASE WHEN subject THEN 'S' ELSE 'VP-fin' END WHEN 'PP' THEN CASE WHEN ua THEN 'SBAR' WHEN asks THEN 'PrP-wh' ELSE 'PrP' END WHEN 'SN' THEN 'SBAR' WHEN 'JJ' THEN 'ADJP'
+        WHEN 'AB' THEN 'ADVP' WHEN 'RG' THEN 'QP' WHEN 'HP' THEN 'NP-wh' WHEN 'KN' THEN NULL ELSE 'XX' END AS label, coalesce(cj, ms) AS target FROM tk WHERE nt),
+    chain AS (SELECT doc_id, sentence, ref, pos, label, target FROM tl UNION ALL SELECT c.doc_id, c.sentence, c.ref, t.pos, t.label, t.target FROM chain c JOIN tl t ON c.pos = 'KN' AND c.target = t.ref AND c.doc_id = t.doc_id AND c.sentence = t.sentence),
+    below AS (SELECT doc_id, sentence, ref AS top, ref FROM tl UNION ALL SELECT b.doc_id, b.sentence, b.top, w.ref FROM below b JOIN tc w ON w.doc_id = b.doc_id AND w.sentence = b.sentence AND w.head = b.ref
+        JOIN tc h ON h.doc_id = b.doc_id AND h.sentence = b.sentence AND h.ref = b.ref AND h.nt),
+    whole AS (SELECT doc_id, sentence, 1 AS top, 1 AS ref FROM tw WHERE ref = 1 UNION ALL SELECT b.doc_id, b.sentence, 1, w.ref FROM whole b JOIN tc w ON w.doc_id = b.doc_id AND w.sentence = b.sentence AND w.head = b.ref JOIN tc h ON h.doc_id = b.doc_id AND h.sentence = b.sentence AND h.ref = b.ref AND h.nt)"""
+
+
+@query(f"""WITH RECURSIVE {PIECES}, {TAGGED}, {TREE_WORDS},
+    r AS (SELECT doc_id, sentence, top AS ref, CAST(min(ref) AS INTEGER) AS first, CAST(max(ref) AS INTEGER) AS last FROM below GROUP BY ALL),
+    seen AS (SELECT doc_id, sentence, ref FROM whole)
+    SELECT r.doc_id, r.sentence, coalesce(c.label, 'XX') AS label, t.rel AS function, r.first, r.last FROM r JOIN tl t USING (doc_id, sentence, ref) SEMI JOIN seen s ON r.doc_id = s.doc_id AND r.sentence = s.sentence AND r.ref = s.ref
+        JOIN chain c ON c.doc_id = r.doc_id AND c.sentence = r.sentence AND c.ref = r.ref AND (c.pos <> 'KN' OR c.target IS NULL)
+    UNION ALL SELECT doc_id, sentence, 'ROOT', 'ROOT', CAST(min(ref) AS INTEGER), CAST(max(ref) AS INTEGER) FROM whole GROUP BY 1, 2""")
+def constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of all sentences with the words they reach over."""
+    own = tagged(spark, sf_dir)
+    pick = lambda n, c, *values_: F.element_at(F.array(*[F.lit(v) for v in values_]), ((F.length("word") * n + F.col("idx")) % len(values_) + 1).cast("int")).alias(c)
+    relation = F.when(F.col("ref") == 1, "ROOT").otherwise(pick(5, "x", "SS", "CJ", "UA", "MS", "ET", "AT", "HD"))
+    own = own.select("doc_id", "sentence", "ref", "word", pick(3, "pos", "VB", "NN", "PP", "KN", "JJ", "AB", "SN", "RG", "MAD", "HP", "XY"), F.lit("").alias("msd"), F.when(F.col("ref") > 1, F.floor(F.col("ref") / 2)).cast("int").alias("head"), relation.alias("relation"))
+    return trees_of.constituents(own).select("doc_id", "sentence", "label", "function", "first", "last")
