@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import dates, tags, values
-from textloom.operators import alignment, constituents as trees_of, frequency, lexicon, models, numbering, phrases, readability, relations, segmentation, spans
+from textloom.operators import alignment, boundaries, constituents as trees_of, frequency, lexicon, models, numbering, phrases, readability, relations, segmentation, spans
 from textloom.sinks import exporters, trees
 from textloom.sources import importers
 from textloom.streaming import annotate
@@ -998,3 +998,58 @@ def constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
     relation = F.when(F.col("ref") == 1, "ROOT").otherwise(pick(5, "x", "SS", "CJ", "UA", "MS", "ET", "AT", "HD"))
     own = own.select("doc_id", "sentence", "ref", "word", pick(3, "pos", "VB", "NN", "PP", "KN", "JJ", "AB", "SN", "RG", "MAD", "HP", "XY"), F.lit("").alias("msd"), F.when(F.col("ref") > 1, F.floor(F.col("ref") / 2)).cast("int").alias("head"), relation.alias("relation"))
     return trees_of.constituents(own).select("doc_id", "sentence", "label", "function", "first", "last")
+
+
+# Sentence boundaries: words with their stops and what follows, and the ratios of the training.
+KIND = lambda c: f"CASE WHEN regexp_matches(lower(rtrim({c}, '.')), '^[0-9][0-9.,:/-]*$') THEN '##number##' ELSE lower(rtrim({c}, '.')) END"
+STOPS = fr"""
+    sw AS (SELECT doc_id, list_filter(string_split_regex(trim(text, E' \n\t\r'), '\s+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]')) AS w FROM documents),
+    su AS (SELECT doc_id, unnest(w) AS word, unnest(w[2:] || [NULL]) AS after FROM sw),
+    sc AS (SELECT regexp_replace(regexp_replace(word, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}.]+$', '') AS word, regexp_replace(regexp_replace(after, '^[^\p{{L}}\p{{N}}]+', ''), '[^\p{{L}}\p{{N}}.]+$', '') AS after, regexp_matches(word, '[!?][^\p{{L}}\p{{N}}]*$') AS mark FROM su),
+    sx AS MATERIALIZED (SELECT {KIND("word")} AS type, regexp_matches(word, '[^.]\.$') AS stop, mark, CASE WHEN after IS NOT NULL THEN {KIND("after")} END AS next FROM sc),
+    lr AS (SELECT type, count(*) FILTER (stop) AS k, count(*) FILTER (NOT stop) AS o, (SELECT count(*) FILTER (stop) / count(*) FROM sx) AS p FROM sx GROUP BY 1),
+    ls AS (SELECT type, k, o, -2 * (k * ln(p) + CASE WHEN o > 0 THEN o * ln(1 - p) ELSE 0 END - k * ln(0.99) - o * ln(0.01)) AS ll, length(type) - length(replace(type, '.', '')) + 1 AS dots, length(replace(type, '.', '')) AS letters FROM lr WHERE k > 0 AND type <> '##number##'),
+    ab AS MATERIALIZED (SELECT type, k, o, ll, ll * exp(-letters) * dots * pow(letters, -o) AS score FROM ls),
+    sm AS MATERIALIZED (SELECT x.*, x.mark OR x.stop AND a.type IS NULL AND NOT regexp_matches(x.type, '^\p{{L}}$') AND x.type <> '##number##' AS ends FROM sx x LEFT JOIN (SELECT type FROM ab WHERE score >= 0.3) a ON x.type = a.type AND x.stop),
+    kinds AS (SELECT type, count(*) AS n_type FROM sm GROUP BY 1)"""
+TOGETHER = lambda a, b, both, n: f"""-2 * ({b} * ln({b} / {n}) + CASE WHEN {n} > {b} THEN ({n} - {b}) * ln(1 - {b} / {n}) ELSE 0 END - {both} * ln({both} / {a}) - CASE WHEN {a} > {both} THEN ({a} - {both}) * ln(1 - {both} / {a}) ELSE 0 END
+    - CASE WHEN {b} > {both} THEN ({b} - {both}) * ln(({b} - {both}) / ({n} - {a})) ELSE 0 END - CASE WHEN {n} - {a} - {b} + {both} > 0 THEN ({n} - {a} - {b} + {both}) * ln(1 - ({b} - {both}) / ({n} - {a})) ELSE 0 END)"""
+
+
+def _stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundaries.stop_words(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {STOPS} SELECT type, k AS with_stop, o AS without_stop, round(ll, 5) + 0.0 AS log_likelihood, round(score, 5) + 0.0 AS score FROM ab")
+def stop_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word that a full stop follows somewhere: the ratio that tells abbreviations."""
+    return boundaries.stop_ratios(_stop_words(spark, sf_dir)).withColumns({c: F.round(c, 5) for c in ("log_likelihood", "score")})
+
+
+@query(f"""WITH {STOPS}, n AS (SELECT count(*) AS n, count(*) FILTER (ends) AS e FROM sm), f AS (SELECT next AS type, count(*) AS k FROM sm WHERE ends AND next IS NOT NULL GROUP BY 1)
+    SELECT type, n_type, k AS at_start, round(CASE WHEN n * k > n_type * e THEN 1 ELSE -1 END * ({TOGETHER("e", "n_type", "k", "n")}), 5) + 0.0 AS log_likelihood FROM f JOIN kinds USING (type), n""")
+def starter_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word that stands after a sentence's end somewhere: the ratio that tells sentence starters."""
+    words = _stop_words(spark, sf_dir)
+    marked = boundaries.marked_ends(words, boundaries.stop_ratios(words).where(F.col("score") >= boundaries.ABBREVIATION))
+    return boundaries.starter_ratios(marked).withColumn("log_likelihood", F.round("log_likelihood", 5))
+
+
+@query(f"""WITH {STOPS}, n AS (SELECT count(*) AS n, count(*) FILTER (ends) AS e FROM sm), f AS (SELECT next AS type, count(*) AS k FROM sm WHERE ends AND next IS NOT NULL GROUP BY 1),
+    st AS (SELECT type FROM f JOIN kinds USING (type), n WHERE n * k > n_type * e AND {TOGETHER("e", "n_type", "k", "n")} >= 30),
+    p AS (SELECT type, next, count(*) AS k FROM sm WHERE stop AND next IS NOT NULL AND (type = '##number##' OR regexp_matches(type, '^\\p{{L}}$')) AND next NOT IN (SELECT type FROM st) GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT p.type, p.next, a.n_type, b.n_type AS n_next, k AS together, round(CASE WHEN n * k > a.n_type * b.n_type THEN 1 ELSE -1 END * ({TOGETHER("a.n_type", "b.n_type", "k", "n")}), 5) + 0.0 AS log_likelihood
+    FROM p JOIN kinds a ON a.type = p.type JOIN kinds b ON b.type = p.next, n WHERE k <= a.n_type AND k <= b.n_type""")
+def collocations_across_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a single letter or number with a stop and the word after it."""
+    words = _stop_words(spark, sf_dir)
+    marked = boundaries.marked_ends(words, boundaries.stop_ratios(words).where(F.col("score") >= boundaries.ABBREVIATION))
+    starters = boundaries.starter_ratios(marked).where(F.col("log_likelihood") >= boundaries.STARTER)
+    return boundaries.collocation_ratios(marked, starters).withColumn("log_likelihood", F.round("log_likelihood", 5))
+
+
+@query()
+def corpus_trained_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of all documents by what the same documents teach."""
+    own = docs(spark, sf_dir)
+    return segmentation.segment(own, boundaries.segmenter(boundaries.trained(own)))

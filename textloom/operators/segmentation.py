@@ -89,19 +89,25 @@ def careful_words(
     return pieces
 
 
-def trained_sentences(abbreviations: tuple[str, ...] = (), starters: tuple[str, ...] = ()) -> Callable[[str], Pieces]:
-    """Sentences by stops: none after an abbreviation or a single letter, none before a lower-case word unless it is a starter."""
-    known, begin = {a.lower().rstrip(".") for a in abbreviations}, {s.lower() for s in starters}
-    stop = re.compile(r"(\w*)[.!?…]+[\"'”’)\]]*(?=\s+(\S+))")
+def trained_sentences(abbreviations: tuple[str, ...] = (), starters: tuple[str, ...] = (), collocations: tuple[tuple[str, str], ...] = ()) -> Callable[[str], Pieces]:
+    """Sentences by stops: none after a single letter or an abbreviation, but for one before a capitalised starter, none between the two words of a collocation, none before a lower-case word unless it is a starter.
+
+    In collocations a number is written ``##number##``.
+    """
+    known, begin, together = {a.lower().rstrip(".") for a in abbreviations}, {s.lower() for s in starters}, set(collocations)
+    stop = re.compile(r"((?:\w+\.)*\w*)[.!?…]+[\"'”’)\]]*(?=\s+(\S+))")
 
     def pieces(text: str) -> Pieces:
         at = 0
         for m in stop.finditer(text):
             word, following = m[1].lower(), m[2].strip("\"'“”‘’([")
-            full_stop = text[m.end(1)] == "."
-            if full_stop and (word in known or len(word) == 1 and word.isalpha()):
-                continue
-            if following[:1].islower() and following.lower() not in begin:
+            last, bare = word.rpartition(".")[2], re.sub(r"\W+$", "", following).lower()
+            if text[m.end(1)] == ".":
+                if ("##number##" if word[:1].isdigit() else word, bare) in together or len(last) == 1 and last.isalpha() and word not in known:
+                    continue
+                if word in known and not (following[:1].isupper() and bare in begin):
+                    continue
+            if following[:1].islower() and bare not in begin:
                 continue
             yield at, m.end()
             at = m.end()
