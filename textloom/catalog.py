@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import dates, tags, values
-from textloom.operators import alignment, boundaries, constituents as trees_of, frequency, lexicon, models, numbering, phrases, readability, relations, segmentation, spans
+from textloom.operators import alignment, boundaries, compounds as compound_of, constituents as trees_of, frequency, lexicon, models, numbering, phrases, readability, relations, segmentation, shared, spans
 from textloom.sinks import exporters, trees
 from textloom.sources import importers
 from textloom.streaming import annotate
@@ -1052,4 +1052,16 @@ def collocations_across_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_trained_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of all documents by what the same documents teach."""
     own = docs(spark, sf_dir)
-    return segmentation.segment(own, boundaries.segmenter(boundaries.trained(own)))
+    return segmentation.segment(own, boundaries.segmenter(boundaries.trained(own, keep=shared.written)))
+
+
+@query()
+def document_compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compounds of each document's words, ranked by tag sequences: parts are frequent words of all documents, or words of the same document."""
+    own = tagged(spark, sf_dir).select("doc_id", "word", F.col("pos").alias("msd"))
+    counts = own.where(F.length("word") > 2).groupBy("word", "msd").agg(F.count("*").alias("freq"))
+    params = F.when(F.length("form") % 2 == 0, F.array(F.lit("ci"), F.lit("cm"), F.lit("sg indef nom"))).otherwise(F.array(F.lit("sg indef nom")))
+    forms = counts.where("freq >= 10").groupBy(F.col("word").alias("form")).agg(F.array_sort(F.collect_set("msd")).alias("tags"))
+    known = forms.select("form", F.concat("form", F.lit("..nn.1")).alias("lemgram"), params.alias("params"), F.lit("nn").alias("pos"), "tags")
+    pairs = counts.select(F.col("word").alias("compound"), F.array("msd", F.lit("NN")).alias("tags"))
+    return compound_of.annotate(own, known, shared.written(models.word_model(counts)), shared.written(models.compound_model(pairs)), keep=shared.written)

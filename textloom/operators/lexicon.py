@@ -171,15 +171,15 @@ def with_multiwords(tokens: DataFrame, found: DataFrame, column: str) -> DataFra
     return out.withColumn(column, F.concat(F.coalesce(column, none), F.coalesce("more", none))).select(*tokens.columns)
 
 
-def compounds(words: DataFrame, lexicon: DataFrame, most_parts: int = 4, word: str = "word") -> DataFrame:
+def compounds(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
     """(word, parts, score): the best split of each different word into the lexicon's parts; words without one are left out.
 
     lexicon: part, role (prefix, infix, suffix, or any), probability. Fewest parts first, then the largest product of probabilities, then the parts in order. Of three
     equal consonants where parts meet one is written, so it counts for both. The lexicon is joined by the substrings of
-    each word, so that no task holds it. Words of less than 4 or more than LONGEST_COMPOUND letters are left out.
+    each word, so that no task holds it. Parts have two letters or more, and there may be any number of them; words of more than LONGEST_COMPOUND letters are left out.
     """
     consonants = "bcdfghjklmnpqrstvwxz"
-    own = words.select(F.lower(word).alias("word")).where(F.length("word").between(4, LONGEST_COMPOUND)).distinct()
+    own = words.select(F.lower(word).alias("word")).where(F.length("word").between(3, LONGEST_COMPOUND)).distinct()
     pieces = own.withColumn("a", F.explode(F.sequence(F.lit(0), F.length("word") - 2))).withColumn("b", F.explode(F.sequence(F.col("a") + 2, F.length("word"))))
     pieces = pieces.withColumn("text", F.expr("substring(word, a + 1, b - a)"))
     doubled = F.col("text").substr(-1, 1)
@@ -193,21 +193,23 @@ def compounds(words: DataFrame, lexicon: DataFrame, most_parts: int = 4, word: s
                 by_start: dict[int, list] = {}
                 for h in found:
                     by_start.setdefault(h["a"], []).append(h)
-                level, done = [(0, 1.0, ())], []
-                for _ in range(most_parts):
-                    grown = []
-                    for at, p, parts in level:
+                level, done = {0: (-1.0, ())}, []
+                while level and not done:  # one part more at a time; of all ways to a place only the best goes on
+                    grown: dict[int, tuple] = {}
+                    for at, (p, parts) in level.items():
                         for h in by_start.get(at, ()):
                             end = h["b"] >= len(text)
                             need = "suffix" if end else "prefix" if not parts else "infix"
                             if h["role"] in (need, "any") and (parts or not end) and h["b"] > at:
-                                (done if end else grown).append((h["b"], p * h["probability"], (*parts, h["part"])))
-                    if done:
-                        break
+                                way = (p * h["probability"], (*parts, h["part"]))
+                                if end:
+                                    done.append(way)
+                                elif h["b"] not in grown or way < grown[h["b"]]:
+                                    grown[h["b"]] = way
                     level = grown
                 if done:
-                    _, score, parts = min(done, key=lambda d: (len(d[2]), -d[1], d[2]))
-                    rows.append((text, list(parts), score))
+                    score, parts = min(done)
+                    rows.append((text, list(parts), -score))
             yield pd.DataFrame(rows, columns=["word", "parts", "score"])
 
     return hits.mapInPandas(best, "word string, parts array<string>, score double")
