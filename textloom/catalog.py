@@ -142,7 +142,7 @@ def sentences_in_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f'WITH {PIECES}, {SENTENCES} SELECT t.*, s.idx AS parent_idx FROM tok t LEFT JOIN sent s ON t.doc_id = s.doc_id AND s.start <= t.start AND t."end" <= s."end"')
 def token_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.parents(tokens_of(spark, sf_dir), sentences_of(spark, sf_dir))
+    return spans.parents(tokens_of(spark, sf_dir), sentences_of(spark, sf_dir), disjoint=True)
 
 
 @query(f'WITH {SENTENCES}, {LINES} SELECT s.*, l.idx AS parent_idx FROM sent s LEFT JOIN lines l ON s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end"')
@@ -191,7 +191,7 @@ def no_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f'WITH {SENTENCES}, {LINES} SELECT s.* FROM sent s WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end")')
 def sentences_across_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.orphans(sentences_of(spark, sf_dir), segmentation.segment(docs(spark, sf_dir), "line_breaks"))
+    return spans.orphans(sentences_of(spark, sf_dir), segmentation.segment(docs(spark, sf_dir), "line_breaks"), disjoint=True)
 
 
 @query(f'WITH {SENTENCES}, {LINES} SELECT l.doc_id, l.idx, count(s.idx) AS n_children, min(s.idx) AS first_child FROM lines l LEFT JOIN sent s ON s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end" GROUP BY 1, 2')
@@ -203,7 +203,7 @@ def line_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PIECES}, {SENTENCES}, j AS (SELECT t.*, s.idx AS p FROM tok t LEFT JOIN sent s ON t.doc_id = s.doc_id AND s.start <= t.start AND t."end" <= s."end")
     SELECT doc_id, idx, start, "end", word, CASE WHEN p IS NULL THEN '' ELSE CAST(row_number() OVER (PARTITION BY doc_id, p ORDER BY start, "end", idx) AS VARCHAR) END AS ref FROM j""")
 def token_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbering.relative(tokens_of(spark, sf_dir), sentences_of(spark, sf_dir))
+    return numbering.relative(tokens_of(spark, sf_dir), sentences_of(spark, sf_dir), disjoint=True)
 
 
 @query(f"""WITH {SENTENCES}, n AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY start, "end") AS r FROM sent)
@@ -222,7 +222,7 @@ def numbers_by_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SENTENCES}, {LINES}, j AS (SELECT s.*, l.idx AS p FROM sent s LEFT JOIN lines l ON s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end")
     SELECT doc_id, idx, start, "end", CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p IS NULL, CAST(p AS VARCHAR), start, "end", idx) AS VARCHAR) AS number FROM j""")
 def numbers_by_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbering.by_parent(sentences_of(spark, sf_dir), segmentation.segment(docs(spark, sf_dir), "line_breaks"), "idx")
+    return numbering.by_parent(sentences_of(spark, sf_dir), segmentation.segment(docs(spark, sf_dir), "line_breaks"), "idx", disjoint=True)
 
 
 @query()
@@ -272,7 +272,7 @@ def sentence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inherited_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = segmentation.segment(docs(spark, sf_dir), "line_breaks")
     lines = lines.withColumn("as_value", values.span_as_value(F.col("start"), F.col("end")))
-    return spans.inherit(sentences_of(spark, sf_dir), lines, "as_value", "line")
+    return spans.inherit(sentences_of(spark, sf_dir), lines, "as_value", "line", disjoint=True)
 
 
 @query(f'WITH {SENTENCES} SELECT s.*, substring(d.text, s.start + 1, s."end" - s.start) AS word FROM sent s JOIN documents d USING (doc_id)')
@@ -1065,3 +1065,52 @@ def document_compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = forms.select("form", F.concat("form", F.lit("..nn.1")).alias("lemgram"), params.alias("params"), F.lit("nn").alias("pos"), "tags")
     pairs = counts.select(F.col("word").alias("compound"), F.array("msd", F.lit("NN")).alias("tags"))
     return compound_of.annotate(own, known, shared.written(models.word_model(counts)), shared.written(models.compound_model(pairs)), keep=shared.written)
+
+
+# Sub-positions: sentences are (start.0, end.1) and what follows them (end.1, end.2) in even documents; marks stand at their ends.
+SUBS = """
+    sp_ AS (SELECT doc_id, 2 * idx AS idx, start, "end", 0 AS start_sub, 1 AS end_sub FROM sent UNION ALL SELECT doc_id, 2 * idx + 1, "end", "end", 1, 2 FROM sent),
+    sub_parent AS (SELECT doc_id, idx, start, "end", CASE WHEN doc_id % 2 = 0 THEN start_sub END AS start_sub, CASE WHEN doc_id % 2 = 0 THEN end_sub END AS end_sub FROM sp_),
+    sub_mark AS (SELECT doc_id, idx, "end" AS start, "end", idx % 3 AS start_sub, idx % 3 AS end_sub FROM sent)"""
+
+
+def _sub_positioned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sent = sentences_of(spark, sf_dir)
+    even = lambda c: F.when(F.col("doc_id") % 2 == 0, c).cast("int")
+    whole = sent.select("doc_id", (2 * F.col("idx")).alias("idx"), "start", "end", even(F.lit(0)).alias("start_sub"), even(F.lit(1)).alias("end_sub"))
+    after = sent.select("doc_id", (2 * F.col("idx") + 1).alias("idx"), F.col("end").alias("start"), "end", even(F.lit(1)).alias("start_sub"), even(F.lit(2)).alias("end_sub"))
+    marks = sent.select("doc_id", "idx", F.col("end").alias("start"), "end", (F.col("idx") % 3).cast("int").alias("start_sub"), (F.col("idx") % 3).cast("int").alias("end_sub"))
+    return whole.unionByName(after), marks
+
+
+@query(f"""WITH {SENTENCES}, {SUBS}, h AS (SELECT m.*, p.idx AS parent_idx, row_number() OVER (PARTITION BY m.doc_id, m.idx ORDER BY p.start, p.start_sub NULLS FIRST, p."end", p.end_sub NULLS FIRST, p.idx) AS r FROM sub_mark m LEFT JOIN sub_parent p ON m.doc_id = p.doc_id
+        AND (p.start < m.start OR p.start = m.start AND (p.start_sub IS NULL OR p.start_sub <= m.start_sub)) AND (m."end" < p."end" OR m."end" = p."end" AND (p.end_sub IS NULL OR m.end_sub <= p.end_sub)))
+    SELECT * EXCLUDE (r) FROM h WHERE r = 1""")
+def sub_positioned_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks at the ends of sentences: in half of the documents sub-positions tell whether they belong to the sentence or to what follows it."""
+    parent, marks = _sub_positioned(spark, sf_dir)
+    return spans.parents(marks, parent)
+
+
+EQUAL = """
+    twin AS (SELECT doc_id, idx, start, "end" FROM inner_sent WHERE idx % 2 = 0),
+    part AS (SELECT doc_id, idx, start, CASE WHEN idx % 5 = 0 THEN greatest(start + 1, "end" - 1) ELSE "end" END AS "end" FROM inner_sent WHERE idx % 3 = 0)"""
+
+
+def _equal_spans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Sentences in lines, the same of every second one, and of every third one some that are shorter; named so that the order by name is not the right one."""
+    own = docs(spark, sf_dir)
+    sent = segmentation.segment(own, "stops", chunks=segmentation.segment(own, "line_breaks"))
+    shorter = F.when(F.col("idx") % 5 == 0, F.greatest(F.col("start") + 1, F.col("end") - 1)).otherwise(F.col("end"))
+    return {"part": sent.where("idx % 3 = 0").withColumn("end", shorter), "twin": sent.where("idx % 2 = 0"), "whole": sent}
+
+
+@query(f"""WITH {LINES}, {INNER}, {EQUAL}, s AS (SELECT doc_id, 'whole' AS annotation, * EXCLUDE (doc_id) FROM inner_sent UNION ALL SELECT doc_id, 'twin', * EXCLUDE (doc_id) FROM twin UNION ALL SELECT doc_id, 'part', * EXCLUDE (doc_id) FROM part),
+    v AS (SELECT p.annotation AS outer_, c.annotation AS inner_, count(DISTINCT (c.doc_id, c.idx)) AS n FROM s c JOIN s p ON c.doc_id = p.doc_id AND p.start <= c.start AND c."end" <= p."end" AND c.annotation <> p.annotation GROUP BY 1, 2),
+    w AS (SELECT a.annotation, (SELECT count(*) FROM v x LEFT JOIN v y ON x.outer_ = y.inner_ AND x.inner_ = y.outer_ WHERE x.outer_ = a.annotation AND x.n > coalesce(y.n, 0)) AS wins FROM (SELECT DISTINCT annotation FROM s) a),
+    l AS (SELECT annotation, row_number() OVER (ORDER BY wins DESC, annotation) AS level FROM w),
+    e AS (SELECT doc_id, annotation, idx, level, start AS "at", true AS opens, 2 AS phase, -"end" AS far, level AS depth FROM s JOIN l USING (annotation) UNION ALL SELECT doc_id, annotation, idx, level, "end", false, 0, -start, -level FROM s JOIN l USING (annotation))
+    SELECT doc_id, "at", opens, annotation, idx, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY "at", phase, far, depth, idx) AS INTEGER) AS rank FROM e""")
+def voted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of three annotations with equal spans; what is outside is decided by all documents."""
+    return spans.events(spans.writing_order(_equal_spans(spark, sf_dir)))
