@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import dates, tags, values
-from textloom.operators import alignment, boundaries, compounds as compound_of, constituents as trees_of, frequency, lexicon, models, numbering, phrases, readability, relations, segmentation, shared, spans
+from textloom.operators import alignment, boundaries, compounds as compound_of, constituents as trees_of, frequency, lexicon, models, numbering, phrases, readability, relations, routing, segmentation, shared, spans
 from textloom.sinks import exporters, trees
 from textloom.sources import importers
 from textloom.streaming import annotate
@@ -1114,3 +1114,80 @@ def _equal_spans(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def voted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks of three annotations with equal spans; what is outside is decided by all documents."""
     return spans.events(spans.writing_order(_equal_spans(spark, sf_dir)))
+
+
+@query("""SELECT '(' || o_orderkey || ', ''' || o_orderstatus || ''', ''' || replace(o_orderpriority, '''', '''''') || ''', ' || o_custkey || ')' AS line, true AS fits FROM orders""")
+def packed_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the INSERTs that a table becomes, each in a statement of 20,000 bytes at most."""
+    most = 20_000
+    own = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    packed = exporters.sql_packets(own, "orders", "o_orderkey", most)
+    rows = F.split(F.regexp_replace(F.substring_index("statement", "VALUES\n", -1), ";$", ""), ",\n")
+    return packed.select(F.explode(rows).alias("line"), (F.col("n_bytes") <= most).alias("fits"))
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, {EDGES}, {TRIPLES}, {COUNTS}, s AS (SELECT head AS string, '' AS extra, head_pos AS pos FROM cnt UNION SELECT dep, extra, dep_pos FROM cnt), r AS (SELECT row_number() OVER (ORDER BY string, extra, pos) - 1 AS id, * FROM s)
+    SELECT h.id AS head, relation, d.id AS dep, freq FROM cnt JOIN r h ON h.string = head AND h.extra = '' AND h.pos = head_pos JOIN r d ON d.string = dep AND d.extra = cnt.extra AND d.pos = dep_pos""")
+def relations_by_string_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations that refer to a table of strings by dense ids."""
+    counts = {k: v for k, v in relations.relation_counts(relation_triples(spark, sf_dir)).items() if k == "relations"}
+    counts["relations"] = shared.written(counts["relations"])
+    return relations.relation_strings(counts)["relations"].select("head", "relation", "dep", "freq")
+
+
+TAG_MAP = """
+    tm AS (SELECT * FROM (VALUES ('nn u sg', 'NN.UTR.SIN'), ('nn u sg', 'NN.UTR'), ('nn n pl', 'NN.NEU.PLU'), ('vb', 'VB'), ('vb pres', 'VB.PRS'), ('av u sg', 'JJ.UTR'), ('av n sg', 'JJ.NEU'), ('av n sg', 'JJ.POS')) t(tag, msd)),
+    pe AS (SELECT p_partkey, lower(p_brand) AS brand, p_name AS name, (['nn', 'vb', 'av', 'xx'])[p_partkey % 4 + 1] AS pos, (['u', 'm', 'f', 'n'])[p_size % 4 + 1] AS g, CASE WHEN p_partkey % 3 = 0 THEN 'pl' ELSE 'sg' END AS num FROM part),
+    pt_ AS (SELECT *, pos || ' ' || g || ' ' || num AS tag FROM pe),
+    rk AS (SELECT DISTINCT tag, pos FROM pt_),
+    rl AS (SELECT rk.tag, l.level, m.msd FROM rk, (VALUES (0, 'exact'), (1, 'gender'), (2, 'gender'), (3, 'part of speech'), (4, 'all of it')) l(n, level) JOIN tm m ON CASE l.n WHEN 0 THEN m.tag = rk.tag WHEN 1 THEN m.tag = replace(rk.tag, ' m ', ' u ')
+        WHEN 2 THEN m.tag = replace(rk.tag, ' f ', ' u ') WHEN 3 THEN m.tag = rk.pos ELSE split_part(m.tag, ' ', 1) = rk.pos END),
+    rn AS (SELECT tag, level, msd, CASE level WHEN 'exact' THEN 0 WHEN 'gender' THEN 1 WHEN 'part of speech' THEN 2 ELSE 3 END AS o FROM rl),
+    rb AS (SELECT rk.tag, any_value(level) AS level, string_agg(DISTINCT msd, '|' ORDER BY msd) AS msds FROM rk LEFT JOIN (SELECT * FROM rn QUALIFY o = min(o) OVER (PARTITION BY tag)) x ON rk.tag = x.tag GROUP BY 1)"""
+TAG_ROWS = [("nn u sg", "NN.UTR.SIN"), ("nn u sg", "NN.UTR"), ("nn n pl", "NN.NEU.PLU"), ("vb", "VB"), ("vb pres", "VB.PRS"), ("av u sg", "JJ.UTR"), ("av n sg", "JJ.NEU"), ("av n sg", "JJ.POS")]
+
+
+def _old_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda c, *values_: F.element_at(F.array(*[F.lit(v) for v in values_]), (F.col(c) % 4 + 1).cast("int"))
+    part = table(spark, sf_dir, "part")
+    pos, lemma = pick("p_partkey", "nn", "vb", "av", "xx"), F.concat("p_name", F.lit("..nn."), F.col("p_partkey").cast("string"))
+    return part.select(
+        F.explode(F.array(F.lower("p_brand"), "p_name")).alias("form"), lemma.alias("lemma"), F.col("p_name").alias("baseform"), pos.alias("pos"), F.array(pick("p_size", "u", "m", "f", "n")).alias("inherent"),
+        F.when(F.col("p_partkey") % 3 == 0, "pl").otherwise("sg").alias("tag"))
+
+
+@query(f"WITH {TAG_MAP} SELECT tag, level, coalesce(msds, '') AS msds FROM rb")
+def resolved_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of an old lexicon and the level on which a map resolves them."""
+    entries = _old_entries(spark, sf_dir).select(F.concat_ws(" ", "pos", F.array_join("inherent", " "), "tag").alias("tag"))
+    return models.resolved_tags(entries, spark.createDataFrame(TAG_ROWS, "tag string, msd string")).withColumn("msds", F.array_join("msds", "|"))
+
+
+@query(f"""WITH {TAG_MAP} SELECT brand AS form, name || '..nn.' || p_partkey AS reading, name AS baseform, coalesce(msds, 'NN') AS tags, coalesce(level, 'lemgram') AS level FROM pt_ JOIN rb USING (tag)
+    UNION ALL SELECT name, name || '..nn.' || p_partkey, name, '', 'phrase' FROM pt_""")
+def historical_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of an old lexicon with resolved tags, by the lemma's name where there is none, and its phrases."""
+    words, multi = models.historical_lexicon(_old_entries(spark, sf_dir), spark.createDataFrame(TAG_ROWS, "tag string, msd string"), spark.createDataFrame([("nn", ["NN"])], "pos string, tags array<string>"))
+    words = words.select("form", "reading", "baseform", F.array_join("tags", "|").alias("tags"), F.array_join("levels", "|").alias("level"))
+    return words.unionByName(multi.select(F.array_join("words", " ").alias("form"), "reading", "baseform", F.lit("").alias("tags"), F.lit("phrase").alias("level")))
+
+
+@query(f"""WITH {PIECES}, {SENTENCES}, j AS (SELECT t.*, s.idx AS sentence FROM tok t LEFT JOIN sent s ON t.doc_id = s.doc_id AND s.start <= t.start AND t."end" <= s."end"),
+    z AS (SELECT doc_id, sentence, count(*) AS n, max(length(word)) AS longest FROM j WHERE sentence IS NOT NULL GROUP BY 1, 2),
+    r AS (SELECT j.*, CASE WHEN n IS NULL THEN 'tags' WHEN n > 60 OR longest > 15 THEN 'none' WHEN n > 12 THEN 'tags' ELSE 'full' END AS route FROM j LEFT JOIN z USING (doc_id, sentence))
+    SELECT doc_id, idx, route, CASE WHEN route <> 'none' THEN 'T' || length(word) % 4 END AS pos, CASE WHEN route = 'full' THEN row_number() OVER (PARTITION BY doc_id, sentence ORDER BY idx) - 1 END AS head FROM r""")
+def routed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short sentences get tags and heads, longer ones tags, and those that are very long or have a long token nothing."""
+    own = spans.parents_disjoint(tokens_of(spark, sf_dir), sentences_of(spark, sf_dir)).withColumnRenamed("parent_idx", "sentence")
+    routes_ = routing.routes(own, most_tokens=60, longest_sentence=12, longest_token=15)
+    tag = lambda df: df.withColumn("pos", F.concat(F.lit("T"), (F.length("word") % 4).cast("string")))
+    parse = lambda df: tag(df).withColumn("head", (F.row_number().over(Window.partitionBy("doc_id", "sentence").orderBy("idx")) - 1).cast("long"))
+    return routing.routed(routes_, {routing.FULL: parse, routing.TAGS: tag}).select("doc_id", "idx", "route", "pos", "head")
+
+
+@query()
+def aligned_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of each document aligned with a version in which every third one is joined with the one before it; whole texts are linked."""
+    own = sentences_of(spark, sf_dir).select(F.col("doc_id").alias("link"), "idx", (F.col("end") - F.col("start")).alias("length"))
+    joined = own.withColumn("idx", F.when(F.col("idx") % 3 == 2, F.col("idx") - 1).otherwise(F.col("idx"))).groupBy("link", "idx").agg(F.sum("length").alias("length"))
+    return alignment.align(own, joined)

@@ -1,14 +1,19 @@
 """Alignment of sentences of two versions of a text by their lengths (Gale and Church, 1993).
 
-Chunks that are linked, such as paragraphs, are aligned each by itself, so a task holds two chunks. A bead is a pair of none to two
+Chunks that are linked, such as paragraphs or whole texts, are aligned each by itself, so a task holds two chunks. A bead is a pair of none to two
 sentences on either side; how probable it is follows from its kind and from how the lengths differ. All cells with one sum of
-places are worked out at once.
+places are worked out at once, in a band around the line along which both texts advance alike.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,43 +31,122 @@ def bead_costs(left: np.ndarray, right: np.ndarray, prior: float) -> np.ndarray:
     return -np.log(np.maximum(2 * tail, 1e-300)) - np.log(prior)
 
 
-def aligned_lengths(left: list[int], right: list[int]) -> list[tuple[int, int, int, int]]:
-    """The cheapest beads as (first left, after the last left, first right, after the last right)."""
-    n, m = len(left), len(right)
-    a, b = np.concatenate([[0], np.cumsum(left)]).astype(float), np.concatenate([[0], np.cumsum(right)]).astype(float)
-    cost, move = np.full((n + 1, m + 1), np.inf), np.zeros((n + 1, m + 1), np.int8)
-    cost[0, 0] = 0
-    kinds = list(BEADS)
+def _banded(a: np.ndarray, b: np.ndarray, width: int) -> tuple[list[tuple[int, int, int, int]], float, bool]:
+    """(beads, their cost, whether they touch the band's edge) among cells that are at most ``width`` sentences off the line along which both texts advance alike. a, b: running lengths from 0."""
+    n, m = len(a) - 1, len(b) - 1
+    kinds, whole = list(BEADS), width > n + m
+    # The place on the left that the line has when left and right places sum to a total: both texts have come equally far, counted in characters and sentences.
+    left = (a + 1e-9 * np.arange(n + 1)) / max(a[-1] + 1e-9 * n, 1e-12)
+    right = (b + 1e-9 * np.arange(m + 1)) / max(b[-1] + 1e-9 * m, 1e-12)
+    on_line = np.searchsorted(right, left).clip(0, m) + np.arange(n + 1)
+    middle = np.searchsorted(on_line, np.arange(n + m + 1)).clip(0, n)
+    middle[0], middle[-1] = 0, n
+    rows: dict[int, tuple[int, np.ndarray]] = {0: (0, np.zeros(1))}
+    moves: list[tuple[int, np.ndarray]] = [(0, np.zeros(1, np.int8))]
     for total in range(1, n + m + 1):
-        i = np.arange(max(0, total - m), min(n, total) + 1)
+        low, high = max(0, total - m), min(n, total)
+        if not whole:
+            low, high = max(low, min(middle[total] - width, high)), min(high, max(middle[total] + width, low))
+        i = np.arange(low, high + 1)
         j = total - i
+        cost, move = np.full(len(i), np.inf), np.zeros(len(i), np.int8)
         for k, (x, y) in enumerate(kinds):
-            own = (i >= x) & (j >= y)
+            if total - x - y not in rows:
+                continue
+            start, before = rows[total - x - y]
+            at = i - x - start
+            own = (i >= x) & (j >= y) & (at >= 0) & (at < len(before))
             i1, j1 = i[own], j[own]
-            new = cost[i1 - x, j1 - y] + bead_costs(a[i1] - a[i1 - x], b[j1] - b[j1 - y], BEADS[x, y])
-            better = new < cost[i1, j1]
-            cost[i1[better], j1[better]], move[i1[better], j1[better]] = new[better], k
+            new = before[at[own]] + bead_costs(a[i1] - a[i1 - x], b[j1] - b[j1 - y], BEADS[x, y])
+            better = new < cost[own]
+            where = np.flatnonzero(own)[better]
+            cost[where], move[where] = new[better], k
+        rows[total] = (low, cost)
+        rows.pop(total - 4, None)
+        moves.append((low, move))
+    out, i, j, edge = [], n, m, False
+    while i or j:
+        low, move = moves[i + j]
+        edge |= i == low and i > max(0, i + j - m) or i == low + len(move) - 1 and i < min(n, i + j)
+        x, y = kinds[move[i - low]]
+        out.append((i - x, i, j - y, j))
+        i, j = i - x, j - y
+    return out[::-1], float(rows[n + m][1][-1]), edge
+
+
+def _small(left: list[int], right: list[int]) -> list[tuple[int, int, int, int]]:
+    """The cheapest beads of a few sentences, a cell at a time: arrays would cost more than they save."""
+    n, m = len(left), len(right)
+    a, b = [0, *itertools.accumulate(left)], [0, *itertools.accumulate(right)]
+    priors = [(x, y, -math.log(p)) for (x, y), p in BEADS.items()]
+    cost, move = {(0, 0): 0.0}, {}
+    for i in range(n + 1):
+        for j in range(m + 1):
+            for x, y, prior in priors:
+                if i >= x and j >= y:
+                    new = cost[i - x, j - y] + _length_cost(a[i] - a[i - x], b[j] - b[j - y]) + prior
+                    if new < cost.get((i, j), math.inf):
+                        cost[i, j], move[i, j] = new, (x, y)
     out, i, j = [], n, m
     while i or j:
-        x, y = kinds[move[i, j]]
+        x, y = move[i, j]
         out.append((i - x, i, j - y, j))
         i, j = i - x, j - y
     return out[::-1]
 
 
+@functools.lru_cache(1 << 16)
+def _length_cost(left: int, right: int) -> float:
+    return float(bead_costs(np.array([float(left)]), np.array([float(right)]), 1.0)[0])
+
+
+#: Sentences on either side of the line that are looked at first, and cells that are worked out one by one.
+WIDTH, FEW = 64, 1024
+
+
+def aligned_lengths(left: list[int], right: list[int], width: int = WIDTH) -> list[tuple[int, int, int, int]]:
+    """The cheapest beads as (first left, after the last left, first right, after the last right).
+
+    Only cells near the line along which both texts advance alike are worked out, so memory grows with the number of sentences. The band is doubled until the beads don't touch its edge and a band twice as
+    wide costs as much, or it is the whole.
+    """
+    if (len(left) + 1) * (len(right) + 1) <= FEW:
+        return _small(left, right)
+    a, b = np.concatenate([[0], np.cumsum(left)]).astype(float), np.concatenate([[0], np.cumsum(right)]).astype(float)
+    width = width if len(left) + len(right) > 4 * width else len(left) + len(right) + 1
+    while True:
+        found, cost, edge = _banded(a, b, width)
+        if width > len(left) + len(right):
+            return found
+        if not edge:
+            again, wider, _ = _banded(a, b, 2 * width)
+            if wider >= cost - 1e-9:
+                return found
+        width *= 2
+
+
 def align(left: DataFrame, right: DataFrame, key: str = "link") -> DataFrame:
     """(key, bead, side, idx): of every linked chunk its beads, numbered, with the sentences of both sides; nulls and sentences of one side only are beads of their own.
 
     left, right: key, idx, length; idx gives the order of the sentences in the chunk.
     """
-    kind = dict(left.dtypes)[key]
+    kind, name = dict(left.dtypes)[key], {"l": "left", "r": "right"}
+    n_tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, long work: not to be put into fewer tasks
+    sides = []
+    for t, side in ((left, "l"), (right, "r")):
+        own = F.array_sort(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), F.greatest(F.coalesce("length", F.lit(0)), F.lit(0)).cast("long").alias("length"))))
+        sides.append(t.groupBy(F.col(key).alias(f"{side}_key")).agg(own.alias(side)))
+    both = sides[0].join(sides[1], F.col("l_key").eqNullSafe(F.col("r_key")), "full")
+    both = both.select(F.coalesce("l_key", "r_key").alias(key), "l", "r").repartition(n_tasks, key)
+    found = pa.list_(pa.struct([("bead", pa.int32()), ("side", pa.string()), ("idx", pa.int64())]))
 
-    def one(of: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values("idx"), b.sort_values("idx")
-        rows = []
-        for bead, (i, i1, j, j1) in enumerate(aligned_lengths(a["length"].tolist(), b["length"].tolist())):
-            rows += [(of[0], bead, "left", int(x)) for x in a["idx"].iloc[i:i1]] + [(of[0], bead, "right", int(x)) for x in b["idx"].iloc[j:j1]]
-        return pd.DataFrame(rows, columns=[key, "bead", "side", "idx"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, b in zip(batch.column("l").to_pylist(), batch.column("r").to_pylist(), strict=True):
+                own = {"l": a or [], "r": b or []}
+                beads = aligned_lengths([x["length"] for x in own["l"]], [x["length"] for x in own["r"]])
+                rows.append([{"bead": bead, "side": name[s], "idx": x["idx"]} for bead, e in enumerate(beads) for s, i, i1 in (("l", *e[:2]), ("r", *e[2:])) for x in own[s][i:i1]])
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(rows, found)], [key, "beads"])
 
-    sides = [t.select(F.col(key).alias(key), F.col("idx").alias("idx"), F.coalesce("length", F.lit(0)).cast("long").alias("length")) for t in (left, right)]
-    return sides[0].groupBy(key).cogroup(sides[1].groupBy(key)).applyInPandas(one, f"{key} {kind}, bead int, side string, idx long")
+    return both.mapInArrow(run, f"{key} {kind}, beads array<struct<bead: int, side: string, idx: long>>").select(key, F.explode("beads").alias("b")).select(key, "b.*")

@@ -51,6 +51,53 @@ def word_lexicon(entries: DataFrame, tag_map: DataFrame, left_out: tuple[str, ..
     return own.join(tag_map, ["pos", "tag"], "left").groupBy("form", F.col("lemma").alias("reading"), "baseform", "sense").agg(F.array_sort(F.collect_set("msd")).alias("tags"))
 
 
+#: How a tag was resolved, by level.
+LEVELS = ("exact", "gender", "part of speech", "all of it", "lemgram")
+
+
+def resolved_tags(tags: DataFrame, mapping: DataFrame) -> DataFrame:
+    """(tag, level, msds): of each different tag what a many-to-many mapping (tag, msd) has for it, by the first level that has something.
+
+    Levels: the tag itself; with masculine or feminine (m, f between others) as common gender (u); its part of speech (the first word) alone; all tags with that part of speech. A tag that none of them has
+    gets the level null and no msds. Masculine counts before feminine.
+    """
+    own = tags.select("tag").where("tag is not null").distinct()
+    pos = F.substring_index("tag", " ", 1)
+    asked = F.array(*[
+        F.struct(F.lit(level).alias("level"), key.alias("key"))
+        for level, key in ((0, F.col("tag")), (1, F.replace("tag", F.lit(" m "), F.lit(" u "))), (2, F.replace("tag", F.lit(" f "), F.lit(" u "))), (3, pos), (4, F.concat(F.lit("* "), pos)))
+    ])
+    keys = mapping.select(F.col("tag").alias("key"), "msd").unionByName(mapping.select(F.concat(F.lit("* "), pos).alias("key"), "msd")).distinct()
+    found = own.select("tag", F.explode(asked).alias("a")).select("tag", "a.level", "a.key").join(keys, "key").groupBy("tag", "level").agg(F.array_sort(F.collect_set("msd")).alias("msds"))
+    best = found.groupBy("tag").agg(F.min(F.struct("level", "msds")).alias("b")).select(F.col("tag").alias("b_tag"), "b.level", "b.msds")
+    name = F.get(F.array(*[F.lit(LEVELS[i]) for i in (0, 1, 1, 2, 3)]), F.col("level"))
+    return own.join(best, F.col("tag") == F.col("b_tag"), "left").select("tag", name.alias("level"), F.coalesce("msds", F.array().cast("array<string>")).alias("msds"))
+
+
+def historical_lexicon(entries: DataFrame, mapping: DataFrame, fallback: DataFrame | None = None, translate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """((form, reading, baseform, tags, level), (words, reading, baseform)): words and phrases of a lexicon of an older language.
+
+    entries: form, lemma, baseform, pos, inherent (array; "-" is none), tag. Forms of several words are phrases, without gaps or particles. Tags are resolved as resolved_tags() does it, each different one once; where
+    that gives nothing, by the part of speech in the lemma's name (``..nn.``) if ``fallback`` (pos, tags) is given. Words without a tag are left out. Without translate a tag is the part of speech and the form's tag.
+    """
+    inherent = F.filter("inherent", lambda i: ~i.isin("-", ""))
+    own = entries.withColumn("words", F.filter(F.split(F.trim("form"), r"\s+"), lambda w: w != "")).withColumn("tag", F.array_join(F.concat(F.array("pos"), inherent if translate else F.array().cast("array<string>"), F.array("tag")), " "))
+    phrases_ = own.where("size(words) > 1").select("words", F.col("lemma").alias("reading"), "baseform").distinct()
+    single = own.where("size(words) = 1").select(F.get("words", F.lit(0)).alias("form"), F.col("lemma").alias("reading"), "baseform", "tag")
+    if translate:
+        found = resolved_tags(single, mapping)
+        single = single.join(found.select(F.col("tag").alias("r_tag"), "level", "msds"), F.col("tag") == F.col("r_tag"), "left")
+    else:
+        single = single.withColumns({"level": F.lit(LEVELS[0]), "msds": F.array("tag")})
+    if fallback is not None:
+        kind = F.regexp_extract("reading", r"\.\.(.*?)\.", 1)
+        single = single.join(fallback.select(F.col("pos").alias("l_pos"), F.col("tags").alias("l_tags")), kind == F.col("l_pos"), "left")
+        empty = F.coalesce(F.size("msds") == 0, F.lit(True)) & F.col("l_tags").isNotNull()
+        single = single.withColumns({"level": F.when(empty, LEVELS[4]).otherwise(F.col("level")), "msds": F.when(empty, F.col("l_tags")).otherwise(F.col("msds"))})
+    words = single.where("size(msds) > 0").groupBy("form", "reading", "baseform").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("msds")))).alias("tags"), F.array_sort(F.collect_set("level")).alias("levels"))
+    return words, phrases_
+
+
 def phrase_lexicon(entries: DataFrame) -> DataFrame:
     """(form, reading): forms of several words, for multiwords()."""
     return entries.where(F.col("form").contains(" ")).select("form", F.col("lemma").alias("reading")).distinct()

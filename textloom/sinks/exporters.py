@@ -7,7 +7,9 @@ put together where its tokens are, after one shuffle.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +119,45 @@ def sql_inserts(rows: DataFrame, table: str, key: str, rows_a_statement: int = 1
     return dealt.groupBy("bucket").agg(F.concat(F.lit(f"INSERT INTO `{table}` ({names}) VALUES\n"), together, F.lit(";")).alias("statement"))
 
 
+#: Bytes of one statement that database servers take by default.
+MOST_BYTES = 900_000
+
+
+def sql_packets(rows: DataFrame, table: str, key: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(first, n_rows, n_bytes, statement): INSERTs in the order of ``key``, each of as many rows as stay within ``most_bytes``; first is its first key.
+
+    Rows are sorted in ranges of the key, and each range is packed by running bytes while its rows stream by, so no task holds more than one statement and no range is the whole table. A row that is longer by itself is a statement
+    of its own. Rows with equal or null keys are packed in the order of their values.
+    """
+    head, kind = f"INSERT INTO `{table}` ({', '.join(f'`{c}`' for c in rows.columns)}) VALUES\n", rows.schema[key].dataType
+    values = F.concat(F.lit("("), F.concat_ws(", ", *[_quoted(c, k) for c, k in rows.dtypes]), F.lit(")"))
+    own = rows.select(F.col(key).alias("first"), values.alias("row")).repartitionByRange("first").sortWithinPartitions("first", "row")
+    fixed = len(head.encode()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, size, kind = None, [], fixed, None
+
+        def statement() -> pa.RecordBatch:
+            text = head + ",\n".join(held) + ";"
+            return pa.RecordBatch.from_arrays([pa.array([first], kind), pa.array([len(held)], pa.int64()), pa.array([len(text.encode())], pa.int64()), pa.array([text])], ["first", "n_rows", "n_bytes", "statement"])
+
+        for batch in batches:
+            kind = batch.column("first").type
+            for at, row in zip(batch.column("first").to_pylist(), batch.column("row").to_pylist(), strict=True):
+                more = len(row.encode()) + 2 * bool(held)
+                if held and size + more > most_bytes:
+                    yield statement()
+                    held, size, more = [], fixed, more - 2
+                if not held:
+                    first = at
+                held.append(row)
+                size += more
+        if held:
+            yield statement()
+
+    return own.mapInArrow(run, f"first {kind.simpleString()}, n_rows long, n_bytes long, statement string")
+
+
 SQL_TYPES = {"int": "INT", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "VARCHAR(255)", "date": "DATE", "timestamp": "DATETIME"}
 
 
