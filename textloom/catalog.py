@@ -1191,3 +1191,35 @@ def aligned_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = sentences_of(spark, sf_dir).select(F.col("doc_id").alias("link"), "idx", (F.col("end") - F.col("start")).alias("length"))
     joined = own.withColumn("idx", F.when(F.col("idx") % 3 == 2, F.col("idx") - 1).otherwise(F.col("idx"))).groupBy("link", "idx").agg(F.sum("length").alias("length"))
     return alignment.align(own, joined)
+
+
+@query(f"""WITH {PIECES}, {LINES}, {LINE_TOKENS}, b AS (SELECT doc_id, line, CASE WHEN line % 2 = 0 THEN '# line.even = ' || line ELSE '# line' END || E'\\n' || string_agg(word || E'\\t' || idx || E'\\n', '' ORDER BY idx) || E'\\n' AS body FROM lt GROUP BY 1, 2)
+    SELECT doc_id, E'word\\tidx\\n' || coalesce(string_agg(body, '' ORDER BY line), '') AS content FROM documents LEFT JOIN b USING (doc_id) GROUP BY 1""")
+def csv_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of any annotations: lines in place of sentences, with an attribute that every second one has."""
+    tables = _lines_and_tokens(spark, sf_dir)
+    tables["line"] = tables["line"].withColumn("even", F.when(F.col("idx") % 2 == 0, F.col("idx").cast("string")).otherwise(""))
+    return trees.tree(docs(spark, sf_dir), tables, {"line": ["even"]}, "csv", ("word", "idx"), breaks="line")
+
+
+@query(f"""WITH {PIECES}, {LINES}, {LINE_TOKENS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY idx) AS ref FROM lt),
+    b AS (SELECT doc_id, line, '# sent_idx = ' || line || E'\\n' || string_agg(ref || E'\\t' || coalesce(nullif(trim(word, '|'), ''), '_') || E'\\t' || split_part(trim('|' || lower(word) || '|other|', '|'), '|', 1) || E'\\tT' || length(word) % 3 || E'\\t_\\t_\\t' || CASE WHEN ref > 1 THEN ref // 2 ELSE 0 END || E'\\t' || CASE WHEN ref > 1 THEN 'dep' ELSE 'root' END || E'\\t_\\t_\\n', '' ORDER BY idx) || E'\\n' AS body
+        FROM n GROUP BY 1, 2)
+    SELECT doc_id, E'# global.columns = ID FORM LEMMA UPOS XPOS FEATS HEAD DEPREL DEPS MISC\\n' || coalesce(string_agg(body, '' ORDER BY line), '') || E'\\n' AS content FROM documents LEFT JOIN b USING (doc_id) GROUP BY 1""")
+def conllu_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CoNLL-U of any annotations, heads as in a heap."""
+    tables = _lines_and_tokens(spark, sf_dir)
+    own = spans.parents_disjoint(tables["token"], tables["line"], keep_orphans=False)
+    own = own.withColumn("ref", F.row_number().over(Window.partitionBy("doc_id", "parent_idx").orderBy("idx")))
+    own = own.withColumns({"lemmas": F.concat(F.lit("|"), F.lower("word"), F.lit("|other|")), "upos": F.concat(F.lit("T"), (F.length("word") % 3).cast("string")), "head": F.when(F.col("ref") > 1, F.floor(F.col("ref") / 2).cast("string")).otherwise(""), "relation": F.when(F.col("ref") > 1, "DEP").otherwise("ROOT")})
+    return trees.tree(docs(spark, sf_dir), {"sentence": tables["line"], "token": own}, {"sentence": ["idx"]}, "conllu", ("ref", "word", "lemmas", "upos", None, None, "head", "relation", None, None))
+
+
+@query(f"""WITH {PIECES}, {LINES}, {LINE_TOKENS}, b AS (SELECT doc_id, line, '  <line idx="' || line || E'">\\n' || string_agg('    <token idx="' || idx || '">' || {XML("word")} || E'</token>\\n', '' ORDER BY idx) || E'  </line>\\n' AS body FROM lt GROUP BY 1, 2),
+    c AS (SELECT doc_id, '<text id="' || doc_id || E'">\\n' || coalesce(string_agg(body, '' ORDER BY line DESC), '') || E'</text>\\n' AS content FROM documents LEFT JOIN b USING (doc_id) GROUP BY 1)
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, content FROM c UNION ALL SELECT '', E'<corpus id="all">\\n' UNION ALL SELECT '', E'</corpus>\\n'""")
+def combined_scrambled_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XML of all documents as one element's parts, lines in another order: here the last first."""
+    tables = _lines_and_tokens(spark, sf_dir)
+    tables["line"] = tables["line"].withColumn("place", -F.col("idx"))
+    return exporters.combined(trees.tree(docs(spark, sf_dir), tables, {"line": ["idx"], "token": ["idx"]}, scramble="line"), "all")

@@ -1,7 +1,7 @@
-"""Any annotations as text: XML in the running text, XML with an element a line, vertical text.
+"""Any annotations as text: XML in the running text, XML with an element a line, vertical text, tables (csv) and CoNLL-U.
 
 tables: span tables by name, from outer to inner: doc_id, idx, start, end, and the columns that become attributes; of equal spans the one of the
-first table is outside (spans.element_order tells which should be). Spans may cross: where one ends, those that were opened in it
+first table is outside (spans.writing_order() puts them so that all documents agree). Spans may cross: where one ends, those that were opened in it
 are closed and opened again, and all parts of such a span have one number in the attribute overlap. Spans of no width come before others at their place.
 
 A document's spans are put together by one grouping, and its text is cut once, front to back, in one pass over documents. A null text is
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.sinks.exporters import as_text, xml_escaped
+from textloom.sinks.exporters import CONLLU, as_text, xml_escaped
 
 Event = tuple[int, str, int]
 
@@ -79,8 +79,12 @@ def scrambled_events(events: list[Event], chunks: list[tuple[int, int]], spans:
     yield [(0, "close", x) for x in reversed(now)]
 
 
-def written(text: str, spans: list[tuple[int, int]], names: list[str], attributes: list[str], lines: list[str | None], style: str, chunks: list[tuple[int, int]] | None) -> str:
-    """One document. lines: what stands for a span of the innermost table in vertical text and pretty XML; None for others."""
+#: Styles in which elements are comment lines before their tokens.
+COMMENTED = ("csv", "conllu")
+
+
+def written(text: str, spans: list[tuple[int, int]], names: list[str], attributes: list[str], lines: list[str | None], style: str, chunks: list[tuple[int, int]] | None, breaks: str = "") -> str:
+    """One document. lines: what stands for a span of the innermost table in all styles but preserved; None for others. breaks: in tables and CoNLL-U, after whose elements a line is left blank."""
     escape = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
     events, crossing = nested_events(spans)
     out: list[str] = []
@@ -91,6 +95,9 @@ def written(text: str, spans: list[tuple[int, int]], names: list[str], attribute
             if style == "preserved":
                 out.append(escape(text[at:place]))
                 at = max(at, place)
+            if style in COMMENTED:
+                out += [lines[k] + "\n" if lines[k] is not None else attributes[k]] if kind == "open" else ["\n"] if kind == "close" and names[k] == breaks else []
+                continue
             shown = f"<{names[k]}{attributes[k]}" + (f' overlap="{crossing[k]}"' if k in crossing else "") + ">" if kind != "close" else f"</{names[k]}>"
             if style == "preserved":
                 out.append(shown)
@@ -106,24 +113,41 @@ def written(text: str, spans: list[tuple[int, int]], names: list[str], attribute
     return "".join(out)
 
 
-def tree(docs: DataFrame, tables: dict[str, DataFrame], attributes: dict[str, list[str]], style: str = "pretty", columns: tuple[str, ...] = ("word",), scramble: str | None = None, root: str = "text") -> DataFrame:
+def tree(docs: DataFrame, tables: dict[str, DataFrame], attributes: dict[str, list[str]], style: str = "pretty", columns: tuple[str | None, ...] = ("word",), scramble: str | None = None, root: str = "text", breaks: str = "sentence", delimiter: str = "\t") -> DataFrame:
     """(doc_id, content): a row a document.
 
-    attributes: by table the columns that are written. style: preserved, pretty, or vertical. The last table has the tokens, with ``columns``: vertical text has them
-    between tabs, pretty XML has the first as the element's text. scramble: the table whose spans are reordered, by its column ``place``; what stands in none of them goes.
+    attributes: by table the columns that are written. style: preserved, pretty, vertical, csv or conllu. The last table has the tokens, with ``columns``: vertical text has them
+    between tabs, pretty XML has the first as the element's text, csv between delimiters (a blank in place of one in the first), CoNLL-U as its ten fields (columns of these names; None: none). In the latter two each element is a
+    comment line for each attribute, or one with its name, and a blank line follows each element of the table ``breaks``. scramble: the table whose spans are reordered, by its column ``place``; what stands in none of them goes.
     """
     def attribute(c: str) -> Column:
         return F.when(as_text(c) != "", F.concat(F.lit(f' {c}="'), xml_escaped(as_text(c)), F.lit('"'))).otherwise("")
 
+    def comments(name: str) -> Column:
+        own = attributes.get(name, [])
+        shown = "sent" if name == "sentence" and style == "conllu" else name
+        told = [F.concat(F.lit(f"# {shown}{'_' if style == 'conllu' else '.'}{c} = "), as_text(c), F.lit("\n")) for c in own]
+        told = told if style == "conllu" else [F.when(as_text(c) != "", t).otherwise("") for c, t in zip(own, told, strict=True)]
+        every = F.concat(F.lit(""), *told)
+        return F.when(every == "", f"# {name}\n").otherwise(every)
+
+    def token_line() -> Column:
+        if style == "csv":
+            return F.concat_ws(delimiter, F.replace(as_text(columns[0]), F.lit(delimiter), F.lit(" ")), *[as_text(c) for c in columns[1:]])
+        bare = [F.when(F.trim(as_text(c), F.lit("|")) == "", "_").otherwise(F.trim(as_text(c), F.lit("|"))) if c else F.lit("_") for c in columns]
+        bare[2], bare[6], bare[7] = F.substring_index(bare[2], "|", 1), F.when(bare[6] == "_", "0").otherwise(bare[6]), F.lower(bare[7])
+        return F.concat_ws("\t", *bare)
+
     cell = lambda c: xml_escaped(F.regexp_replace(as_text(c), r"[\t\n]", " "))
     every = None
     for level, (name, table) in enumerate(tables.items()):
         token = level == len(tables) - 1 and style != "preserved"
-        line = (F.concat_ws("\t", *[cell(c) for c in columns]) if style == "vertical" else xml_escaped(as_text(columns[0]))) if token else F.lit(None).cast("string")
+        shown = {"vertical": lambda: F.concat_ws("\t", *[cell(c) for c in columns]), "csv": token_line, "conllu": token_line}.get(style, lambda: xml_escaped(as_text(columns[0])))
+        line = shown() if token else F.lit(None).cast("string")
         wide = F.col("end").cast("long") > F.col("start").cast("long")
         span = F.struct(
             F.col("start").cast("int").alias("start"), wide.alias("wide"), (-F.col("end")).cast("int").alias("far"), F.lit(level).alias("level"), F.col("idx").cast("long").alias("idx"), F.col("end").cast("int").alias("end"), F.lit(name).alias("name"),
-            F.concat(F.lit(""), *[attribute(c) for c in attributes.get(name, [])]).alias("attributes"), line.alias("line"), (F.col("place").cast("long") if name == scramble else F.lit(None).cast("long")).alias("place"),
+            (comments(name) if style in COMMENTED else F.concat(F.lit(""), *[attribute(c) for c in attributes.get(name, [])])).alias("attributes"), line.alias("line"), (F.col("place").cast("long") if name == scramble else F.lit(None).cast("long")).alias("place"),
         )
         part = table.select(F.col("doc_id").alias("s_doc"), span.alias("span"))
         every = part if every is None else every.unionByName(part)
@@ -135,9 +159,12 @@ def tree(docs: DataFrame, tables: dict[str, DataFrame], attributes: dict[str, li
         def one(t: str, own: list[dict] | None) -> str:
             own = [] if own is None else own
             chunks = [(i, s["place"]) for i, s in enumerate(own) if s["place"] is not None] if scramble else None
-            return written(t, [(s["start"], s["end"]) for s in own], [s["name"] for s in own], [s["attributes"] for s in own], [s["line"] for s in own], style, chunks)
+            return written(t, [(s["start"], s["end"]) for s in own], [s["name"] for s in own], [s["attributes"] for s in own], [s["line"] for s in own], style, chunks, breaks)
 
         return pd.Series([one(t, s) for t, s in zip(text, spans, strict=True)])
 
+    if style in COMMENTED:
+        head = delimiter.join(columns) if style == "csv" else "# global.columns = " + " ".join(CONLLU)
+        return own.select("doc_id", F.concat(F.lit(head + "\n"), content("text", "spans"), F.lit("\n" * (style == "conllu"))).alias("content"))
     edge = "\n" if style != "preserved" else ""
     return own.select("doc_id", F.concat(F.lit(f'<{root} id="'), xml_escaped(F.col("doc_id").cast("string")), F.lit(f'">{edge}'), content("text", "spans"), F.lit(f"</{root}>\n")).alias("content"))
