@@ -510,10 +510,8 @@ def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d AS (SELECT doc_id, class, n / total / freq AS dominance FROM n JOIN t USING (doc_id) JOIN f USING (class) WHERE n / total / freq >= 1),
     r AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY dominance DESC) AS place FROM d) SELECT doc_id, class, round(dominance, 9) AS dominance, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
 def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _classed(spark, sf_dir)
-    total = own.count()
-    reference = own.select(F.explode("classes").alias("class")).groupBy("class").agg((F.count("*") / F.lit(total)).alias("freq"))
-    return lexicon.text_classes(own, reference, ["doc_id"]).select("doc_id", "class", F.round("dominance", 9).alias("dominance"), "place")
+    counts = shared.written(lexicon.class_counts(_classed(spark, sf_dir), ["doc_id"]))
+    return lexicon.dominant_classes(counts, lexicon.class_shares(counts), ["doc_id"]).select("doc_id", "class", F.round("dominance", 9).alias("dominance"), "place")
 
 
 @query("""WITH g AS (SELECT lower(n_name) AS k, max_by(n_name || ';' || r_name || ';0;0', n_nationkey) AS place FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1),
@@ -526,8 +524,9 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.places(names, gazetteer, ["text"]).select(F.col("text").cast("long").alias("text"), F.array_join("places", "|").alias("places"))
 
 
-@query(f"""WITH {PIECES}, {TAGGED}, f(a, b, reading) AS (VALUES ('of', 'the', 'of-the'), ('to', 'the', 'to-the'), ('in', 'the', 'in-the'), ('de', 'la', 'de-la'), ('von', 'der', 'von-der'))
-    SELECT x.doc_id, x.sentence, x.idx AS first, y.idx AS last, reading FROM tag x JOIN tag y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND y.idx = x.idx + 1 JOIN f ON x.word = f.a AND y.word = f.b""")
+@query(f"""WITH {PIECES}, {TAGGED}, f(a, b, reading) AS (VALUES ('of', 'the', 'of-the'), ('to', 'the', 'to-the'), ('in', 'the', 'in-the'), ('de', 'la', 'de-la'), ('von', 'der', 'von-der')),
+    n AS (SELECT doc_id, sentence, idx, word, lead(word) OVER (PARTITION BY doc_id, sentence ORDER BY idx) AS after FROM tag)
+    SELECT doc_id, sentence, idx AS first, idx + 1 AS last, reading FROM n JOIN f ON word = a AND after = b""")
 def multiword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = tagged(spark, sf_dir)
     phrases = spark.createDataFrame([("of the", "of-the"), ("to the", "to-the"), ("in the", "in-the"), ("de la", "de-la"), ("von der", "von-der")], "form string, reading string")

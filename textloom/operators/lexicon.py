@@ -1,7 +1,7 @@
 """Lexicon operators: look-ups, readings, compounds, sentiment, classes, places.
 
-Lexicons are tables. They are joined by word; Spark broadcasts those that are small by their own statistics. What depends on the
-word form alone is worked out once for each different form and joined back.
+Lexicons are tables. What depends on the word form alone is worked out once for each different form and joined back as joins.by_form() does it: the frequent forms are broadcast, of which there is
+a fixed number at most, so that no key of a shuffle holds more than a small share of the tokens.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.values import reading_precision
-from textloom.operators import phrases
+from textloom.operators import joins, phrases
 
 #: The reference analyses no longer words.
 LONGEST_COMPOUND = 75
@@ -24,10 +24,13 @@ def look_up(tokens: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFr
 
     Adds lower_case (whether the row comes from the lower-cased form) and the lexicon's columns but ``form``; tokens without a row stay, with nulls.
     """
-    forms = tokens.select(F.col(word).alias("f_word")).distinct()
-    asked = forms.select("f_word", F.explode(F.array_distinct(F.array(F.struct(F.col("f_word").alias("form"), F.lit(False).alias("lower_case")), F.struct(F.lower("f_word").alias("form"), (F.lower("f_word") != F.col("f_word")).alias("lower_case"))))).alias("a"))
-    asked = asked.select("f_word", "a.form", "a.lower_case").join(lexicon, "form").drop("form")
-    return tokens.join(asked, F.col(word) == F.col("f_word"), "left").drop("f_word")
+    forms = joins.form_counts(tokens, form_asked=F.col(word))
+    more = [c for c in lexicon.columns if c != "form"]
+    asked = F.array_distinct(F.array(F.struct(F.col("form_asked").alias("form"), F.lit(False).alias("lower_case")), F.struct(F.lower("form_asked").alias("form"), (F.lower("form_asked") != F.col("form_asked")).alias("lower_case"))))
+    asked = forms.select("form_asked", "n", F.explode(asked).alias("a")).select("form_asked", "n", "a.form", "a.lower_case").join(lexicon, "form")
+    found = asked.groupBy("form_asked", "n").agg(F.collect_list(F.struct("lower_case", *more)).alias("form_found"))
+    own = joins.by_form(tokens.withColumn("form_asked", F.col(word)), found, ["form_asked"], ["form_found"])
+    return own.withColumn("form_found", F.explode_outer("form_found")).select(*tokens.columns, "form_found.lower_case", *[F.col(f"form_found.{c}") for c in more])
 
 
 def readings(tokens: DataFrame, lexicon: DataFrame, least_precision: float = 0.66, keep: str = "max", epsilon: float = 0.1, word: str = "word", msd: str = "msd") -> DataFrame:
@@ -51,24 +54,28 @@ def readings(tokens: DataFrame, lexicon: DataFrame, least_precision: float = 0.6
 
 def fallback(tokens: DataFrame, column: str, *lexicons: DataFrame, word: str = "word") -> DataFrame:
     """tokens whose empty set ``column`` is filled from the first lexicon (form, values) that has the word."""
-    out = tokens
+    out = joins.form_counts(tokens, form_asked=F.lower(word))
     for i, lexicon in enumerate(lexicons):
-        out = out.join(lexicon.select(F.col("form").alias(f"form{i}"), F.col("values").alias(f"values{i}")), F.lower(word) == F.col(f"form{i}"), "left")
-    filled = F.coalesce(*[F.when(F.size(f"values{i}") > 0, F.col(f"values{i}")) for i in range(len(lexicons))], F.col(column))
-    return out.withColumn(column, F.when(F.size(column) > 0, F.col(column)).otherwise(filled)).select(*tokens.columns)
+        out = out.join(lexicon.select(F.col("form").alias("form_asked"), F.col("values").alias(f"values{i}")), "form_asked", "left")
+    first = F.coalesce(*[F.when(F.size(f"values{i}") > 0, F.col(f"values{i}")) for i in range(len(lexicons))])
+    known = out.select("form_asked", "n", first.alias("form_found")).where("form_found is not null")
+    own = joins.by_form(tokens.withColumn("form_asked", F.lower(word)), known, ["form_asked"], ["form_found"])
+    return own.withColumn(column, F.when(F.size(column) > 0, F.col(column)).otherwise(F.coalesce("form_found", column))).select(*tokens.columns)
 
 
 def variants(tokens: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
     """tokens with variants, the sorted set of the lexicon's variants (form, variant) of the lower-cased word, itself not among them."""
-    own = lexicon.groupBy(F.col("form").alias("v_form")).agg(F.array_sort(F.collect_set("variant")).alias("variants"))
-    out = tokens.join(own, F.lower(word) == F.col("v_form"), "left").drop("v_form")
-    return out.withColumn("variants", F.filter(F.coalesce("variants", F.array().cast("array<string>")), lambda v: v != F.lower(word)))
+    own = joins.form_counts(tokens, form_asked=F.lower(word)).join(lexicon.select(F.col("form").alias("form_asked"), "variant"), "form_asked")
+    own = own.groupBy("form_asked", "n").agg(F.array_sort(F.collect_set("variant")).alias("variants"))
+    out = joins.by_form(tokens.withColumn("form_asked", F.lower(word)), own, ["form_asked"], ["variants"])
+    return out.select(*tokens.columns, F.filter(F.coalesce("variants", F.array().cast("array<string>")), lambda v: v != F.lower(word)).alias("variants"))
 
 
 def linked(tokens: DataFrame, lexicon: DataFrame, column: str, name: str) -> DataFrame:
     """tokens with ``name``, the sorted set of what a lexicon (form, value) gives for the members of a set column."""
-    hits = tokens.select("doc_id", "idx", F.explode(column).alias("form")).join(lexicon, "form").groupBy(F.col("doc_id").alias("l_doc"), F.col("idx").alias("l_idx")).agg(F.array_sort(F.collect_set("value")).alias(name))
-    out = tokens.join(hits, (F.col("doc_id") == F.col("l_doc")) & (F.col("idx") == F.col("l_idx")), "left")
+    sets = joins.form_counts(tokens, set_asked=F.col(column))
+    known = sets.select("set_asked", "n", F.explode("set_asked").alias("form")).join(lexicon, "form").groupBy("set_asked", "n").agg(F.array_sort(F.collect_set("value")).alias(name))
+    out = joins.by_form(tokens.withColumn("set_asked", F.col(column)), known, ["set_asked"], [name])
     return out.select(*tokens.columns, F.coalesce(name, F.array().cast("array<string>")).alias(name))
 
 
@@ -102,25 +109,41 @@ def token_classes(tokens: DataFrame, lexicon: DataFrame, senses: str = "senses",
     """
     members = F.transform(senses, lambda v, i: F.struct(F.when(v.contains(":"), F.substring_index(v, ":", -1).cast("double")).otherwise(-1.0).alias("score"), i.alias("place"), F.substring_index(v, ":", 1).alias("sense")))
     chosen = F.array_compact(F.array(F.array_max(members)["sense"])) if disambiguate else F.transform(members, lambda m: m["sense"])
-    asked = tokens.where(F.col("pos").isin(*allowed_pos)).select("doc_id", "idx", F.explode(chosen).alias("sense"))
-    hits = asked.join(lexicon, "sense").groupBy(F.col("doc_id").alias("l_doc"), F.col("idx").alias("l_idx")).agg(F.array_sort(F.collect_set("class")).alias("classes"))
-    out = tokens.join(hits, (F.col("doc_id") == F.col("l_doc")) & (F.col("idx") == F.col("l_idx")), "left")
+    sets = joins.form_counts(tokens.where(F.col("pos").isin(*allowed_pos)), set_asked=chosen)
+    known = sets.select("set_asked", "n", F.explode("set_asked").alias("sense")).join(lexicon, "sense").groupBy("set_asked", "n").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+    out = joins.by_form(tokens.withColumn("set_asked", F.when(F.col("pos").isin(*allowed_pos), chosen)), known, ["set_asked"], ["classes"])
     return out.select(*tokens.columns, F.coalesce("classes", F.array().cast("array<string>")).alias("classes"))
 
 
+def class_counts(tokens: DataFrame, keys: list[str], by_types: bool = False) -> DataFrame:
+    """(keys..., class, n): how many tokens of a text have a class, and under a null class how many it has; by_types: different words in place of tokens. One grouping for both."""
+    own = tokens.select(*keys, "word", F.explode(F.concat(F.array_distinct("classes") if by_types else F.col("classes"), F.array(F.lit(None).cast("string")))).alias("class"))
+    if by_types:
+        own = own.distinct()
+    return own.groupBy(*keys, "class").agg(F.count("*").alias("n"))
+
+
+def class_shares(counts: DataFrame) -> DataFrame:
+    """(class, freq): the share of all tokens that have a class, from class_counts()."""
+    total = counts.agg(F.sum(F.when(F.col("class").isNull(), F.col("n")))).scalar()
+    return counts.where("class is not null").groupBy("class").agg(F.sum("n").alias("n")).select("class", (F.col("n") / total).alias("freq"))
+
+
+def dominant_classes(counts: DataFrame, reference: DataFrame, keys: list[str], cutoff: int = 3) -> DataFrame:
+    """text_classes() of class_counts()."""
+    total = F.max(F.when(F.col("class").isNull(), F.col("n"))).over(Window.partitionBy(*keys))
+    own = counts.withColumn("total", total).where("class is not null")
+    shares = own.join(reference, "class").withColumn("dominance", F.col("n") / F.col("total") / F.col("freq")).where("dominance >= 1")
+    place = F.rank().over(Window.partitionBy(*keys).orderBy(F.desc("dominance")))
+    return shares.withColumn("place", place).where(F.col("place") <= cutoff).select(*keys, "class", "dominance", "place")
+
+
 def text_classes(tokens: DataFrame, reference: DataFrame, keys: list[str], cutoff: int = 3, by_types: bool = False, senses: str = "senses") -> DataFrame:
     """(keys..., class, dominance, place): a text's classes that are relatively more frequent than in the reference (class, freq), the ``cutoff`` first with ties.
 
     by_types: a word form's class counts once. Classes of which the reference knows nothing are left out.
     """
-    own = tokens.select(*keys, "word", F.explode("classes").alias("class"))
-    if by_types:
-        own = own.distinct()
-    counts = own.groupBy(*keys, "class").agg(F.count("*").alias("n"))
-    totals = tokens.groupBy(*keys).agg((F.count_distinct("word") if by_types else F.count("*")).alias("total"))
-    shares = counts.join(totals, keys).join(reference, "class").withColumn("dominance", F.col("n") / F.col("total") / F.col("freq")).where("dominance >= 1")
-    place = F.rank().over(Window.partitionBy(*keys).orderBy(F.desc("dominance")))
-    return shares.withColumn("place", place).where(F.col("place") <= cutoff).select(*keys, "class", "dominance", "place")
+    return dominant_classes(class_counts(tokens, keys, by_types), reference, keys, cutoff)
 
 
 def places(names: DataFrame, gazetteer: DataFrame, keys: list[str], name: str = "name") -> DataFrame:
@@ -221,6 +244,6 @@ def tag_by_lexicon(tokens: DataFrame, lexicon: DataFrame, word: str = "word", de
     A deterministic stand-in for taggers that are programs of their own: tokens of digits are RG.NOM, of punctuation MAD or MID, capitalised ones PM.NOM, others NN.
     """
     shape = F.when(F.col(word).rlike(r"^[.!?]+$"), "MAD").when(F.col(word).rlike(r"^[^\p{L}\p{N}]+$"), "MID").when(F.col(word).rlike(r"^\p{N}+$"), "RG.NOM").when(F.col(word).rlike(r"^\p{Lu}"), "PM.NOM").otherwise("NN")
-    best = look_up(tokens.select(word).distinct(), lexicon, word).groupBy(F.col(word).alias("t_word")).agg(F.max_by("msd", F.struct((~F.col("lower_case")).alias("exact"), "msd")).alias("t_msd"))
-    out = tokens.join(best, F.col(word) == F.col("t_word"), "left")
+    best = look_up(joins.form_counts(tokens, t_word=F.col(word)), lexicon, "t_word").groupBy("t_word", "n").agg(F.max_by("msd", F.struct((~F.col("lower_case")).alias("exact"), "msd")).alias("t_msd"))
+    out = joins.by_form(tokens.withColumn("t_word", F.col(word)), best, ["t_word"], ["t_msd"])
     return out.select(*tokens.columns, F.coalesce("t_msd", default if default is not None else shape).alias("msd"))
