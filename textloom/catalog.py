@@ -158,19 +158,30 @@ def sentence_line_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.parents_in_order(sentences_of(spark, sf_dir), segmentation.segment(docs(spark, sf_dir), "line_breaks"))
 
 
-@query(f"WITH {LINES} SELECT * FROM lines")
+@query(fr"""WITH {LINES}, wp AS (SELECT doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\S+|\s+') AS ps FROM documents)),
+    wo AS (SELECT doc_id, i, piece, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS e FROM wp), ww AS (SELECT doc_id, e - length(piece) AS start, e AS "end" FROM wo WHERE NOT regexp_matches(piece, '^\s+$')),
+    u AS (SELECT doc_id, start, "end" FROM lines WHERE idx % 2 = 0 UNION ALL SELECT w.doc_id, w.start, w."end" FROM ww w JOIN lines l ON w.doc_id = l.doc_id AND l.start <= w.start AND w."end" <= l."end" AND l.idx % 2 = 1)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS idx, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end" FROM u""")
 def segments_between_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words between spans that are kept; there is nothing between lines."""
+    """Every second line is kept; what lies between is cut into words."""
     own = docs(spark, sf_dir)
-    return segmentation.segment(own, "whitespace", existing=segmentation.segment(own, "line_breaks"))
+    return segmentation.segment(own, "whitespace", existing=segmentation.segment(own, "line_breaks").where("idx % 2 = 0"))
 
 
-@query(f"""WITH {LINES}, {INNER} SELECT doc_id, 'line' AS annotation, idx, start, "end", 0 AS part, false AS overlaps FROM lines UNION ALL SELECT doc_id, 'sentence', idx, start, "end", 0, false FROM inner_sent""")
+@query(f"""WITH {LINES}, {INNER}, n AS (SELECT *, lead(start) OVER w AS s1, lead("end") OVER w AS e1, lag(start) OVER w AS s0, lag("end") OVER w AS e0 FROM inner_sent WINDOW w AS (PARTITION BY doc_id ORDER BY idx)),
+    m AS (SELECT doc_id, idx, start + ("end" - start) // 2 AS start, s1 + (e1 - s1) // 2 AS "end", CASE WHEN ("end" - start) // 2 > 0 AND "end" < s1 + (e1 - s1) // 2 THEN "end" END AS cut FROM n WHERE idx % 2 = 0 AND s1 IS NOT NULL),
+    s AS (SELECT doc_id, idx, start, "end", CASE WHEN idx % 2 = 1 AND ("end" - start) // 2 > 0 THEN start + ("end" - start) // 2 END AS cut FROM n),
+    u AS (SELECT 'middle' AS annotation, * FROM m UNION ALL SELECT 'sentence', * FROM s)
+    SELECT doc_id, annotation, idx, CAST(start AS INTEGER) AS start, CAST(coalesce(cut, "end") AS INTEGER) AS "end", 0 AS part, cut IS NOT NULL AS overlaps FROM u
+    UNION ALL SELECT doc_id, annotation, idx, CAST(cut AS INTEGER), CAST("end" AS INTEGER), 1, true FROM u WHERE cut IS NOT NULL""")
 def split_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested spans stay whole."""
+    """Sentences, and spans from the middle of one to the middle of the next, which cross them."""
     own = docs(spark, sf_dir)
-    lines = segmentation.segment(own, "line_breaks")
-    return spans.split_overlaps(spans.merged({"line": lines, "sentence": segmentation.segment(own, "stops", chunks=lines)}))
+    sent = segmentation.segment(own, "stops", chunks=segmentation.segment(own, "line_breaks"))
+    after = F.lead(F.struct("start", "end")).over(Window.partitionBy("doc_id").orderBy("idx"))
+    half = lambda a, b: (a + F.floor((b - a) / 2)).cast("int")
+    middle = sent.withColumn("next", after).where("idx % 2 = 0 and next is not null").select("doc_id", "idx", half(F.col("start"), F.col("end")).alias("start"), half(F.col("next.start"), F.col("next.end")).alias("end"))
+    return spans.split_overlaps(spans.merged({"sentence": sent, "middle": middle}))
 
 
 @query(f"""WITH {LINES}, {INNER}, i AS (SELECT s.doc_id, s.idx, l.idx AS line, CAST(row_number() OVER (PARTITION BY s.doc_id, l.idx ORDER BY s.idx) - 1 AS INTEGER) AS bead FROM inner_sent s JOIN lines l ON s.doc_id = l.doc_id AND l.start <= s.start AND s."end" <= l."end")
@@ -328,12 +339,15 @@ def universal_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged(spark, sf_dir).groupBy(tags.upos(F.col("pos")).alias("upos")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Case=Nom,Definite=Ind,Gender=Com,Number=Sing' WHEN 1 THEN 'Mood=Ind,Tense=Pres,VerbForm=Fin,Voice=Act' WHEN 2 THEN 'Gender=Neut,Tense=Past,VerbForm=Part' ELSE '' END AS features FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Mood=Ind,Tense=' || CASE WHEN p_partkey % 2 = 0 THEN 'Pres' ELSE 'Past' END || ',VerbForm=Fin,Voice=Act' ELSE 'Case=' || CASE WHEN p_retailprice > 950 THEN 'Gen' ELSE 'Nom' END
+    || ',Definite=' || CASE WHEN p_size % 2 = 0 THEN 'Def' ELSE 'Ind' END || ',Gender=' || CASE WHEN p_partkey % 2 = 0 THEN 'Com' ELSE 'Neut' END || ',Number=' || CASE WHEN p_partkey % 5 < 2 THEN 'Plur' ELSE 'Sing' END END AS features FROM part""")
 def universal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    msd = F.when(k == 0, "NN.UTR.SIN.IND.NOM").when(k == 1, "VB.PRS.AKT").when(k == 2, "PC.PRF.NEU.-").otherwise("MAD.X")
-    found = tags.features(tags.pos_of(msd), msd)
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(found, ",").alias("features"))
+    """Features of tags that are put together from columns."""
+    pick = lambda condition, yes, no: F.when(condition, yes).otherwise(no)
+    even = F.col("p_partkey") % 2 == 0
+    noun = F.concat_ws(".", F.lit("NN"), pick(even, "UTR", "NEU"), pick(F.col("p_partkey") % 5 < 2, "PLU", "SIN"), pick(F.col("p_size") % 2 == 0, "DEF", "IND"), pick(F.col("p_retailprice") > 950, "GEN", "NOM"))
+    msd = F.when(F.col("p_size") % 3 == 0, F.concat_ws(".", F.lit("VB"), pick(even, "PRS", "PRT"), F.lit("AKT"))).otherwise(noun)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tags.features(tags.pos_of(msd), msd), ",").alias("features"))
 
 
 @query("""SELECT o_orderkey, '<' || o_orderstatus || '>' AS affixed, repeat('*', length(o_orderpriority)) AS anonymised, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE o_orderstatus END AS replaced,
@@ -744,11 +758,14 @@ def modern_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.linked(own, pivot, "lemmas", "modern").select("doc_id", "idx", F.array_join("modern", "|").alias("modern"))
 
 
-@query("SELECT p_partkey, ([ 'NN', 'PM|PMA', 'JJ', '' ])[p_partkey % 4 + 1] AS pos FROM part")
+@query("""WITH k AS (SELECT p_partkey, (['nn', 'pm', 'av', 'sxc'])[p_size % 4 + 1] AS a, (['av', 'e', 'vb'])[p_partkey % 3 + 1] AS b FROM part), m(pos, tag) AS (VALUES ('nn', 'NN'), ('pm', 'PM'), ('av', 'JJ'), ('av', 'AB'))
+    SELECT p_partkey, coalesce(string_agg(DISTINCT tag, '|' ORDER BY tag), '') AS pos FROM k LEFT JOIN m ON m.pos IN (a, b) GROUP BY 1""")
 def homograph_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lemgrams = F.element_at(F.array(F.array(F.lit("bok..nn.1"), F.lit("bok..e.1")), F.array(F.lit("Lund..pm.1"), F.lit("Lund..pma.1")), F.array(F.lit("grön..av.1"), F.lit("grön..av.2")), F.array(F.lit("x..sxc.1"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    mapping = spark.createDataFrame([("nn", ["NN"]), ("pm", ["PM"]), ("pma", ["PMA"]), ("av", ["JJ"])], "pos string, tags array<string>")
-    own = table(spark, sf_dir, "part").select("p_partkey", lemgrams.alias("lemgrams"))
+    """Tags of the parts of speech in two lemgrams of each part."""
+    pick = lambda c, *values_: F.element_at(F.array(*[F.lit(v) for v in values_]), (F.col(c) % len(values_) + 1).cast("int"))
+    lemgram = lambda c, kind: F.concat(F.col(c), F.lit(".."), kind, F.lit(".1"))
+    own = table(spark, sf_dir, "part").select("p_partkey", F.array(lemgram("p_name", pick("p_size", "nn", "pm", "av", "sxc")), lemgram("p_brand", pick("p_partkey", "av", "e", "vb"))).alias("lemgrams"))
+    mapping = spark.createDataFrame([("nn", ["NN"]), ("pm", ["PM"]), ("av", ["JJ", "AB"])], "pos string, tags array<string>")
     return lexicon.homograph_sets(own, mapping, "p_partkey").select("p_partkey", F.array_join("pos", "|").alias("pos"))
 
 
@@ -780,32 +797,34 @@ def compound_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.compound_model(own)
 
 
-ENTRIES = [("bok", "bok", "bok..nn.1", "bok..1", "nn", ["u"], "sg indef nom", "sg indef nom", "nn_3u_bok"), ("böcker", "bok", "bok..nn.1", "bok..1", "nn", ["u"], "pl indef nom", "pl indef nom", "nn_3u_bok"), ("bok", "bok", "bok..nn.1", "bok..1", "nn", ["u"], "ci", "ci", "nn_3u_bok"),
-    ("i dag", "i dag", "i_dag..abm.1", "i_dag..1", "abm", [], "invar", "invar", "abm_i_i_dag")]
-ENTRY_ROWS = "e(form, baseform, reading, sense, pos, tag) AS (VALUES ('bok', 'bok', 'bok..nn.1', 'bok..1', 'nn', 'sg indef nom'), ('böcker', 'bok', 'bok..nn.1', 'bok..1', 'nn', 'pl indef nom'), ('bok', 'bok', 'bok..nn.1', 'bok..1', 'nn', 'ci'), ('i dag', 'i dag', 'i_dag..abm.1', 'i_dag..1', 'abm', 'invar'))"
+ENTRY_ROWS = """pb AS (SELECT *, lower(p_brand) AS brand, p_name || '..nn.' || p_size AS lemma FROM part),
+    e AS (SELECT DISTINCT form, p_name AS baseform, lemma AS reading, p_name || '..' || p_size AS sense, tag FROM (SELECT brand AS form, * EXCLUDE (brand), 'sg indef nom' AS tag FROM pb UNION ALL SELECT brand || 's', * EXCLUDE (brand), 'pl indef nom' FROM pb
+        UNION ALL SELECT brand, * EXCLUDE (brand), 'ci' FROM pb WHERE p_size % 2 = 0 UNION ALL SELECT p_name, * EXCLUDE (brand), 'invar' FROM pb))"""
 
 
-def _entries(spark: SparkSession) -> DataFrame:
-    """A small lexicon in the mark-up that lexicons come in, read as such."""
-    forms = lambda own: "".join(f'<WordForm><feat att="writtenForm" val="{e[0]}"/><feat att="msd" val="{e[6]}"/></WordForm>' for e in own)
-    entry = lambda own: f'<LexicalEntry><Lemma><FormRepresentation><feat att="writtenForm" val="{own[0][1]}"/><feat att="lemgram" val="{own[0][2]}"/><feat att="partOfSpeech" val="{own[0][4]}"/><feat att="inherent" val="{" ".join(own[0][5])}"/><feat att="paradigm" val="{own[0][8]}"/></FormRepresentation></Lemma>{forms(own)}<Sense id="{own[0][3]}"/></LexicalEntry>'
-    return models.lexicon_entries(spark.createDataFrame([(f"<LexicalResource><Lexicon>{entry(ENTRIES[:3])}{entry(ENTRIES[3:])}</Lexicon></LexicalResource>".encode(),)], "content binary"))
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon of the parts: a word in two forms, for half of them one that stands in compounds, and a phrase."""
+    form = lambda form, tag: F.struct(form.alias("form"), F.lit(tag).alias("tag"))
+    brand = F.lower("p_brand")
+    forms = F.array(form(brand, "sg indef nom"), form(F.concat(brand, F.lit("s")), "pl indef nom"), form(F.when(F.col("p_size") % 2 == 0, brand), "ci"), form(F.col("p_name"), "invar"))
+    own = table(spark, sf_dir, "part").select(F.explode(forms).alias("f"), F.col("p_name").alias("baseform"), F.concat("p_name", F.lit("..nn."), "p_size").alias("lemma"), F.concat("p_name", F.lit(".."), "p_size").alias("sense"))
+    return own.select("f.form", "baseform", "lemma", "sense", F.lit("nn").alias("pos"), F.array(F.lit("u")).alias("inherent"), "f.tag", F.col("f.tag").alias("params"), F.lit("nn_3u").alias("paradigm")).where("form is not null")
 
 
-@query(f"WITH {ENTRY_ROWS} SELECT form, reading, baseform, sense, 'NN.' || upper(left(tag, 2)) AS tags FROM e WHERE tag <> 'ci' AND form <> 'i dag'")
+@query(f"WITH {ENTRY_ROWS} SELECT form, reading, baseform, sense, string_agg(DISTINCT 'NN.' || upper(left(tag, 2)), '|' ORDER BY 'NN.' || upper(left(tag, 2))) AS tags FROM e WHERE tag <> 'ci' AND form NOT LIKE '% %' GROUP BY ALL")
 def word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tag_map = spark.createDataFrame([("nn", "sg indef nom", "NN.SG"), ("nn", "pl indef nom", "NN.PL")], "pos string, tag string, msd string")
-    return models.word_lexicon(_entries(spark), tag_map).withColumn("tags", F.array_join("tags", "|"))
+    tag_map = spark.createDataFrame([("nn", "sg indef nom", "NN.SG"), ("nn", "pl indef nom", "NN.PL"), ("nn", "invar", "NN.IN")], "pos string, tag string, msd string")
+    return models.word_lexicon(_entries(spark, sf_dir), tag_map).withColumn("tags", F.array_join("tags", "|"))
 
 
 @query(f"WITH {ENTRY_ROWS} SELECT DISTINCT form, reading FROM e WHERE form LIKE '% %'")
 def phrase_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.phrase_lexicon(_entries(spark))
+    return models.phrase_lexicon(_entries(spark, sf_dir))
 
 
 @query(f"WITH {ENTRY_ROWS} SELECT form AS part, reading, string_agg(DISTINCT tag, '|' ORDER BY tag) AS params FROM e GROUP BY 1, 2")
 def compound_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.compound_lexicon(_entries(spark)).withColumn("params", F.array_join("params", "|"))
+    return models.compound_lexicon(_entries(spark, sf_dir)).withColumn("params", F.array_join("params", "|"))
 
 
 @query("SELECT 'undated' AS corpus, '00000000000000' AS date_from, '00000000000000' AS date_to, count(*) AS tokens FROM events")
@@ -843,12 +862,13 @@ TAG_SAMPLES = {
 }
 
 
-@query("SELECT language, tag_set, count(*) AS n, upos FROM customer, (VALUES " + ", ".join(f"('{k[0]}', '{k[1]}', '{u}')" for k, (_, u) in TAG_SAMPLES.items()) + ") v(language, tag_set, upos) GROUP BY ALL")
+@query("SELECT c_custkey, language, tag_set, upos FROM customer JOIN (VALUES " + ", ".join(f"({i}, '{k[0]}', '{k[1]}', '{u}')" for i, (k, (_, u)) in enumerate(TAG_SAMPLES.items())) + f") v(i, language, tag_set, upos) ON c_custkey % {len(TAG_SAMPLES)} = i")
 def universal_tags_of_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tag of each set, on every row."""
-    own = table(spark, sf_dir, "customer").select(*[F.lit(tag).alias("tag") for tag, _ in list(TAG_SAMPLES.values())[:1]])
-    kinds = [F.struct(F.lit(k[0]).alias("language"), F.lit(k[1]).alias("tag_set"), tags.upos(F.lit(tag), *k).alias("upos")) for k, (tag, _) in TAG_SAMPLES.items()]
-    return own.select(F.explode(F.array(*kinds)).alias("k")).groupBy("k.language", "k.tag_set", "k.upos").agg(F.count("*").alias("n"))
+    """Each row has a tag of one of the sets."""
+    own = table(spark, sf_dir, "customer").withColumn("i", F.col("c_custkey") % len(TAG_SAMPLES))
+    of = lambda make: F.coalesce(*[F.when(F.col("i") == i, make(k, tag)) for i, (k, (tag, _)) in enumerate(TAG_SAMPLES.items())])
+    own = own.withColumns({"language": of(lambda k, _: F.lit(k[0])), "tag_set": of(lambda k, _: F.lit(k[1])), "tag": of(lambda _, tag: F.lit(tag))})
+    return own.select("c_custkey", "language", "tag_set", of(lambda k, _: tags.upos(F.col("tag"), *k)).alias("upos"))
 
 
 @query("""SELECT DISTINCT * FROM (SELECT lower(n_name) AS known_as, n_name AS name, r_name AS country, n_nationkey AS population FROM nation JOIN region ON n_regionkey = r_regionkey
