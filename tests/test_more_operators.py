@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import values
-from textloom.operators import alignment, models, numbering, relations, routing, spans
+from textloom.operators import alignment, models, numbering, relations, routing, segmentation, spans
 from textloom.sinks import exporters
 
 
@@ -168,3 +168,12 @@ def test_alignment_of_versions(spark):
 def test_value_if_another_is_empty(spark):
     rows = spark.createDataFrame([("c", "|"), ("c", ""), ("c", None), ("c", "|x|")], "c string, s string")
     assert [r[0] for r in rows.select(values.if_empty(F.col("c"), F.col("s"))).collect()] == ["c", "c", "c", ""]
+
+
+def test_careful_words_with_a_token_list():
+    cut = lambda text, **options: [text[a:b] for a, b in segmentation.careful_words(**options)(text)]
+    assert cut("(tv- ...och 1:a!?) Wow...") == ["(", "tv", "-", ".", ".", ".", "och", "1", ":", "a", "!", "?", ")", "Wow", ".", ".", "."]
+    assert cut("(tv- ...och 1:a!?) Wow...", tokens=("tv-", "1:a"), multi=(r"\.\.\.", r"[!?]+")) == ["(", "tv-", "...", "och", "1:a", "!?", ")", "Wow", "..."]
+    assert cut("TV-, Dr. x", tokens=("tv-",), abbreviations=("dr.",)) == ["TV-", ",", "Dr.", "x"]
+    assert cut("TV- tv-", tokens=("tv-",), case_sensitive=True) == ["TV", "-", "tv-"]
+    assert cut("", multi=("--",)) == [] and cut("--", multi=("--",)) == ["--"] and cut("a--b", multi=("--",)) == ["a", "--", "b"]

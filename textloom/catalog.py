@@ -1242,3 +1242,18 @@ def combined_scrambled_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = _lines_and_tokens(spark, sf_dir)
     tables["line"] = tables["line"].withColumn("place", -F.col("idx"))
     return exporters.combined(trees.tree(docs(spark, sf_dir), tables, {"line": ["idx"], "token": ["idx"]}, scramble="line"), "all")
+
+
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\S+')) AS form FROM documents) SELECT form FROM w WHERE len(regexp_extract_all(form, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+')) > 1""")
+def token_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words between white space that a tokenizer cuts, so that it can be told to keep them."""
+    words = docs(spark, sf_dir).select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0)))).alias("form")).distinct()
+    pieces = segmentation.segment(words.select(F.col("form").alias("doc_id"), F.col("form").alias("text")), "words_and_punctuation")
+    return models.split_token_list(words, pieces)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN '' ELSE o_orderpriority END AS compound FROM orders")
+def values_by_other_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compound analysis only where there is no sense."""
+    sense = F.when(F.col("o_orderstatus") == "O", "|x|").when(F.col("o_orderstatus") == "F", "|").otherwise("")
+    return table(spark, sf_dir, "orders").select("o_orderkey", values.if_empty(F.col("o_orderpriority"), sense).alias("compound"))

@@ -58,29 +58,41 @@ def _after_stops(text: str) -> Pieces:
 
 
 def careful_words(
-    abbreviations: tuple[str, ...] = (), misc: tuple[str, ...] = (r"\S+@\S+\.\S+", r"https?://\S+"), number: str = r"\d+(?:[.,:]\d+)*%?", start: str = "\"'([{<«“”‘’", within: str = "-'’_", end: str = ".,;:!?\"')]}>»“”‘’…"
-) -> Callable[[str], Pieces]:
+    abbreviations: tuple[str, ...] = (), misc: tuple[str, ...] = (r"\S+@\S+\.\S+", r"https?://\S+"), number: str = r"\d+(?:[.,:]\d+)*%?", start: str = "\"'([{<«“‘’", within: str = "-'’_", end: str = ".,;:!?\"')]}>»“”‘’…",
+    tokens: tuple[str, ...] = (), multi: tuple[str, ...] = (), case_sensitive: bool = False,
+) -> Callable[[str], Pieces]:
     """Words with what stands at their start and end split off.
 
-    misc: patterns kept whole. number: kept whole. start, end: characters split off at a word's start and end. within: characters that join parts
-    of a word. A final full stop stays with a word that is an abbreviation.
+    misc: patterns kept whole. multi: patterns of punctuation that are one token wherever they stand. number: kept whole. start, end: characters split off at a word's start and end. within: characters that join parts
+    of a word. A final full stop stays with a word that is an abbreviation. tokens: words that are kept whole though the rules would cut them, such as models.split_token_list() gives.
     """
-    known = {a.lower() for a in abbreviations}
-    special = [*misc, number]
+    fold = (lambda w: w) if case_sensitive else str.lower
+    known, kept = {fold(a) for a in abbreviations}, {fold(t) for t in tokens}
+    special = [*misc, *multi, number]
     whole = re.compile("|".join(f"(?:{p})" for p in special) + rf"|\w+(?:[{re.escape(within)}]\w+)*|[^\w\s]")
+    together = "|".join(f"(?:{p})" for p in multi)
+    at_start, at_end = (re.compile(together), re.compile(f"(?:{together})$")) if multi else (None, None)
     compact = re.compile(r"\S+")
 
     def pieces(text: str) -> Pieces:
         for m in compact.finditer(text):
             a, b = m.span()
-            while a < b and text[a] in start:
-                yield a, a + 1
-                a += 1
+            while a < b and fold(text[a:b]) not in kept:
+                first = at_start.match(text, a, b) if at_start else None
+                step = first.end() if first and first.end() > a else a + 1 if text[a] in start else a
+                if step == a:
+                    break
+                yield a, step
+                a = step
             tail = []
-            while b > a and text[b - 1] in end and not text[a:b].lower() in known:
-                tail.append((b - 1, b))
-                b -= 1
-            if text[a:b].lower() in known:
+            while b > a and fold(text[a:b]) not in known and fold(text[a:b]) not in kept:
+                last = at_end.search(text[:b], a) if at_end else None
+                step = last.start() if last and last.end() > last.start() else b - 1 if text[b - 1] in end else b
+                if step == b:
+                    break
+                tail.append((step, b))
+                b = step
+            if a < b and (fold(text[a:b]) in known or fold(text[a:b]) in kept):
                 yield a, b
             else:
                 yield from (x.span() for x in whole.finditer(text, a, b))
