@@ -7,10 +7,9 @@ one, <code, q> / a estimates <v / |v|, q> without bias, off by more than
 EPSILON * |q| * sqrt((1 - a^2) / a^2 / (bits - 1)) only rarely. A query's rotated components are
 rounded to four bits, so that <code, q> is a weighted sum of popcounts of packed words.
 
-Vectors and queries are packed into blocks, and each pair of a query block and a vector block is one row of work:
-there the best estimates are computed exactly, and then every vector whose
-error bound still reaches the k-th best of those. The blocks' best are merged by a ranking window,
-of which Spark keeps only k rows a query and task before the shuffle.
+Vectors are packed into blocks that stay where they are. The queries are a stated set: they are taken in passes of some QUERIES_A_PASS, broadcast, against all blocks. A task keeps each query's k best of the blocks it has
+seen; of the next block it computes exactly every vector whose error bound still reaches the k-th best of those. The tasks' best are merged by a ranking window,
+of which Spark keeps only k rows a query and task before the shuffle. The work grows with queries times rows.
 
 All vectors are indexed; nothing is fitted. Left out are vectors that are null, empty or zero, hold a null or
 non-finite component, or differ in length from most, and rows with a null id. Of query rows with equal ids the smallest vector
@@ -31,7 +30,9 @@ from textloom.llm.common import written
 BITS = 256
 EPSILON = 2.5
 QUERY_BITS = 4
-VECTORS_A_BLOCK, QUERIES_A_BLOCK = 4096, 512
+VECTORS_A_BLOCK, QUERIES_A_PASS = 4096, 4096
+#: Queries whose estimates are worked out together.
+TOGETHER = 32
 BLOCK_SCHEMA = "n int, ids binary, vectors binary, codes binary, norms binary, fit binary"
 
 
@@ -56,20 +57,6 @@ def one_bit_codes(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np
     return codes, norms, np.abs(turned).sum(1) / np.sqrt(turn.shape[0])
 
 
-def estimates(codes: np.ndarray, fit: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, float]:
-    """Of each coded unit vector the estimated inner product with one rotated query, and the rounding's deviation."""
-    bits = len(query)
-    low, step = query.min(), max((query.max() - query.min()) / (2**QUERY_BITS - 1), np.finfo(np.float64).tiny)
-    level = np.rint((query - low) / step).astype(np.uint8)
-    ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
-    weighted = np.zeros(len(codes), np.int64)
-    for j in range(QUERY_BITS):
-        plane = np.packbits(level >> j & 1, bitorder="little").view(np.uint64)
-        weighted += np.bitwise_count(codes & plane).sum(1, dtype=np.int64) << j
-    among_ones = low * ones + step * weighted
-    return (2 * among_ones - (low * bits + step * level.sum())) / np.sqrt(bits) / fit, step / np.sqrt(12)
-
-
 def _usable(batch: pa.RecordBatch, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, vectors as rows) of the rows that take part."""
     column = batch.column("vector")
@@ -109,55 +96,95 @@ def blocks(vectors: DataFrame, dimension: int, size: int, bits: int = BITS) -> D
     return vectors.mapInArrow(run, BLOCK_SCHEMA)
 
 
-def _nearest(row: dict, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, vector ids, scores): the k best of one vector block for each query of one query block."""
-    dimension, words = turn.shape[1], turn.shape[0] // 64
-    ids, norms, fit = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("norms", np.float64), ("fit", np.float64)))
-    vectors, codes = np.frombuffer(row["vectors"]).reshape(-1, dimension), np.frombuffer(row["codes"], np.uint64).reshape(-1, words)
-    query_ids, queries = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["query_vectors"]).reshape(-1, dimension)
-    spread = EPSILON * np.sqrt(np.maximum(0, 1 - fit**2) / (turn.shape[0] - 1)) / fit
-    out: list = [[], [], []]
-    np.seterr(over="ignore", invalid="ignore")
-    for query_id, query in zip(query_ids, queries, strict=True):
-        own = ids != query_id
-        guess, rounding = estimates(codes, fit, turn @ query)
-        guess, bound = guess * norms, (spread * lengths(query[None])[0] + EPSILON * rounding / fit) * norms
-        guess[~own] = -np.inf
-        m = min(k, int(own.sum()))
-        if not m:
-            continue
-        first = np.argpartition(-guess, m - 1)[:m]
-        enough = (vectors[first] * query).sum(1).min()
-        maybe = np.flatnonzero(own & ~(guess + bound < enough))  # also where the bound is no number
-        maybe = np.union1d(maybe, first)
-        exact = (vectors[maybe] * query).sum(1)
-        best = np.lexsort((ids[maybe], -exact))[:k]
-        for x, y in zip(out, (np.full(len(best), query_id), ids[maybe][best], exact[best]), strict=True):
-            x.append(y)
-    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True))
+class Block:
+    """A row of the index."""
+
+    def __init__(self, row: dict, dimension: int):
+        self.ids, self.norms, self.fit = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("norms", np.float64), ("fit", np.float64)))
+        self.vectors, self.codes = np.frombuffer(row["vectors"]).reshape(-1, dimension), np.frombuffer(row["codes"], np.uint64).reshape(len(self.ids), -1)
+
+
+class Nearest:
+    """The k best of all blocks seen so far for each of some queries."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int):
+        self.ids, self.queries, self.k, self.bits = ids, queries, k, turn.shape[0]
+        self.lengths = lengths(queries)
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+        turned = queries @ turn.T
+        # Of each query the smallest component, the step between its sixteen levels, and the bits of the levels as packed words.
+        self.low = turned.min(axis=1)
+        self.step = np.maximum((turned.max(axis=1) - self.low) / (2**QUERY_BITS - 1), np.finfo(np.float64).tiny)
+        levels = np.rint((turned - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.level_sum = levels.sum(axis=1, dtype=np.int64)
+        self.planes = [np.packbits(levels >> j & 1, axis=1, bitorder="little").view(np.uint64) for j in range(QUERY_BITS)]
+
+    def estimates(self, block: Block, some: slice) -> tuple[np.ndarray, np.ndarray]:
+        """(estimated inner products, how far they may be off), a row a vector and a column a query."""
+        ones = np.bitwise_count(block.codes).sum(1, dtype=np.int64)
+        weighted = np.zeros((len(block.ids), len(self.low[some])), np.int32)
+        for j, plane in enumerate(self.planes):
+            for word in range(block.codes.shape[1]):
+                weighted += np.bitwise_count(block.codes[:, word, None] & plane[some, word]).astype(np.int32) << j
+        low, step = self.low[some], self.step[some]
+        among_ones = low * ones[:, None] + step * weighted
+        scale = block.norms / block.fit
+        guess = (2 * among_ones - (low * self.bits + step * self.level_sum[some])) * (scale / np.sqrt(self.bits))[:, None]
+        spread = EPSILON * np.sqrt(np.maximum(0, 1 - block.fit**2) / (self.bits - 1)) * scale
+        return guess, spread[:, None] * self.lengths[some] + (EPSILON / np.sqrt(12)) * scale[:, None] * step
+
+    def see(self, block: Block) -> None:
+        np.seterr(over="ignore", invalid="ignore")
+        for start in range(0, len(self.ids), TOGETHER):
+            guess, bound = self.estimates(block, slice(start, start + TOGETHER))
+            for j in range(guess.shape[1]):
+                q = start + j
+                own, (scores, ids) = block.ids != self.ids[q], self.best[q]
+                enough, first = scores[-1] if len(scores) == self.k else -np.inf, None
+                if len(scores) < self.k:  # the best by estimate tell how good one has to be
+                    first = np.argsort(-np.where(own, guess[:, j], -np.inf), kind="stable")[: min(self.k, int(own.sum()))]
+                    exact = (block.vectors[first] * self.queries[q]).sum(1)
+                    enough = exact.min() if len(first) == self.k else -np.inf
+                rows = np.flatnonzero(own & ~(guess[:, j] + bound[:, j] < enough))  # also where the bound is no number
+                if first is not None:
+                    rows = np.union1d(rows, first)
+                exact = np.concatenate([scores, (block.vectors[rows] * self.queries[q]).sum(1)])
+                ids = np.concatenate([ids, block.ids[rows]])
+                order = np.lexsort((ids, -exact))[: self.k]
+                self.best[q] = exact[order], ids[order]
 
 
 def search(index: DataFrame, queries: DataFrame, dimension: int, k: int = 20, bits: int = BITS) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k nearest, from two tables made by blocks()."""
+    """(query_id, rank, vec_id, score): each query's k nearest among the rows of an index made by blocks(). queries: id, vector, different ids."""
     turn = rotation(dimension, max(bits, -(-dimension // 64) * 64))
-    asked = written(queries.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.monotonically_increasing_id().alias("row")), "ann-queries")
-    # Query blocks are numbered without gaps, so that each vector block is paired with every number.
-    numbers = asked.select("row", (F.row_number().over(Window.orderBy("row")) - 1).alias("cell"))  # a row a block
-    n_cells, n_blocks = asked.count(), index.count()
-    asked = asked.join(numbers, "row").drop("row")
-    pairs = index.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(max(n_cells, 1) - 1)))).join(asked, "cell")
-    # A few pairs a task: rows are large, and Arrow batches count rows.
-    pairs = pairs.drop("cell", "n").repartition(max(1, n_cells * n_blocks // 4))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = _nearest(batch.slice(i, 1).to_pylist()[0], turn, k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = written(queries.select("id", "vector"), "ann-queries")
+    n_passes = -(-asked.count() // QUERIES_A_PASS)
+    spark, parts = index.sparkSession, []
+    for number in range(n_passes):
+        mine = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_passes)) == number).toArrow()  # some QUERIES_A_PASS
+        ids, vectors = _usable(mine.combine_chunks().to_batches()[0], dimension) if mine.num_rows else (np.zeros(0, np.int64), np.zeros((0, dimension)))
+        shared = spark.sparkContext.broadcast((ids, vectors))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            found = Nearest(*shared.value, turn, k)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    found.see(Block(batch.slice(i, 1).to_pylist()[0], dimension))
+            for start in range(0, len(found.ids), 1024):
+                rows = found.best[start : start + 1024]
+                own = np.repeat(found.ids[start : start + 1024], [len(s) for s, _ in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.concatenate([i for _, i in rows])), pa.array(np.concatenate([s for s, _ in rows]))], ["query_id", "vec_id", "score"])
+
+        found = index.mapInArrow(run, "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        found = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        parts.append(written(found, "ann-found") if n_passes > 1 else found)
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, bits: int = BITS, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -166,5 +193,5 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, bits: int = BITS, id_colu
     most = own.where("size(vector) > 0").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dimension = most["d"] if most else 1
     index = written(blocks(own.select("id", "vector"), dimension, VECTORS_A_BLOCK, bits), "ann-index")
-    asking = own.where("asks").groupBy("id").agg(F.min("vector").alias("vector"))
-    return search(index, blocks(asking, dimension, QUERIES_A_BLOCK, bits), dimension, k, bits)
+    asking = own.where("asks and id is not null").groupBy("id").agg(F.min("vector").alias("vector"))
+    return search(index, asking, dimension, k, bits)
