@@ -559,12 +559,6 @@ def multiword_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.with_multiwords(own.select("doc_id", "idx", "lemmas"), found, "lemmas").select("doc_id", "idx", F.array_join("lemmas", "|").alias("lemmas"))
 
 
-@query()
-def gapped_multiword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = spark.createDataFrame([(["of", "the"], "of_the..ppm.1"), (["the", "*", "of"], "the_of..nnm.1"), (["is", "the"], "is_the..vbm.1")], "words array<string>, reading string")
-    return lexicon.gapped_multiwords(tagged(spark, sf_dir), phrases.withColumns({"gaps": F.lit(True), "particle": F.lit(False)}))
-
-
 @query()
 def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = tokens_of(spark, sf_dir).select("word")
@@ -904,7 +898,8 @@ def tag_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Multiwords and whole lexicon annotation: phrases are the frequent pairs of words in sentences, with rules by the lengths of their words.
 PHRASES = """
     ph AS MATERIALIZED (SELECT a, b, length(a) % 2 = 0 AS gaps, length(b) % 2 = 0 AND (length(a) + length(b)) % 3 = 0 AS particle, a || '_' || b || (['..vbm.1', '..nnm.1', '..abm.1'])[(length(a) + length(b)) % 3 + 1] AS lemgram
-        FROM (SELECT x.word AS a, y.word AS b FROM tag x JOIN tag y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND y.idx = x.idx + 1 WHERE regexp_full_match(x.word, '[a-z]+') AND regexp_full_match(y.word, '[a-z]+') GROUP BY 1, 2 HAVING count(*) >= 20)),
+        FROM (SELECT x.word AS a, y.word AS b FROM tag x JOIN tag y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND y.idx = x.idx + 1 WHERE regexp_full_match(x.word, '[a-z]+') AND regexp_full_match(y.word, '[a-z]+') GROUP BY 1, 2 HAVING count(*) >= 20))"""
+PHRASE_PLACES = """
     py AS (SELECT x.doc_id, x.sentence, x.idx AS first, min(y.idx) AS last, a, gaps, lemgram, contains(lemgram, '..vbm.') AS verb FROM tag x JOIN ph ON x.word = a
         JOIN tag y ON x.doc_id = y.doc_id AND x.sentence = y.sentence AND y.idx > x.idx AND y.word = b AND NOT (particle AND y.pos = 'PP') GROUP BY ALL),
     pf AS (SELECT p.*, x.pos AS p1, y.pos AS p2 FROM py p JOIN tag x ON p.doc_id = x.doc_id AND p.first = x.idx JOIN tag y ON p.doc_id = y.doc_id AND p.last = y.idx
@@ -924,7 +919,7 @@ def _frequent_pairs(own: DataFrame) -> DataFrame:
         (F.length("a") % 2 == 0).alias("gaps"), ((F.length("b") % 2 == 0) & (length % 3 == 0)).alias("particle"))
 
 
-@query(f"WITH {PIECES}, {TAGGED}, {PHRASES} SELECT * FROM pw")
+@query(f"WITH {PIECES}, {TAGGED}, {PHRASES}, {PHRASE_PLACES} SELECT * FROM pw")
 def phrase_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two words with a gap where the phrase allows it, found by the trie of all frequent pairs."""
     own = tagged(spark, sf_dir).select("doc_id", "sentence", "idx", "word", "pos")
@@ -932,7 +927,7 @@ def phrase_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "sentence", F.get("places", F.lit(0)).alias("first"), F.get("places", F.lit(1)).alias("last"), F.get("lemgrams", F.lit(0)).alias("lemgram"))
 
 
-@query(f"""WITH {PIECES}, {TAGGED}, {PHRASES}, {LEXICON}, n AS (SELECT *, precision / sum(precision) OVER (PARTITION BY doc_id, idx) AS score FROM lx WHERE precision IS NOT NULL),
+@query(f"""WITH {PIECES}, {TAGGED}, {PHRASES}, {PHRASE_PLACES}, {LEXICON}, n AS (SELECT *, precision / sum(precision) OVER (PARTITION BY doc_id, idx) AS score FROM lx WHERE precision IS NOT NULL),
     single AS (SELECT doc_id, idx, string_agg(reading, '|' ORDER BY precision DESC, reading) AS readings FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, idx) AS best FROM n) WHERE score >= best - 0.05 GROUP BY 1, 2),
     v AS (SELECT doc_id, first AS idx, lemgram AS value, first, last FROM pw UNION ALL SELECT doc_id, last, lemgram || ':' || first, first, last FROM pw),
     m AS (SELECT doc_id, idx, string_agg(value, '|' ORDER BY last, first) AS more FROM v GROUP BY 1, 2)
@@ -1257,3 +1252,19 @@ def values_by_other_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A compound analysis only where there is no sense."""
     sense = F.when(F.col("o_orderstatus") == "O", "|x|").when(F.col("o_orderstatus") == "F", "|").otherwise("")
     return table(spark, sf_dir, "orders").select("o_orderkey", values.if_empty(F.col("o_orderpriority"), sense).alias("compound"))
+
+
+@query(f"""WITH {PIECES}, {TAGGED}, ph(a, b, gaps, particle, lemgram) AS (VALUES ('of', 'the', true, false, 'of_the..ppm.1'), ('the', 'of', true, false, 'the_of..nnm.1'), ('is', 'the', true, false, 'is_the..vbm.1')), {PHRASE_PLACES}
+    SELECT doc_id, sentence, first, last, lemgram AS reading FROM pw""")
+def gapped_multiword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases that all allow gaps."""
+    known = spark.createDataFrame([(["of", "the"], "of_the..ppm.1"), (["the", "*", "of"], "the_of..nnm.1"), (["is", "the"], "is_the..vbm.1")], "words array<string>, reading string")
+    found = lexicon.gapped_multiwords(tagged(spark, sf_dir), known.withColumns({"gaps": F.lit(True), "particle": F.lit(False)}))
+    return found.select("doc_id", "sentence", F.get("places", F.lit(0)).alias("first"), F.get("places", F.lit(1)).alias("last"), "reading")
+
+
+@query(f"""WITH {SENTENCES}, j AS (SELECT DISTINCT doc_id, CASE WHEN idx % 3 = 2 THEN idx - 1 ELSE idx END AS idx FROM sent)
+    SELECT doc_id AS link, 'left' AS side, CAST(idx AS BIGINT) AS idx, CAST(1 AS BIGINT) AS n FROM sent UNION ALL SELECT doc_id, 'right', CAST(idx AS BIGINT), 1 FROM j""")
+def aligned_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of both versions stands in one bead."""
+    return aligned_versions(spark, sf_dir).groupBy("link", "side", "idx").agg(F.count("*").alias("n"))
