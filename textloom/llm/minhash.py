@@ -16,7 +16,8 @@ chance of the Jaccard similarity J in small sets too.
    components are passed on; then components are joined. A pair of one bucket is thus examined, unlike by its registers, or already connected; no cap applies.
 
 Sets are made again from the texts for classes that share a bucket; nothing of all documents goes to the driver. What can
-be lost is a link whose sets agree in no band: with J = 0.85 and 16 bands of 4 about 8 in a million.
+be lost is a link whose sets agree in no band (with J = 0.85 and 16 bands of 4 about 8 in a million) or whose estimate falls under
+the bound of step 3 (about as many again); for sets of a few shingles, such as J = 6/7 of seven, both together are up to 1 in 10,000.
 
 Words are ASCII-lower-cased runs of anything but ASCII white space. A text of fewer words is one shingle; an empty or
 null text has none and is linked with nothing; an empty table gives an empty one. Very long texts are bounded by blocks of BLOCK_BYTES, or one set. Rows of one id are one document when they link. A null id is linked with nothing. Equal rows get equal results.

@@ -14,7 +14,8 @@ has (f + 1) / 2 more of them to the right, or as many to the left, and the longe
 Each window has one key at every length, and the last gram is the window itself, of which there is one segment only: no
 shard depends on how many documents share a passage, and nothing is left out on the way.
 
-What repeats is decided by the index that is built for each shard, not by these hashes.
+Equal segments are told by a digest of 128 bits, and what the merging knows of them (their smallest document, that they stand more than once) is given to the index with them; what
+repeats between different segments is decided by the index that is built for each shard.
 """
 
 from __future__ import annotations
