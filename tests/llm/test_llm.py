@@ -371,12 +371,16 @@ def test_repeated_bytes(docs, monkeypatch, hot):
     assert multiset(suffix_dedup.repeated_bytes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
-def _segment_answers(contents, documents, times, length, other):
+def _segment_answers(contents, documents, lasts, times, length, other):
     windows: dict = {}
     for c, d, k in zip(contents, documents, times, strict=True):
         for p in range(len(c) - length + 1):
             windows.setdefault(c[p : p + length], []).extend([d] * k)
-    return [[min(windows[c[p : p + length]]) if other else len(windows[c[p : p + length]]) > 1 for p in range(len(c) - length + 1)] for c in contents]
+    top = {}
+    for c, d in zip(contents, lasts, strict=True):
+        top[c] = max(top.get(c, d), d)
+    smaller = lambda c, least: least if least < top[c] else None
+    return [[smaller(c, min(windows[c[p : p + length]])) if other else len(windows[c[p : p + length]]) > 1 for p in range(len(c) - length + 1)] for c in contents]
 
 
 def test_indexes_on_random_segments():
@@ -385,23 +389,24 @@ def test_indexes_on_random_segments():
         length = rng.choice([8, 12, 50])
         alphabet = rng.choice(["ab", "abcdef"])
         base = "".join(rng.choice(alphabet) for _ in range(200))
-        contents = set()
+        contents = []
         for _ in range(rng.randint(1, 7)):
             a = rng.randint(0, 120)
             own = list(base[a : a + rng.randint(length, length + 80)])
             for _ in range(rng.randint(0, 2)):
                 own[rng.randrange(len(own))] = rng.choice(alphabet)
             if len(own) >= length:
-                contents.add("".join(own))
-        contents = sorted(contents)
+                contents += ["".join(own)] * rng.choice([1, 1, 2])
         documents, times = [rng.randint(1, 9) for _ in contents], [rng.choice([1, 1, 2]) for _ in contents]
+        lasts = [d + rng.choice([0, 0, 3]) for d in documents]
         if not contents:
             continue
-        words = fm_dedup.repeated_windows([" ".join(c).encode() for c in contents], documents, times, length, 4 if length < 50 else 5)
-        assert [[m for a, b, m in spans for _ in range(a, b)] for spans in words] == _segment_answers(contents, documents, times, length, True)
-        spans = suffix_dedup.repeated_windows([c.encode() for c in contents], documents, times, length)
+        words = fm_dedup.repeated_windows([" ".join(c).encode() for c in contents], documents, lasts, times, length, 4 if length < 50 else 5)
+        least = [{p: m for a, b, m in spans for p in range(a, b)} for spans in words]
+        assert [[own.get(p) for p in range(len(c) - length + 1)] for own, c in zip(least, contents, strict=True)] == _segment_answers(contents, documents, lasts, times, length, True)
+        spans = suffix_dedup.repeated_windows([c.encode() for c in contents], documents, lasts, times, length)
         flags = [[any(a <= p < b for a, b, _ in s) for p in range(len(c) - length + 1)] for c, s in zip(contents, spans, strict=True)]
-        assert flags == _segment_answers(contents, documents, times, length, False)
+        assert flags == _segment_answers(contents, documents, lasts, times, length, False)
 
 
 def _license_row(text: str | None) -> tuple:
@@ -676,14 +681,23 @@ def test_minimisers_of_many_bytes(docs, monkeypatch, words):
     index = fm_dedup.repeated_windows if words else suffix_dedup.repeated_windows
 
     def bounded(contents, *others):
-        assert sum(map(len, contents)) <= 1000 or len(contents) == 1
+        assert sum(map(len, contents)) <= 1000 or len(set(contents)) == 1
         return index(contents, *others)
 
     expected = _without_repeats(words, windows.length, list(dict.fromkeys(ROWS)), words)
     want = Counter((i, *(expected[i, t][k] for k in (0, 1, 3))) for i, t, _ in ROWS)
     assert multiset(segments.removed_repeats(docs, windows, bounded, "doc_id", "text"), "doc_id", "n", "n_removed", "kept_sha256") == want
-    nothing = segments.removed_repeats(docs, windows, lambda contents, *others: [[] for _ in contents], "doc_id", "text")
-    assert nothing.agg(F.sum("n_removed")).first()[0] == 0
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_only_the_index_tells_what_repeats(docs, words):
+    """Without a search nothing goes, even if all is used that is known of the segments before; only those of hot minimisers are merged, and here are none."""
+    windows = segments.Windows(words, *((50, 8, True) if words else (200, 64, False)))
+
+    def told(contents, documents, lasts, times):
+        return [[(0, len(windows.split(c)) - windows.length + 1, d)] if d < last or k > 1 else [] for c, d, last, k in zip(contents, documents, lasts, times, strict=True)]
+
+    assert segments.removed_repeats(docs, windows, told, "doc_id", "text").agg(F.sum("n_removed")).first()[0] == 0
 
 
 @pytest.mark.parametrize("words", [True, False])

@@ -5,9 +5,9 @@ indexed as one text of blocks: for each segment its blocks at the places 0, BLOC
 ended by a separator of its own. The index has the Burrows-Wheeler transform of that text in a wavelet matrix: packed bits, with
 32-bit counts for 512 bits and 16-bit counts for 64 bits. Only the minima of stretches of document numbers are kept sorted for range queries.
 
-The segments are streamed against it: for every window, backward search adds one block to the left at a time, for all
-windows at once, which gives the matching statistic in blocks up to the window's length; where it reaches the length, the interval's smallest
-document is looked up. Windows whose interval holds no smaller document any more drop out on the way: they are no longer than that.
+Equal segments are in that text once, with the smallest document that has them. All are streamed against it, on behalf of the largest document that has them:
+for every window, backward search adds one block to the left at a time, for all windows at once, which gives the matching statistic in blocks up to
+the window's length; where it reaches the length, the interval's smallest document is looked up. Windows whose interval holds no smaller document any more drop out on the way: they are no longer than that.
 
 Words are unchanged runs of anything but ASCII white space. A word goes if it is covered by a window of WINDOW words that also starts in a document with a
 smaller doc_id. Null and empty texts have no words and keep none. Rows with a null id are never touched. Rows equal in
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.segments import Windows, removed_repeats
+from textloom.llm.segments import Windows, distinct, removed_repeats
 
 WINDOW, BLOCK = 50, 5
 #: Document numbers in a stretch.
@@ -130,10 +130,14 @@ def blocks_of(words: list[list[bytes]], block: int) -> np.ndarray:
     return np.append(out, np.zeros(done - 1, np.int64))
 
 
-def repeated_windows(contents: list[bytes], documents: list[int], times: list[int], length: int = WINDOW, block: int = BLOCK) -> list[list[tuple[int, int, int]]]:
-    """Of each segment (first window, after the last, smallest document that has them)."""
-    words = [c.split() for c in contents]
-    size, document = np.array([len(own) for own in words]), np.array(documents, np.int64)
+def repeated_windows(contents: list[bytes], documents: list[int], lasts: list[int], times: list[int], length: int = WINDOW, block: int = BLOCK) -> list[list[tuple[int, int, int]]]:
+    """Of each segment (first window, after the last, smallest document that has them) for the windows that a smaller document has than the largest with that segment."""
+    different, which = distinct(contents)
+    document, last = np.full(len(different), np.iinfo(np.int64).max), np.full(len(different), np.iinfo(np.int64).min)
+    np.minimum.at(document, which, documents)
+    np.maximum.at(last, which, lasts)
+    words = [c.split() for c in different]
+    size = np.array([len(own) for own in words])
     number, begin = blocks_of(words, block), np.cumsum(size) - size
     # The blocks of each segment by their place modulo the block's length.
     whole = size - block + 1
@@ -146,23 +150,23 @@ def repeated_windows(contents: list[bytes], documents: list[int], times: list[in
     n = size - length + 1
     segment = np.repeat(np.arange(len(n)), n)
     start = np.arange(int(n.sum())) + np.repeat(begin - (np.cumsum(n) - n), n)
-    smallest, active = document[segment], np.arange(len(start))
+    smallest, active = last[segment], np.arange(len(start))
     for step in range(length // block):
         symbol = number[start[active] + length - block * (step + 1)]
         low, high = index.extend(symbol, low, high) if step else index.start(symbol)
         least = index.smallest(low, high)
-        on = least < document[segment[active]]
+        on = least < last[segment[active]]
         active, low, high, least = active[on], low[on], high[on], least[on]
         if not len(active):
             break
     smallest[active] = least
     out, at = [], 0
-    for k in n.tolist():
+    for k, top in zip(n.tolist(), last.tolist(), strict=True):
         own = smallest[at : at + k]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        out.append([(int(a), int(b), int(own[a])) for a, b in zip(first, np.append(first[1:], k), strict=True)])
+        out.append([(int(a), int(b), int(own[a])) for a, b in zip(first, np.append(first[1:], k), strict=True) if own[a] < top])
         at += k
-    return out
+    return [out[w] for w in which.tolist()]
 
 
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

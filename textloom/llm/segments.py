@@ -5,17 +5,18 @@ the hashes of the ``gram`` units at its places; neighbouring windows mostly shar
 minimiser is a segment: their units, and where they start. Equal windows have equal minimisers, so
 
 1. runs whose minimiser no other run has, nor another place of the text, are left out before any text travels;
-2. the segments of the others are cut out of their texts, and equal ones are merged, with their smallest and largest document and number;
-3. segments go to shards by minimiser, some BYTES_A_SHARD to a shard, and every shard's index tells which of their windows repeat.
+2. the segments of the others are cut out of their texts and go to shards by minimiser, some BYTES_A_SHARD of different ones to a shard;
+3. every shard's index holds each different text once, with the documents that have it, and all segments are streamed against it.
 
-A passage in very many documents has minimisers whose segments differ in what stands around the passage. A minimiser with more than
-BYTES_A_ROUTE of different segments is replaced by longer grams: a window reaches beyond the gram by f units, so it
+A minimiser with more than BYTES_A_ROUTE of segments is hot: its equal segments are merged before they travel, with their smallest and largest document
+and their number, so that no shard depends on how many copies there are. A passage in very many documents also has minimisers whose segments differ in what stands
+around the passage. A minimiser with more than BYTES_A_ROUTE of different segments is replaced by longer grams: a window reaches beyond the gram by f units, so it
 has (f + 1) / 2 more of them to the right, or as many to the left, and the longer gram on that side, which the window alone decides, becomes its key.
 Each window has one key at every length, and the last gram is the window itself, of which there is one segment only: no
 shard depends on how many documents share a passage, and nothing is left out on the way.
 
-Equal segments are told by a digest of 128 bits, and what the merging knows of them (their smallest document, that they stand more than once) is given to the index with them; what
-repeats between different segments is decided by the index that is built for each shard.
+Merging only saves what is stored and asked twice: equal segments of hot minimisers are told by a digest of 128 bits, others by their bytes in the index.
+That a window repeats, and where first, is always an answer of the index that is built for each shard.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ from pyspark.sql import functions as F
 from textloom.llm.common import mix64, raw, slices, sliding_min, written
 from textloom.llm.minhash import word_hashes
 
-#: A shard is closed when it has so many bytes; a minimiser with more than BYTES_A_ROUTE of different segments is split.
+#: A shard is closed when it has so many bytes of different segments, or eight times as many of all; a minimiser with more than BYTES_A_ROUTE of segments is merged, and with more than that of different ones it is split.
 BYTES_A_SHARD = 1 << 19
 BYTES_A_ROUTE = 1 << 18
 #: Split minimisers are broadcast up to so many, 8 bytes each; there is at most one for each BYTES_A_ROUTE of segments.
 MOST_BROADCAST = 2_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
-Index = Callable[[list[bytes], list[int], list[int]], list[list[tuple[int, int, int]]]]
+Index = Callable[[list[bytes], list[int], list[int], list[int]], list[list[tuple[int, int, int]]]]
 
 
 @dataclass(frozen=True)
@@ -157,13 +158,22 @@ def _cut(texts: DataFrame, windows: Windows) -> DataFrame:
     return texts.select("doc", "digest", "text", "runs").mapInArrow(run, "doc long, digest long, start long, route long, content_id binary, content binary")
 
 
+def _hot(sizes: DataFrame, name: str) -> DataFrame:
+    """The routes of (route, size) with more than BYTES_A_ROUTE, to be joined."""
+    hot = written(sizes.where(F.col("size") > BYTES_A_ROUTE).select("route"), name)
+    return F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot
+
+
 def _merged(segments: DataFrame) -> DataFrame:
-    """(route, content_id, anchor, content, doc, last, times, wide): different segments, and whether their route has too many bytes for one index."""
-    size = segments.groupBy("route", "content_id").agg(F.max(F.length("content")).alias("size"))
-    wide = written(size.groupBy("route").agg(F.sum("size").alias("size"), F.count("*").alias("different")).where((F.col("size") > BYTES_A_ROUTE) & (F.col("different") > 1)).select("route", F.lit(True).alias("wide")), "wide")
-    near = F.broadcast(wide) if wide.count() <= MOST_BROADCAST else wide
-    merged = segments.groupBy("route", "content_id").agg(F.first("anchor").alias("anchor"), F.first("content").alias("content"), F.min("doc").alias("doc"), F.max("last").alias("last"), F.sum("times").alias("times"))
-    return written(merged.join(near, "route", "left").withColumn("wide", F.coalesce("wide", F.lit(False))), "different")
+    """(route, content_id, anchor, content, doc, last, times, wide): segments, the equal ones of hot routes as one, and whether their route has too many bytes for one index."""
+    hot = _hot(segments.groupBy("route").agg(F.sum(F.length("content")).alias("size")), "hot")
+    held = segments.select("route", "content_id", "anchor", "content", "doc", "last", "times")
+    others = held.join(hot, "route", "left_anti").withColumn("wide", F.lit(False))
+    held = held.join(hot, "route", "left_semi").groupBy("route", "content_id").agg(F.first("anchor").alias("anchor"), F.first("content").alias("content"), F.min("doc").alias("doc"), F.max("last").alias("last"), F.sum("times").alias("times"))
+    held = written(held, "different")
+    wide = _hot(held.groupBy("route").agg(F.sum(F.length("content")).alias("size"), F.count("*").alias("different")).where("different > 1"), "wide")
+    known = held.join(wide, "route", "left_anti").withColumn("wide", F.lit(False)).unionByName(held.join(wide, "route", "left_semi").withColumn("wide", F.lit(True)))
+    return others.unionByName(known)
 
 
 def _split(contents: DataFrame, windows: Windows, size: int) -> DataFrame:
@@ -188,20 +198,22 @@ def _searched(contents: DataFrame, windows: Windows, index: Index) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
-        size = 0
+        size = whole = 0
 
         def answers() -> pa.RecordBatch:
-            spans = index([x[5] for x in held], [x[2] for x in held], [x[4] for x in held])
-            rows = [(x[0], x[1], a, b, d) for x, own in zip(held, spans, strict=True) for a, b, d in own if d < x[3] or not windows.other_documents]
+            spans = index([x[5] for x in held], *([x[i] for x in held] for i in (2, 3, 4)))
+            new = [not i or x[:2] != held[i - 1][:2] for i, x in enumerate(held)]
+            rows = [(x[0], x[1], a, b, d) for x, own, first in zip(held, spans, new, strict=True) if first for a, b, d in own]
             return _batch(rows, route=pa.int64(), content_id=pa.binary(), first=pa.int64(), after=pa.int64(), smallest=pa.int64())
 
         for part in slices(batches, "content", 256 << 10):
             for row in zip(*(part.column(c).to_pylist() for c in ("route", "content_id", "doc", "last", "times", "content")), strict=True):
-                if size >= BYTES_A_SHARD and row[0] != held[-1][0]:
+                if (size >= BYTES_A_SHARD or whole >= 8 * BYTES_A_SHARD) and row[0] != held[-1][0]:
                     yield answers()
-                    held, size = [], 0
+                    held, size, whole = [], 0, 0
+                size += len(row[5]) * (not held or row[:2] != held[-1][:2])
+                whole += len(row[5])
                 held.append(row)
-                size += len(row[5])
         if held:
             yield answers()
 
@@ -229,8 +241,8 @@ def _spans(segments: DataFrame, windows: Windows, index: Index, grams: list[int]
 def removed_repeats(docs: DataFrame, windows: Windows, index: Index, id_column: str, text_column: str) -> DataFrame:
     """(doc_id, digest, n, n_removed, n_spans, kept_sha256, kept): a row for each row of ``docs``; an empty table gives none.
 
-    index: for a shard's different segments, their smallest documents and their numbers, gives each one's intervals of repeated
-    windows, (first, after the last, smallest document). With ``other_documents`` an interval counts for larger documents only, and rows
+    index: for a shard's segments, the smallest and the largest documents that have them and how often they stand, gives each one's intervals of repeated
+    windows, (first, after the last, smallest document), all of them where a larger document than the smallest has the segment. With ``other_documents`` an interval counts for larger documents only, and rows
     with a null id are not touched. digest: xxhash64 of the text. kept: what is left where something is removed, else null.
     """
     text, id_ = F.col(text_column).cast("string"), F.col(id_column).cast("long")
@@ -270,6 +282,13 @@ def removed_repeats(docs: DataFrame, windows: Windows, index: Index, id_column:
     return kept.withColumnRenamed("doc_id", id_column)
 
 
+def distinct(contents: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The different ones, and which of them each one is."""
+    numbers: dict[bytes, int] = {}
+    which = np.array([numbers.setdefault(c, len(numbers)) for c in contents], np.int64)
+    return list(numbers), which
+
+
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Which of ``n`` units the windows cover that start in the half-open intervals ``starts``."""
     edge = np.zeros(n + 1, np.int64)

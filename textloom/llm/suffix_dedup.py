@@ -7,8 +7,8 @@ a phrase that is longer than TRIGGER is the beginning of another one, so the ord
 the text follows from two small suffix arrays: first by the suffix of the phrase in which it starts, in the dictionary's order, and
 among equal ones by the suffix of the parse that follows. Repetitive text has few phrases.
 
-A string of WINDOW bytes stands elsewhere if a neighbour in that order begins with the same WINDOW bytes, which are compared,
-eight at a time.
+Strings of WINDOW bytes are equal if they are neighbours in that order and begin with the same WINDOW bytes, which are compared,
+eight at a time. Equal segments are in the text once, with their number: a string repeats if the segments of its stretch of the order stand more than once in all.
 
 Every byte goes that is covered by such a string; matches may overlap and lie in one document, never across two. Null texts are empty and keep nothing. Rows equal in id and
 text are one document, also where the id is null. An empty table gives an empty one. Texts of any length are cut into segments; columns other than the id and the text are not looked at.
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.segments import Windows, removed_repeats
+from textloom.llm.segments import Windows, distinct, removed_repeats
 
 WINDOW = 200
 TRIGGER, MODULUS = 8, 40
@@ -102,10 +102,12 @@ def parse_order(text: np.ndarray, marks: np.ndarray, wanted: np.ndarray, depth:
     return wanted[np.argsort(inside * (len(parse) + 2) + follow[owner + 1])]
 
 
-def repeated_windows(contents: list[bytes], documents: list[int], times: list[int], length: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def repeated_windows(contents: list[bytes], documents: list[int], lasts: list[int], times: list[int], length: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Of each segment (first window, after the last, 0) for the windows that stand elsewhere."""
-    size = np.array([len(c) for c in contents])
-    data = np.frombuffer(b"".join(c + b"\0" * TRIGGER for c in contents), np.uint8)
+    different, which = distinct(contents)
+    number = np.bincount(which, weights=times).astype(np.int64)
+    size = np.array([len(c) for c in different])
+    data = np.frombuffer(b"".join(c + b"\0" * TRIGGER for c in different), np.uint8)
     stop = np.cumsum(size + TRIGGER) - TRIGGER
     text = data.astype(np.int64) + 1
     text[(stop[:, None] + np.arange(TRIGGER)).ravel()] = 0
@@ -118,14 +120,16 @@ def repeated_windows(contents: list[bytes], documents: list[int], times: list[in
     same = np.arange(len(left))
     for i in [*range(0, length - 7, 8), length - 8]:
         same = same[chunk[left[same] + i] == chunk[right[same] + i]]
+    new = np.ones(len(order), bool)
+    new[same + 1] = False
+    stretch = np.cumsum(new) - 1
     again = np.zeros(len(text), bool)
-    again[left[same]] = again[right[same]] = True
+    again[order] = np.bincount(stretch, weights=np.repeat(number, size + TRIGGER)[order])[stretch] > 1
     out = []
-    for begin, end, k in zip((stop - size).tolist(), (stop - length + 1).tolist(), times, strict=True):
-        own = np.ones(end - begin, np.int8) if k > 1 else again[begin:end].astype(np.int8)
-        edge = np.flatnonzero(np.diff(own, prepend=0, append=0))
+    for begin, end in zip((stop - size).tolist(), (stop - length + 1).tolist(), strict=True):
+        edge = np.flatnonzero(np.diff(again[begin:end].astype(np.int8), prepend=0, append=0))
         out.append([(int(a), int(b), 0) for a, b in zip(edge[::2], edge[1::2], strict=True)])
-    return out
+    return [out[w] for w in which.tolist()]
 
 
 def repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
