@@ -165,6 +165,53 @@ def test_alignment_of_versions(spark):
     assert beads["only left", 0] == {"left": [0], "right": []} and beads["only right", 0] == {"left": [], "right": [0]} and (None, 0) in beads
 
 
+def _refuse(monkeypatch):
+    for name in ("_small", "_banded"):
+        monkeypatch.setattr(alignment, name, lambda *a: pytest.fail("cells are worked out where the beads can be read off"))
+
+
+def test_copies_are_aligned_in_one_pass(spark, monkeypatch):
+    rows = [("long", i, 1 + i * 7 % 90) for i in range(5_000)] + [(f"line {k}", i, 3 + i) for k in range(2_000) for i in range(k % 4)] + [(None, 0, 7)]
+    table = spark.createDataFrame(rows, "link string, idx long, length int")
+    want = sorted((str(link), i, side, i) for link, i, _ in rows for side in ("left", "right"))
+    assert sorted((str(r["link"]), r["bead"], r["side"], r["idx"]) for r in alignment.align(table, table).collect()) == want
+    _refuse(monkeypatch)
+    assert alignment.aligned_lengths([5, 9, 5], [5, 9, 5]) == [(0, 1, 0, 1), (1, 2, 1, 2), (2, 3, 2, 3)]
+    assert alignment.aligned_lengths([4] * 100_000, [4] * 100_000)[-1] == (99_999, 100_000, 99_999, 100_000)
+
+
+def test_beads_that_are_read_off_are_the_cheapest(monkeypatch):
+    assert all(u * x + v * y <= cost + 1e-12 for u, v in alignment.LEAST for (x, y), cost in alignment.COSTS.items())
+    # Joined on both sides, or with empty sentences: other beads may be cheaper.
+    assert alignment._joined([10, 10, 20], [20, 10, 10]) is None and alignment._joined([3, 0, 4], [3, 4]) is None and alignment._joined([1, 2], [1]) is None
+    rng = random.Random(4)
+    for _ in range(20):
+        left = [rng.randint(1, 9) for _ in range(rng.randint(1, 14))]
+        right = []
+        for x in left:
+            if right and right[-1][1] == 1 and rng.random() < 0.4:
+                right[-1] = (right[-1][0] + x, 2)
+            else:
+                right.append((x, 1))
+        right = [x for x, _ in right]
+        for a, b in ((left, right), (right, left)):
+            assert alignment._joined(a, b) == alignment._small(a, b)
+
+
+def test_cells_that_a_bound_leaves():
+    """All that a cheapest path needs, and few where texts are alike."""
+    rng = random.Random(6)
+    for k in range(12):
+        left = [rng.randint(1, 200) for _ in range(90)]
+        right = [x + rng.randint(0, 5) for x in left if rng.random() < 0.97] if k % 2 else [rng.randint(1, 200) for _ in range(80)]
+        a, b = (np.concatenate([[0], np.cumsum(x)]).astype(float) for x in (left, right))
+        whole = alignment._banded(a, b, *alignment._around(a, b, 1_000))
+        cells = alignment._within(a, b, alignment._banded(a, b, *alignment._around(a, b, 3))[1])
+        assert cells is None or alignment._banded(a, b, *cells)[:2] == whole[:2]
+        if k % 2:
+            assert np.maximum(cells[1] - cells[0] + 1, 0).sum() < 0.75 * len(a) * len(b)
+
+
 def test_value_if_another_is_empty(spark):
     rows = spark.createDataFrame([("c", "|"), ("c", ""), ("c", None), ("c", "|x|")], "c string, s string")
     assert [r[0] for r in rows.select(values.if_empty(F.col("c"), F.col("s"))).collect()] == ["c", "c", "c", ""]

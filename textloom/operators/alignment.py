@@ -1,8 +1,10 @@
 """Alignment of sentences of two versions of a text by their lengths (Gale and Church, 1993).
 
 Chunks that are linked, such as paragraphs or whole texts, are aligned each by itself, so a task holds two chunks. A bead is a pair of none to two
-sentences on either side; how probable it is follows from its kind and from how the lengths differ. All cells with one sum of
-places are worked out at once, in a band around the line along which both texts advance alike.
+sentences on either side; how probable it is follows from its kind and from how the lengths differ. Where one text is the other with
+some sentences joined, the beads are read off in one pass, since no others can be cheaper. Else all cells with one sum of places are
+worked out at once, in a band: the cells that the cost of a first path leaves or, where it leaves many, those around the line along which
+both texts advance alike.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,54 +34,136 @@ def bead_costs(left: np.ndarray, right: np.ndarray, prior: float) -> np.ndarray:
     return -np.log(np.maximum(2 * tail, 1e-300)) - np.log(prior)
 
 
-def _banded(a: np.ndarray, b: np.ndarray, width: int) -> tuple[list[tuple[int, int, int, int]], float, bool]:
-    """(beads, their cost, whether they touch the band's edge) among cells that are at most ``width`` sentences off the line along which both texts advance alike. a, b: running lengths from 0."""
+COSTS = {kind: -math.log(p) for kind, p in BEADS.items()}
+#: What a sentence on the left and one on the right cost at least: a bead of any kind costs as much as its sentences, or more (a table of its multipliers, as in linear programming).
+LEAST = (
+    (COSTS[2, 1] - COSTS[1, 1], 2 * COSTS[1, 1] - COSTS[2, 1]), (2 * COSTS[1, 1] - COSTS[1, 2], COSTS[1, 2] - COSTS[1, 1]),
+    (COSTS[1, 0], COSTS[2, 1] - 2 * COSTS[1, 0]), (COSTS[1, 2] - 2 * COSTS[0, 1], COSTS[0, 1]),
+)
+
+
+def _joined(left: list[int], right: list[int]) -> list[tuple[int, int, int, int]] | None:
+    """The beads, if one text is the other with some pairs of sentences joined, else None.
+
+    Then no lengths differ and the kinds cost what LEAST asks for so many sentences. Other beads would end where both texts have come equally far, too; with no empty sentences, those are the same ones.
+    """
+    out, i, j, joined = [], 0, 0, set()
+    while i < len(left) and j < len(right):
+        a, b = left[i] * MEAN, right[j]
+        if a <= 0 or b <= 0:
+            return None
+        x = y = 1
+        if a < b and i + 1 < len(left) and left[i + 1] > 0 and (left[i] + left[i + 1]) * MEAN == b:
+            x = 2
+        elif b < a and j + 1 < len(right) and right[j + 1] > 0 and a == b + right[j + 1]:
+            y = 2
+        elif a != b:
+            return None
+        if x != y:
+            joined.add(x)
+        out.append((i, i + x, j, j + y))
+        i, j = i + x, j + y
+    return out if i == len(left) and j == len(right) and len(joined) < 2 else None
+
+
+def _around(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) place on the left for every sum of places: those at most ``width`` sentences off the line along which both texts advance alike, or all."""
     n, m = len(a) - 1, len(b) - 1
-    kinds, whole = list(BEADS), width > n + m
+    total = np.arange(n + m + 1)
+    low, high = np.maximum(0, total - m), np.minimum(n, total)
+    if width > n + m:
+        return low, high
     # The place on the left that the line has when left and right places sum to a total: both texts have come equally far, counted in characters and sentences.
     left = (a + 1e-9 * np.arange(n + 1)) / max(a[-1] + 1e-9 * n, 1e-12)
     right = (b + 1e-9 * np.arange(m + 1)) / max(b[-1] + 1e-9 * m, 1e-12)
     on_line = np.searchsorted(right, left).clip(0, m) + np.arange(n + 1)
-    middle = np.searchsorted(on_line, np.arange(n + m + 1)).clip(0, n)
+    middle = np.searchsorted(on_line, total).clip(0, n)
     middle[0], middle[-1] = 0, n
-    rows: dict[int, tuple[int, np.ndarray]] = {0: (0, np.zeros(1))}
-    moves: list[tuple[int, np.ndarray]] = [(0, np.zeros(1, np.int8))]
-    for total in range(1, n + m + 1):
-        low, high = max(0, total - m), min(n, total)
-        if not whole:
-            low, high = max(low, min(middle[total] - width, high)), min(high, max(middle[total] + width, low))
-        i = np.arange(low, high + 1)
-        j = total - i
-        cost, move = np.full(len(i), np.inf), np.zeros(len(i), np.int8)
-        for k, (x, y) in enumerate(kinds):
-            if total - x - y not in rows:
-                continue
-            start, before = rows[total - x - y]
-            at = i - x - start
-            own = (i >= x) & (j >= y) & (at >= 0) & (at < len(before))
-            i1, j1 = i[own], j[own]
-            new = before[at[own]] + bead_costs(a[i1] - a[i1 - x], b[j1] - b[j1 - y], BEADS[x, y])
-            better = new < cost[own]
-            where = np.flatnonzero(own)[better]
-            cost[where], move[where] = new[better], k
-        rows[total] = (low, cost)
-        rows.pop(total - 4, None)
-        moves.append((low, move))
+    return np.maximum(low, np.minimum(middle - width, high)), np.minimum(high, np.maximum(middle + width, low))
+
+
+def _within(a: np.ndarray, b: np.ndarray, cost: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """As _around(), all cells through which a path of at most this cost can go; None if nothing is known.
+
+    A bead whose lengths differ by d and sum to s costs d * d / (VARIANCE * s) besides its kind, or more; so a path on which they differ by D in all costs D * D / (VARIANCE * S) at least, and D is no less
+    than how far one text is ahead at a cell plus what changes from there to the end.
+    """
+    n, m = len(a) - 1, len(b) - 1
+    spare = cost - max(u * n + v * m for u, v in LEAST) + 1e-6 * (n + m)
+    if not spare < 600:  # the chances in bead_costs() have a least value
+        return None
+    reach, ahead = math.sqrt(max(spare, 0.0) * VARIANCE * (a[-1] + b[-1] / MEAN + 2 * (n + m))) + 1e-6, a[-1] * MEAN - b[-1]
+    total = np.arange(n + m + 1)
+
+    def first(least: float, after: bool) -> np.ndarray:
+        """The first place on the left at which the left text is so far ahead, or farther, by bisection for all sums at once."""
+        low, high = np.maximum(0, total - m), np.minimum(n, total) + 1
+        while (open_ := low < high).any():
+            at = np.where(open_, (low + high) // 2, np.minimum(low, np.minimum(n, total)))
+            x = a[at] * MEAN - b[total - at]
+            there = x > least if after else x >= least
+            low, high = np.where(open_ & ~there, at + 1, low), np.where(open_ & there, at, high)
+        return low
+
+    return first((ahead - reach) / 2, False), first((ahead + reach) / 2, True) - 1
+
+
+#: Cells whose costs are worked out at a time.
+CELLS = 1 << 16
+
+
+def _banded(a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[list[tuple[int, int, int, int]], float, bool]:
+    """(beads, their cost, whether they touch the band's edge) among the cells from first to last of every sum of places. a, b: running lengths from 0."""
+    n, m = len(a) - 1, len(b) - 1
+    kinds, sizes = list(BEADS), np.maximum(last - first + 1, 0)
+    ends, lows = np.cumsum(sizes), first.tolist()
+    rows: dict[int, np.ndarray] = {0: np.zeros(1)}
+    moves: list[np.ndarray] = [np.zeros(1, np.int8)]
+    begin = 1
+    while begin <= n + m:
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin - 1] + CELLS, "right")))
+        own = sizes[begin:end]
+        start = np.cumsum(own) - own
+        i = np.repeat(first[begin:end] - start, own) + np.arange(own.sum())
+        j = np.repeat(np.arange(begin, end), own) - i
+        costs = []
+        for x, y in kinds:  # places before the first are never taken
+            i0, j0 = np.maximum(i - x, 0), np.maximum(j - y, 0)
+            costs.append(bead_costs(a[i] - a[i0], b[j] - b[j0], BEADS[x, y]))
+        for total, at, size in zip(range(begin, end), start.tolist(), own.tolist(), strict=True):
+            low, cost, move = lows[total], np.full(size, np.inf), np.zeros(size, np.int8)
+            for k, (x, y) in enumerate(kinds):
+                before = rows.get(total - x - y)
+                if before is None:
+                    continue
+                shift = lows[total - x - y] + x
+                s, e = max(low, shift), min(low + size, shift + len(before))
+                if s < e:
+                    new, old = before[s - shift : e - shift] + costs[k][at + s - low : at + e - low], cost[s - low : e - low]
+                    better = new < old
+                    np.copyto(old, new, where=better)
+                    np.putmask(move[s - low : e - low], better, k)
+            rows[total] = cost
+            rows.pop(total - 4, None)
+            moves.append(move)
+        begin = end
     out, i, j, edge = [], n, m, False
+    if not np.isfinite(rows[n + m]).all():
+        return out, math.inf, True
     while i or j:
-        low, move = moves[i + j]
+        low, move = lows[i + j], moves[i + j]
         edge |= i == low and i > max(0, i + j - m) or i == low + len(move) - 1 and i < min(n, i + j)
         x, y = kinds[move[i - low]]
         out.append((i - x, i, j - y, j))
         i, j = i - x, j - y
-    return out[::-1], float(rows[n + m][1][-1]), edge
+    return out[::-1], float(rows[n + m][-1]), edge
 
 
 def _small(left: list[int], right: list[int]) -> list[tuple[int, int, int, int]]:
     """The cheapest beads of a few sentences, a cell at a time: arrays would cost more than they save."""
     n, m = len(left), len(right)
     a, b = [0, *itertools.accumulate(left)], [0, *itertools.accumulate(right)]
-    priors = [(x, y, -math.log(p)) for (x, y), p in BEADS.items()]
+    priors = [(x, y, prior) for (x, y), prior in COSTS.items()]
     cost, move = {(0, 0): 0.0}, {}
     for i in range(n + 1):
         for j in range(m + 1):
@@ -100,31 +185,48 @@ def _length_cost(left: int, right: int) -> float:
     return float(bead_costs(np.array([float(left)]), np.array([float(right)]), 1.0)[0])
 
 
-#: Sentences on either side of the line that are looked at first, and cells that are worked out one by one.
-WIDTH, FEW = 64, 1024
+#: Sentences on either side of the line that are looked at first, those for a first path, and cells that are worked out one by one.
+WIDTH, NARROW, FEW = 64, 8, 1024
 
 
 def aligned_lengths(left: list[int], right: list[int], width: int = WIDTH) -> list[tuple[int, int, int, int]]:
     """The cheapest beads as (first left, after the last left, first right, after the last right).
 
-    Only cells near the line along which both texts advance alike are worked out, so memory grows with the number of sentences. The band is doubled until the beads don't touch its edge and a band twice as
+    A path in a narrow band tells which cells a cheaper one can go through. If they are no more than two bands of the width have, they are worked out, and the beads are proven to be the cheapest. Else only cells
+    near the line along which both texts advance alike are, so memory grows with the number of sentences: the band is doubled until the beads don't touch its edge and a band twice as
     wide costs as much, or it is the whole.
     """
+    if found := _joined(left, right):
+        return found
     if (len(left) + 1) * (len(right) + 1) <= FEW:
         return _small(left, right)
     a, b = np.concatenate([[0], np.cumsum(left)]).astype(float), np.concatenate([[0], np.cumsum(right)]).astype(float)
-    width = width if len(left) + len(right) > 4 * width else len(left) + len(right) + 1
+    n_all = len(left) + len(right)
+    if n_all > 4 * width:
+        band = _around(a, b, NARROW)
+        found, cost, _ = _banded(a, b, *band)
+        cells = _within(a, b, cost)
+        if cells and (cells[0] >= band[0]).all() and (cells[1] <= band[1]).all():
+            return found
+        if cells and np.maximum(cells[1] - cells[0] + 1, 0).sum() <= 6 * width * n_all:
+            return _banded(a, b, *cells)[0]
+    else:
+        width = n_all + 1
     while True:
-        found, cost, edge = _banded(a, b, width)
-        if width > len(left) + len(right):
+        found, cost, edge = _banded(a, b, *_around(a, b, width))
+        if width > n_all:
             return found
         if not edge:
-            again, wider, _ = _banded(a, b, 2 * width)
+            again, wider, _ = _banded(a, b, *_around(a, b, 2 * width))
             if wider >= cost - 1e-9:
                 return found
         width *= 2
 
 
+#: Rows that are given on at a time; a chunk's rows stay together.
+ROWS = 1 << 16
+
+
 def align(left: DataFrame, right: DataFrame, key: str = "link") -> DataFrame:
     """(key, bead, side, idx): of every linked chunk its beads, numbered, with the sentences of both sides; nulls and sentences of one side only are beads of their own.
 
@@ -138,15 +240,34 @@ def align(left: DataFrame, right: DataFrame, key: str = "link") -> DataFrame:
         sides.append(t.groupBy(F.col(key).alias(f"{side}_key")).agg(own.alias(side)))
     both = sides[0].join(sides[1], F.col("l_key").eqNullSafe(F.col("r_key")), "full")
     both = both.select(F.coalesce("l_key", "r_key").alias(key), "l", "r").repartition(n_tasks, key)
-    found = pa.list_(pa.struct([("bead", pa.int32()), ("side", pa.string()), ("idx", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for a, b in zip(batch.column("l").to_pylist(), batch.column("r").to_pylist(), strict=True):
-                own = {"l": a or [], "r": b or []}
-                beads = aligned_lengths([x["length"] for x in own["l"]], [x["length"] for x in own["r"]])
-                rows.append([{"bead": bead, "side": name[s], "idx": x["idx"]} for bead, e in enumerate(beads) for s, i, i1 in (("l", *e[:2]), ("r", *e[2:])) for x in own[s][i:i1]])
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(rows, found)], [key, "beads"])
-
-    return both.mapInArrow(run, f"{key} {kind}, beads array<struct<bead: int, side: string, idx: long>>").select(key, F.explode("beads").alias("b")).select(key, "b.*")
+            own, chunk = {}, {s: [] for s in name}
+            for s in name:
+                flat = batch.column(s).flatten()
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(s)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+                own[s] = [0, *ends.tolist()], pc.struct_field(flat, "length").to_numpy(zero_copy_only=False), pc.struct_field(flat, "idx")
+            begin = 0
+
+            def rows(begin: int, end: int) -> pa.RecordBatch:
+                keys, beads, sides, idx = [], [], [], []
+                for s in name:
+                    edges, _, places = own[s]
+                    keys.append(np.repeat(np.arange(begin, end), np.diff(edges[begin : end + 1])))
+                    beads.append(np.array(chunk[s], np.int32))
+                    sides.append(pa.repeat(name[s], len(beads[-1])))
+                    idx.append(places.slice(edges[begin], edges[end] - edges[begin]))
+                    chunk[s] = []
+                return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.concatenate(keys))), pa.array(np.concatenate(beads)), pa.concat_arrays(sides), pa.concat_arrays(idx)], [key, "bead", "side", "idx"])
+
+            for k in range(batch.num_rows):
+                left, right = (lengths[edges[k] : edges[k + 1]].tolist() for edges, lengths, _ in (own["l"], own["r"]))
+                for bead, (i, i1, j, j1) in enumerate(aligned_lengths(left, right)):
+                    chunk["l"] += [bead] * (i1 - i)
+                    chunk["r"] += [bead] * (j1 - j)
+                if len(chunk["l"]) + len(chunk["r"]) >= ROWS or k + 1 == batch.num_rows:
+                    yield rows(begin, k + 1)
+                    begin = k + 1
+
+    return both.mapInArrow(run, f"{key} {kind}, bead int, side string, idx long")
