@@ -180,6 +180,22 @@ def test_copies_are_aligned_in_one_pass(spark, monkeypatch):
     assert alignment.aligned_lengths([4] * 100_000, [4] * 100_000)[-1] == (99_999, 100_000, 99_999, 100_000)
 
 
+def test_versions_are_aligned_in_one_pass(spark, monkeypatch):
+    """Every third sentence is joined with the one before it; some chunks have one side only."""
+    lengths = [20 + i * 37 % 150 for i in range(30_000)]
+    joined = [(i, x + (lengths[i + 1] if i % 3 == 1 else 0)) for i, x in enumerate(lengths) if i % 3 != 2]
+    _refuse(monkeypatch)
+    want = [(i, i + 1 + (i % 3 == 1), k, k + 1) for k, (i, _) in enumerate(joined)]
+    assert alignment.aligned_lengths(lengths, [x for _, x in joined]) == want
+    assert alignment.aligned_lengths([x for _, x in joined], lengths) == [(c, d, a, b) for a, b, c, d in want]
+    links = range(300)
+    left = spark.createDataFrame([(k, i, lengths[i]) for k in links if k % 10 != 3 for i in range(300)], "link int, idx int, length int")
+    right = spark.createDataFrame([(k, i, x) for k in links if k % 10 != 7 for i, x in joined if i < 300], "link int, idx int, length int")
+    got = alignment.align(left, right).groupBy("link", "side").agg(F.count("*").alias("n"), F.countDistinct("idx").alias("idx"), F.countDistinct("bead").alias("beads")).collect()
+    both = {(r["link"], r["side"]): (r["n"], r["idx"], r["beads"]) for r in got}
+    assert both == {(k, side): (n, n, 200 if k % 10 not in (3, 7) else n) for k in links for side, n in (("left", 300), ("right", 200)) if k % 10 != (3 if side == "left" else 7)}
+
+
 def test_beads_that_are_read_off_are_the_cheapest(monkeypatch):
     assert all(u * x + v * y <= cost + 1e-12 for u, v in alignment.LEAST for (x, y), cost in alignment.COSTS.items())
     # Joined on both sides, or with empty sentences: other beads may be cheaper.
