@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import catalog
 from textloom.functions import values
 from textloom.operators import alignment, models, numbering, relations, routing, segmentation, spans
 from textloom.sinks import exporters
@@ -196,6 +198,51 @@ def test_versions_are_aligned_in_one_pass(spark, monkeypatch):
     assert both == {(k, side): (n, n, 200 if k % 10 not in (3, 7) else n) for k in links for side, n in (("left", 300), ("right", 200)) if k % 10 != (3 if side == "left" else 7)}
 
 
+def test_versions_are_segmented_and_shuffled_once(spark, tmp_path):
+    """Both versions come from one exchange, and neither is shuffled again before it is aligned."""
+    texts = [" ".join(f"w{k * i}." for i in range(k % 9)) for k in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalog.aligned_sentences(spark, str(tmp_path))
+    want = {(k, side, i, 1) for k in range(40) for i in range(k % 9) for side in ("left", "right") if side == "left" or i % 3 != 2}
+    assert sorted(map(tuple, out.collect())) == sorted(want)
+    plan = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert len(re.findall(r"\bMapInArrow\b", plan)) == 2 and len(re.findall(r"[-:] Exchange\b", plan)) == 2
+
+
+@pytest.mark.parametrize("dealt", [True, False])
+def test_chunks_over_many_batches(spark, monkeypatch, dealt):
+    """Chunks that are read off, that are not, and that have one side, over batches of a few rows; sides that are not dealt by the key are right, too."""
+    monkeypatch.setattr(alignment, "ROWS", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng = random.Random(11)
+    pairs = {None: ([3, 4], [7])}
+    for k in range(60):
+        left = [rng.randint(0 if k % 6 == 0 else 1, 90) for _ in range(rng.randint(0, 25))]
+        pairs[f"c{k}"] = left, [sum(left[i : i + 2]) for i in range(0, len(left), 2)] if k % 3 == 0 else [x + k % 3 - 1 for x in left if rng.random() < 0.9 or k % 3 == 1]
+    try:
+        sides = [spark.createDataFrame([(c, i, x) for c, p in pairs.items() for i, x in enumerate(p[s])], "link string, idx long, length long") for s in (0, 1)]
+        found = {}
+        for r in alignment.align(*sides, dealt=dealt).collect():
+            found.setdefault(r["link"], set()).add((r["bead"], r["side"], r["idx"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c, (left, right) in pairs.items():
+        beads = alignment.aligned_lengths([max(x, 0) for x in left], [max(x, 0) for x in right])
+        assert found.get(c, set()) == {(n, side, x) for n, (i, i1, j, j1) in enumerate(beads) for side, a, b in (("left", i, i1), ("right", j, j1)) for x in range(a, b)}
+
+
+def test_sentences_by_stops():
+    """As cutting after stops and then trimming gives them."""
+    def plain(text):
+        edges = [0, *(m.end() for m in re.finditer(r"[.!?]+", text)), len(text)]
+        return [(a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) for a, b in zip(edges, edges[1:], strict=False) if text[a:b].strip()]
+
+    rng, cut = random.Random(2), segmentation._cutter("stops")
+    for _ in range(3_000):
+        text = "".join(rng.choice("ab.!? \n\t\x0b\x1c\x85\xa0\u3000\u200b\u00e9") for _ in range(rng.randint(0, 14)))
+        assert cut(text) == plain(text)
+
+
 def test_beads_that_are_read_off_are_the_cheapest(monkeypatch):
     assert all(u * x + v * y <= cost + 1e-12 for u, v in alignment.LEAST for (x, y), cost in alignment.COSTS.items())
     # Joined on both sides, or with empty sentences: other beads may be cheaper.

@@ -42,28 +42,42 @@ LEAST = (
 )
 
 
-def _joined(left: list[int], right: list[int]) -> list[tuple[int, int, int, int]] | None:
-    """The beads, if one text is the other with some pairs of sentences joined, else None.
+def _read_off(first: np.ndarray, right: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the bead of each sentence in its chunk, whether they hold for each chunk): they do if one text is the other with some pairs of sentences joined.
 
     Then no lengths differ and the kinds cost what LEAST asks for so many sentences. Other beads would end where both texts have come equally far, too; with no empty sentences, those are the same ones.
+    Many chunks at once, each with its left sentences before its right ones. first: where a chunk begins.
     """
-    out, i, j, joined = [], 0, 0, set()
-    while i < len(left) and j < len(right):
-        a, b = left[i] * MEAN, right[j]
-        if a <= 0 or b <= 0:
-            return None
-        x = y = 1
-        if a < b and i + 1 < len(left) and left[i + 1] > 0 and (left[i] + left[i + 1]) * MEAN == b:
-            x = 2
-        elif b < a and j + 1 < len(right) and right[j + 1] > 0 and a == b + right[j + 1]:
-            y = 2
-        elif a != b:
-            return None
-        if x != y:
-            joined.add(x)
-        out.append((i, i + x, j, j + y))
-        i, j = i + x, j + y
-    return out if i == len(left) and j == len(right) and len(joined) < 2 else None
+    edges, chunk, bead = np.flatnonzero(first), np.cumsum(first) - 1, np.zeros(len(lengths), np.int64)
+    far = np.where(right, lengths, lengths * MEAN)
+    read = (np.add.reduceat(np.where(right, far, -far), edges) == 0) & (np.minimum.reduceat(lengths, edges) > 0)
+    rows = [np.flatnonzero(read[chunk] & side) for side in (~right, right)]
+    ways = [np.cumsum(far[own]) for own in rows]  # both texts of every chunk come equally far, so chunks need no ways of their own
+    sizes, of = [], np.zeros(0, np.int64)
+    for own, way, other in zip(rows, ways, ways[::-1], strict=True):
+        ends = other[np.searchsorted(other, way)] == way if len(way) else np.zeros(0, bool)
+        bead[own] = np.cumsum(ends) - ends
+        sizes.append(np.bincount(bead[own]))
+        of = chunk[own][ends]
+    x, y = sizes
+    joined = np.zeros((2, len(edges)), bool)
+    joined[0, of[x > 1]] = joined[1, of[y > 1]] = True
+    begin = np.searchsorted(of, np.arange(len(edges)))
+    read[of[x + y > 3]] = False
+    return bead - np.where(read, begin, 0)[chunk], read & ~joined.all(0)
+
+
+def _joined(left: list[int], right: list[int]) -> list[tuple[int, int, int, int]] | None:
+    """The beads, if one text is the other with some pairs of sentences joined, else None."""
+    if not left or not right:
+        return None if left or right else []
+    n, lengths = len(left), np.array([*left, *right])
+    at = np.arange(len(lengths))
+    bead, read = _read_off(at == 0, at >= n, lengths)
+    if not read[0]:
+        return None
+    i, j = ([*np.flatnonzero(np.diff(own, prepend=-1)).tolist(), len(own)] for own in (bead[:n], bead[n:]))
+    return list(zip(i, i[1:], j, j[1:], strict=False))
 
 
 def _around(a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +210,11 @@ def aligned_lengths(left: list[int], right: list[int], width: int = WIDTH) -> li
     near the line along which both texts advance alike are, so memory grows with the number of sentences: the band is doubled until the beads don't touch its edge and a band twice as
     wide costs as much, or it is the whole.
     """
-    if found := _joined(left, right):
-        return found
+    return _joined(left, right) or _cheapest(left, right, width)
+
+
+def _cheapest(left: list[int], right: list[int], width: int = WIDTH) -> list[tuple[int, int, int, int]]:
+    """As aligned_lengths(), from costs of cells."""
     if (len(left) + 1) * (len(right) + 1) <= FEW:
         return _small(left, right)
     a, b = np.concatenate([[0], np.cumsum(left)]).astype(float), np.concatenate([[0], np.cumsum(right)]).astype(float)
@@ -223,51 +240,52 @@ def aligned_lengths(left: list[int], right: list[int], width: int = WIDTH) -> li
         width *= 2
 
 
-#: Rows that are given on at a time; a chunk's rows stay together.
+def _beads(first: np.ndarray, right: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bead of each sentence in its chunk, as for _read_off()."""
+    bead, read = _read_off(first, right, lengths)
+    edges = [*np.flatnonzero(first).tolist(), len(first)]
+    for k in np.flatnonzero(~read).tolist():
+        begin, end = edges[k], edges[k + 1]
+        middle = end - int(right[begin:end].sum())
+        found = np.array(_cheapest(lengths[begin:middle].tolist(), lengths[middle:end].tolist())).reshape(-1, 4)
+        for at, sizes in ((begin, found[:, 1] - found[:, 0]), (middle, found[:, 3] - found[:, 2])):
+            bead[at : at + sizes.sum()] = np.repeat(np.arange(len(found)), sizes)
+    return bead
+
+
+#: Rows that are aligned and given on at a time, or those of one chunk if it has more.
 ROWS = 1 << 16
 
 
-def align(left: DataFrame, right: DataFrame, key: str = "link") -> DataFrame:
+def align(left: DataFrame, right: DataFrame, key: str = "link", dealt: bool = False) -> DataFrame:
     """(key, bead, side, idx): of every linked chunk its beads, numbered, with the sentences of both sides; nulls and sentences of one side only are beads of their own.
 
-    left, right: key, idx, length; idx gives the order of the sentences in the chunk.
+    left, right: key, idx, length; idx gives the order of the sentences in the chunk. dealt: both sides are repartitioned by the key already, into the same number of partitions, so that neither is shuffled again.
     """
-    kind, name = dict(left.dtypes)[key], {"l": "left", "r": "right"}
+    kind, name = dict(left.dtypes)[key], pa.array(["left", "right"])
     n_tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, long work: not to be put into fewer tasks
     sides = []
-    for t, side in ((left, "l"), (right, "r")):
-        own = F.array_sort(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), F.greatest(F.coalesce("length", F.lit(0)), F.lit(0)).cast("long").alias("length"))))
-        sides.append(t.groupBy(F.col(key).alias(f"{side}_key")).agg(own.alias(side)))
-    both = sides[0].join(sides[1], F.col("l_key").eqNullSafe(F.col("r_key")), "full")
-    both = both.select(F.coalesce("l_key", "r_key").alias(key), "l", "r").repartition(n_tasks, key)
+    for t, side in ((left, False), (right, True)):
+        own = t if dealt else t.repartition(n_tasks, key)
+        sides.append(own.select(F.col(key), F.lit(side).alias("is_right"), F.col("idx").cast("long").alias("idx"), F.greatest(F.coalesce("length", F.lit(0)), F.lit(0)).cast("long").alias("length")))
+    # A row for each chunk: Spark looks at the size of what it hands to Python after every row.
+    both = sides[0].union(sides[1]).groupBy(key).agg(F.collect_list(F.struct("is_right", "idx", "length")).alias("rows"))
+
+    def beads(part: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch:
+        flat, chunk = part.column("rows").flatten(), np.repeat(np.arange(len(sizes)), sizes)
+        idx, own = pc.struct_field(flat, "idx"), [pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("length", "is_right")]
+        order = np.lexsort((own[0], pc.fill_null(idx, np.iinfo(np.int64).min).to_numpy(), own[1], chunk))
+        lengths, right = (x[order] for x in own)
+        found = _beads(np.diff(chunk, prepend=-1) > 0, right, lengths)
+        return pa.RecordBatch.from_arrays([part.column(key).take(pa.array(chunk)), pa.array(found.astype(np.int32)), name.take(pa.array(right.astype(np.int8))), idx.take(pa.array(order))], [key, "bead", "side", "idx"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, chunk = {}, {s: [] for s in name}
-            for s in name:
-                flat = batch.column(s).flatten()
-                ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(s)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-                own[s] = [0, *ends.tolist()], pc.struct_field(flat, "length").to_numpy(zero_copy_only=False), pc.struct_field(flat, "idx")
-            begin = 0
-
-            def rows(begin: int, end: int) -> pa.RecordBatch:
-                keys, beads, sides, idx = [], [], [], []
-                for s in name:
-                    edges, _, places = own[s]
-                    keys.append(np.repeat(np.arange(begin, end), np.diff(edges[begin : end + 1])))
-                    beads.append(np.array(chunk[s], np.int32))
-                    sides.append(pa.repeat(name[s], len(beads[-1])))
-                    idx.append(places.slice(edges[begin], edges[end] - edges[begin]))
-                    chunk[s] = []
-                return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.concatenate(keys))), pa.array(np.concatenate(beads)), pa.concat_arrays(sides), pa.concat_arrays(idx)], [key, "bead", "side", "idx"])
-
-            for k in range(batch.num_rows):
-                left, right = (lengths[edges[k] : edges[k + 1]].tolist() for edges, lengths, _ in (own["l"], own["r"]))
-                for bead, (i, i1, j, j1) in enumerate(aligned_lengths(left, right)):
-                    chunk["l"] += [bead] * (i1 - i)
-                    chunk["r"] += [bead] * (j1 - j)
-                if len(chunk["l"]) + len(chunk["r"]) >= ROWS or k + 1 == batch.num_rows:
-                    yield rows(begin, k + 1)
-                    begin = k + 1
+            sizes = pc.list_value_length(batch.column("rows")).to_numpy(zero_copy_only=False)
+            ends, at = np.cumsum(sizes, dtype=np.int64), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ROWS, "right")))
+                yield beads(batch.slice(at, end - at), sizes[at:end])
+                at = end
 
     return both.mapInArrow(run, f"{key} {kind}, bead int, side string, idx long")
