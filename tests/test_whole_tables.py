@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from textloom import catalog
+from textloom.operators import segmentation
+from textloom.sinks import trees
 
 ODD = [
     (1, "One line. Two of the words!\n\n  and of the & <third> \"line\"\t|x| \n"), (2, ""), (3, "   \n \t "), (4, "non breaking space\u0085here \x1c and\x0bthere"), (5, "same"), (6, "de la de la\nvon der of of the in the"),
@@ -29,3 +34,37 @@ def against_sql(spark, folder, name, rows):
 
 def test_documents_without_words_are_counted(spark, tmp_path):
     assert against_sql(spark, tmp_path, "whitespace_token_counts", [*ODD, (7, None), (5, "same id again")]) == (Counter(), Counter())
+
+
+TREES = ["combined_scrambled_xml"]
+
+
+def exchanges(spark, folder, name):
+    spark.createDataFrame(ODD, "doc_id long, text string").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    plan = catalog.QUERIES[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if re.search(r"\bExchange ", line)]
+
+
+@pytest.mark.parametrize("name", TREES)
+def test_texts_are_written_out_without_an_exchange_of_tokens(spark, tmp_path, name):
+    assert not [x for x in exchanges(spark, tmp_path, name) if "rangepartitioning" not in x]  # documents may be sorted
+    plain = [(k, t) for k, t in ODD if k != 4]  # white space that SQL and Python tell apart
+    assert against_sql(spark, tmp_path, name, plain) == (Counter(), Counter())
+
+
+@pytest.mark.parametrize("style", ["pretty", "preserved", "vertical", "csv", "conllu"])
+@pytest.mark.parametrize("scramble", [None, "part"])
+@pytest.mark.parametrize("cut", ["words_and_punctuation", "crossing", "wider"])
+def test_segmented_trees_are_those_of_span_tables(spark, style, scramble, cut):
+    """Spans of two segmenters, nested or crossing, as the general writer has them."""
+    parts = segmentation._matches(r"\[[^\]]*\]")
+    inner = {"crossing": segmentation._matches(r"\w+\W?\w+|\S"), "wider": segmentation._matches(r"[^.]+")}.get(cut, cut)
+    texts = ["a <b> [cd ef] g. [h|i \"j\"][k] l & m", "", "no part. x", "[one", "[n o]p q[r s]t. [u]"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(9, None)], "doc_id long, text string").coalesce(1)
+    columns = ("idx", "word", "word", None, None, None, None, "word", None, None) if style == "conllu" else ("word", "idx")
+    attributes = {"part": ["idx"], "token": ["idx"]}
+    part = segmentation.segment(docs, parts).withColumn("place", -F.col("idx"))
+    want = trees.tree(docs, {"part": part, "token": segmentation.token_table(docs, inner)}, attributes, style, columns, scramble, breaks="part")
+    place = {"part": lambda own: {"place": pc.negate(own["idx"])}}
+    got = trees.segmented_tree(docs, ("part", parts), ("token", inner), attributes, style, columns, scramble, breaks="part", derived=place)
+    assert {r["doc_id"]: r["content"] for r in got.collect()} == {r["doc_id"]: r["content"] for r in want.collect()}

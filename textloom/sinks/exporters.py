@@ -80,13 +80,16 @@ def xml_pretty(tokens: DataFrame, columns: list[str], word: str = "word", order:
     return _in_text(_by_sentence(tokens, token, [sentence], [F.lit("  </sentence>")], order))
 
 
-def combined(contents: DataFrame, corpus: str) -> DataFrame:
+def combined(contents: DataFrame, corpus: str, in_order: bool = False) -> DataFrame:
     """(doc_id, content): the documents of a corpus as one element's parts, in the order of their ids; a row a document, so that no task holds all.
 
-    Write them with write_text(): the first and last rows open and close the corpus.
+    Write them with write_text(): the first and last rows open and close the corpus. in_order: contents come in the order of their ids as text already, as when the documents were sorted before they were written out, which are smaller.
     """
     edge = lambda key, text: contents.sparkSession.createDataFrame([(key, text)], "part int, content string")
     inner = contents.select(F.lit(1).alias("part"), F.col("doc_id").cast("string").alias("doc_id"), "content")
+    if in_order:  # partitions of a union follow each other
+        first, last = (edge(0, t).select(F.lit("").alias("doc_id"), "content") for t in (f'<corpus id="{corpus}">\n', "</corpus>\n"))
+        return first.unionByName(inner.select("doc_id", "content")).unionByName(last)
     around = edge(0, f'<corpus id="{corpus}">\n').unionByName(edge(2, "</corpus>\n")).withColumn("doc_id", F.lit(""))
     return inner.unionByName(around).orderBy("part", "doc_id").select("doc_id", "content")
 

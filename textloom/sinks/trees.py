@@ -4,18 +4,22 @@ tables: span tables by name, from outer to inner: doc_id, idx, start, end, and t
 first table is outside (spans.writing_order() puts them so that all documents agree). Spans may cross: where one ends, those that were opened in it
 are closed and opened again, and all parts of such a span have one number in the attribute overlap. Spans of no width come before others at their place.
 
-A document's spans are put together by one grouping, and its text is cut once, front to back, in one pass over documents. A null text is
+A document's spans are put together by one grouping, and its text is cut once, front to back, in one pass over documents; segmented_tree() makes the spans of the texts itself and needs no exchange. A null text is
 empty; a document without spans has its text (preserved) or nothing between the edges of its element. Null attributes are empty, and left out of XML.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators import segmentation
 from textloom.sinks.exporters import CONLLU, as_text, xml_escaped
 
 Event = tuple[int, str, int]
@@ -168,3 +172,158 @@ def tree(docs: DataFrame, tables: dict[str, DataFrame], attributes: dict[str, li
         return own.select("doc_id", F.concat(F.lit(head + "\n"), content("text", "spans"), F.lit("\n" * (style == "conllu"))).alias("content"))
     edge = "\n" if style != "preserved" else ""
     return own.select("doc_id", F.concat(F.lit(f'<{root} id="'), xml_escaped(F.col("doc_id").cast("string")), F.lit(f'">{edge}'), content("text", "spans"), F.lit(f"</{root}>\n")).alias("content"))
+
+
+Columns = Callable[[dict[str, pa.Array]], dict[str, pa.Array]]
+
+
+def _joined(*parts: pa.Array | str) -> pa.Array:
+    return pc.binary_join_element_wise(*parts, "")
+
+
+def _shown(values: pa.Array) -> pa.Array:
+    return pc.fill_null(pc.cast(values, pa.string()), "")
+
+
+def _escaped(values: pa.Array) -> pa.Array:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        values = pc.replace_substring(values, plain, entity)
+    return values
+
+
+def segmented_tree(
+    docs: DataFrame, outer: tuple[str, str | Callable], inner: tuple[str, str | Callable], attributes: dict[str, list[str]], style: str = "pretty", columns: tuple[str | None, ...] = ("word",), scramble: str | None = None, root: str = "text", breaks: str = "sentence",
+    delimiter: str = "\t", derived: dict[str, Columns] | None = None,
+) -> DataFrame:
+    """(doc_id, content): as tree(), for two tables that segmenters make of the texts, in one pass over docs and without an exchange.
+
+    outer, inner: a table's name and its segmenter. Tables have idx, start and end, the inner one also word, and, where an outer span holds the token, parent (its idx) and ref (the token's place in it, from 1), else
+    null. derived: by table what makes more columns of these, all spans of some documents at a time, such as ``place`` where the outer table is scrambled. Each row of docs gives one of its own.
+    """
+    (upper, cut_upper), (lower, cut_lower) = outer, inner
+    make = derived or {}
+    cutters = segmentation._cutter(cut_upper), segmentation._cutter(cut_lower)
+    head = {"csv": lambda: delimiter.join(columns) + "\n", "conllu": lambda: "# global.columns = " + " ".join(CONLLU) + "\n"}.get(style, lambda: "")()
+    tail = "\n" if style == "conllu" else ""
+    edge = "\n" if style != "preserved" else ""
+
+    def attribute_text(name: str, own: dict[str, pa.Array], n: int) -> pa.Array:
+        """What stands in a span's opening mark, or its comment lines."""
+        empty, kept = pa.repeat(pa.scalar(""), n), attributes.get(name, [])
+        if style not in COMMENTED:
+            values_ = [(c, _shown(own[c])) for c in kept]
+            return _joined(empty, *[pc.if_else(pc.equal(v, ""), "", _joined(f' {c}="', _escaped(v), '"')) for c, v in values_])
+        shown = "sent" if name == "sentence" and style == "conllu" else name
+        told = [(v, _joined(f"# {shown}{'_' if style == 'conllu' else '.'}{c} = ", v, "\n")) for c, v in ((c, _shown(own[c])) for c in kept)]
+        every = _joined(empty, *[t if style == "conllu" else pc.if_else(pc.equal(v, ""), "", t) for v, t in told])
+        return pc.if_else(pc.equal(every, ""), f"# {name}\n", every)
+
+    def token_lines(own: dict[str, pa.Array]) -> pa.Array:
+        if style in ("pretty", "preserved"):
+            return _escaped(_shown(own[columns[0]] if style == "pretty" else own["word"]))
+        if style == "vertical":
+            return pc.binary_join_element_wise(*[_escaped(pc.replace_substring_regex(_shown(own[c]), r"[\t\n]", " ")) for c in columns], "\t")
+        if style == "csv":
+            return pc.binary_join_element_wise(pc.replace_substring(_shown(own[columns[0]]), delimiter, " "), *[_shown(own[c]) for c in columns[1:]], delimiter)
+        blank = pa.repeat(pa.scalar("_"), len(own["idx"]))
+        bare = [pc.if_else(pc.equal(v, ""), "_", v) if v is not None else blank for v in (pc.utf8_trim(_shown(own[c]), "|") if c else None for c in columns)]
+        bare[2], bare[6], bare[7] = pc.replace_substring_regex(bare[2], r"(?s)\|.*", ""), pc.if_else(pc.equal(bare[6], "_"), "0", bare[6]), pc.utf8_lower(bare[7])
+        return pc.binary_join_element_wise(*bare, "\t")
+
+    def content(batch: pa.RecordBatch) -> pa.Array:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        base = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        tables = []
+        for cut in cutters:
+            lists = [cut(t) for t in texts]
+            _, idx, start, end = segmentation._span_columns(pa.array(range(len(texts))), lists)
+            tables.append((lists, np.array([len(x) for x in lists], np.int64), {"idx": idx, "start": start, "end": end}))
+        (lists_u, n_u, own_u), (lists_t, n_t, own_t) = tables
+        place = lambda own, n, c: own[c].to_numpy().astype(np.int64) + np.repeat(base[:-1], n)
+        us, ue, ts, te = place(own_u, n_u, "start"), place(own_u, n_u, "end"), place(own_t, n_t, "start"), place(own_t, n_t, "end")
+        parent = np.searchsorted(us, ts, "right") - 1
+        many = len(us) > 0
+        inside = (parent >= 0) & (te <= ue[parent]) if many else np.zeros(len(ts), bool)
+        after = np.append(us, np.iinfo(np.int64).max)[parent + 1]
+        crossing = ~inside & (((parent >= 0) & (ts < ue[parent]) if many else False) | (te > after))
+        first = np.searchsorted(np.where(inside, parent, -1)[inside], np.arange(len(us)), "left")
+        ref = np.cumsum(inside) - 1 - (first[parent] if many else 0) + 1
+        own_t |= {"word": pa.array([t[a:b] for t, spans in zip(texts, lists_t, strict=True) for a, b in spans], pa.string()), "ref": pa.array(ref, pa.int64(), mask=~inside)}
+        own_t["parent"] = own_u["idx"].take(pa.array(parent, pa.int64(), mask=~inside)) if many else pa.nulls(len(ts), pa.int32())
+        own_u |= make.get(upper, lambda own: {})(own_u)
+        own_t |= make.get(lower, lambda own: {})(own_t)
+        marks_u, marks_t, lines = attribute_text(upper, own_u, len(us)), attribute_text(lower, own_t, len(ts)), token_lines(own_t)
+
+        if style in COMMENTED:
+            opened, closed, shown = marks_u, pa.repeat(pa.scalar("\n" if upper == breaks else ""), len(us)), _joined(lines, "\n" + "\n" * (lower == breaks))
+        else:
+            end = "" if style == "preserved" else "\n"
+            deep, deeper = ("  ", pc.if_else(pa.array(inside), "    ", "  ")) if style == "pretty" else ("", "")
+            opened, closed = _joined(f"{deep}<{upper}", marks_u, f">{end}"), pa.repeat(pa.scalar(f"{deep}</{upper}>{end}"), len(us))
+            shown = _joined(lines, "\n") if style == "vertical" else _joined(deeper, f"<{lower}", marks_t, ">", lines, f"</{lower}>{end}")
+        # The places of all pieces in writing order.
+        j = np.arange(len(us))
+        at_open, at_close = np.searchsorted(ts, us, "left") + 2 * j, np.searchsorted(ts, ue, "left") + 2 * j + 1
+        at_token = np.arange(len(ts)) + np.searchsorted(us, ts, "right") + np.searchsorted(ue, ts, "right")
+        order = np.empty(len(ts) + 2 * len(us), np.int64)
+        irregular = np.zeros(len(texts), bool)
+        irregular[np.repeat(np.arange(len(texts)), n_t)[crossing]] = True
+        sizes = n_t + 2 * n_u
+        if irregular.any():  # their pieces are not used, but need places that no other has
+            of = np.concatenate([np.repeat(np.arange(len(texts)), n_t), np.repeat(np.arange(len(texts)), n_u), np.repeat(np.arange(len(texts)), n_u)])
+            keys = np.concatenate([at_token, at_open, at_close])
+            order = np.lexsort((keys, of))
+        else:
+            order[at_token], order[at_open], order[at_close] = np.arange(len(ts)), len(ts) + j, len(ts) + len(us) + j
+        pieces = pa.concat_arrays([pa.array(x) if not isinstance(x, pa.Array) else x for x in (shown, opened, closed)])
+        if style == "preserved":  # what stands between marks
+            mark_start, mark_end = np.concatenate([ts, us, ue])[order], np.concatenate([te, us, ue])[order]
+            before = np.empty_like(mark_start)
+            before[1:] = mark_end[:-1]
+            firsts = np.cumsum(sizes) - sizes
+            before[firsts[sizes > 0]] = base[:-1][sizes > 0]
+            if scramble:
+                before = np.where(order[:] >= len(ts), np.where(order < len(ts) + len(us), mark_start, before), before)
+            owner = np.repeat(np.arange(len(texts)), sizes)
+            a, b = (before - base[owner]).tolist(), (mark_start - base[owner]).tolist()
+            gaps = pa.array([texts[k][x:y] if x < y else "" for k, x, y in zip(owner.tolist(), a, b, strict=True)], pa.string())
+            pieces = _joined(_escaped(gaps), pieces.take(pa.array(order)))
+        else:
+            pieces = pieces.take(pa.array(order))
+        ends = np.cumsum(sizes)
+        if scramble:  # whole chunks in another order; what stands in none goes
+            if irregular.any():
+                at_open = at_close = np.zeros(0, np.int64)
+                chosen, sizes_s = np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+            owner = np.repeat(np.arange(len(texts)), n_u)
+            if not irregular.any():
+                sorted_ = np.lexsort((j, own_u["place"].to_numpy(zero_copy_only=False), owner))
+                sorted_ = sorted_[np.asarray(own_u["place"].is_valid())[sorted_]]
+                length = (at_close - at_open + 1)[sorted_]
+                starts = np.cumsum(length) - length
+                chosen = np.arange(int(length.sum())) - np.repeat(starts, length) + np.repeat(at_open[sorted_], length)
+                sizes_s = np.bincount(owner[sorted_], weights=length, minlength=len(texts)).astype(np.int64)
+            pieces, ends = pieces.take(pa.array(chosen)), np.cumsum(sizes_s)
+        out = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pieces), "")
+        if style == "preserved" and not scramble:
+            last = np.array([te_[-1] if len(te_) else 0 for te_ in ([max([*(b for _, b in u[-1:]), *(b for _, b in t[-1:])])] if u or t else [] for u, t in zip(lists_u, lists_t, strict=True))])
+            out = _joined(out, _escaped(pa.array([t[k:] for t, k in zip(texts, last.tolist(), strict=True)], pa.string())))
+        if irregular.any():
+            whole, starts_u, starts_t = out.to_pylist(), np.cumsum(n_u) - n_u, np.cumsum(n_t) - n_t
+            for k in range(len(texts)) if scramble else np.flatnonzero(irregular).tolist():
+                rows = [((a, -b, 0, i), starts_u[k] + i, upper) for i, (a, b) in enumerate(lists_u[k])] + [((a, -b, 1, i), starts_t[k] + i, lower) for i, (a, b) in enumerate(lists_t[k])]
+                rows.sort(key=lambda r: r[0])
+                spans, names = [(r[0][0], -r[0][1]) for r in rows], [r[2] for r in rows]
+                told = [(marks_u if r[2] == upper else marks_t)[int(r[1])].as_py() for r in rows]
+                each = [lines[int(r[1])].as_py() if r[2] == lower and style != "preserved" else None for r in rows]
+                chunks = [(i, own_u["place"][int(r[1])].as_py()) for i, r in enumerate(rows) if r[2] == upper and own_u["place"][int(r[1])].is_valid] if scramble else None
+                whole[k] = written(texts[k], spans, names, told, each, style, chunks, breaks)
+            out = pa.array(whole, pa.string())
+        return _joined(head, out, tail) if style in COMMENTED else _joined(f'<{root} id="', _escaped(batch.column("shown")), f'">{edge}', out, f"</{root}>\n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in segmentation._parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), content(part)], ["doc_id", "content"])
+
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("string").alias("shown"))
+    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, content string")
