@@ -36,7 +36,7 @@ def test_documents_without_words_are_counted(spark, tmp_path):
     assert against_sql(spark, tmp_path, "whitespace_token_counts", [*ODD, (7, None), (5, "same id again")]) == (Counter(), Counter())
 
 
-TREES = ["combined_scrambled_xml", "csv_of_lines", "conllu_of_lines", "xml_of_lines", "xml_preserved"]
+TREES = ["combined_scrambled_xml", "csv_of_lines", "conllu_of_lines", "xml_of_lines", "xml_preserved", "reversed_vertical_text"]
 
 
 def exchanges(spark, folder, name):
