@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom import catalog
-from textloom.operators import segmentation
+from textloom.operators import boundaries, phrases, segmentation, spans
 from textloom.sinks import trees
 
 ODD = [
@@ -68,3 +68,27 @@ def test_segmented_trees_are_those_of_span_tables(spark, style, scramble, cut):
     place = {"part": lambda own: {"place": pc.negate(own["idx"])}}
     got = trees.segmented_tree(docs, ("part", parts), ("token", inner), attributes, style, columns, scramble, breaks="part", derived=place)
     assert {r["doc_id"]: r["content"] for r in got.collect()} == {r["doc_id"]: r["content"] for r in want.collect()}
+
+
+PROSE = [(20 + k, f"the cat of the dog in the old house is of the mind{k}. The cat ran to the house on de la mer! Was it 3. 14 of them, or A. Smith? " * (1 + k % 3)) for k in range(40)]
+
+
+def plan_of(spark, folder, name):
+    spark.createDataFrame(PROSE, "doc_id long, text string").write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    return catalog.QUERIES[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["class_frequencies"])
+def test_texts_are_read_once_for_all_counts(spark, tmp_path, name):
+    assert against_sql(spark, tmp_path, name, PROSE) == (Counter(), Counter())
+    assert "documents.parquet" not in plan_of(spark, tmp_path, name)  # only what was counted is
+
+
+def test_stop_counts_have_the_ratios_of_all_words(spark):
+    docs = spark.createDataFrame([r for r in ODD if r[0] != 4] + PROSE, "doc_id long, text string")
+    ratios = []
+    for words in (boundaries.stop_words(docs), boundaries.stop_counts(docs)):
+        marked = boundaries.marked_ends(words, boundaries.stop_ratios(words).where("score >= 0.3"))
+        starters = boundaries.starter_ratios(marked)
+        ratios.append([sorted(map(repr, df.collect())) for df in (boundaries.stop_ratios(words), starters, boundaries.collocation_ratios(marked, starters.where("log_likelihood > 30")))])
+    assert ratios[0] == ratios[1] and all(ratios[0][:2])

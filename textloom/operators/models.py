@@ -154,10 +154,11 @@ def frame_lexicon(frames: DataFrame, prefix: str = "") -> DataFrame:
     return frames.select(F.explode("senses").alias("sense"), name.alias("class")).distinct()
 
 
-def class_frequencies(tokens: DataFrame, classes: DataFrame, smoothing: float = 0.1) -> DataFrame:
-    """(class, freq): the smoothed relative frequencies of all classes in a reference corpus with the set column classes."""
-    total = tokens.count()
-    counts = tokens.select(F.explode("classes").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+def class_frequencies(tokens: DataFrame, classes: DataFrame, smoothing: float = 0.1, times: str | None = None) -> DataFrame:
+    """(class, freq): the smoothed relative frequencies of all classes in a reference corpus with the set column classes. times: the column that tells how many tokens a row stands for."""
+    weight = F.col(times).cast("long") if times else F.lit(1)
+    total = tokens.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    counts = tokens.select(F.explode("classes").alias("class"), weight.alias("w")).groupBy("class").agg(F.sum("w").alias("n"))
     every = classes.select("class").distinct()
     kinds = every.count()
     return every.join(counts, "class", "left").select("class", ((F.coalesce("n", F.lit(0)) + smoothing) / F.lit(float(total + smoothing * kinds) or 1.0)).alias("freq"))
