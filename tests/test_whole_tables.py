@@ -84,6 +84,13 @@ def test_texts_are_read_once_for_all_counts(spark, tmp_path, name):
     assert "documents.parquet" not in plan_of(spark, tmp_path, name)  # only what was counted is
 
 
+@pytest.mark.parametrize("name", ["routed_sentences"])
+def test_sentences_are_gathered_where_they_are_segmented(spark, tmp_path, name):
+    assert against_sql(spark, tmp_path, name, [r for r in ODD if r[0] != 4] + PROSE) == (Counter(), Counter())
+    plan = plan_of(spark, tmp_path, name)
+    assert not re.search(r"collect_list\(struct\(idx|Exchange hashpartitioning\(doc_id#\d+L, (start|\d+\))", plan)
+
+
 def test_stop_counts_have_the_ratios_of_all_words(spark):
     docs = spark.createDataFrame([r for r in ODD if r[0] != 4] + PROSE, "doc_id long, text string")
     ratios = []
@@ -92,3 +99,13 @@ def test_stop_counts_have_the_ratios_of_all_words(spark):
         starters = boundaries.starter_ratios(marked)
         ratios.append([sorted(map(repr, df.collect())) for df in (boundaries.stop_ratios(words), starters, boundaries.collocation_ratios(marked, starters.where("log_likelihood > 30")))])
     assert ratios[0] == ratios[1] and all(ratios[0][:2])
+
+
+def test_lines_of_tokens_are_those_of_containment(spark):
+    texts = ["a b. c d e! f", "", "one.two", " . x y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    crossing = segmentation._matches(r"\w+\.\w+|\w+|[^\w\s]")
+    for cut in ("words_and_punctuation", crossing):
+        got = segmentation.token_lines(docs, cut, outer="stops").select("doc_id", "sentence", F.posexplode("words").alias("at", "word"), "first").select("doc_id", (F.col("first") + F.col("at")).alias("idx"), "word", "sentence")
+        want = spans.parents_disjoint(segmentation.token_table(docs, cut), segmentation.segment(docs, "stops")).select("doc_id", "idx", "word", F.col("parent_idx").alias("sentence"))
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
