@@ -78,7 +78,7 @@ def plan_of(spark, folder, name):
     return catalog.QUERIES[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["class_frequencies", "collocations_across_stops"])
+@pytest.mark.parametrize("name", ["class_frequencies", "collocations_across_stops", "relation_association"])
 def test_texts_are_read_once_for_all_counts(spark, tmp_path, name):
     assert against_sql(spark, tmp_path, name, PROSE) == (Counter(), Counter())
     assert "documents.parquet" not in plan_of(spark, tmp_path, name)  # only what was counted is
