@@ -84,7 +84,7 @@ def test_texts_are_read_once_for_all_counts(spark, tmp_path, name):
     assert "documents.parquet" not in plan_of(spark, tmp_path, name)  # only what was counted is
 
 
-@pytest.mark.parametrize("name", ["multiword_places", "routed_sentences"])
+@pytest.mark.parametrize("name", ["multiword_places", "routed_sentences", "phrase_places"])
 def test_sentences_are_gathered_where_they_are_segmented(spark, tmp_path, name):
     assert against_sql(spark, tmp_path, name, [r for r in ODD if r[0] != 4] + PROSE) == (Counter(), Counter())
     plan = plan_of(spark, tmp_path, name)
