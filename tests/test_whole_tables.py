@@ -84,7 +84,7 @@ def test_texts_are_read_once_for_all_counts(spark, tmp_path, name):
     assert "documents.parquet" not in plan_of(spark, tmp_path, name)  # only what was counted is
 
 
-@pytest.mark.parametrize("name", ["multiword_places", "routed_sentences", "phrase_places"])
+@pytest.mark.parametrize("name", ["multiword_places", "routed_sentences", "phrase_places", "lexicon_annotation"])
 def test_sentences_are_gathered_where_they_are_segmented(spark, tmp_path, name):
     assert against_sql(spark, tmp_path, name, [r for r in ODD if r[0] != 4] + PROSE) == (Counter(), Counter())
     plan = plan_of(spark, tmp_path, name)
@@ -109,3 +109,17 @@ def test_lines_of_tokens_are_those_of_containment(spark):
         got = segmentation.token_lines(docs, cut, outer="stops").select("doc_id", "sentence", F.posexplode("words").alias("at", "word"), "first").select("doc_id", (F.col("first") + F.col("at")).alias("idx"), "word", "sentence")
         want = spans.parents_disjoint(segmentation.token_table(docs, cut), segmentation.segment(docs, "stops")).select("doc_id", "idx", "word", F.col("parent_idx").alias("sentence"))
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_lines_are_annotated_as_tokens_are(spark, monkeypatch):
+    """Words of rare and frequent pairs, phrases in parts of a trie."""
+    monkeypatch.setattr(phrases, "FREQUENT_PAIRS", 3)
+    monkeypatch.setattr(phrases, "TRIE_EDGES", 2)
+    rows = [(1, s, i, w, t) for s, line in enumerate(["a b c a b", "b a", "c d x e"]) for i, (w, t) in enumerate(zip(line.split(), ["NN.a", "VB.b", "PP", "NN.a", "NN.b"], strict=False))]
+    tokens = spark.createDataFrame(rows, "doc_id long, sentence int, idx int, word string, msd string")
+    lexicon = spark.createDataFrame([(w, ["NN.a", "VB.b"], [w], [f"{w}..nn.1"], [f"{w}..1"]) for w in "abd"], "form string, tags array<string>, baseforms array<string>, lemgrams array<string>, senses array<string>")
+    known = [(["a", "b"], ["a b"], ["a_b..abm.1"], ["s"], True, False), (["b", "a"], ["b a"], ["b_a..nnm.1"], ["t"], False, False), (["d", "e"], ["d e"], ["d_e..abm.1"], [], True, True)]
+    trie = phrases.phrase_trie(spark.createDataFrame(known, "words array<string>, baseforms array<string>, lemgrams array<string>, senses array<string>, gaps boolean, particle boolean"))
+    lines = tokens.groupBy("doc_id", "sentence").agg(F.array_sort(F.collect_list(F.struct("idx", "word", "msd"))).alias("l")).select("doc_id", "sentence", F.lit(0).alias("first"), F.col("l.word").alias("words"), F.col("l.msd").alias("tags"))
+    got = phrases.annotate_lines(lines, tokens.groupBy("word", "msd").agg(F.count("*").alias("n")), lexicon, trie)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, phrases.annotate(tokens, lexicon, trie).collect()))
